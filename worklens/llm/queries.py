@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from worklens.llm import chat_format, shard, url_filter
+from worklens.llm import chat_format, jaccard_join, shard, url_filter
 
 QUERIES = {
     "op2_chat_format": chat_format.op2_chat_format,
     "op4_histogram_sort": shard.op4_histogram_sort,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
 }
 
 ORACLES = {"op2_chat_format": chat_format.ORACLE}
