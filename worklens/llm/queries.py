@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from worklens.llm import chat_format, jaccard_join, shard, url_filter
+from worklens.llm import chat_format, jaccard_join, shard, suffix_dedup, url_filter
 
 QUERIES = {
     "op2_chat_format": chat_format.op2_chat_format,
     "op4_histogram_sort": shard.op4_histogram_sort,
     "op5_url_filter": url_filter.op5_url_filter,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
 }
 
 ORACLES = {"op2_chat_format": chat_format.ORACLE}
