@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from worklens.llm import chat_format, jaccard_join, shard, suffix_dedup, url_filter
+from worklens.llm import chat_format, decontaminate, jaccard_join, shard, suffix_dedup, url_filter
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_chat_format": chat_format.op2_chat_format,
     "op4_histogram_sort": shard.op4_histogram_sort,
     "op5_url_filter": url_filter.op5_url_filter,

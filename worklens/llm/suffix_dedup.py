@@ -135,10 +135,8 @@ def _cut(length: int):
                 if not n:
                     out.append((len(text), 0, 0, hashlib.sha256(text).hexdigest()))
                     continue
-                edge = np.zeros(len(text) + 1, dtype=np.int32)
                 own = values[at : at + n]
-                np.add.at(edge, own, 1)
-                np.add.at(edge, own + length, -1)
+                edge = np.bincount(own, minlength=len(text) + 1) - np.bincount(own + length, minlength=len(text) + 1)
                 gone = np.cumsum(edge[:-1]) > 0
                 runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 out.append((len(text), int(gone.sum()), runs, hashlib.sha256(text[~gone].tobytes()).hexdigest()))
