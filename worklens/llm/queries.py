@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from worklens.llm import chat_format, decontaminate, jaccard_join, shard, suffix_dedup, url_filter
+from worklens.llm import chat_format, decontaminate, jaccard_join, secret_scan, shard, suffix_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_chat_format": chat_format.op2_chat_format,
+    "op3_topk_search": topk_search.op3_topk_search,
     "op4_histogram_sort": shard.op4_histogram_sort,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
 }
 
-ORACLES = {"op2_chat_format": chat_format.ORACLE}
+ORACLES = {"op2_chat_format": chat_format.ORACLE, "op3_topk_search": topk_search.ORACLE}
