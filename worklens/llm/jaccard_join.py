@@ -40,6 +40,8 @@ from worklens.llm.components import components
 SLOT_BITS, FREQUENT_SLOTS = 22, 1 << 18
 #: Bits of the filter that says which sets a verification may need. More nodes fill it up; then more sets are sent than needed.
 FILTER_BITS = 1 << 23
+#: Bits of the filter over regions; it is broadcast as REGION_BITS / 32 rows at most.
+REGION_BITS = 1 << 24
 
 
 def _signatures(size: int):
@@ -151,7 +153,7 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     wanted = _bit_filter(pairs)
     sets = docs.select("text").mapInArrow(_sets(size, wanted), "node long, shingles binary")
     named = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    sets = materialise(sets.join(named, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = sets.join(named, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
     a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias("s" + c)) for c in "ab")
     return materialise(pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_intersect, "a long, b long, shared long, na long, nb long"), "verified")
 
@@ -162,6 +164,30 @@ def _possible(x: str, y: str, percent: int) -> F.Column:
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & ((100 + percent) * (px + py) <= (100 - percent) * (nx + ny))
 
 
+def _plausible(pairs: DataFrame, inside: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sets can still share enough, given how many of their first shingles they share.
+
+    All shared shingles up to the nearer end of the two lists are in both lists, so besides those only the rest of the
+    set whose list ends there can be shared.
+    """
+    first = inside.select(F.col("node_x").alias("node"), "n_x", "shingle").groupBy("node").agg(F.first("n_x").alias("n"), F.collect_set("shingle").alias("list"))
+    a, b = (first.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("list").alias("l" + c)) for c in "ab")
+    rest = lambda n: n - F.floor((100 - percent) * n / 100) - 1
+    most = F.size(F.array_intersect("la", "lb")) + F.greatest(rest(F.col("na")), rest(F.col("nb")))
+    kept = pairs.join(a, "a").join(b, "b").filter((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
+    return materialise(kept.select("a", "b"), "plausible")
+
+
+def _shared(members: DataFrame) -> DataFrame:
+    """Members of regions with two rows or more. Most regions have one: a bit filter of REGION_BITS lets few of their rows into the join."""
+    often = members.groupBy("shingle").count().filter("count > 1").select("shingle")
+    often = materialise(often, "shared-regions")
+    word, bit = F.shiftright(F.col("shingle").bitwiseAND(F.lit(REGION_BITS - 1)), 5), F.expr("shiftleft(1L, cast(shingle & 31 as int))")
+    words = often.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    maybe = members.withColumn("word", word).join(F.broadcast(words), "word").filter(F.col("bits").bitwiseAND(bit) != 0)
+    return maybe.select(*members.columns).join(often, "shingle")
+
+
 def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, node (hash of the set, null if empty), component_id (smallest doc_id reachable) of every row."""
     spark = docs.sparkSession
@@ -176,14 +202,16 @@ def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
         return _regions(size, shared.value, percent)(batches)
 
     members = materialise(docs.select("text").mapInArrow(emit, "shingle long, node long, n int, place int"), "members")
+    inside = materialise(_shared(members), "regions")
     # a member is near the region's centre if it could link to a member like itself; of every linked pair one is
     near = (100 + percent) * F.col("place") <= (100 - percent) * F.col("n")
     pivot = F.min(F.when(near, F.struct("node", "n", "place")))
-    regions = members.groupBy("shingle").agg(pivot.alias("p"), F.min("node").alias("low"), F.max("node").alias("high"))
-    regions = regions.filter("low <> high and p is not null").select("shingle", F.col("p.node").alias("node_p"), F.col("p.n").alias("n_p"), F.col("p.place").alias("place_p"))
-    inside = materialise(members.withColumnsRenamed({"node": "node_x", "n": "n_x", "place": "place_x"}).join(regions, "shingle"), "regions")
+    regions = inside.groupBy("shingle").agg(pivot.alias("p"), F.min("node").alias("low"), F.max("node").alias("high"))
+    regions = regions.filter("low <> high").select("shingle", F.col("p.node").alias("node_p"), F.col("p.n").alias("n_p"), F.col("p.place").alias("place_p"))
+    inside = materialise(inside.withColumnsRenamed({"node": "node_x", "n": "n_x", "place": "place_x"}).join(regions, "shingle"), "in-regions")
     stars = inside.filter((F.col("node_x") != F.col("node_p")) & _possible("x", "p", percent))
-    stars = materialise(stars.select(F.least("node_x", "node_p").alias("a"), F.greatest("node_x", "node_p").alias("b")).distinct(), "stars")
+    stars = stars.select(F.least("node_x", "node_p").alias("a"), F.greatest("node_x", "node_p").alias("b")).distinct()
+    stars = _plausible(stars, inside, percent)
     tested = verify(stars, docs, size)
     link = F.expr(f"100 * shared >= {percent} * (na + nb - shared)")
     found = components(tested.filter(link))
@@ -201,7 +229,8 @@ def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     slack = (100 - percent) / 100 + 1e-9
     pairs = x.join(y, "shingle").filter((F.col("comp") != F.col("comp_y")) & _possible("x", "y", percent))
     pairs = pairs.filter(F.coalesce(F.abs(F.col("d") - F.col("d_y")) <= slack, F.lit(True)))
-    pairs = materialise(pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    pairs = pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    pairs = _plausible(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), inside, percent)
     again = verify(pairs, docs, size)
     links = tested.filter(link).select("a", "b").unionAll(again.filter(link).select("a", "b"))
     found = components(links)
