@@ -8,7 +8,8 @@ at equal offsets, and neighbouring strings share one entry ("anchor"). Buckets a
 2. The rest is sorted by the identifier of all later offsets that the entry stands for: the hash of the bytes from its
    first string's start to its last string's end. Entries in the same refined bucket are repeated as a whole.
 3. Only where a bucket fell into several refined ones, their strings are told apart one by one, by identifiers of
-   ``length`` bytes; of each refined bucket one member stands for all, and what is found is passed to its members.
+   ``length`` bytes; of each refined bucket one member stands for all, and what is found is passed to its members. A bucket
+   of up to ``TOGETHER`` refined ones meets in one place; of a larger one every string is a row of its own, and rows are counted.
 
 Identifiers are 64-bit hashes in place of ranks, so no step needs a global sort. Exact copies of a text share its
 entries' results; each row keeps its own.
@@ -32,17 +33,19 @@ from worklens.llm import textkernel as K
 from worklens.llm.common import materialise, table
 
 GRAM = 32
-#: Bits of the filter that says which entries are told apart. More entries fill it up; then more are sent than needed.
-FILTER_BITS = 1 << 26
+#: Bits of each filter over entries or buckets. More of them fill it up; then more rows are sent than needed.
+FILTER_BITS = 1 << 24
+#: Refined buckets of one bucket that are compared in one place.
+TOGETHER = 1000
 
 
 def _entries(data: np.ndarray, cuts: np.ndarray, length: int):
-    """(rolling sums, bucket, first start, number of starts, text number) of the entries of some texts."""
+    """(rolling sums, bucket, first start, number of starts, text number, place of the q-gram) of the entries of some texts."""
     sums, n = K.rolling(data), len(data)
     starts = n - length + 1
     if starts <= 0:
         nothing = np.zeros(0, dtype=np.int64)
-        return sums, nothing.view(np.uint64), nothing, nothing, nothing
+        return sums, nothing.view(np.uint64), nothing, nothing, nothing, nothing
     grams = (sums[GRAM:] - sums[:-GRAM]) * K.powers(n - GRAM + 1, -1)
     grams = K.mix(grams)
     low = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
@@ -59,7 +62,7 @@ def _entries(data: np.ndarray, cuts: np.ndarray, length: int):
     first = np.flatnonzero(head)
     upto = np.cumsum(whole)
     many = np.diff(np.append(upto[first] - 1, upto[-1]))
-    return sums, grams[at[first]], first, many, text[first]
+    return sums, grams[at[first]], first, many, text[first], at[first]
 
 
 def _segments(column: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
@@ -79,7 +82,7 @@ def _anchors(length: int):
         for batch in batches:
             key = np.asarray(batch.column("th"))
             for i, data, cuts, a in _segments(batch.column("text"), length):
-                sums, bucket, first, many, text = _entries(data, cuts, length)
+                sums, bucket, first, many, text, _ = _entries(data, cuts, length)
                 if len(first):
                     refined = K.span_hash(sums, first, first + many - 1 + length)
                     yield pa.RecordBatch.from_arrays(
@@ -94,26 +97,85 @@ def _place(th: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (K.mix(th.view(np.uint64) ^ K.mix(start.astype(np.uint64) + np.uint64(1))) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
-def _strings(length: int, wanted: np.ndarray):
-    """Identifiers of all strings of the wanted entries."""
+def _expand(sums: np.ndarray, first: np.ndarray, many: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entry number, place in the entry and identifier of every string of the entries."""
+    entry = np.repeat(np.arange(len(many)), many)
+    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    start = first[entry] + nth
+    return entry, nth, K.span_hash(sums, start, start + length)
+
+
+_DETAILS = "bucket long, refined long, lead int, bytes binary, nth int, string long"
+
+
+def _details(length: int, together: np.ndarray, singly: np.ndarray):
+    """For entries in the first filter their bytes, for those in the second a row for each of their strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = np.asarray(batch.column("th"))
             for i, data, cuts, a in _segments(batch.column("text"), length):
-                sums, _, first, many, text = _entries(data, cuts, length)
+                sums, bucket, first, many, text, gram = _entries(data, cuts, length)
                 bit = _place(key[i + text], first - cuts[text] + a)
-                keep = np.flatnonzero(wanted[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-                if not len(keep):
-                    continue
-                first, many, text = first[keep], many[keep], text[keep]
+                among = lambda bits: np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)  # noqa: B023, E731
                 refined = K.span_hash(sums, first, first + many - 1 + length)
-                nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                start = np.repeat(first, many) + nth
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(K.signed(np.repeat(refined, many))), pa.array(nth.astype(np.int32)), pa.array(K.signed(K.span_hash(sums, start, start + length)))],
-                    names=["refined", "nth", "string"],
-                )
+                if len(k := among(together)):
+                    parts = [data[s : s + m - 1 + length].tobytes() for s, m in zip(first[k], many[k], strict=True)]
+                    cols = [pa.array(K.signed(bucket[k])), pa.array(K.signed(refined[k])), pa.array((gram[k] - first[k]).astype(np.int32)), pa.array(parts, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(k), pa.int32()), pa.nulls(len(k), pa.int64())], names=_NAMES)
+                if len(k := among(singly)):
+                    entry, nth, string = _expand(sums, first[k], many[k], length)
+                    none = [pa.nulls(len(nth), t) for t in (pa.int32(), pa.binary())]
+                    cols = [pa.array(K.signed(bucket[k][entry])), pa.array(K.signed(refined[k][entry])), *none]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(nth.astype(np.int32)), pa.array(K.signed(string))], names=_NAMES)
+
+    return run
+
+
+_NAMES = [x.split()[0] for x in _DETAILS.split(", ")]
+
+
+def _compare(length: int):
+    """Rows (bucket, refined, lead, bytes) in order of the bucket -> (refined, nths): strings that another refined bucket of the bucket holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            bucket = rows.column("bucket").to_numpy()
+            last = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
+            yield from compared(rows.slice(0, last))
+            held = rows.slice(last)
+        if held is not None:
+            yield from compared(held)
+
+    def compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole buckets, about a thousand rows at once."""
+        heads = np.flatnonzero(np.append(True, np.diff(rows.column("bucket").to_numpy()) != 0)) if rows.num_rows else np.zeros(0, dtype=np.int64)
+        ends, a = np.append(heads[1:], rows.num_rows), 0
+        while a < rows.num_rows:
+            b = int(ends[min(np.searchsorted(ends, a + 1000), len(ends) - 1)])
+            yield from several(rows.slice(a, b - a))
+            a = b
+
+    def several(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not rows.num_rows:
+            return
+        parts = rows.column("bytes").to_pylist()
+        size = np.array([len(p) for p in parts], dtype=np.int64)
+        sums = K.rolling(np.frombuffer(b"".join(parts), dtype=np.uint8))
+        entry, nth, string = _expand(sums, np.cumsum(size) - size, size - length + 1, length)
+        bucket, refined = rows.column("bucket").to_numpy(), rows.column("refined").to_numpy()
+        # equal strings of a bucket by sorting; they are repeated where a run holds two refined buckets
+        order = np.lexsort((refined[entry], string, bucket[entry]))
+        e, x = entry[order], string[order]
+        new = np.ones(len(e), dtype=bool)
+        new[1:] = (x[1:] != x[:-1]) | (bucket[e[1:]] != bucket[e[:-1]])
+        run_of = np.cumsum(new) - 1
+        first = refined[e[np.flatnonzero(new)]][run_of]
+        final = refined[e[np.append(np.flatnonzero(new)[1:], len(e)) - 1]][run_of]
+        twice = np.flatnonzero(first != final)
+        yield pa.RecordBatch.from_arrays([pa.array(refined[e[twice]]), pa.array(nth[order][twice].astype(np.int32))], names=["refined", "nth"])
 
     return run
 
@@ -150,6 +212,24 @@ def _cut(length: int):
     return run
 
 
+def _bits(rows: DataFrame) -> np.ndarray:
+    """The bit filter of a column ``bit``; FILTER_BITS / 32 numbers at most come to the driver."""
+    words = rows.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
+    for r in words.toLocalIterator(prefetchPartitions=True):
+        out[r["word"]] = r["bits"]
+    return out.view(np.uint8)
+
+
+def _in_shared_buckets(entries: DataFrame) -> DataFrame:
+    """Entries of buckets with two or more. A bit filter of fixed size, broadcast as rows, lets few others into the join."""
+    often = materialise(entries.groupBy("bucket").count().filter("count > 1").select("bucket"), "shared-buckets")
+    word, bit = F.shiftright(F.col("bucket").bitwiseAND(F.lit(FILTER_BITS - 1)), 5), F.expr("shiftleft(1L, cast(bucket & 31 as int))")
+    words = often.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    maybe = entries.withColumn("word", word).join(F.broadcast(words), "word").filter(F.col("bits").bitwiseAND(bit) != 0)
+    return maybe.select(*entries.columns).join(often, "bucket")
+
+
 def _runs(column: str):
     """Array of struct(start, many) -> array of the starts that cover the same bytes, every string of a run."""
     return F.flatten(F.transform(column, lambda r: F.sequence(r["start"], r["start"] + r["many"] - 1)))
@@ -160,26 +240,24 @@ def repeated_entries(docs: DataFrame, length: int = 200) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") >= length).select("text", F.xxhash64("text").alias("th"))
     entries = materialise(texts.mapInArrow(_anchors(length), "bucket long, refined long, th long, start long, many int"), "entries")
-    buckets = entries.groupBy("bucket").count().filter("count > 1").select("bucket")
-    entries = materialise(entries.join(buckets, "bucket"), "shared-entries")
+    entries = materialise(_in_shared_buckets(entries), "shared-entries")
     refined = entries.groupBy("bucket", "refined").agg(F.count("*").alias("members"), F.min(F.struct("th", "start")).alias("one"))
     refined = materialise(refined, "refined")
-    split = refined.groupBy("bucket").count().filter("count > 1").select("bucket")
-    apart = materialise(refined.join(split, "bucket", "left_semi").select("refined", "one.th", "one.start"), "apart")
-    bits = apart.select("th", "start").mapInArrow(_places_of, "bit long")
-    words = bits.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits"))
-    wanted = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
-    for r in words.toLocalIterator(prefetchPartitions=True):
-        wanted[r["word"]] = r["bits"]
-    shared = spark.sparkContext.broadcast(wanted.view(np.uint8))
-
-    def tell_apart(batches):
-        return _strings(length, shared.value)(batches)
-
-    strings = texts.mapInArrow(tell_apart, "refined long, nth int, string long")
-    strings = materialise(strings.join(apart.select("refined"), "refined", "left_semi"), "strings")
+    split = refined.groupBy("bucket").count().filter("count > 1")
+    apart = materialise(refined.join(split, "bucket").select("one.th", "one.start", (F.col("count") > TOGETHER).alias("singly")), "apart")
+    filters = [_bits(apart.filter(c).select("th", "start").mapInArrow(_places_of, "bit long")) for c in ("not singly", "singly")]
+    shared = spark.sparkContext.broadcast(filters)
+
+    def details(batches):
+        return _details(length, *shared.value)(batches)
+
+    detail = materialise(texts.mapInArrow(details, _DETAILS), "details")
+    near = detail.filter("bytes is not null").select("bucket", "refined", "bytes").repartition("bucket").sortWithinPartitions("bucket")
+    near = near.mapInArrow(_compare(length), "refined long, nth int")
+    strings = detail.filter("string is not null").select("refined", "nth", "string")
     twice = strings.groupBy("string").agg(F.min("refined").alias("low"), F.max("refined").alias("high")).filter("low <> high").select("string")
-    found = strings.join(twice, "string").groupBy("refined").agg(F.array_sort(F.collect_set("nth")).alias("nths"))
+    single = strings.join(twice, "string").select("refined", "nth")
+    found = near.unionAll(single).groupBy("refined").agg(F.array_sort(F.collect_set("nth")).alias("nths"))
     state = refined.select("refined", (F.col("members") > 1).alias("all")).join(found, "refined", "left").filter("all or nths is not null")
     own = entries.select("refined", "th", "start", "many").join(state, "refined")
     whole = own.filter("all").select("th", "start", "many")
