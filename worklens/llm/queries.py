@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from worklens.llm import chat_format, decontaminate, jaccard_join, secret_scan, shard, suffix_dedup, topk_search, url_filter
+from worklens.llm import chat_format, decontaminate, jaccard_join, mix_sources, quality_rules, secret_scan, shard, suffix_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -13,6 +13,8 @@ QUERIES = {
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op9_mix_sources": mix_sources.op9_mix_sources,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 ORACLES = {"op2_chat_format": chat_format.ORACLE, "op3_topk_search": topk_search.ORACLE}

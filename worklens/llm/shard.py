@@ -98,37 +98,38 @@ def _at_least(splitter: tuple[int, int]) -> Column:
     return (flipped("th") > F.lit(flip(text))) | same
 
 
-def histogram_sort(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.005, keep_group: float = 0.05, rows_per_bucket: int = 20_000) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot of every row. Slots run through a shard's buckets, which are dealt by the doc_id's hash, and in a bucket by key."""
+def histogram_sort(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.005, keep_group: float = 0.05, rows_per_bucket: int = 20_000, whole_rows: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot of every row; with ``whole_rows`` all its columns, then size, text_crc32, shard, slot in place of columns of these names.
+
+    Slots run through a shard's buckets, which are dealt by the doc_id's hash, and in a bucket by key.
+    """
     text = F.coalesce("text", F.lit(""))
-    keys = materialise(
-        docs.select(
-            "doc_id",
-            (F.octet_length(text).cast("long") + 1).alias("size"),
-            F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-            F.xxhash64(text).alias("th"),
-            F.xxhash64("doc_id", text).alias("dh"),
-        ),
-        "shard-keys",
-    )
+    key = [
+        (F.octet_length(text).cast("long") + 1).alias("size"),
+        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
+        F.xxhash64(text).alias("th"),
+        F.xxhash64("doc_id", text).alias("dh"),
+    ]
+    keys = materialise(docs.select("doc_id", *key), "shard-keys")
     rows = keys.count()
     shard = F.lit(0)
     for s in find_splitters(keys, n_shards, tolerance, keep_group) if rows else []:
         shard = shard + _at_least(s).cast("int")
     n_buckets = max(8, -(-rows // (n_shards * rows_per_bucket)))
-    dealt = keys.withColumn("shard", shard).withColumn("bucket", F.pmod("dh", F.lit(n_buckets)))
+    shard, bucket = shard.alias("shard"), F.pmod("dh", F.lit(n_buckets)).alias("bucket")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("shard", "bucket").count().select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    starts = keys.groupBy(shard, bucket).count().select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    carried = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", *key) if whole_rows else keys
+    dealt = carried.select("*", shard, bucket)
     within = Window.partitionBy("shard", "bucket").orderBy("th", "dh", "doc_id")
-    return (
-        dealt.withColumn("place", F.row_number().over(within))
-        .join(starts, ["shard", "bucket"])
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("place") - 1).cast("long").alias("slot"))
-    )
+    placed = dealt.withColumn("place", F.row_number().over(within)).join(F.broadcast(starts) if n_buckets <= 4096 else starts, ["shard", "bucket"])
+    made = ["size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("start") + F.col("place") - 1).cast("long").alias("slot")]
+    first = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")] if whole_rows else ["doc_id"]
+    return placed.select(*first, *made)
 
 
 def op4_histogram_sort(spark, sf_dir: str) -> DataFrame:
     """Every document's shard of 16 under the law ``bytes``."""
     return histogram_sort(table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard")
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
