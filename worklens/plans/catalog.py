@@ -1,2 +1,6 @@
-QUERIES = {}
-ORACLES = {}
+"""All queries over the reports' operators and their SQL."""
+
+from worklens.plans import scalar_queries  # noqa: F401
+from worklens.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
