@@ -12,7 +12,9 @@ regions here are therefore made in two levels:
 2. *Document pivots in a region.* A pivot is chosen in each region and all members are verified against it. Members
    within 1 - t of the pivot are one ball and need no links among themselves. Members of a region that are not yet
    connected are joined again (the region without its pivot), with the triangle inequality on the verified distances:
-   |d(x,p) - d(y,p)| > 1 - t rules a pair out.
+   |d(x,p) - d(y,p)| > 1 - t rules a pair out, and so does too small a share of common first shingles. First a member is
+   verified with its best partner in another component, then what is still open is joined once more. Members meet in
+   blocks inside tasks; only pairs that can link leave them.
 
 Equal sets are one node from the start. Verification counts the intersection of whole sets, in integers
 (100 * intersection >= 75 * union). Frequencies are counted over all documents; they only choose the order, so their
@@ -148,6 +150,92 @@ def _bit_filter(pairs: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def _meet(percent: int, best_only: bool):
+    """Rows of meeting places, in order of ``meeting`` -> (a, b) pairs of members that can still link.
+
+    A pair is looked at in the region of its first common shingle only. With ``best_only`` a member gets the one partner
+    of another component with which it shares most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            key = rows.column("meeting").to_numpy()
+            last = int(np.searchsorted(key, key[-1]))  # the last place may go on in the next batch
+            yield from compared(rows.slice(0, last))
+            held = rows.slice(last)
+        if held is not None:
+            yield from compared(held)
+
+    def compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not rows.num_rows:
+            return
+        one = rows.combine_chunks()
+        get = {c: one.column(c).to_numpy() for c in ("meeting", "shingle", "node", "n", "place", "comp", "d", "side")}
+        lists = one.column("list").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        at, values = np.asarray(lists.offsets), np.asarray(lists.values)
+        edges = np.append(np.flatnonzero(np.append(True, get["meeting"][1:] != get["meeting"][:-1])), rows.num_rows)
+        out: list[np.ndarray] = []
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if j - i > 1:
+                out += group({c: x[i:j] for c, x in get.items()}, at[i : j + 1] - at[i], values[at[i] : at[j]])
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def group(g: dict[str, np.ndarray], at: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
+        n, place, comp, side = g["n"].astype(np.int64), g["place"].astype(np.int64), g["comp"], g["side"]
+        near = (100 + percent) * place <= (100 - percent) * n
+        i, j = np.nonzero(np.triu(comp[:, None] != comp[None, :], 1) & (near[:, None] | near[None, :]) & ((side[:, None] == 0) | (side[:, None] != side[None, :])))
+        nx, ny = n[i], n[j]
+        ok = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & ((100 + percent) * (place[i] + place[j]) <= (100 - percent) * (nx + ny))
+        ok &= ~(np.abs(g["d"][i] - g["d"][j]) > (100 - percent) / 100 + 1e-9)  # unknown distances rule nothing out
+        i, j = i[ok], j[ok]
+        if not len(i):
+            return []
+        row = np.repeat(np.arange(len(n)), np.diff(at))
+        nth = np.arange(len(values)) - np.repeat(at[:-1], np.diff(at))
+        own = np.zeros(len(n), dtype=np.int64)
+        here = values == g["shingle"][0]
+        own[row[here]] = nth[here]
+        before = nth < own[row]
+        shared = np.ones((len(n), len(n)), dtype=np.int32)  # the region's own shingle
+        order = np.argsort(values, kind="stable")
+        cut = np.append(np.flatnonzero(np.append(True, values[order][1:] != values[order][:-1])), len(values))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if b - a > 1 and not here[order[a]]:
+                members = row[order[a:b]]
+                if before[order[a]]:
+                    shared[np.ix_(members, members)] = -(1 << 20)  # met before
+                else:
+                    shared[np.ix_(members, members)] += 1
+        c = shared[i, j].astype(np.int64)
+        rest = n - (100 - percent) * n // 100 - 1
+        ok = (c > 0) & ((100 + percent) * (c + np.maximum(rest[i], rest[j])) >= percent * (n[i] + n[j]))
+        i, j, c = i[ok], j[ok], c[ok]
+        if best_only and len(i):
+            x, y, c = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([c, c])
+            order = np.lexsort((y, -c, x))
+            x, y = x[order], y[order]
+            first = np.append(True, x[1:] != x[:-1])
+            i, j = x[first], y[first]
+        u, v = g["node"][i], g["node"][j]
+        return [np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1)] if len(i) else []
+
+    return run
+
+
+def _meetings(rest: DataFrame, at_most: int = 1024) -> DataFrame:
+    """Deal members to meeting places: a region, or for a large one a place for each pair of its blocks (side 1 meets side 2)."""
+    sizes = rest.groupBy("shingle").agg(F.ceil(F.count("*") / at_most).cast("int").alias("blocks"))
+    dealt = rest.join(sizes, "shingle").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    return dealt.select("*", F.xxhash64("shingle", low, high).alias("meeting"), side.alias("side")).drop("block", "other", "blocks")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(a, b) nodes -> (a, b, shared, na, nb), exact. Sets are computed again from the texts, and only sent for nodes that pairs name."""
     wanted = _bit_filter(pairs)
@@ -188,6 +276,18 @@ def _shared(members: DataFrame) -> DataFrame:
     return maybe.select(*members.columns).join(often, "shingle")
 
 
+def _open_pairs(inside: DataFrame, distance: DataFrame, found: DataFrame, percent: int, best_only: bool) -> DataFrame:
+    members = inside.withColumnRenamed("node_x", "node").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    in_place = F.array_sort(F.collect_set(F.struct("place_x", "shingle")))
+    lists = members.groupBy("node").agg(F.transform(in_place, lambda s: s["shingle"]).alias("list"))
+    rest = members.filter("node_p is null or node <> node_p")
+    open_ = rest.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("shingle")
+    rest = rest.join(open_, "shingle", "left_semi").withColumns({"a": F.least("node", "node_p"), "b": F.greatest("node", "node_p")})
+    rest = rest.join(distance, ["a", "b"], "left").groupBy("shingle", "node").agg(*[F.first(c).alias(c.removesuffix("_x")) for c in ("n_x", "place_x", "comp", "d")])
+    met = _meetings(rest.join(lists, "node")).repartition("meeting").sortWithinPartitions("meeting")
+    return met.select("meeting", "shingle", "node", "n", "place", "comp", "d", "side", "list").mapInArrow(_meet(percent, best_only), "a long, b long")
+
+
 def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, node (hash of the set, null if empty), component_id (smallest doc_id reachable) of every row."""
     spark = docs.sparkSession
@@ -216,24 +316,15 @@ def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     link = F.expr(f"100 * shared >= {percent} * (na + nb - shared)")
     found = components(tested.filter(link))
 
-    # the regions again, without their pivots, where members are in different components
-    label = lambda c: F.coalesce(c, "node_x")
+    # the regions again, without their pivots, while members are in different components: first each member with its
+    # most promising partner, then all that is left
     distance = tested.select("a", "b", (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("d"))
-    rest = inside.filter((F.col("node_x") != F.col("node_p")))
-    rest = rest.join(found.withColumnRenamed("node", "node_x"), "node_x", "left").withColumn("comp", label("comp"))
-    open_ = rest.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("shingle")
-    rest = rest.join(open_, "shingle", "left_semi").withColumns({"a": F.least("node_x", "node_p"), "b": F.greatest("node_x", "node_p")})
-    rest = materialise(rest.join(distance, ["a", "b"], "left").select("shingle", "node_x", "n_x", "place_x", "comp", "d").distinct(), "rest")
-    x, y = rest, rest.withColumnsRenamed({"node_x": "node_y", "n_x": "n_y", "place_x": "place_y", "comp": "comp_y", "d": "d_y"})
-    x = x.filter((100 + percent) * F.col("place_x") <= (100 - percent) * F.col("n_x"))
-    slack = (100 - percent) / 100 + 1e-9
-    pairs = x.join(y, "shingle").filter((F.col("comp") != F.col("comp_y")) & _possible("x", "y", percent))
-    pairs = pairs.filter(F.coalesce(F.abs(F.col("d") - F.col("d_y")) <= slack, F.lit(True)))
-    pairs = pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-    pairs = _plausible(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), inside, percent)
-    again = verify(pairs, docs, size)
-    links = tested.filter(link).select("a", "b").unionAll(again.filter(link).select("a", "b"))
-    found = components(links)
+    known, links = tested.select("a", "b"), tested.filter(link).select("a", "b")
+    for best_only in (True, False):
+        pairs = _open_pairs(inside, distance, found, percent, best_only)
+        again = verify(materialise(pairs.distinct().join(known, ["a", "b"], "left_anti"), "pairs"), docs, size)
+        known, links = known.unionAll(again.select("a", "b")), links.unionAll(again.filter(link).select("a", "b"))
+        found = components(links)
 
     rows = signed.filter("slot is null").select("doc_id", F.col("n").alias("n_shingles"), "node")
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
