@@ -36,7 +36,7 @@ GRAM = 32
 #: Bits of each filter over entries or buckets. More of them fill it up; then more rows are sent than needed.
 FILTER_BITS = 1 << 24
 #: Refined buckets of one bucket that are compared in one place.
-TOGETHER = 1000
+TOGETHER = 4000
 
 
 def _entries(data: np.ndarray, cuts: np.ndarray, length: int):
@@ -105,34 +105,35 @@ def _expand(sums: np.ndarray, first: np.ndarray, many: np.ndarray, length: int)
     return entry, nth, K.span_hash(sums, start, start + length)
 
 
-_DETAILS = "bucket long, refined long, lead int, bytes binary, nth int, string long"
-
+def _chosen(batches: Iterator[pa.RecordBatch], length: int, bits: np.ndarray):
+    """(bytes, sums, bucket, first, many, refined) of the entries in the filter, for each part of the texts that has some."""
+    for batch in batches:
+        key = np.asarray(batch.column("th"))
+        for i, data, cuts, a in _segments(batch.column("text"), length):
+            sums, bucket, first, many, text, _ = _entries(data, cuts, length)
+            bit = _place(key[i + text], first - cuts[text] + a)
+            k = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            if len(k):
+                first, many = first[k], many[k]
+                yield data, sums, bucket[k], first, many, K.span_hash(sums, first, first + many - 1 + length)
 
-def _details(length: int, together: np.ndarray, singly: np.ndarray):
-    """For entries in the first filter their bytes, for those in the second a row for each of their strings."""
 
+def _bytes_of(length: int, bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = np.asarray(batch.column("th"))
-            for i, data, cuts, a in _segments(batch.column("text"), length):
-                sums, bucket, first, many, text, gram = _entries(data, cuts, length)
-                bit = _place(key[i + text], first - cuts[text] + a)
-                among = lambda bits: np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)  # noqa: B023, E731
-                refined = K.span_hash(sums, first, first + many - 1 + length)
-                if len(k := among(together)):
-                    parts = [data[s : s + m - 1 + length].tobytes() for s, m in zip(first[k], many[k], strict=True)]
-                    cols = [pa.array(K.signed(bucket[k])), pa.array(K.signed(refined[k])), pa.array((gram[k] - first[k]).astype(np.int32)), pa.array(parts, pa.binary())]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(k), pa.int32()), pa.nulls(len(k), pa.int64())], names=_NAMES)
-                if len(k := among(singly)):
-                    entry, nth, string = _expand(sums, first[k], many[k], length)
-                    none = [pa.nulls(len(nth), t) for t in (pa.int32(), pa.binary())]
-                    cols = [pa.array(K.signed(bucket[k][entry])), pa.array(K.signed(refined[k][entry])), *none]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(nth.astype(np.int32)), pa.array(K.signed(string))], names=_NAMES)
+        for data, _, bucket, first, many, refined in _chosen(batches, length, bits):
+            parts = [data[s : s + m - 1 + length].tobytes() for s, m in zip(first, many, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(bucket)), pa.array(K.signed(refined)), pa.array(parts, pa.binary())], names=["bucket", "refined", "bytes"])
 
     return run
 
 
-_NAMES = [x.split()[0] for x in _DETAILS.split(", ")]
+def _strings_of(length: int, bits: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sums, _, first, many, refined in _chosen(batches, length, bits):
+            entry, nth, string = _expand(sums, first, many, length)
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(refined[entry])), pa.array(nth.astype(np.int32)), pa.array(K.signed(string))], names=["refined", "nth", "string"])
+
+    return run
 
 
 def _compare(length: int):
@@ -189,16 +190,17 @@ def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.utf8(batch.column("text"))
-            starts, at = batch.column("starts"), 0
-            values, where = np.asarray(starts.flatten()), pc.fill_null(pc.list_value_length(starts), 0).to_numpy(zero_copy_only=False)
+            runs, at = batch.column("runs"), 0
+            flat, where = runs.flatten(), pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False)
+            first, many = np.asarray(flat.field("start")), np.asarray(flat.field("many"))
             out = []
             for k, n in enumerate(where):
                 text = data[offsets[k] : offsets[k + 1]]
                 if not n:
                     out.append((len(text), 0, 0, hashlib.sha256(text).hexdigest()))
                     continue
-                own = values[at : at + n]
-                edge = np.bincount(own, minlength=len(text) + 1) - np.bincount(own + length, minlength=len(text) + 1)
+                a, b = first[at : at + n], first[at : at + n] + many[at : at + n] - 1 + length
+                edge = np.bincount(a, minlength=len(text) + 1) - np.bincount(b, minlength=len(text) + 1)
                 gone = np.cumsum(edge[:-1]) > 0
                 runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 out.append((len(text), int(gone.sum()), runs, hashlib.sha256(text[~gone].tobytes()).hexdigest()))
@@ -230,11 +232,6 @@ def _in_shared_buckets(entries: DataFrame) -> DataFrame:
     return maybe.select(*entries.columns).join(often, "bucket")
 
 
-def _runs(column: str):
-    """Array of struct(start, many) -> array of the starts that cover the same bytes, every string of a run."""
-    return F.flatten(F.transform(column, lambda r: F.sequence(r["start"], r["start"] + r["many"] - 1)))
-
-
 def repeated_entries(docs: DataFrame, length: int = 200) -> DataFrame:
     """(th, start, many): starts of repeated strings, by the text's hash; all starts from ``start`` on, ``many`` of them."""
     spark = docs.sparkSession
@@ -245,19 +242,21 @@ def repeated_entries(docs: DataFrame, length: int = 200) -> DataFrame:
     refined = materialise(refined, "refined")
     split = refined.groupBy("bucket").count().filter("count > 1")
     apart = materialise(refined.join(split, "bucket").select("one.th", "one.start", (F.col("count") > TOGETHER).alias("singly")), "apart")
-    filters = [_bits(apart.filter(c).select("th", "start").mapInArrow(_places_of, "bit long")) for c in ("not singly", "singly")]
-    shared = spark.sparkContext.broadcast(filters)
-
-    def details(batches):
-        return _details(length, *shared.value)(batches)
-
-    detail = materialise(texts.mapInArrow(details, _DETAILS), "details")
-    near = detail.filter("bytes is not null").select("bucket", "refined", "bytes").repartition("bucket").sortWithinPartitions("bucket")
-    near = near.mapInArrow(_compare(length), "refined long, nth int")
-    strings = detail.filter("string is not null").select("refined", "nth", "string")
-    twice = strings.groupBy("string").agg(F.min("refined").alias("low"), F.max("refined").alias("high")).filter("low <> high").select("string")
-    single = strings.join(twice, "string").select("refined", "nth")
-    found = near.unionAll(single).groupBy("refined").agg(F.array_sort(F.collect_set("nth")).alias("nths"))
+    shared = [spark.sparkContext.broadcast(_bits(apart.filter(c).select("th", "start").mapInArrow(_places_of, "bit long"))) for c in ("not singly", "singly")]
+
+    def send_bytes(batches):
+        return _bytes_of(length, shared[0].value)(batches)
+
+    def send_strings(batches):
+        return _strings_of(length, shared[1].value)(batches)
+
+    near = texts.mapInArrow(send_bytes, "bucket long, refined long, bytes binary").repartition("bucket").sortWithinPartitions("bucket")
+    found = near.mapInArrow(_compare(length), "refined long, nth int")
+    if not apart.filter("singly").isEmpty():
+        strings = materialise(texts.mapInArrow(send_strings, "refined long, nth int, string long"), "strings")
+        twice = strings.groupBy("string").agg(F.min("refined").alias("low"), F.max("refined").alias("high")).filter("low <> high").select("string")
+        found = found.unionAll(strings.join(twice, "string").select("refined", "nth"))
+    found = found.groupBy("refined").agg(F.array_sort(F.collect_set("nth")).alias("nths"))
     state = refined.select("refined", (F.col("members") > 1).alias("all")).join(found, "refined", "left").filter("all or nths is not null")
     own = entries.select("refined", "th", "start", "many").join(state, "refined")
     whole = own.filter("all").select("th", "start", "many")
@@ -269,7 +268,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     repeats = repeated_entries(docs, length).groupBy("th").agg(F.collect_list(F.struct("start", "many")).alias("runs"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    joined = texts.join(repeats.select("th", _runs("runs").alias("starts")).hint("shuffle_hash"), "th", "left").select("doc_id", "text", "starts")
+    joined = texts.join(repeats.hint("shuffle_hash"), "th", "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
