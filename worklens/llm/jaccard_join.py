@@ -252,14 +252,13 @@ def _possible(x: str, y: str, percent: int) -> F.Column:
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & ((100 + percent) * (px + py) <= (100 - percent) * (nx + ny))
 
 
-def _plausible(pairs: DataFrame, inside: DataFrame, percent: int) -> DataFrame:
+def _plausible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sets can still share enough, given how many of their first shingles they share.
 
     All shared shingles up to the nearer end of the two lists are in both lists, so besides those only the rest of the
     set whose list ends there can be shared.
     """
-    first = inside.select(F.col("node_x").alias("node"), "n_x", "shingle").groupBy("node").agg(F.first("n_x").alias("n"), F.collect_set("shingle").alias("list"))
-    a, b = (first.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("list").alias("l" + c)) for c in "ab")
+    a, b = (prefixes.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("list").alias("l" + c)) for c in "ab")
     rest = lambda n: n - F.floor((100 - percent) * n / 100) - 1
     most = F.size(F.array_intersect("la", "lb")) + F.greatest(rest(F.col("na")), rest(F.col("nb")))
     kept = pairs.join(a, "a").join(b, "b").filter((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
@@ -276,15 +275,12 @@ def _shared(members: DataFrame) -> DataFrame:
     return maybe.select(*members.columns).join(often, "shingle")
 
 
-def _open_pairs(inside: DataFrame, distance: DataFrame, found: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    members = inside.withColumnRenamed("node_x", "node").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    in_place = F.array_sort(F.collect_set(F.struct("place_x", "shingle")))
-    lists = members.groupBy("node").agg(F.transform(in_place, lambda s: s["shingle"]).alias("list"))
-    rest = members.filter("node_p is null or node <> node_p")
-    open_ = rest.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("shingle")
-    rest = rest.join(open_, "shingle", "left_semi").withColumns({"a": F.least("node", "node_p"), "b": F.greatest("node", "node_p")})
-    rest = rest.join(distance, ["a", "b"], "left").groupBy("shingle", "node").agg(*[F.first(c).alias(c.removesuffix("_x")) for c in ("n_x", "place_x", "comp", "d")])
-    met = _meetings(rest.join(lists, "node")).repartition("meeting").sortWithinPartitions("meeting")
+def _open_pairs(rest: DataFrame, prefixes: DataFrame, found: DataFrame, percent: int, best_only: bool) -> DataFrame:
+    """Pairs of members of one region, in different components, that can still link."""
+    now = rest.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_ = now.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("shingle")
+    now = materialise(now.join(open_, "shingle", "left_semi"), "open")
+    met = _meetings(now).join(prefixes.select("node", "list"), "node").repartition("meeting").sortWithinPartitions("meeting")
     return met.select("meeting", "shingle", "node", "n", "place", "comp", "d", "side", "list").mapInArrow(_meet(percent, best_only), "a long, b long")
 
 
@@ -311,7 +307,10 @@ def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     inside = materialise(inside.withColumnsRenamed({"node": "node_x", "n": "n_x", "place": "place_x"}).join(regions, "shingle"), "in-regions")
     stars = inside.filter((F.col("node_x") != F.col("node_p")) & _possible("x", "p", percent))
     stars = stars.select(F.least("node_x", "node_p").alias("a"), F.greatest("node_x", "node_p").alias("b")).distinct()
-    stars = _plausible(stars, inside, percent)
+    in_place = F.array_sort(F.collect_set(F.struct("place_x", "shingle")))
+    prefixes = inside.groupBy(F.col("node_x").alias("node")).agg(F.first("n_x").alias("n"), F.transform(in_place, lambda s: s["shingle"]).alias("list"))
+    prefixes = materialise(prefixes, "prefixes")
+    stars = _plausible(stars, prefixes, percent)
     tested = verify(stars, docs, size)
     link = F.expr(f"100 * shared >= {percent} * (na + nb - shared)")
     found = components(tested.filter(link))
@@ -320,8 +319,12 @@ def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     # most promising partner, then all that is left
     distance = tested.select("a", "b", (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("d"))
     known, links = tested.select("a", "b"), tested.filter(link).select("a", "b")
+    rest = inside.filter("node_p is null or node_x <> node_p").select("shingle", F.col("node_x").alias("node"), F.col("n_x").alias("n"), F.col("place_x").alias("place"), "node_p").distinct()
+    several = rest.groupBy("shingle").count().filter("count > 1").select("shingle")
+    rest = rest.join(several, "shingle").withColumns({"a": F.least("node", "node_p"), "b": F.greatest("node", "node_p")}).join(distance, ["a", "b"], "left")
+    rest = materialise(rest.select("shingle", "node", "n", "place", "d"), "rest")
     for best_only in (True, False):
-        pairs = _open_pairs(inside, distance, found, percent, best_only)
+        pairs = _open_pairs(rest, prefixes, found, percent, best_only)
         again = verify(materialise(pairs.distinct().join(known, ["a", "b"], "left_anti"), "pairs"), docs, size)
         known, links = known.unionAll(again.select("a", "b")), links.unionAll(again.filter(link).select("a", "b"))
         found = components(links)
