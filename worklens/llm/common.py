@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -35,3 +36,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def ascii_lower(col):
     """A-Z become a-z; all other characters stay."""
     return F.translate(col, UPPER, UPPER.lower())
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows at most while an action runs: for rows that hold whole sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

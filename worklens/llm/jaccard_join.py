@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worklens.llm import textkernel as K
-from worklens.llm.common import materialise, table
+from worklens.llm.common import materialise, small_batches, table
 from worklens.llm.components import components
 
 #: Hash slots in which a task counts shingles, and how many of them (the fullest) are kept as frequent.
@@ -226,7 +226,7 @@ def _meet(percent: int, best_only: bool):
     return run
 
 
-def _meetings(rest: DataFrame, at_most: int = 1024) -> DataFrame:
+def _meetings(rest: DataFrame, at_most: int = 400) -> DataFrame:
     """Deal members to meeting places: a region, or for a large one a place for each pair of its blocks (side 1 meets side 2)."""
     sizes = rest.groupBy("shingle").agg(F.ceil(F.count("*") / at_most).cast("int").alias("blocks"))
     dealt = rest.join(sizes, "shingle").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
@@ -243,7 +243,9 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     named = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
     sets = sets.join(named, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
     a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias("s" + c)) for c in "ab")
-    return materialise(pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_intersect, "a long, b long, shared long, na long, nb long"), "verified")
+    both = pairs.select("a", "b").join(a, "a").join(b, "b")
+    with small_batches(docs.sparkSession, 100):  # two whole sets in a row
+        return materialise(both.mapInArrow(_intersect, "a long, b long, shared long, na long, nb long"), "verified")
 
 
 def _possible(x: str, y: str, percent: int) -> F.Column:
