@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from worklens.functions import scalars as S
 from worklens.functions.params import Params
@@ -20,3 +29,141 @@ def training_rows(issues: DataFrame, p: Params, lookback_days: int = 90) -> Data
         (c("updated") <= c("target_end_date")).cast("double").alias("on_time"),
     )
     return rows.filter("cycle >= 0 and budget >= 1")
+
+
+def on_time_label(rows: DataFrame, weight: float = 8.0) -> DataFrame:
+    """rows with ``delay`` (smoothed validation delay of the assignee, else of the priority) and ``label``: done less delay on or before the deadline's day."""
+    late = F.greatest(F.lit(0.0), S.days_between(c("target_end_date"), c("updated")))
+    with_late = rows.withColumn("late", late)
+    by = lambda g, n: _smoothed(with_late, g, "late", weight).withColumnRenamed("value", n)
+    out = with_late.join(F.broadcast(by("assignee", "_a")), "assignee", "left").join(F.broadcast(by("priority", "_p")), "priority", "left")
+    out = out.withColumn("delay", F.coalesce("_a", "_p", F.lit(0.0))).drop("_a", "_p", "late")
+    done = F.date_add(F.to_date("updated"), -F.floor("delay").cast("int"))
+    return out.withColumn("label", (done <= F.to_date("target_end_date")).cast("double"))
+
+
+def _smoothed(rows: DataFrame, by: str, x: str, weight: float) -> DataFrame:
+    overall = rows.agg(F.avg(x).alias("o"))
+    per = rows.filter(c(by).isNotNull()).groupBy(by).agg(F.sum(x).alias("s"), F.count(x).alias("n"))
+    return per.crossJoin(F.broadcast(overall)).select(by, ((c("s") + c("o") * weight) / (c("n") + weight)).alias("value"))
+
+
+NUMERIC = ("budget", "month", "weekday", "open_assignee", "cycle_assignee", "cycle_priority", "rate_assignee", "rate_priority", "gap_assignee", "ratio_assignee", "gap_priority", "ratio_priority")
+
+
+def on_time_features(rows: DataFrame, open_issues: DataFrame, leave_out: bool = False, weight: float = 8.0) -> DataFrame:
+    """Budget, calendar, backlog, group velocities and rates of every row, gaps and ratios of budget to velocity.
+
+    With ``leave_out`` a row's own outcome does not enter its groups' velocities and rates.
+    """
+    out = rows.withColumns({"month": F.month("created"), "weekday": F.weekday("created")})
+    out = out.join(F.broadcast(open_issues.groupBy(c("assignee_name").alias("assignee")).agg(F.count("*").alias("open_assignee"))), "assignee", "left").fillna(0, ["open_assignee"])
+    for group in ("assignee", "priority"):
+        for x, name in (("cycle", "cycle"), ("label", "rate")):
+            if leave_out:
+                w, overall = Window.partitionBy(group), out.agg(F.avg(x).alias("_o"))
+                own = (F.sum(x).over(w) - c(x) + c("_o") * weight) / (F.greatest(F.count(x).over(w) - 1, F.lit(0)) + weight)
+                out = out.crossJoin(F.broadcast(overall)).withColumn(f"{name}_{group}", own).drop("_o")
+            else:
+                table = _smoothed(rows, group, x, weight).withColumnRenamed("value", f"{name}_{group}")
+                out = out.join(F.broadcast(table), group, "left").crossJoin(F.broadcast(rows.agg(F.avg(x).alias("_o")))).withColumn(f"{name}_{group}", F.coalesce(f"{name}_{group}", "_o")).drop("_o")
+        out = out.withColumns({f"gap_{group}": c("budget") - c(f"cycle_{group}"), f"ratio_{group}": c("budget") / F.greatest(c(f"cycle_{group}"), F.lit(0.1))})
+    return out
+
+
+def split_by_time(rows: DataFrame, share: float = 0.2) -> DataFrame:
+    """rows with ``held_out``: the last part by completion, by a percentile of the time, so no window runs over all rows."""
+    cut = rows.agg(F.percentile(S.micros(c("updated")), 1 - share).alias("cut"))
+    return rows.crossJoin(F.broadcast(cut)).withColumn("held_out", S.micros(c("updated")) > c("cut")).drop("cut")
+
+
+def classifiers(trees: int = 16, depth: int = 4) -> dict[str, Pipeline]:
+    index = StringIndexer(inputCols=["assignee", "priority"], outputCols=["i_a", "i_p"], handleInvalid="keep")
+    hot = OneHotEncoder(inputCols=["i_a", "i_p"], outputCols=["h_a", "h_p"])
+    features = VectorAssembler(inputCols=[*NUMERIC, "h_a", "h_p"], outputCol="features")
+    common = {"featuresCol": "features", "labelCol": "label", "seed": 7, "maxDepth": depth}
+    models = {"forest": RandomForestClassifier(numTrees=trees, weightCol="weight", **common), "boosted": GBTClassifier(maxIter=trees // 2, weightCol="weight", **common)}
+    return {n: Pipeline(stages=[index, hot, features, m]) for n, m in models.items()}
+
+
+def weighted(rows: DataFrame) -> DataFrame:
+    """Class weights n / (2 n_class)."""
+    n = rows.agg(F.count("*").alias("_n"), F.sum("label").alias("_k"))
+    w = F.when(c("label") == 1, c("_n") / (2 * F.greatest(c("_k"), F.lit(1.0)))).otherwise(c("_n") / (2 * F.greatest(c("_n") - c("_k"), F.lit(1.0))))
+    return rows.fillna("none", ["assignee", "priority"]).crossJoin(F.broadcast(n)).withColumn("weight", w).drop("_n", "_k")
+
+
+def fit_on_time(features: DataFrame):
+    """(name, model on all rows, accuracies on the held-out rows), or None under 20 rows or with one class."""
+    rows = split_by_time(weighted(features)).persist()
+    n, classes = rows.agg(F.count("*"), F.countDistinct("label")).first()
+    if n < 20 or classes < 2:
+        return None
+    accuracy = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
+    scores = {name: accuracy.evaluate(p.fit(rows.filter("not held_out")).transform(rows.filter("held_out"))) for name, p in classifiers().items()}
+    best = max(sorted(scores), key=lambda k: scores[k])
+    return best, classifiers()[best].fit(rows), scores
+
+
+def platt(features: DataFrame, name: str = "forest", folds: int = 3):
+    """Logistic regression on out-of-fold scores; folds by hash of the key. None under 30 rows or with one class."""
+    rows = weighted(features).withColumn("fold", F.pmod(F.xxhash64("key"), F.lit(folds))).persist()
+    n, classes = rows.agg(F.count("*"), F.countDistinct("label")).first()
+    if n < 30 or classes < 2:
+        return None
+    parts = [classifiers()[name].fit(rows.filter(c("fold") != k)).transform(rows.filter(c("fold") == k)) for k in range(folds)]
+    scores = reduce(DataFrame.unionByName, [p.select("label", array_to_vector(F.array(vector_to_array("probability")[1])).alias("score")) for p in parts])
+    return LogisticRegression(featuresCol="score", labelCol="label", predictionCol="calibrated", rawPredictionCol="cr", probabilityCol="cp").fit(scores)
+
+
+def probabilities(model, calibration, requests: DataFrame) -> DataFrame:
+    """Whole request frames at once: requests with ``probability`` and ``band``."""
+    scored = model.transform(requests.fillna("none", ["assignee", "priority"])).withColumn("score", array_to_vector(F.array(vector_to_array("probability")[1])))
+    p = vector_to_array("score")[0] if calibration is None else vector_to_array("cp")[1]
+    scored = scored if calibration is None else calibration.transform(scored)
+    out = scored.select(*requests.columns, p.alias("p")).withColumnRenamed("p", "probability")
+    return out.withColumn("band", F.when(c("probability") >= 0.75, "High").when(c("probability") >= 0.5, "Moderate").otherwise("Low"))
+
+
+LAGS = ("lag1", "lag2", "lag3", "sine", "cosine", "trend")
+
+
+def throughput_features(monthly: DataFrame) -> DataFrame:
+    """series, month, completed -> lags, season and trend of every month with full lags; one window per series."""
+    w = Window.partitionBy("series").orderBy("month")
+    number = F.substring("month", 6, 2).cast("int")
+    rows = monthly.select("series", "month", c("completed").cast("double").alias("completed"), *[F.lag("completed", k).over(w).cast("double").alias(f"lag{k}") for k in (1, 2, 3)],
+        F.sin(number * 0.5235987755982988).alias("sine"), F.cos(number * 0.5235987755982988).alias("cosine"), (F.row_number().over(w) - 1).cast("double").alias("trend"))
+    return rows.filter("lag3 is not null")
+
+
+def fit_throughput(features: DataFrame, horizon: int = 6):
+    """(best name, model on all, errors by name, backtest rows): trained before each series' last months, tested on them. None under 8 months."""
+    if features.select("month").distinct().count() < 8:
+        return None
+    last = Window.partitionBy("series").orderBy(F.desc("month"))
+    rows = features.withColumn("held_out", F.row_number().over(last) <= horizon).persist()
+    vector = VectorAssembler(inputCols=list(LAGS), outputCol="features")
+    models = {"boosted": GBTRegressor(labelCol="completed", maxIter=12, maxDepth=3, seed=7), "forest": RandomForestRegressor(labelCol="completed", numTrees=20, maxDepth=4, seed=7)}
+    errors, tested = {}, {}
+    for name, m in models.items():
+        tested[name] = Pipeline(stages=[vector, m]).fit(rows.filter("not held_out")).transform(rows.filter("held_out")).select("series", "month", "completed", "prediction")
+        errors[name] = tested[name].agg(F.avg(F.abs(c("prediction") - c("completed"))).alias("mae"), F.avg((c("prediction") - c("completed")) ** 2).alias("mse")).first().asDict()
+    best = min(sorted(errors), key=lambda k: errors[k]["mae"])
+    return best, Pipeline(stages=[vector, models[best]]).fit(rows), errors, tested[best]
+
+
+def recursive_forecast(model, features: DataFrame, steps: int, mae: float) -> DataFrame:
+    """series, month, low, mid, high for the next months of every series; each step's predictions are the next step's lags. The loop runs over steps, not rows."""
+    w = Window.partitionBy("series").orderBy(F.desc("month"))
+    now = features.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("series", "month", c("completed").alias("lag1"), c("lag1").alias("lag2"), c("lag2").alias("lag3"), "trend")
+    out = None
+    for _ in range(steps):
+        nxt = F.date_format(F.add_months(F.to_date(F.concat("month", F.lit("-01"))), 1), "yyyy-MM")
+        number = F.substring("month", 6, 2).cast("int")
+        now = now.withColumn("month", nxt).withColumn("trend", c("trend") + 1).withColumn("sine", F.sin(number * 0.5235987755982988)).withColumn("cosine", F.cos(number * 0.5235987755982988))
+        step = model.transform(now).select("series", "month", "lag1", "lag2", "lag3", "trend", F.greatest(F.lit(0.0), c("prediction")).alias("mid"))
+        part = step.select("series", "month", F.greatest(F.lit(0.0), c("mid") - mae).alias("low"), "mid", (c("mid") + mae).alias("high"))
+        out = part if out is None else out.unionByName(part)
+        now = step.select("series", "month", c("mid").alias("lag1"), c("lag1").alias("lag2"), c("lag2").alias("lag3"), "trend")
+    return out
