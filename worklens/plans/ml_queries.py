@@ -53,6 +53,7 @@ def _scored(t):
     return M.probabilities(fitted[1], M.platt(rows, fitted[0]), features(t))
 
 
+query("on_time_model", model_report)
 query("score_probability", lambda t: _scored(t).select("key", "probability", "band"))
 
 
