@@ -235,3 +235,20 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(20)] + [(40, 30), (30, 40), (50, 50)]
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(21)}, 30: 30, 40: 30}
+
+
+def test_mixture_keeps_given_weights(spark):
+    weights = {"s0": 0.5, **{f"s{k}": 0.5 / 599 for k in range(1, 600)}}
+    docs = spark.range(1800).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 39).alias("text"), F.when(F.col("id") < 1200, "s0").otherwise(F.concat(F.lit("s"), F.col("id") - 1200)).alias("source"))
+    got = mix_sources.mixed(docs, {**weights, "absent": 3.0}, block_bytes=40).filter("source <> 's0' or mix_slot < 1200").collect()
+    assert len({r["mix_slot"] for r in got}) == len(got) and {r["source"] for r in got} == set(weights)
+    own = sorted((r["mix_block"], r["mix_slot"]) for r in got if r["source"] == "s0")
+    assert len(own) in (599, 600, 601) and all(2 * j <= t < 2 * j + 2 for j, t in own)
+    exact = mix_sources.exact_weights(weights)
+    slots = {}
+    for s, j, t in mix_sources.schedule(exact, dict.fromkeys(weights, 3) | {"s0": 1798}, sum(exact.values())):
+        slots.setdefault(s, []).append(t)
+        assert j * sum(exact.values()) // exact[s] <= t < -(-(j + 1) * sum(exact.values()) // exact[s])
+    assert [len(slots[s]) for s in ("s0", "s1", "s599")] == [1798, 3, 3]
+    with pytest.raises(ValueError):
+        mix_sources.mixed(docs.limit(1), {"s0": 0.0})
