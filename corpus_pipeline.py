@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from worklens.llm.common import materialise, table
 from worklens.llm.decontaminate import drop_contaminated
 from worklens.llm.jaccard_join import near_duplicates_removed
-from worklens.llm.mix_sources import mixed_order
+from worklens.llm.mix_sources import mixed
 from worklens.llm.quality_rules import drop_low_quality
 from worklens.llm.shard import histogram_sort
 
@@ -28,13 +28,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same rows in the order of the mixture."""
-    return mixed_order(docs)
+    """The same rows with their place in the mixture."""
+    return mixed(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with their shard of 16 and their slot in it."""
-    return histogram_sort(docs, whole_rows=True)
+    """Rows with their shard of 16 and their slot in it; slots follow the mixture, whose columns go."""
+    return histogram_sort(docs, whole_rows=True, order=("mix_slot", "mix_offset")).drop("mix_size", "mix_block", "mix_slot", "mix_offset")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]

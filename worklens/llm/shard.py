@@ -7,6 +7,9 @@ A splitter stops as soon as a bin edge lies within ``tolerance`` of its target (
 group of equal texts of up to ``keep_group`` stays in one shard: the splitter takes the nearer end of the group. Only a
 larger group that lies across a target is divided, by the doc_id's hash. Then rows move once.
 
+Slots inside a shard are prefix counts in two levels: buckets, then rows in a bucket. With ``order`` the buckets are ranges of
+its first column, and slots follow the columns ``order``; else buckets are dealt by the doc_id's hash.
+
 Defined results: null text has size 1 and checksum 0 and counts as the empty text; a null doc_id is a value like any other; repeated rows
 keep a row each; an empty table gives an empty result; other columns are ignored.
 """
@@ -98,10 +101,11 @@ def _at_least(splitter: tuple[int, int]) -> Column:
     return (flipped("th") > F.lit(flip(text))) | same
 
 
-def histogram_sort(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.005, keep_group: float = 0.05, rows_per_bucket: int = 20_000, whole_rows: bool = False) -> DataFrame:
+def histogram_sort(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.005, keep_group: float = 0.05, rows_per_bucket: int = 20_000, whole_rows: bool = False, order: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row; with ``whole_rows`` all its columns, then size, text_crc32, shard, slot in place of columns of these names.
 
-    Slots run through a shard's buckets, which are dealt by the doc_id's hash, and in a bucket by key.
+    Slots run through a shard's buckets, which are dealt by the doc_id's hash, and in a bucket by key; with ``order``, columns of which the
+    first is a whole number, they run in its order, nulls first, then by key.
     """
     text = F.coalesce("text", F.lit(""))
     key = [
@@ -110,18 +114,25 @@ def histogram_sort(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.005
         F.xxhash64(text).alias("th"),
         F.xxhash64("doc_id", text).alias("dh"),
     ]
+    key += [F.col(c).alias(f"order{k}") for k, c in enumerate(order)]
     keys = materialise(docs.select("doc_id", *key), "shard-keys")
     rows = keys.count()
     shard = F.lit(0)
     for s in find_splitters(keys, n_shards, tolerance, keep_group) if rows else []:
         shard = shard + _at_least(s).cast("int")
     n_buckets = max(8, -(-rows // (n_shards * rows_per_bucket)))
-    shard, bucket = shard.alias("shard"), F.pmod("dh", F.lit(n_buckets)).alias("bucket")
+    if order and rows:
+        found = keys.agg(F.percentile_approx("order0", [k / n_buckets for k in range(1, n_buckets)])).first()[0] or []
+        edges = F.array(*(F.lit(x) for x in sorted(set(found)))).cast("array<long>")
+        bucket = F.coalesce(F.size(F.filter(edges, lambda x: x < F.col("order0"))), F.lit(0))
+    else:
+        bucket = F.pmod("dh", F.lit(n_buckets))
+    shard, bucket = shard.alias("shard"), bucket.alias("bucket")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = keys.groupBy(shard, bucket).count().select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     carried = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", *key) if whole_rows else keys
     dealt = carried.select("*", shard, bucket)
-    within = Window.partitionBy("shard", "bucket").orderBy("th", "dh", "doc_id")
+    within = Window.partitionBy("shard", "bucket").orderBy(*(f"order{k}" for k in range(len(order))), "th", "dh", "doc_id")
     placed = dealt.withColumn("place", F.row_number().over(within)).join(F.broadcast(starts) if n_buckets <= 4096 else starts, ["shard", "bucket"])
     made = ["size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("start") + F.col("place") - 1).cast("long").alias("slot")]
     first = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")] if whole_rows else ["doc_id"]
