@@ -252,3 +252,17 @@ def test_mixture_keeps_given_weights(spark):
     assert [len(slots[s]) for s in ("s0", "s1", "s599")] == [1798, 3, 3]
     with pytest.raises(ValueError):
         mix_sources.mixed(docs.limit(1), {"s0": 0.0})
+
+
+def test_contamination_beside_dotted_capital_i(spark):
+    rng = random.Random(8)
+    item = prose(rng, 30)
+    bench = spark.createDataFrame([(1, item), (2, "İ" + prose(rng, 30))], "item_id long, text string")
+    second = bench.filter("item_id = 2").first()["text"]
+    rows = [(1, item.upper()), (2, "İstanbul " + prose(rng, 40)), (3, second.upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    hits = decontaminate.contaminated(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in hits} == {(1, 1, 0), (3, 2, 0)}
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()] == [2]
+    points, at = decontaminate._folded("Aİ  ΟΔΟΣ οδος")
+    assert "".join(map(chr, points)) == "ai οδοσ οδοσ" and list(at[:4]) == [0, 1, 2, 4]

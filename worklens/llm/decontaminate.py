@@ -36,9 +36,11 @@ _SEPARATOR = 0
 
 
 def _folded(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Code points with letters and white space folded, and where each stands in the text."""
-    lower = text.lower()
-    lower = lower if len(lower) == len(text) else text
+    """Code points with letters and white space folded, and where each stands in the text.
+
+    Each code point is folded by itself: U+0130, the only one with a longer lower case, is an i, and a final sigma is a sigma.
+    """
+    lower = text.replace("\u0130", "i").lower().replace("\u03c2", "\u03c3")
     points = np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
     space = (points == 32) | ((points >= 9) & (points <= 13))
     points[space] = 32
