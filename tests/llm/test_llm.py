@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -266,3 +267,18 @@ def test_contamination_beside_dotted_capital_i(spark):
     assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()] == [2]
     points, at = decontaminate._folded("Aİ  ΟΔΟΣ οδος")
     assert "".join(map(chr, points)) == "ai οδοσ οδοσ" and list(at[:4]) == [0, 1, 2, 4]
+
+
+@pytest.mark.parametrize("sign", [-1, 1])
+def test_topk_with_one_dominant_component(sign):
+    """One query at a time, so that no other one keeps a vector."""
+    rng = random.Random(9)
+    vectors = np.array([[sign * rng.randrange(900, 1001), *(rng.randrange(-lean, lean + 1) for _ in range(3))] for lean in (1, 300) for _ in range(150)] + [[sign * 1000, 0, 0, 0]] * 3, dtype=np.int64)
+    ids = np.arange(len(vectors))
+    for q in range(0, len(vectors), 5):
+        best = topk_search.Best(topk_search.Block(ids[q : q + 1], vectors[q : q + 1]), 5)
+        for part in np.array_split(ids, 4):
+            topk_search.retrieve(best, vectors[part], part, part)
+        score = vectors @ vectors[q]
+        expected = sorted((-int(s), int(v)) for v, s in enumerate(score) if v != q)[:5]
+        assert [(-int(s), int(v)) for s, v in zip(best.held[1], best.held[2])] == expected

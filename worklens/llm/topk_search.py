@@ -112,7 +112,10 @@ def _coordinates(block: Block, numbers: np.ndarray, unit: np.ndarray, local: np.
         for f in block.focus[n]:
             x = block.unit[n, f]
             spread = np.sqrt(max(0.0, (1 - x * x) * (1 - t * t))) + 1e-9
-            ok &= (unit[:, f] >= x * t - spread) & (unit[:, f] <= 1.0 if x >= t else unit[:, f] <= x * t + spread)
+            if x > -t:  # else the interval holds -1
+                ok &= unit[:, f] >= x * t - spread
+            if x < t:  # else it holds 1
+                ok &= unit[:, f] <= x * t + spread
         keep |= ok
     return np.flatnonzero(keep)
 
