@@ -282,3 +282,36 @@ def test_topk_with_one_dominant_component(sign):
         score = vectors @ vectors[q]
         expected = sorted((-int(s), int(v)) for v, s in enumerate(score) if v != q)[:5]
         assert [(-int(s), int(v)) for s, v in zip(best.held[1], best.held[2])] == expected
+
+
+@pytest.mark.parametrize("together", [4000, 1])
+def test_repeats_send_copies_once(spark, together, monkeypatch):
+    rng = random.Random(12)
+    common = prose(rng, 60)
+    copied = prose(rng, 20) + common + prose(rng, 20)
+    docs = spark.createDataFrame([(i, copied) for i in range(300)] + [(1000 + i, prose(rng, 20) + common + prose(rng, 20)) for i in range(6)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+    compare, written = suffix_dedup._compare, suffix_dedup.materialise
+
+    def counted(length):
+        inner = compare(length)
+
+        def run(batches):
+            batches = list(batches)
+            seen = [x for b in batches for x in zip(b.column("bucket").to_pylist(), b.column("refined").to_pylist())]
+            if len(seen) != len(set(seen)):
+                raise ValueError("an entry was sent again")
+            return inner(iter(batches))
+
+        return run
+
+    def once(df, name):
+        out = written(df, name)
+        assert name != "strings" or out.count() == out.select("refined", "nth").distinct().count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "_compare", counted)
+    monkeypatch.setattr(suffix_dedup, "materialise", once)
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert all(got[i]["n_removed"] == len(copied) for i in range(300))
+    assert all(len(common) <= got[1000 + i]["n_removed"] < got[1000 + i]["n_bytes"] for i in range(6))

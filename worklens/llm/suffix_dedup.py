@@ -8,8 +8,8 @@ at equal offsets, and neighbouring strings share one entry ("anchor"). Buckets a
 2. The rest is sorted by the identifier of all later offsets that the entry stands for: the hash of the bytes from its
    first string's start to its last string's end. Entries in the same refined bucket are repeated as a whole.
 3. Only where a bucket fell into several refined ones, their strings are told apart one by one, by identifiers of
-   ``length`` bytes; of each refined bucket one member stands for all, and what is found is passed to its members. A bucket
-   of up to ``TOGETHER`` refined ones meets in one place; of a larger one every string is a row of its own, and rows are counted.
+   ``length`` bytes; of each refined bucket one member stands for all, sent once however many copies its text has, and
+   what is found is passed to its members. A bucket of up to ``TOGETHER`` refined ones meets in one place; of a larger one every string is a row of its own, and rows are counted.
 
 Identifiers are 64-bit hashes in place of ranks, so no step needs a global sort. Exact copies of a text share its
 entries' results; each row keeps its own.
@@ -106,7 +106,10 @@ def _expand(sums: np.ndarray, first: np.ndarray, many: np.ndarray, length: int)
 
 
 def _chosen(batches: Iterator[pa.RecordBatch], length: int, bits: np.ndarray):
-    """(bytes, sums, bucket, first, many, refined) of the entries in the filter, for each part of the texts that has some."""
+    """(bytes, sums, bucket, first, many, refined) of the entries in the filter, for each part of the texts that has some.
+
+    Of equal entries in a part only the first is sent: copies of a text hold the same chosen entry each.
+    """
     for batch in batches:
         key = np.asarray(batch.column("th"))
         for i, data, cuts, a in _segments(batch.column("text"), length):
@@ -114,8 +117,13 @@ def _chosen(batches: Iterator[pa.RecordBatch], length: int, bits: np.ndarray):
             bit = _place(key[i + text], first - cuts[text] + a)
             k = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
             if len(k):
-                first, many = first[k], many[k]
-                yield data, sums, bucket[k], first, many, K.span_hash(sums, first, first + many - 1 + length)
+                refined = K.span_hash(sums, first[k], first[k] + many[k] - 1 + length)
+                order = np.lexsort((refined, bucket[k]))
+                new = np.ones(len(k), dtype=bool)
+                new[1:] = (np.diff(refined[order]) != 0) | (np.diff(bucket[k][order]) != 0)
+                one = np.sort(order[new])
+                k, refined = k[one], refined[one]
+                yield data, sums, bucket[k], first[k], many[k], refined
 
 
 def _bytes_of(length: int, bits: np.ndarray):
@@ -250,10 +258,11 @@ def repeated_entries(docs: DataFrame, length: int = 200) -> DataFrame:
     def send_strings(batches):
         return _strings_of(length, shared[1].value)(batches)
 
-    near = texts.mapInArrow(send_bytes, "bucket long, refined long, bytes binary").repartition("bucket").sortWithinPartitions("bucket")
+    near = texts.mapInArrow(send_bytes, "bucket long, refined long, bytes binary").repartition("bucket")
+    near = near.dropDuplicates(["bucket", "refined"]).sortWithinPartitions("bucket")  # no shuffle more: the bucket's rows are in one place
     found = near.mapInArrow(_compare(length), "refined long, nth int")
     if not apart.filter("singly").isEmpty():
-        strings = materialise(texts.mapInArrow(send_strings, "refined long, nth int, string long"), "strings")
+        strings = materialise(texts.mapInArrow(send_strings, "refined long, nth int, string long").distinct(), "strings")
         twice = strings.groupBy("string").agg(F.min("refined").alias("low"), F.max("refined").alias("high")).filter("low <> high").select("string")
         found = found.unionAll(strings.join(twice, "string").select("refined", "nth"))
     found = found.groupBy("refined").agg(F.array_sort(F.collect_set("nth")).alias("nths"))
