@@ -315,3 +315,11 @@ def test_repeats_send_copies_once(spark, together, monkeypatch):
     got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs).collect()}
     assert all(got[i]["n_removed"] == len(copied) for i in range(300))
     assert all(len(common) <= got[1000 + i]["n_removed"] < got[1000 + i]["n_bytes"] for i in range(6))
+
+
+def test_secrets_copied_by_their_owner(spark):
+    own, common = "Qx7" + "mN4kP9tR2wY6" * 2, "Ld5" + "sG8hJ3fK1zV0" * 2
+    rows = [(i, f"use {own} now", "hot") for i in range(100)] + [(200 + i, f"see {common}", f"o{i % 3}") for i in range(6)]
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all((got[i]["spans"], got[i]["n_live"], got[i]["n_example"]) == (f"owned:4:{4 + len(own)}", 1, 0) for i in range(100))
+    assert all((got[200 + i]["spans"], got[200 + i]["n_example"]) == ("", 1) for i in range(6))

@@ -2,12 +2,11 @@
 
 Base kinds are found by fixed patterns; in addition every run of 20 or more token characters with a digit, a letter and
 enough entropy is a candidate. The hash of each candidate's value is counted over the whole corpus by distinct
-repositories and owners. Values of up to ``max_owners`` owners and ``max_repositories`` repositories look live; values
-copied more widely are examples. Base spans always stay; of the additional candidates only live-looking ones are spans
-(kind ``owned``).
+owners. Values of up to ``max_owners`` owners look live, in however many of their repositories; values copied to more
+owners are examples. Base spans always stay; of the additional candidates only live-looking ones are spans (kind ``owned``).
 
-Defined results: null text is empty; a null repository or owner is a value of its own; repeated rows keep a row each and
-count once as a repository; an empty table gives an empty result; other columns are ignored. Positions are code points.
+Defined results: null text is empty; a null owner is a value of its own; repeated rows keep a row each; an empty table
+gives an empty result; other columns are ignored. Positions are code points.
 """
 
 from __future__ import annotations
@@ -33,7 +32,7 @@ OTHER = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 MIN_ENTROPY = 3.0
 
-_SCHEMA = "doc_id long, repository string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,kind:int,end:int,value:string>>"
+_SCHEMA = "doc_id long, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,kind:int,end:int,value:string>>"
 
 
 def entropy(text: str) -> float:
@@ -75,23 +74,21 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest.append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in own).encode()).hexdigest())
             base.append([{"start": s, "kind": k, "end": e} for s, k, e, _ in own])
             found.append([{"start": s, "kind": k, "end": e, "value": hashlib.sha256(v.encode()).hexdigest()} for s, k, e, v in spans])
-        cols = [batch.column("doc_id"), batch.column("repository"), batch.column("owner"), *(pa.array(x, pa.int64()) for x in n), pa.array(digest, pa.string())]
+        cols = [batch.column("doc_id"), batch.column("owner"), *(pa.array(x, pa.int64()) for x in n), pa.array(digest, pa.string())]
         yield pa.RecordBatch.from_arrays([*cols, pa.array(base, pa.list_(span)), pa.array(found, pa.list_(valued))], names=[f.split()[0] for f in _SCHEMA.split(", ")])
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(value, repository, owner) -> value, owners, repositories. Distinct triples first, then owners, so no value's rows meet in one task unsummed."""
-    triples = found.select("value", "owner", "repository").distinct()
-    by_owner = triples.groupBy("value", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
+    """(value, owner) -> value, owners. Distinct pairs first, so no value's rows meet in one task unsummed."""
+    return found.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("owners"))
 
 
-def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max_owners: int = 2, max_repositories: int = 20) -> DataFrame:
+def scan_secrets(docs: DataFrame, owner: str = "source", max_owners: int = 2) -> DataFrame:
     """doc_id, base counts and digest, all spans as text, and how many spans look live or like examples."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(owner).cast("string").alias("owner"), "text")
     scanned = materialise(rows.mapInArrow(_scan, _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "secret-candidates")
-    found = scanned.select("row", "repository", "owner", F.explode("found").alias("s")).select("row", "repository", "owner", "s.*")
-    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    found = scanned.select("row", "owner", F.explode("found").alias("s")).select("row", "owner", "s.*")
+    live = F.col("owners") <= max_owners
     judged = found.join(ownership(found), "value").select("row", "start", "kind", "end", live.alias("live"))
     more = judged.groupBy("row").agg(
         F.collect_list(F.when((F.col("kind") == 3) & F.col("live"), F.struct("start", "kind", "end"))).alias("owned"),
