@@ -54,15 +54,20 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def test_jaccard(docs, empty, rows):
-    sets = [shingles(r[1]) for r in rows]
-    comp = list(range(len(rows)))
+def components_of(sets):
+    comp = list(range(len(sets)))
     for i, a in enumerate(sets):
         for j in range(i):
             both = len(a & sets[j])
             if a and 100 * both >= 75 * (len(a) + len(sets[j]) - both):
                 old, new = comp[i], comp[j]
                 comp = [new if x == old else x for x in comp]
+    return [comp.index(x) for x in comp]
+
+
+def test_jaccard(docs, empty, rows):
+    sets = [shingles(r[1]) for r in rows]
+    comp = components_of(sets)
     smallest = {k: min((r[0] for r, x in zip(rows, comp) if x == k and r[0] is not None), default=None) for k in comp}
     expected = Counter((r[0], len(s), smallest[k] if s else r[0]) for r, s, k in zip(rows, sets, comp))
     got = jaccard_join.similarity_classes(docs).select("doc_id", "n_shingles", "component_id").collect()
@@ -70,7 +75,32 @@ def test_jaccard(docs, empty, rows):
     assert jaccard_join.similarity_classes(empty).count() == 0
     kept = jaccard_join.near_duplicates_removed(docs)
     assert kept.columns == docs.columns
-    assert {r[0] for r in kept.select("doc_id").collect()} == {r[0] for r, s in zip(rows, sets) if not s or r[0] is None or smallest[comp[rows.index(r)]] == r[0]}
+    assert Counter(r[0] for r in kept.select("doc_id").collect()) == Counter({r[0] for r, s, k in zip(rows, sets, comp) if not s or smallest[k] == r[0]})
+
+
+def test_jaccard_regions_around_medians(spark):
+    """A large group of near copies of two texts that share half: hardly any of its pairs may be measured one by one."""
+    rng = random.Random(6)
+    half = prose(rng, 60)
+    texts = []
+    for base in (half + " " + prose(rng, 60), half + " " + prose(rng, 60)):
+        for _ in range(60):
+            w = base.split()
+            for _ in range(rng.randrange(1, 8)):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    comp = components_of([shingles(t) for t in texts])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for small, deepest in ((4, 4), (1, 2)):
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similarity_classes(df, small=small, deepest=deepest).collect()}
+        assert got == dict(enumerate(comp))
+    assert len(set(comp)) > 3
+
+
+def test_jaccard_slots():
+    slots = np.sort(np.random.default_rng(3).integers(0, 1 << 14, 500)).astype(np.int64)
+    for sample in (slots, slots[:1], slots[:0], np.array([0, 0, 255, 510, 16383])):
+        assert jaccard_join._unpacked(jaccard_join._packed(sample)).tolist() == sample.tolist()
 
 
 @pytest.mark.parametrize("together", [4000, 1])

@@ -1,15 +1,16 @@
-"""What the training-data operators share: table access, materialised steps, shared-folder handling."""
+"""What the training-data operators share: table access, written steps, the shared folder, bit filters."""
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bits of a filter at most: as rows of 32 bits it is broadcast, about 20 MB.
+MOST_BITS = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set, a temporary one (tests) elsewhere."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one below the warehouse, or in local mode a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="worklens-")
+        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+        found = tempfile.mkdtemp(prefix="worklens-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/worklens-steps"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -30,7 +32,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*steps: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing will read any more."""
+    for df in steps:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(col):
@@ -38,13 +50,30 @@ def ascii_lower(col):
     return F.translate(col, UPPER, UPPER.lower())
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Arrow batches of so many rows at most while an action runs: for rows that hold whole sets."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+class BitFilter:
+    """A set of 64-bit hashes as bits: rows that it lets through may be in the set, others are not.
+
+    Its size follows the number of hashes up to MOST_BITS; beyond, it lets more rows through, which the join behind it drops.
+    """
+
+    def __init__(self, wanted: DataFrame, key: str):
+        n, bits = wanted.count(), 1 << 16
+        while bits < min(MOST_BITS, 16 * n):
+            bits *= 2
+        self.mask = bits - 1
+        self.words = wanted.groupBy(self._word(key).alias("filter_word")).agg(F.bit_or(self._bit(key)).alias("filter_bits"))
+
+    def _word(self, key: str) -> Column:
+        return F.shiftright(F.col(key).bitwiseAND(F.lit(self.mask)), 5)
+
+    def _bit(self, key: str) -> Column:
+        return F.expr(f"shiftleft(1L, cast({key} & 31 as int))")
+
+    def split(self, rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        """(rows that may be in the set, rows that are not)."""
+        joined = rows.withColumn("filter_word", self._word(key)).join(F.broadcast(self.words), "filter_word", "left")
+        inside = F.coalesce(F.col("filter_bits").bitwiseAND(self._bit(key)) != 0, F.lit(False))
+        return joined.filter(inside).select(*rows.columns), joined.filter(~inside).select(*rows.columns)
+
+    def maybe(self, rows: DataFrame, key: str) -> DataFrame:
+        return self.split(rows, key)[0]
