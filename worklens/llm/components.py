@@ -32,3 +32,14 @@ def components(links: DataFrame) -> DataFrame:
         labels = step.join(later, "to", "left").select("node", F.coalesce("comp", "to").alias("comp"))
     # images that are local minima may still point further; a label's own label is final
     return materialise(labels, "components")
+
+
+def more_links(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, comp) of ``components`` brought up to date with further (a, b) links: only links between different components are worked on."""
+    a, b = (found.select(F.col("node").alias(x), F.col("comp").alias("comp_" + x)) for x in "ab")
+    comp_a, comp_b = F.coalesce("comp_a", "a"), F.coalesce("comp_b", "b")
+    moved = links.join(a, "a", "left").join(b, "b", "left").select(F.least(comp_a, comp_b).alias("a"), F.greatest(comp_a, comp_b).alias("b"))
+    merged = components(moved)
+    new = merged.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("comp"))
+    both = found.unionAll(new).join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("now")), "comp", "left")
+    return materialise(both.select("node", F.coalesce("now", "comp").alias("comp")), "components")

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from worklens.llm import textkernel as K
 from worklens.llm.common import BitFilter, materialise, release, table
-from worklens.llm.components import components
+from worklens.llm.components import components, more_links
 
 #: Slots in which shingles are counted: about one for four shingles, up to 2^24 (16 MB as levels). They come in ranges of 2^RANGE_BITS.
 LEAST_BITS, MOST_BITS, RANGE_BITS = 16, 24, 14
@@ -80,17 +80,17 @@ def _signatures(size: int, bits: int):
             node = pa.array(K.signed(np.array(node, dtype=np.uint64)), mask=np.array(n) == 0) if n else pa.array([], pa.int64())
             columns = [batch.column("doc_id").cast(pa.int64()), batch.column("th"), pa.array(n, pa.int64()), node, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
             yield _signed_batch(columns)
-            if n_held > 1 << 23:
+            if n_held > 1 << 21:
                 yield counted(held)
                 held, n_held = [], 0
         if n_held:
             yield counted(held)
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        slots = np.sort(np.concatenate(held)).astype(np.int64)
+        slots = np.sort(np.concatenate(held))
         edges = np.arange((1 << max(0, bits - RANGE_BITS)) + 1)
         cuts = np.searchsorted(slots, edges << RANGE_BITS)
-        parts = [(int(r), _packed(slots[a:b] - (int(r) << RANGE_BITS))) for r, a, b in zip(edges[:-1], cuts[:-1], cuts[1:], strict=True) if b > a]
+        parts = [(int(r), _packed(slots[a:b].astype(np.int64) - (int(r) << RANGE_BITS))) for r, a, b in zip(edges[:-1], cuts[:-1], cuts[1:], strict=True) if b > a]
         none = pa.nulls(len(parts), pa.int64())
         return _signed_batch([none, none, none, none, pa.array([r for r, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())])
 
@@ -122,7 +122,8 @@ def _order(signed: DataFrame, bits: int) -> np.ndarray:
 
 def _once(batch: pa.RecordBatch) -> pa.Array:
     """Texts of a batch, each once."""
-    return batch.column("text").take(pa.array(np.unique(np.asarray(batch.column("th")), return_index=True)[1]))
+    first = np.unique(np.asarray(batch.column("th")), return_index=True)[1]
+    return batch.column("text") if len(first) == batch.num_rows else batch.column("text").take(pa.array(first))
 
 
 def _regions(size: int, level: np.ndarray, bits: int, percent: int):
@@ -278,6 +279,7 @@ def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 75, small:
         return _regions(size, order.value, bits, percent)(batches)
 
     members = materialise(texts.select("th", "text").mapInArrow(emit, "shingle long, node long, n int, place int"), "members")
+    order.unpersist()
     often = materialise(members.groupBy("shingle").count().filter("count > 1").select("shingle"), "shared-regions")
     cells = BitFilter(often, "shingle").maybe(members, "shingle").join(often, "shingle").dropDuplicates(["shingle", "node"])
     cells = materialise(cells.select(F.col("shingle").alias("cell"), "node", "n", F.col("n").alias("size"), "place", _owner(percent)), "regions")
@@ -305,13 +307,12 @@ def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 75, small:
         pairs = pairs.filter(F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= radius + 1e-9, F.lit(True)))
         pairs = pairs.select(*_pair("nodex", "nodey")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
         measured = measure(measure.plausible(pairs))
-        done, links = done.unionAll(measured), links.unionAll(measured.filter("linked").select("a", "b"))
+        done, links = done.unionAll(measured), measured.filter("linked").select("a", "b")
         if large.isEmpty():
-            found = components(links)
+            found = more_links(found, links)
             break
         left, certain, residual = _around_medians(large, residual or measure.sets_of(large), percent)
-        links, depth = links.unionAll(certain), depth + 1
-        found = components(links)
+        found, depth = more_links(found, links.unionAll(certain)), depth + 1
 
     rows = signed.filter("range is null").select("doc_id", "th", F.col("n").alias("n_shingles"), "node")
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))

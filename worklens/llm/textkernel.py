@@ -49,11 +49,13 @@ def powers(n: int, sign: int = 1) -> np.ndarray:
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts, and the n + 1 offsets of the texts in them. Null is empty."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
-    return data, offsets
+    """Bytes of all texts, and the n + 1 offsets of the texts in them, without a copy. Null is empty."""
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if offsets is not None else np.zeros(1, np.int64)
+    return np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
 def groups(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
