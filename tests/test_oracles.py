@@ -8,7 +8,7 @@ import pytest
 from worklens.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(catalog.ORACLES)[:: int(os.environ.get("ORACLE_STEP", "6"))]
+NAMES = sorted(catalog.ORACLES)[:: int(os.environ.get("ORACLE_STEP", "1"))]
 
 
 @pytest.fixture(scope="module")

@@ -11,17 +11,34 @@ from pyspark.sql import functions as F
 ACTIVE = ("In Progress", "Blocked", "On Hold", "Validating", "Reviewing", "Staged CAR")
 WIP = ("In Progress", "Blocked", "On Hold", "Validating", "Staged CAR")
 QUEUE = ("Triage", "Reviewing")
-CLOSED = ("done", "closed", "resolved", "cancelled", "canceled", "will not do", "completed")
+#: Statuses that "open" reports leave out, spelled as in the tracker.
+EXCLUDED_STATUSES = (
+    "Technical Debt", "Done", "Backlog", "Plan Release", "Prepare Release", "Will Not Do", "Blocked For Development", "Resource Constrained",
+    "Released Successfully to Production", "❌ Rolled Back",
+)
+#: Scope of a delivery item's children.
+TERMINAL, TODO, IN_PROGRESS = ("Done", "Will Not Do"), ("To Do", "Tech Discovery Required", "Triage"), ("In Progress", "Validating")
+#: Rules of the personal report in order, with their ranks; any other issue shows its status, at rank 8.
+ATTENTION = (
+    ("Blocked", 0), ("On Hold", 1), ("Validating", 2), ("Overdue", 3), ("Due Soon", 4), ("Missing Target", 5), ("High Priority", 6), ("In Progress", 7), ("Done", 9),
+)
+ATTENTION_OTHER = 8
+ATTENTION_PRIORITIES = ("critical", "urgent", "high", "medium", "low", "no priority")
 DELIVERY_TYPES = ("Story", "Task", "Bug", "Hotfix", "Sub-task")
 PRIORITIES = ("Urgent", "High", "Medium", "Low", "None")
 SIZES = ("Small", "Medium", "Large", "XL", "Unestimated")
-SLA_STATUSES = ("backlog", "in progress", "blocked", "on hold", "validating", "staged car")
-SLA_DAYS = {"Urgent": 3.0, "High": 7.0, "Medium": 30.0, "Low": 60.0}
-#: (profile, raw, canonical); raw is trimmed and lower-cased. The three report families disagree on purpose.
+SLA_STATUSES = ("in progress", "on hold", "blocked", "to do", "validating", "tech discovery required")
+SLA_DAYS = {"Urgent": 90.0, "High": 90.0, "Medium": 90.0, "Low": 90.0}
+#: (profile, raw, canonical); raw is trimmed and lower-cased, for "sla" without blanks as well. All others are None. The three report families disagree on purpose.
 PRIORITY_MAP = tuple(
-    [("sla", r, c) for c, rs in {"Urgent": ("urgent", "p1", "blocker", "critical", "highest"), "High": ("high", "p2"), "Medium": ("medium", "p3", "normal"), "Low": ("low", "p4")}.items() for r in rs]
-    + [("velocity", r, c) for c, rs in {"Urgent": ("urgent", "critical", "highest", "blocker"), "High": ("high",), "Medium": ("medium",), "Low": ("low", "lowest")}.items() for r in rs]
-    + [("executive", r, c) for c, rs in {"Urgent": ("urgent", "highest"), "High": ("high",), "Medium": ("medium",), "Low": ("low", "lowest")}.items() for r in rs]
+    (profile, raw, canonical)
+    for profile, spellings in {
+        "sla": {"Urgent": ("highest", "critical", "urgent", "blocker", "p1", "prio1"), "High": ("high", "p2", "prio2"), "Medium": ("medium", "p3", "prio3"), "Low": ("low", "p4", "prio4")},
+        "velocity": {"Urgent": ("urgent", "highest", "critical"), "High": ("high",), "Medium": ("medium",), "Low": ("low",)},
+        "executive": {"Urgent": ("urgent", "highest"), "High": ("high",), "Medium": ("medium",), "Low": ("low",)},
+    }.items()
+    for canonical, raws in spellings.items()
+    for raw in raws
 )
 
 
@@ -39,5 +56,9 @@ class Params:
     def now(self) -> Column:
         return F.expr(f"TIMESTAMP_NTZ '{self.as_of}'")
 
+    def cutoff(self, days: int | None = None) -> Column:
+        """Start of the day ``days`` (the window) before now."""
+        return F.date_trunc("day", self.now()).cast("timestamp_ntz") - F.expr(f"INTERVAL '{days or self.window_days}' DAY")
+
 
 DEFAULT = Params()

@@ -61,7 +61,8 @@ def normalize_label(text: Column, default: str) -> Column:
 def canonical_priority(raw: Column, profile: str) -> Column:
     pairs: Mapping[str, str] = {r: c for p, r, c in PRIORITY_MAP if p == profile}
     lookup = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
-    return F.coalesce(F.element_at(lookup, F.lower(F.trim(raw))), F.lit("None"))
+    text = F.lower(F.trim(raw))
+    return F.coalesce(F.element_at(lookup, F.replace(text, F.lit(" "), F.lit("")) if profile == "sla" else text), F.lit("None"))
 
 
 def rank_in(value: Column, order: Sequence[str]) -> Column:

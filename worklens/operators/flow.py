@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from worklens.functions import scalars as S
-from worklens.functions.params import ACTIVE, Params
+from worklens.functions.params import ACTIVE, DELIVERY_TYPES, IN_PROGRESS, TERMINAL, TODO, Params
 
 c = F.col
 
 
-def completions(issues: DataFrame, transitions: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
-    """key, assignee, done_at: the earliest Done of every issue that has one."""
+def completions(issues: DataFrame, transitions: DataFrame, types: tuple[str, ...] = DELIVERY_TYPES) -> DataFrame:
+    """key, assignee, done_at: the earliest Done of every issue of the types that has one."""
     done = transitions.filter("to_status = 'Done'").groupBy("key").agg(F.min("changed_at").alias("done_at"))
-    rows = issues if types is None else issues.filter(c("issuetype").isin(*types))
-    return rows.join(done, "key").select("key", c("assignee_name").alias("assignee"), "done_at")
+    return issues.filter(c("issuetype").isin(*types)).join(done, "key").select("key", c("assignee_name").alias("assignee"), "done_at")
 
 
-def stories_of_features(issues: DataFrame) -> DataFrame:
+def stories_of_features(issues: DataFrame, types: tuple[str, ...] = DELIVERY_TYPES) -> DataFrame:
+    """Issues of the types with the Feature that they stand under."""
     features = issues.filter("issuetype = 'Feature'").select(c("key").alias("parent_key"), c("summary").alias("feature"))
-    return issues.join(features, "parent_key")
+    return issues.filter(c("issuetype").isin(*types)).join(features, "parent_key")
 
 
 def has_done(issues: DataFrame, transitions: DataFrame) -> DataFrame:
@@ -48,10 +48,15 @@ def months_before(p: Params, n: int) -> tuple[Column, Column]:
 
 
 def lead_time_report(issues: DataFrame, transitions: DataFrame, p: Params, months: int = 6) -> DataFrame:
-    """Stories of Features whose last Done lies in the trailing complete business months."""
+    """Stories of Features whose last Done lies in the trailing complete business months.
+
+    Spells are only timed for stories whose last Done lies in the months: their keys are found first and reduce the log.
+    """
     low, now = months_before(p, months)
-    timed = lead_cycle(issues, transitions).withColumn("month", S.business_month(c("done_at"), p)).filter((c("month") >= low) & (c("month") < now))
-    return stories_of_features(issues).select("key", "parent_key", "feature").join(timed, "key")
+    last = transitions.filter("to_status = 'Done'").groupBy("key").agg(F.max("changed_at").alias("last_done")).withColumn("month", S.business_month(c("last_done"), p))
+    stories = stories_of_features(issues).join(last.filter((c("month") >= low) & (c("month") < now)).select(c("key").alias("done_key"), "month"), c("key") == c("done_key")).drop("done_key")
+    timed = lead_cycle(stories, transitions).withColumnRenamed("key", "timed_key")
+    return stories.select("key", "parent_key", "feature", "month").join(timed, c("key") == c("timed_key")).drop("timed_key")
 
 
 def nearest_rank(values: DataFrame, by: list[str], column: str, at: dict[str, float]) -> DataFrame:
@@ -63,14 +68,8 @@ def nearest_rank(values: DataFrame, by: list[str], column: str, at: dict[str, fl
 
 
 def half_up_median(values: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Middle value; for an even count the mean of the middle two, rounded half up."""
-    out = []
-    for x in columns:
-        s = F.array_sort(F.collect_list(x))
-        n = F.size(s)
-        odd, low, high = F.get(s, F.floor(n / 2).cast("int")), F.get(s, F.floor(n / 2).cast("int") - 1), F.get(s, F.floor(n / 2).cast("int"))
-        out.append(F.when(n % 2 == 1, odd).otherwise(F.floor((low + high) / 2 + 0.5)).cast("long").alias(f"median_{x}"))
-    return values.groupBy(*by).agg(F.count("*").alias("n"), *out)
+    """Middle of whole numbers; for an even count the mean of the middle two, rounded half up. That is the median, rounded half up in either case."""
+    return values.groupBy(*by).agg(F.count("*").alias("n"), *[F.floor(F.percentile(x, 0.5) + 0.5).cast("long").alias(f"median_{x}") for x in columns])
 
 
 def lead_by_feature(report: DataFrame) -> DataFrame:
@@ -86,6 +85,13 @@ def month_spine(spark, low: str, high: str) -> DataFrame:
     return days.select(F.date_format("day", "yyyy-MM").alias("month"))
 
 
+def spine_of(issues: DataFrame, p: Params) -> DataFrame:
+    """Every month from the first created issue to the last created or completed one, but none after now."""
+    ends = issues.agg(F.min("created").alias("low"), F.least(F.max(F.greatest("created", F.coalesce("resolved", "updated"))), p.now()).alias("high"))
+    months = F.sequence(F.trunc("low", "month"), F.trunc("high", "month"), F.expr("INTERVAL 1 MONTH"))
+    return ends.filter("low is not null").select(F.explode(months).alias("day")).select(F.date_format("day", "yyyy-MM").alias("month"))
+
+
 def monthly_velocity(done: DataFrame, roster: DataFrame, spine: DataFrame, p: Params) -> DataFrame:
     """name, month, n on the whole roster x month grid."""
     counts = done.select(c("assignee").alias("name"), S.business_month(c("done_at"), p).alias("month")).groupBy("name", "month").agg(F.count("*").alias("n"))
@@ -113,49 +119,84 @@ def open_hierarchy(issues: DataFrame, closed: Column) -> DataFrame:
     return initiatives.unionByName(features)
 
 
-def child_counts(children: DataFrame, transitions: DataFrame, p: Params, by: str = "parent_key", weeks: int = 12) -> DataFrame:
-    """Scope counts per parent: done, remaining, todo, prog, blk, hold, and how many were done recently."""
-    recent = transitions.filter("to_status = 'Done'").groupBy("key").agg(F.max("changed_at").alias("at")).filter(c("at") >= p.now() - F.expr(f"INTERVAL '{7 * weeks}' DAY")).select("key", F.lit(True).alias("recent"))
-    rows = children.join(recent, "key", "left")
-    is_done = c("status_category") == "done"
-    n = lambda x: F.count_if(x)
-    return rows.groupBy(by).agg(
-        n(is_done).alias("done"), n(~is_done).alias("remaining"), n(c("status_category") == "new").alias("todo"), n(c("status_category") == "indeterminate").alias("prog"),
-        n(c("status") == "Blocked").alias("blk"), n(c("status") == "On Hold").alias("hold"), n(F.coalesce("recent", F.lit(False)) & is_done).alias("recent"), F.min("created").alias("first_created"),
+SCOPE = ("done", "remaining", "todo", "prog", "blk", "hold", "recent")
+
+
+def recent_done(transitions: DataFrame, p: Params, weeks: int = 12) -> DataFrame:
+    """key of issues whose last Done lies in the trailing weeks."""
+    return transitions.filter("to_status = 'Done'").groupBy("key").agg(F.max("changed_at").alias("at")).filter(c("at") >= p.now() - F.expr(f"INTERVAL '{7 * weeks}' DAY")).select("key")
+
+
+def child_counts(children: DataFrame, transitions: DataFrame, p: Params, weeks: int = 12) -> DataFrame:
+    """Scope per parent: done, remaining (neither Done nor Will Not Do), of these todo, prog, blk and hold; how many children were done recently; first created."""
+    rows = children.filter("parent_key is not null").join(recent_done(transitions, p, weeks).withColumn("recent", F.lit(True)), "key", "left")
+    n, status = lambda x, name: F.count_if(F.coalesce(x, F.lit(False))).alias(name), c("status")
+    return rows.groupBy("parent_key").agg(
+        n(status == "Done", "done"), n(~status.isin(*TERMINAL), "remaining"), n(status.isin(*TODO), "todo"), n(status.isin(*IN_PROGRESS), "prog"),
+        n(status == "Blocked", "blk"), n(status == "On Hold", "hold"), n(c("recent"), "recent"), F.min("created").alias("first_created"),
     )
 
 
+def initiative_counts(features: DataFrame, counts: DataFrame) -> DataFrame:
+    """Scope of every initiative: the sums of its features' scopes. features: key, parent_key."""
+    rolled = features.select("key", c("parent_key").alias("initiative")).filter("initiative is not null").join(counts.withColumnRenamed("parent_key", "key"), "key")
+    return rolled.groupBy("initiative").agg(*[F.sum(x).alias(x) for x in SCOPE], F.min("first_created").alias("first_created"))
+
+
+def burndown_columns(quantiles: dict[str, float], cap: int = 260) -> dict[str, Column]:
+    """Columns over remaining and rate: the week at which the finish is more likely than each quantile.
+
+    W <= w exactly when a Poisson(rate w) count reaches the remaining work. The probability grows with w, so each
+    quantile's week is bisected inside one expression: no row is made for a week. rate 0 gives the cap, nothing remaining gives 0.
+    """
+
+    def finished(w):
+        """Probability of ``remaining`` completions or more in w weeks: terms of the Poisson law, in logarithms."""
+        log_mean = F.log(c("rate") * w)
+        start = F.struct((-c("rate") * w).alias("t"), F.exp(-c("rate") * w).alias("s"))
+        term = lambda a, k: a["t"] + log_mean - F.log(k.cast("double"))
+        step = lambda a, k: F.struct(term(a, k).alias("t"), (a["s"] + F.exp(term(a, k))).alias("s"))
+        more = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), c("remaining").cast("int") - 1)), lambda k: k < c("remaining"))
+        return 1 - F.aggregate(more, start, step)["s"]
+
+    def week(q: float):
+        low_high = F.struct(F.lit(0).alias("low"), F.lit(cap).alias("high"))  # the week lies in (low, high], or is the cap
+        middle = lambda a: F.floor((a["low"] + a["high"]) / 2).cast("int")
+        at = lambda a: (a["high"] - a["low"] > 1) & (finished(middle(a)) > q)
+        halve = lambda a, _: F.struct(
+            F.when((a["high"] - a["low"] > 1) & ~at(a), middle(a)).otherwise(a["low"]).alias("low"), F.when(at(a), middle(a)).otherwise(a["high"]).alias("high")
+        )
+        return F.aggregate(F.sequence(F.lit(1), F.lit(cap.bit_length())), low_high, halve)["high"]
+
+    live = (c("remaining") > 0) & (c("rate") > 0)
+    return {n: F.when(c("remaining") <= 0, 0).when(live, week(q)).otherwise(cap).cast("int") for n, q in quantiles.items()}
+
+
 def burndown(items: DataFrame, quantiles: dict[str, float], cap: int = 260) -> DataFrame:
-    """key, remaining, rate -> weeks at which the finish is more likely than each quantile.
+    """key, remaining, rate -> key and the weeks of each quantile."""
+    return items.select("key", *[w.alias(n) for n, w in burndown_columns(quantiles, cap).items()])
+
+
+def delivery_items(issues: DataFrame, transitions: DataFrame, p: Params) -> DataFrame:
+    """Open initiatives, and features that are open or stand under one, with scope counts, start, pace, class and confidence.
 
-    W <= w exactly when a Poisson(rate w) count reaches the remaining work; a week is in closed form, so only the grid
-    of items x weeks is made. rate 0 gives the cap, nothing remaining gives 0.
+    Children are counted once by parent; an initiative's scope is the sum over its features.
     """
-    live = items.filter("remaining > 0 and rate > 0").withColumn("w", F.explode(F.sequence(F.lit(1), F.lit(cap))))
-    mean = c("rate") * c("w")
-    start = F.struct((-mean).alias("t"), F.exp(-mean).alias("s"))
-    step = lambda a, k: F.struct((a["t"] + F.log(mean) - F.log(k.cast("double"))).alias("t"), (a["s"] + F.exp(a["t"] + F.log(mean) - F.log(k.cast("double")))).alias("s"))
-    below = F.when(c("remaining") > 1, F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), c("remaining").cast("int") - 1)), start, step)["s"]).otherwise(F.exp(-mean))
-    cdf = live.withColumn("cdf", 1 - below)
-    found = cdf.groupBy("key").agg(*[F.min(F.when(c("cdf") > q, c("w"))).alias(n) for n, q in quantiles.items()])
-    out = items.join(found, "key", "left")
-    return out.select("key", *[F.when(c("remaining") <= 0, 0).otherwise(F.coalesce(n, F.lit(cap))).cast("int").alias(n) for n in quantiles])
-
-
-def delivery_items(issues: DataFrame, transitions: DataFrame, closed: Column, p: Params) -> DataFrame:
-    """Open initiatives and their features with scope counts, class, confidence and pace."""
-    items = open_hierarchy(issues, closed).select("key", "issuetype", "created", "parent_key", "summary")
-    children = issues.join(items.select(c("key").alias("parent_key")).distinct(), "parent_key", "left_semi")
-    own = child_counts(children.filter("issuetype <> 'Feature'"), transitions, p)
-    rolled = issues.filter("issuetype = 'Feature'").select(c("key").alias("parent_key"), c("parent_key").alias("initiative"))
-    under = child_counts(issues.join(rolled, "parent_key"), transitions, p, by="initiative").withColumnRenamed("initiative", "parent_key")
-    counts = own.join(items.filter("issuetype = 'Feature'").select(c("key").alias("parent_key")), "parent_key", "left_semi").unionByName(
-        under.join(items.filter("issuetype = 'Initiative'").select(c("key").alias("parent_key")), "parent_key", "left_semi")
-    )
-    rows = items.join(counts.withColumnRenamed("parent_key", "key"), "key", "left").fillna(0, ["done", "remaining", "todo", "prog", "blk", "hold", "recent"])
-    start = F.coalesce("first_created", "created")
-    age = F.greatest(F.lit(2.0), F.least(F.lit(12.0), S.days_between(start, p.now()) / 7))
+    epics = open_hierarchy(issues, c("status_category") == "done").select("key", "issuetype", "created", "parent_key", "summary", "status")
+    counts = child_counts(issues, transitions, p)
+    features = epics.filter("issuetype = 'Feature'")
+    own = features.join(counts.withColumnRenamed("parent_key", "key"), "key", "left").withColumn("start", F.coalesce("first_created", "created"))
+    under = epics.filter("issuetype = 'Initiative'").join(initiative_counts(features, counts).withColumnRenamed("initiative", "key"), "key", "left").withColumn("start", F.coalesce("created", "first_created"))
+    rows = own.unionByName(under).fillna(0, list(SCOPE)).withColumn("proxy_start", F.to_date("start")).drop("start", "first_created")
+    weeks = F.greatest(F.lit(0.0), S.days_between(c("proxy_start").cast("timestamp_ntz"), p.now()) / 7)
     kind = F.when(c("done") + c("remaining") == 0, "unbroken").when(c("remaining") == 0, "complete").when(c("recent") == 0, "stalled").otherwise("forecast")
-    rows = rows.withColumn("proxy_start", start).withColumn("rate", c("recent") / age).withColumn("class", kind)
-    weeks = S.days_between(start, p.now()) / 7
-    return rows.withColumn("confidence", F.when((c("recent") >= 8) & (weeks >= 8), "higher").when((c("recent") >= 3) & (weeks >= 4), "medium").otherwise("low"))
+    sure = F.when((c("recent") >= 8) & (weeks >= 4), "higher").when(c("recent") >= 4, "medium").otherwise("low")
+    return rows.withColumns({"rate": c("recent") / F.least(F.lit(12.0), F.greatest(F.lit(2.0), weeks)), "class": kind, "confidence": sure})
+
+
+def delivery_children(issues: DataFrame, transitions: DataFrame, items: DataFrame) -> DataFrame:
+    """The children of delivery items: parent_key, key, summary, status, category, assignee, last change, target, and cycle days of those with a Done."""
+    children = issues.join(items.select(c("key").alias("parent_key")), "parent_key", "left_semi")
+    cycle = lead_cycle(children, transitions).select("key", "cycle")
+    shown = children.select("parent_key", "key", F.coalesce("summary", F.lit("")).alias("summary"), "status", "status_category", "assignee_name", F.to_date("updated").alias("changed"), F.to_date("target_end_date").alias("target"))
+    return shown.join(cycle, "key", "left")

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from worklens.functions import scalars as S
-from worklens.functions.params import CLOSED, Params
+from worklens.functions.params import EXCLUDED_STATUSES, Params
 
 c = F.col
 
 
 def is_open() -> Column:
-    return ~F.lower(F.trim("status")).isin(*CLOSED)
+    return ~F.coalesce(c("status").isin(*EXCLUDED_STATUSES), F.lit(False))
 
 
 def on_spine(counts: DataFrame, spine: Sequence[str], column: str) -> DataFrame:
@@ -53,14 +53,29 @@ def monthly_flow(issues: DataFrame, spine: DataFrame) -> DataFrame:
     return rows.withColumn("cumulative", F.sum("net").over(Window.orderBy("month")))
 
 
-def velocity_union(issues: DataFrame, p: Params) -> DataFrame:
-    """assignee, priority, kind, days: backlog velocity (created to planned start) and execution velocity (created to updated) of recent team issues."""
-    rows = issues.filter(c("assignee_name").isin(*p.team) & (c("created") >= p.now() - F.expr("INTERVAL '720' DAY")))
-    base = rows.select("key", c("assignee_name").alias("assignee"), S.canonical_priority(c("priority_name"), "velocity").alias("priority"), "status", "created", "planned_start_date", "updated", "resolved")
-    backlog = base.filter("planned_start_date is not null").select("key", "assignee", "priority", F.lit("backlog").alias("kind"), F.greatest(F.lit(0).cast("long"), S.floor_days(c("created"), c("planned_start_date"))).alias("days"))
-    gap = S.floor_days(c("created"), c("updated"))
-    execution = base.filter((c("status") == "Done") & (gap >= 0)).select("key", "assignee", "priority", F.lit("execution").alias("kind"), S.floor_days(c("created"), F.coalesce("resolved", "updated")).alias("days"))
-    return backlog.unionByName(execution)
+def velocity_union(issues: DataFrame, p: Params, days: int = 720) -> DataFrame:
+    """key, assignee, priority, kind, days of the team's recent Done issues: backlog velocity (created to planned start) and execution velocity (created to updated), each where it is positive."""
+    rows = issues.filter((c("status") == "Done") & c("assignee_name").isin(*p.team) & (c("created") >= p.now() - F.expr(f"INTERVAL '{days}' DAY")))
+    return _both_velocities(rows, c("assignee_name"), S.canonical_priority(c("priority_name"), "velocity"), S.floor_days(c("created"), F.coalesce("resolved", "updated")))
+
+
+def done_window_union(issues: DataFrame, p: Params) -> DataFrame:
+    """As ``velocity_union`` for everybody but the excluded, of issues Done in the window; priorities as they stand, "Unknown" if null."""
+    assignee = F.trim(F.coalesce("assignee_name", F.lit("Unassigned")))
+    rows = done_window(issues, p, keep_nulls=True).filter(~F.lower(assignee).isin(*[x.lower() for x in p.excluded]))
+    return _both_velocities(rows, assignee, F.coalesce("priority_name", F.lit("Unknown")), S.floor_days(c("created"), c("updated")))
+
+
+def _both_velocities(rows: DataFrame, assignee: Column, priority: Column, execution: Column) -> DataFrame:
+    own = rows.select("key", assignee.alias("assignee"), priority.alias("priority"), F.floor(S.floor_days(c("created"), c("planned_start_date"))).alias("backlog"), S.floor_days(c("created"), c("updated")).alias("gap"), execution.alias("execution"))
+    backlog = own.filter("backlog > 0").select("key", "assignee", "priority", F.lit("backlog").alias("kind"), c("backlog").alias("days"))
+    return backlog.unionByName(own.filter("gap > 0").select("key", "assignee", "priority", F.lit("execution").alias("kind"), c("execution").alias("days")))
+
+
+def done_window(issues: DataFrame, p: Params, keep_nulls: bool = False) -> DataFrame:
+    """Done issues last updated in the window."""
+    recent = F.coalesce("resolved", "updated") >= p.cutoff()
+    return issues.filter((F.lower("status") == "done") & F.coalesce(recent, F.lit(keep_nulls)))
 
 
 def execution_profile(done: DataFrame, p: Params) -> DataFrame:
@@ -80,12 +95,14 @@ def in_progress_load(issues: DataFrame, done: DataFrame, p: Params) -> DataFrame
     return rows.select("assignee", "open", days.alias("estimated_days")).withColumn("bucket", S.load_bucket(c("estimated_days")))
 
 
-def complete_grid(union: DataFrame) -> DataFrame:
-    """Mean days of every assignee x kind x priority, overall mean where a cell has no rows."""
+def complete_grid(union: DataFrame, digits: int | None = 6) -> DataFrame:
+    """Mean days of every assignee x kind x priority, overall mean where a cell has no rows. The grid is the operator: its sides are names, not issues."""
     overall = union.agg(F.avg("days").alias("overall"))
-    grid = union.select("assignee").distinct().crossJoin(union.select("kind").distinct()).crossJoin(union.select("priority").distinct())
+    kinds = union.sparkSession.createDataFrame([("backlog",), ("execution",)], "kind string")
+    grid = union.select("assignee").distinct().crossJoin(kinds).crossJoin(union.select("priority").distinct())
     cells = union.groupBy("assignee", "kind", "priority").agg(F.avg("days").alias("mean"))
-    return grid.join(cells, ["assignee", "kind", "priority"], "left").crossJoin(F.broadcast(overall)).select("assignee", "kind", "priority", F.round(F.coalesce("mean", "overall"), 6).alias("mean"))
+    mean = F.coalesce("mean", "overall")
+    return grid.join(cells, ["assignee", "kind", "priority"], "left").crossJoin(F.broadcast(overall)).select("assignee", "kind", "priority", (mean if digits is None else F.round(mean, digits)).alias("mean"))
 
 
 def velocity_pair(union: DataFrame) -> DataFrame:
@@ -95,13 +112,17 @@ def velocity_pair(union: DataFrame) -> DataFrame:
 
 
 def backlog_complexity(issues: DataFrame, union: DataFrame) -> DataFrame:
-    """Per assignee: gap of the two velocities, harmonic estimate of the open backlog and its load bucket."""
-    counts = issues.filter("status in ('Backlog', 'To Do') and assignee_name is not null").groupBy(c("assignee_name").alias("assignee")).agg(F.count("*").alias("open"))
-    overall = union.filter("kind = 'execution'").agg(F.avg("days").alias("all"))
-    rows = counts.join(velocity_pair(union), "assignee", "left").crossJoin(F.broadcast(overall))
-    average = F.coalesce("execution", "all")
-    gap = F.abs(average - F.coalesce("backlog", F.lit(0.0)))
-    return rows.select("assignee", "open", F.round(gap, 6).alias("complexity"), F.round(S.harmonic_estimate(average, c("open")), 6).alias("estimate"), S.load_bucket(gap).alias("bucket"))
+    """Per assignee: gap of the two velocities, harmonic estimate of the open backlog and the load bucket of the gap.
+
+    The velocities are means over the completed grid; assignees without one get the mean of all assignees.
+    """
+    counts = issues.filter("status in ('Backlog', 'To Do')").groupBy(F.trim(F.coalesce("assignee_name", F.lit("Unassigned"))).alias("assignee")).agg(F.count("*").alias("open"))
+    pairs = complete_grid(union, None).groupBy("assignee").agg(*[F.avg(F.when(c("kind") == k, c("mean"))).alias(k) for k in ("backlog", "execution")])
+    overall = pairs.agg(*[F.coalesce(F.avg(k), F.lit(0.0)).alias("all_" + k) for k in ("backlog", "execution")])
+    rows = counts.join(pairs, "assignee", "left").crossJoin(F.broadcast(overall))
+    execution, backlog = F.coalesce("execution", "all_execution"), F.coalesce("backlog", "all_backlog")
+    gap = F.round(F.abs(execution - backlog), 6)
+    return rows.select("assignee", "open", gap.alias("complexity"), F.round(S.harmonic_estimate(execution, c("open")), 6).alias("estimate"), S.load_bucket(gap).alias("bucket"))
 
 
 def five_numbers(rows: DataFrame, by: str, x: Column) -> DataFrame:
@@ -120,15 +141,15 @@ def risk_report(rows: DataFrame, p: Params) -> DataFrame:
 
 
 def personal_kpis(issues: DataFrame, p: Params) -> DataFrame:
-    """Conditional counts and ages for every assignee."""
-    open_, left, age = is_open(), S.days_left(c("target_end_date"), p), S.age_days(c("created"), p)
-    n = lambda x: F.count_if(x)
-    at = lambda s: n(c("status") == s)
+    """Conditional counts and ages for every assignee; open is everything that is not Done."""
+    status, priority = S.normalize_text(c("status")), S.normalize_text(c("priority_name"))
+    open_, left, age = status != "done", S.days_left(c("target_end_date"), p), S.age_days(c("created"), p)
+    n = lambda x, name: F.count_if(x).alias(name)
+    at = lambda s: n(status == s, s.replace(" ", "_"))
     return issues.filter("assignee_name is not null").groupBy("assignee_name").agg(
-        F.count("*").alias("total"), n(open_).alias("open"), n(c("status") == "Done").alias("done"), at("In Progress").alias("in_progress"), at("Blocked").alias("blocked"), at("Validating").alias("validating"),
-        at("On Hold").alias("on_hold"), n(open_ & (left < 0)).alias("overdue"), n(open_ & (left >= 0) & (left <= 7)).alias("due_soon"), n(open_ & (age >= 90)).alias("aging"),
-        n(open_ & c("priority_name").isin("Urgent", "High")).alias("high_priority"), n(open_ & c("target_end_date").isNull()).alias("no_target"), n(c("issuetype") == "Feature").alias("features"),
-        F.round(F.avg(F.when(open_, age)), 6).alias("mean_age"), F.max(F.when(open_, age)).alias("max_age"),
+        F.count("*").alias("total"), n(open_, "open"), at("done"), at("in progress"), at("on hold"), at("blocked"), at("validating"), n(open_ & (left < 0), "overdue"), n(open_ & left.between(0, 7), "due_soon"),
+        n(open_ & c("target_end_date").isNull(), "missing_target"), n(open_ & priority.isin("critical", "urgent", "high"), "high_priority"), at("triage"), n(status == "tech discovery required", "tech_discovery"),
+        F.round(F.avg(age), 6).alias("mean_age"), F.max(age).alias("max_age"),
     )
 
 
@@ -144,25 +165,46 @@ def size_groups(issues: DataFrame) -> DataFrame:
     return both.withColumns({"size": S.normalize_size(c("estimated_size_name")), "priority": S.canonical_priority(c("priority_name"), "velocity")})
 
 
-def trimmed_mean(rows: DataFrame, by: str, x: str) -> DataFrame:
-    """Mean within the 5th and 95th percentile; the median under five values."""
-    w = Window.partitionBy(by)
-    cut = rows.filter(c(x).isNotNull() & c(by).isNotNull()).select(by, x, F.percentile(x, 0.05).over(w).alias("lo"), F.percentile(x, 0.95).over(w).alias("hi"), F.percentile(x, 0.5).over(w).alias("mid"), F.count("*").over(w).alias("n"))
-    return cut.groupBy(by).agg(F.round(F.when(F.first("n") < 5, F.first("mid")).otherwise(F.coalesce(F.avg(F.when(c(x).between(c("lo"), c("hi")), c(x))), F.first("mid"))), 6).alias("trimmed"))
+def trimmed_mean(rows: DataFrame, by: str | None, x: str) -> DataFrame:
+    """Mean within the 5th and 95th percentile; the median under five values. ``by`` None: one row for all."""
+    keys = [] if by is None else [by]
+    own = rows.filter(c(x).isNotNull()).select(*keys, c(x).alias("x")) if by is None else rows.filter(c(x).isNotNull() & c(by).isNotNull()).select(by, c(x).alias("x"))
+    q = own.groupBy(*keys).agg(F.percentile("x", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"), F.count("*").alias("n"))
+    cut = own.join(q, by) if keys else own.crossJoin(F.broadcast(q))
+    inner = F.avg(F.when(c("x").between(c("q")[0], c("q")[2]), c("x")))
+    return cut.groupBy(*keys).agg(F.round(F.when(F.first("n") < 5, F.first("q")[1]).otherwise(F.coalesce(inner, F.first("q")[1])), 6).alias("trimmed"))
 
 
-def smoothed_mean(rows: DataFrame, by: str, x: Column, weight: float = 8.0) -> DataFrame:
-    """(sum + overall * weight) / (n + weight)."""
-    overall = rows.agg(F.avg(x).alias("overall"))
+def smoothed_mean(rows: DataFrame, by: str, x: str, prior: DataFrame | None = None, weight: float = 8.0) -> DataFrame:
+    """(sum + prior * weight) / (n + weight). prior: one row and column; by default the plain mean, as for rates."""
+    prior = rows.agg(F.avg(x)) if prior is None else prior
     per = rows.filter(c(by).isNotNull()).groupBy(by).agg(F.sum(x).alias("total"), F.count(x).alias("n"))
-    return per.crossJoin(F.broadcast(overall)).select(by, F.round((c("total") + c("overall") * weight) / (c("n") + weight), 6).alias("smoothed"))
+    return per.crossJoin(F.broadcast(prior.toDF("prior"))).select(by, F.round((c("total") + c("prior") * weight) / (c("n") + weight), 6).alias("smoothed"))
 
 
 def leave_one_out(rows: DataFrame, by: str, x: str, weight: float = 8.0) -> DataFrame:
-    """rows with ``loo``: the smoothed mean of the group's other rows."""
-    w, overall = Window.partitionBy(by), rows.agg(F.avg(x).alias("overall"))
-    out = rows.crossJoin(F.broadcast(overall))
-    others = F.greatest(F.count(x).over(w) - 1, F.lit(0))
-    return out.withColumn("loo", F.round((F.sum(x).over(w) - c(x) + c("overall") * weight) / (others + weight), 6)).drop("overall")
-
-
+    """rows with ``loo``: the smoothed mean of the group's other rows. Sums by group are joined back, so no group meets in a window."""
+    sums = rows.groupBy(c(by).alias("group_key")).agg(F.sum(x).alias("group_sum"), F.count(x).alias("group_n"))
+    out = rows.join(sums, c(by).eqNullSafe(c("group_key"))).crossJoin(F.broadcast(rows.agg(F.avg(x).alias("overall"))))
+    loo = (c("group_sum") - c(x) + c("overall") * weight) / (F.greatest(c("group_n") - 1, F.lit(0)) + weight)
+    return out.withColumn("loo", F.round(loo, 6)).drop("overall", "group_key", "group_sum", "group_n")
+
+
+def numbered(rows: DataFrame, coarse: Sequence[Column], order: Sequence[Column], name: str = "place") -> DataFrame:
+    """rows with their number from 1 in ascending order of ``coarse``, nulls first, then ``order``.
+
+    Rows are numbered within each coarse value (a day, say), and only the counts of these values meet in one window.
+    """
+    keys = [f"coarse{k}" for k in range(len(coarse))]
+    own = rows.withColumns(dict(zip(keys, coarse, strict=True)))
+    before = F.sum("count").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
+    starts = own.groupBy(*keys).count().select(*[c(k).alias("of_" + k) for k in keys], F.coalesce(before, F.lit(0)).alias("coarse_start"))
+    same = [c(k).eqNullSafe(c("of_" + k)) for k in keys]
+    place = (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) + c("coarse_start")).cast("int")
+    return own.join(starts, same).withColumn(name, place).drop(*keys, *("of_" + k for k in keys), "coarse_start")
+
+
+def centred_mean(rows: DataFrame, place: str, x: str, reach: int = 3) -> DataFrame:
+    """rows with ``rolling``: the mean of x over the places up to ``reach`` away, in percent. Each value is sent to its neighbours' places."""
+    near = rows.select(F.explode(F.sequence(c(place) - reach, c(place) + reach)).alias(place), x).groupBy(place).agg((F.avg(x) * 100).alias("rolling"))
+    return rows.join(near, place)

@@ -8,15 +8,40 @@ from pyspark.sql.window import Window
 
 c = F.col
 
-#: (domain, pattern), matched per line and in either case. A bounded table: it is broadcast.
+#: Fixed values: (domain, pattern), matched per line and in either case. Names of an organisation's own repositories are left out; add them with ``patterns(spark, more)``.
 DOMAIN_PATTERNS = (
-    ("terraform", r"\.tf$|\.hcl$|(^|[/-])tf-"), ("kubernetes", r"helm|k8s|eks|cluster"), ("gcp", r"(^|/)gcp/"), ("airflow", r"airflow|(^|/)dags?/"), ("ci", r"gitlab-ci|\.ya?ml$"),
-    ("monitoring", r"grafana|dashboards?/"), ("sql", r"\.sql$"), ("python", r"\.py$"), ("iam", r"(^|/)iam/"), ("network", r"vpc|network"), ("data", r"(^|/)data/"),
+    ("Kubernetes/GitOps", r"clusters/|namespaces/|helmrelease|kustomization|/helm/|\bk8s\b|karpenter|nodepool|nodeclass|kube-system|argocd|/flux|gitrepository|daemonset|statefulset|\bcrds?\b"),
+    ("Terraform/Terragrunt", r"terragrunt\.hcl|\.tf$|\.tftpl|\.tfvars|/tf-|terraform|\.hcl$"),
+    ("AWS Core", r"\baws\b|us-east-1|us-west-2|eu-west-1|\bec2\b|\bs3\b|cloudwatch|lambda|\becr\b|\brds\b|dynamodb|\bsqs\b|\bsns\b|cloudfront"),
+    ("GCP Core", r"/gcp/|prj-|project-factory|landing.?zone|/folders?/|cloud-?run|/projects?/"),
+    ("BigQuery/Data", r"bigquery|/bq/|\.sql$|dataflow|dataproc|looker|\bedp\b"),
+    ("Grafana", r"grafana|dashboards?/|prometheus|\bloki\b|\btempo\b|alerting|servicemonitor|scrape"),
+    ("GitLab", r"\.gitlab-ci|/\.gitlab/|(^|/)ci/|\bpipeline"),
+    ("IAM/RBAC", r"\biam\b|/rbac|service-?account|workload-?identity|/roles?/|policies?/|clusterrole|\bsso\b|okta"),
+    ("Networking", r"\bvpc\b|subnet|/dns|networking|firewall|/network/|ingress|egress|peering|cloudflare"),
+    ("Secrets/Vault", r"\bvault\b|/secrets?/|\bsops\b|sealed-?secret|external-?secret"),
+    ("Databases", r"cloud-?sql|alloydb|\brds\b|postgres|mysql|\bredis\b|memorystore|/database"),
+    ("Composer", r"composer"),
+    ("Airflow", r"airflow|/dags?/"),
+    ("Cost/FinOps", r"\bcogs\b|billing|finops|\bbudget"),
+    ("Storage Transfer", r"storage-?transfer|\bsts\b"),
+    ("VDI/WorkSpaces", r"workspace|\bvdi\b|gcve|vsphere|citrix"),
+    ("AI Plugins", r"ai-plugins"),
+    ("AWS Bedrock Agents", r"bedrock"),
+    ("EKS", r"\beks\b|eks-node|eks-cluster"),
+    ("ECS", r"\becs\b|fargate"),
+    ("OpenSearch", r"opensearch|elasticsearch"),
+    ("MSK", r"\bmsk\b|kafka"),
+    ("GKE", r"\bgke\b"),
+    ("VertexAI", r"vertex[\s_-]?ai|vertexai|aiplatform|\bvertex\b"),
+    ("Kubeflow Pipelines", r"kubeflow|\bkfp\b"),
+    ("Route53", r"route\s?53|\br53\b"),
+    ("Fastly", r"fastly"),
 )
 
 
-def patterns(spark) -> DataFrame:
-    return spark.createDataFrame(list(DOMAIN_PATTERNS), "domain string, pattern string")
+def patterns(spark, more: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    return spark.createDataFrame([*DOMAIN_PATTERNS, *more], "domain string, pattern string")
 
 
 def regex_join(texts: DataFrame, column: str, rules: DataFrame) -> DataFrame:
@@ -34,7 +59,7 @@ def mr_lines(mrs: DataFrame, files: DataFrame) -> DataFrame:
 def mr_domains(mrs: DataFrame, files: DataFrame, rules: DataFrame) -> DataFrame:
     """id, author, domain, each domain once per merge request."""
     lines = mr_lines(mrs, files)
-    return lines.join(F.broadcast(regex_join(lines, "line", rules)), "line").select("id", "author", "domain").distinct()
+    return lines.join(regex_join(lines, "line", rules), "line").select("id", "author", "domain").distinct()
 
 
 def domain_counts(tagged: DataFrame) -> DataFrame:
@@ -54,7 +79,7 @@ def skill_matrix(corpus: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def domain_ranking(matrix: DataFrame, spare: DataFrame) -> DataFrame:
-    rows = matrix.join(F.broadcast(spare), "engineer", "left").fillna(0, ["spare"])
+    rows = matrix.join(spare, "engineer", "left").fillna(0, ["spare"])
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("score"), F.desc("spare"), "engineer")))
 
 
@@ -73,4 +98,4 @@ def ticket_to_skill(tickets: DataFrame, ranking: DataFrame, rules: DataFrame) ->
     tagged = tickets.join(regex_join(tickets, "summary", rules), "summary", "left").groupBy("key").agg(F.min("domain").alias("domain"))
     at = lambda k: F.max(F.when(c("place") == k, c("engineer")))
     people = ranking.groupBy("domain").agg(at(1).alias("expert"), at(2).alias("runner_up"), at(3).alias("stretch"))
-    return tagged.join(F.broadcast(people), "domain", "left").select("key", "domain", "expert", "runner_up", "stretch")
+    return tagged.join(people, "domain", "left").select("key", "domain", "expert", "runner_up", "stretch")

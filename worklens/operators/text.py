@@ -9,6 +9,12 @@ from pyspark.sql.window import Window
 from worklens.functions import scalars as S
 
 c = F.col
+#: Words that are left out by default.
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "had", "he", "her", "hers", "him", "his", "i", "in", "is", "it", "its", "me", "my", "of", "on", "or", "our", "ours",
+    "she", "that", "the", "their", "them", "there", "these", "they", "this", "to", "was", "we", "were", "will", "with", "you", "your",
+    "ticket", "issue", "jira", "done", "need", "please", "thanks", "thank", "update", "updated", "work", "task", "story", "project", "deploy", "deployment", "error", "errors", "fix", "fixed",
+)
 
 
 def tokens(texts: DataFrame, stop: DataFrame, text: str = "text") -> DataFrame:
@@ -26,7 +32,7 @@ def top_words(words: DataFrame, n: int) -> DataFrame:
 
 def sentiment(words: DataFrame, lexicon: DataFrame, by: str) -> DataFrame:
     """Per text: sum of valences, compound s / sqrt(s^2 + 15), bucket. Texts without a word of the lexicon score 0."""
-    s = words.join(F.broadcast(lexicon), "word", "left").groupBy(by).agg(F.coalesce(F.sum("valence"), F.lit(0)).cast("double").alias("s"))
+    s = words.join(lexicon, "word", "left").groupBy(by).agg(F.coalesce(F.sum("valence"), F.lit(0)).cast("double").alias("s"))
     compound = c("s") / F.sqrt(c("s") * c("s") + 15)
     return s.select(by, F.round(compound, 6).alias("compound"), S.sentiment_bucket(compound).alias("bucket"))
 

@@ -6,23 +6,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from worklens.functions import scalars as S
-from worklens.functions.params import ACTIVE, CLOSED, DEFAULT as P, DELIVERY_TYPES, WIP
-from worklens.operators import flow
+from worklens.functions.params import ACTIVE, DEFAULT as P, DELIVERY_TYPES, WIP
+from worklens.operators import flow, reports as R
 from worklens.plans.registry import NOW, days, query
 
 c = F.col
 active_sql, types_sql, wip_sql = (", ".join(f"'{s}'" for s in x) for x in (ACTIVE, DELIVERY_TYPES, WIP))
-closed_sql = ", ".join(f"'{s}'" for s in CLOSED)
-closed = lambda: F.lower("status").isin(*CLOSED)
+closed = lambda: c("status_category") == "done"
+TYPES = "issuetype IN ('Story', 'Task', 'Bug', 'Hotfix', 'Sub-task')"
 ROSTER = "SELECT 'Engineer ' || i AS name FROM range(0, 10) r(i)"
-DONE = "SELECT i.key, i.assignee_name AS assignee, min(t.changed_at) AS done_at FROM w_issues i JOIN w_transitions t ON t.key = i.key AND t.to_status = 'Done' GROUP BY 1, 2"
+DONE = "SELECT i.key, i.assignee_name AS assignee, min(t.changed_at) AS done_at FROM w_issues i JOIN w_transitions t ON t.key = i.key AND t.to_status = 'Done' WHERE i.issuetype IN ('Story', 'Task', 'Bug', 'Hotfix', 'Sub-task') GROUP BY 1, 2"
 LC = f"""
 SELECT key, greatest(1, CAST(round_even(active, 0) AS BIGINT)) AS cycle, CAST(round_even(greatest(0.0, {days('created', 'done_at')}), 0) AS BIGINT) AS lead, done_at FROM (
  SELECT key, any_value(created) AS created, sum(CASE WHEN before IN ({active_sql}) THEN greatest(0.0, {days('since', 'changed_at')}) ELSE 0 END) AS active, max(changed_at) FILTER (to_status = 'Done') AS done_at FROM (
   SELECT t.key, i.created, t.to_status, t.changed_at, lag(to_status, 1, 'To Do') OVER w AS before, coalesce(lag(changed_at) OVER w, i.created) AS since
   FROM w_transitions t JOIN w_issues i ON i.key = t.key WINDOW w AS (PARTITION BY t.key ORDER BY t.seq)) GROUP BY key) WHERE done_at IS NOT NULL"""
 BM = f"strftime((done_at AT TIME ZONE 'UTC') AT TIME ZONE '{P.business_tz}', '%Y-%m')"
-LT = f"SELECT s.key, s.parent_key, f.summary AS feature, cycle, lead, done_at, {BM} AS month FROM lc JOIN w_issues s ON s.key = lc.key JOIN w_issues f ON f.key = s.parent_key AND f.issuetype = 'Feature' WHERE {BM} BETWEEN '2001-03' AND '2001-08'"
+LT = f"SELECT s.key, s.parent_key, f.summary AS feature, cycle, lead, done_at, {BM} AS month FROM lc JOIN w_issues s ON s.key = lc.key JOIN w_issues f ON f.key = s.parent_key AND f.issuetype = 'Feature' WHERE s.{TYPES} AND {BM} BETWEEN '2001-03' AND '2001-08'"
 
 
 def report(t):
@@ -33,7 +33,7 @@ query("completions", lambda t: flow.completions(t.issues, t.transitions), "SELEC
 query(
     "stories_of_features",
     lambda t: flow.stories_of_features(t.issues).select("key", "parent_key", "feature"),
-    "SELECT s.key, s.parent_key, f.summary AS feature FROM w_issues s JOIN w_issues f ON f.key = s.parent_key AND f.issuetype = 'Feature'",
+    f"SELECT s.key, s.parent_key, f.summary AS feature FROM w_issues s JOIN w_issues f ON f.key = s.parent_key AND f.issuetype = 'Feature' WHERE s.{TYPES}",
 )
 query("has_done", lambda t: flow.has_done(t.issues, t.transitions).select("key"), "SELECT key FROM w_issues i WHERE EXISTS (SELECT 1 FROM w_transitions t WHERE t.key = i.key AND t.to_status = 'Done')")
 query("lead_cycle_time", lambda t: flow.lead_cycle(t.issues, t.transitions), "SELECT * FROM lc", lc=LC)
@@ -47,12 +47,22 @@ query(
     lc=LC,
     lt=LT,
 )
+
+
+def lead_summary(t):
+    """Nearest-rank percentiles from a histogram of whole days: the windows run over distinct days, not over stories."""
+    rows = report(t)
+    days = rows.select(F.explode(F.array(F.struct(F.lit("lead").alias("what"), c("lead").alias("d")), F.struct(F.lit("cycle").alias("what"), c("cycle").alias("d")))).alias("x")).select("x.*").groupBy("what", "d").agg(F.count("*").alias("n"))
+    upto, total = Window.partitionBy("what").orderBy("d").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("what")
+    days = days.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(total)})
+    at = lambda what, q: F.min(F.when((c("what") == what) & (c("upto") > F.least(c("all") - 1, F.floor(c("all") * q))), c("d")))
+    found = days.agg(*[at("lead", q).alias(n) for n, q in (("p50", 0.5), ("p85", 0.85), ("p95", 0.95))], at("cycle", 0.5).alias("cycle_p50"))
+    return found.crossJoin(rows.filter("lead > 0").agg(F.round(F.percentile(c("cycle") / c("lead"), 0.5), 6).alias("flow_efficiency")))
+
+
 query(
     "lead_summary",
-    lambda t: flow.nearest_rank(report(t).withColumn("g", F.lit("all")), ["g"], "lead", {"p50": 0.5, "p85": 0.85, "p95": 0.95})
-    .join(flow.nearest_rank(report(t).withColumn("g", F.lit("all")), ["g"], "cycle", {"cycle_p50": 0.5}), "g")
-    .join(report(t).filter("lead > 0").withColumn("g", F.lit("all")).groupBy("g").agg(F.round(F.percentile(c("cycle") / c("lead"), 0.5), 6).alias("flow_efficiency")), "g")
-    .drop("g"),
+    lead_summary,
     """WITH r AS (SELECT lead, row_number() OVER (ORDER BY lead) - 1 AS k, count(*) OVER () AS n FROM lt), q AS (SELECT cycle, row_number() OVER (ORDER BY cycle) - 1 AS k, count(*) OVER () AS n FROM lt)
  SELECT (SELECT lead FROM r WHERE k = floor(n * 0.5)) AS p50, (SELECT lead FROM r WHERE k = floor(n * 0.85)) AS p85, (SELECT lead FROM r WHERE k = floor(n * 0.95)) AS p95,
  (SELECT cycle FROM q WHERE k = floor(n * 0.5)) AS cycle_p50, (SELECT round(quantile_cont(CAST(cycle AS DOUBLE) / lead, 0.5), 6) FROM lt WHERE lead > 0) AS flow_efficiency""",
@@ -85,14 +95,14 @@ query(
     lambda t: t.transitions.join(t.issues.filter("issuetype = 'Feature'").select("key"), "key", "left_semi").select("key", "seq", "to_status", "changed_at"),
     "SELECT key, seq, to_status, changed_at FROM w_transitions WHERE key IN (SELECT key FROM w_issues WHERE issuetype = 'Feature')",
 )
-OH = f"""SELECT * FROM w_issues WHERE issuetype = 'Initiative' AND lower(status) NOT IN ({closed_sql})
- UNION ALL SELECT * FROM w_issues WHERE issuetype = 'Feature' AND (lower(status) NOT IN ({closed_sql}) OR parent_key IN (SELECT key FROM w_issues WHERE issuetype = 'Initiative' AND lower(status) NOT IN ({closed_sql})))"""
+OH = f"""SELECT * FROM w_issues WHERE issuetype = 'Initiative' AND status_category <> 'done'
+ UNION ALL SELECT * FROM w_issues WHERE issuetype = 'Feature' AND (status_category <> 'done' OR parent_key IN (SELECT key FROM w_issues WHERE issuetype = 'Initiative' AND status_category <> 'done'))"""
 query("open_hierarchy", lambda t: flow.open_hierarchy(t.issues, closed()).select("key", "issuetype", "parent_key"), "SELECT key, issuetype, parent_key FROM oh", oh=OH)
 query("items_union", lambda t: flow.open_hierarchy(t.issues, closed()).groupBy("issuetype").agg(F.count("*").alias("n")), "SELECT issuetype, count(*) AS n FROM oh GROUP BY 1", oh=OH)
 query(
     "rollup_map",
     lambda t: t.issues.filter("issuetype = 'Feature'").select(c("key").alias("feature"), c("parent_key").alias("key")).join(t.issues.filter((c("issuetype") == "Initiative") & ~closed()).select("key"), "key").select("feature", c("key").alias("initiative")),
-    f"SELECT f.key AS feature, i.key AS initiative FROM w_issues f JOIN w_issues i ON i.key = f.parent_key WHERE f.issuetype = 'Feature' AND i.issuetype = 'Initiative' AND lower(i.status) NOT IN ({closed_sql})",
+    f"SELECT f.key AS feature, i.key AS initiative FROM w_issues f JOIN w_issues i ON i.key = f.parent_key WHERE f.issuetype = 'Feature' AND i.issuetype = 'Initiative' AND i.status_category <> 'done'",
 )
 
 
@@ -159,30 +169,30 @@ query(
     ro=ROSTER, dn=DONE, mv=MV,
 )
 
-CC = """SELECT {by} AS k, count(*) FILTER (status_category = 'done') AS done, count(*) FILTER (status_category <> 'done') AS remaining, count(*) FILTER (status_category = 'new') AS todo, count(*) FILTER (status_category = 'indeterminate') AS prog,
- count(*) FILTER (status = 'Blocked') AS blk, count(*) FILTER (status = 'On Hold') AS hold, count(*) FILTER (status_category = 'done' AND rk.key IS NOT NULL) AS recent, min(created) AS first_created FROM {rows} LEFT JOIN rk ON rk.key = x.key GROUP BY 1"""
+CC = """SELECT {by} AS k, count(*) FILTER (status = 'Done') AS done, count(*) FILTER (status NOT IN ('Done', 'Will Not Do')) AS remaining, count(*) FILTER (status IN ('To Do', 'Tech Discovery Required', 'Triage')) AS todo,
+ count(*) FILTER (status IN ('In Progress', 'Validating')) AS prog, count(*) FILTER (status = 'Blocked') AS blk, count(*) FILTER (status = 'On Hold') AS hold, count(rk.key) AS recent, min(created) AS first_created FROM {rows} LEFT JOIN rk ON rk.key = x.key GROUP BY 1"""
 RK = f"SELECT key FROM w_transitions WHERE to_status = 'Done' GROUP BY key HAVING max(changed_at) >= {NOW} - INTERVAL 84 DAY"
-query("recent_keys", lambda t: t.transitions.filter("to_status = 'Done'").groupBy("key").agg(F.max("changed_at").alias("at")).filter(c("at") >= P.now() - F.expr("INTERVAL '84' DAY")).select("key"), "SELECT key FROM rk", rk=RK)
+query("recent_keys", lambda t: flow.recent_done(t.transitions, P), "SELECT key FROM rk", rk=RK)
 F_ROWS = "(SELECT s.* FROM w_issues s WHERE s.parent_key IN (SELECT key FROM w_issues WHERE issuetype = 'Feature')) x"
-I_ROWS = "(SELECT s.*, f.parent_key AS initiative FROM w_issues s JOIN w_issues f ON f.key = s.parent_key AND f.issuetype = 'Feature') x"
+I_ROWS = "(SELECT s.*, f.parent_key AS initiative FROM w_issues s JOIN {f} f ON f.key = s.parent_key AND f.issuetype = 'Feature' WHERE f.parent_key IS NOT NULL) x"
 features_children = lambda t: t.issues.join(t.issues.filter("issuetype = 'Feature'").select(c("key").alias("parent_key")), "parent_key", "left_semi")
 query("child_scope_counts", lambda t: flow.child_counts(features_children(t), t.transitions, P).withColumnRenamed("parent_key", "k"), CC.format(by="parent_key", rows=F_ROWS), rk=RK)
 query(
     "initiative_rollup",
-    lambda t: flow.child_counts(t.issues.join(t.issues.filter("issuetype = 'Feature'").select(c("key").alias("parent_key"), c("parent_key").alias("initiative")), "parent_key"), t.transitions, P, by="initiative").withColumnRenamed("initiative", "k"),
-    CC.format(by="initiative", rows=I_ROWS),
+    lambda t: flow.initiative_counts(t.issues.filter("issuetype = 'Feature'"), flow.child_counts(t.issues, t.transitions, P)).withColumnRenamed("initiative", "k"),
+    CC.format(by="initiative", rows=I_ROWS.format(f="w_issues")),
     rk=RK,
 )
-_weeks = f"({days('proxy_start', NOW)} / 7)"
-DI = f"""SELECT *, CASE WHEN done + remaining = 0 THEN 'unbroken' WHEN remaining = 0 THEN 'complete' WHEN recent = 0 THEN 'stalled' ELSE 'forecast' END AS class, recent / greatest(2.0, least(12.0, {_weeks})) AS rate,
- CASE WHEN recent >= 8 AND {_weeks} >= 8 THEN 'higher' WHEN recent >= 3 AND {_weeks} >= 4 THEN 'medium' ELSE 'low' END AS confidence FROM (
- SELECT oh.key, oh.issuetype, coalesce(first_created, oh.created) AS proxy_start, coalesce(done, 0) AS done, coalesce(remaining, 0) AS remaining, coalesce(recent, 0) AS recent, coalesce(todo, 0) AS todo, coalesce(prog, 0) AS prog, coalesce(blk, 0) AS blk, coalesce(hold, 0) AS hold
- FROM oh LEFT JOIN (SELECT * FROM fc UNION ALL SELECT * FROM ic) y ON y.k = oh.key)"""
-ITEMS = {"rk": RK, "oh": OH, "fc": CC.format(by="parent_key", rows=F_ROWS), "ic": CC.format(by="initiative", rows=I_ROWS), "di": DI}
+_weeks = f"greatest(0.0, {days('CAST(proxy_start AS TIMESTAMP)', NOW)} / 7)"
+DI = f"""SELECT *, CASE WHEN done + remaining = 0 THEN 'unbroken' WHEN remaining = 0 THEN 'complete' WHEN recent = 0 THEN 'stalled' ELSE 'forecast' END AS class, recent / least(12.0, greatest(2.0, {_weeks})) AS rate,
+ CASE WHEN recent >= 8 AND {_weeks} >= 4 THEN 'higher' WHEN recent >= 4 THEN 'medium' ELSE 'low' END AS confidence FROM (
+ SELECT oh.key, oh.issuetype, CAST(CASE WHEN oh.issuetype = 'Initiative' THEN coalesce(oh.created, first_created) ELSE coalesce(first_created, oh.created) END AS DATE) AS proxy_start, coalesce(done, 0) AS done, coalesce(remaining, 0) AS remaining, coalesce(recent, 0) AS recent, coalesce(todo, 0) AS todo, coalesce(prog, 0) AS prog, coalesce(blk, 0) AS blk, coalesce(hold, 0) AS hold
+ FROM oh LEFT JOIN (SELECT 'Feature' AS ty, * FROM fc UNION ALL SELECT 'Initiative', * FROM ic) y ON y.k = oh.key AND y.ty = oh.issuetype)"""
+ITEMS = {"rk": RK, "oh": OH, "fc": CC.format(by="parent_key", rows=F_ROWS), "ic": CC.format(by="initiative", rows=I_ROWS.format(f="oh")), "di": DI}
 
 
 def items(t):
-    return flow.delivery_items(t.issues, t.transitions, closed(), P)
+    return flow.delivery_items(t.issues, t.transitions, P)
 
 
 query("proxy_start", lambda t: items(t).select("key", "proxy_start"), "SELECT key, proxy_start FROM di", **ITEMS)
@@ -194,29 +204,44 @@ query(
     "SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (class = '{k}') AS {k}" for k in ("forecast", "unbroken", "stalled", "complete")) + " FROM di WHERE issuetype = 'Feature'",
     **ITEMS,
 )
+query(
+    "delivery_children",
+    lambda t: flow.delivery_children(t.issues, t.transitions, flow.open_hierarchy(t.issues, closed())),
+    "SELECT i.parent_key, i.key, coalesce(i.summary, '') AS summary, i.status, i.status_category, i.assignee_name, CAST(i.updated AS DATE) AS changed, CAST(i.target_end_date AS DATE) AS target, lc.cycle FROM w_issues i LEFT JOIN lc ON lc.key = i.key WHERE i.parent_key IN (SELECT key FROM oh)",
+    oh=OH, lc=LC,
+)
 QS = {"p50": 0.5, "p85": 0.85, "p95": 0.95}
 
 
-def weeks_left(t):
-    return flow.burndown(items(t).filter("issuetype = 'Initiative' or class = 'forecast'").select("key", "remaining", "rate"), QS)
+def with_weeks(t):
+    """Delivery items with their percentiles in weeks, null where there is no forecast."""
+    rows = items(t).filter("issuetype = 'Initiative' or class = 'forecast'")
+    return rows.select("key", "remaining", "rate")
+
+
+def forecast_weeks(t):
+    """All delivery items in one pass; the percentiles are expressions over their own row."""
+    rows = items(t)
+    weeks = flow.burndown_columns(QS)
+    shown = (c("issuetype") == "Initiative") | (c("class") == "forecast")
+    return rows.select("*", *[F.when(shown, w).alias(n) for n, w in weeks.items()])
 
 
 BD = """SELECT key, CAST(CASE WHEN remaining <= 0 THEN 0 ELSE coalesce(p50, 260) END AS INT) AS p50, CAST(CASE WHEN remaining <= 0 THEN 0 ELSE coalesce(p85, 260) END AS INT) AS p85, CAST(CASE WHEN remaining <= 0 THEN 0 ELSE coalesce(p95, 260) END AS INT) AS p95 FROM (
  SELECT key, any_value(remaining) AS remaining, min(w) FILTER (cdf > 0.5) AS p50, min(w) FILTER (cdf > 0.85) AS p85, min(w) FILTER (cdf > 0.95) AS p95 FROM (
   SELECT key, remaining, w, 1 - CASE WHEN rate > 0 AND remaining > 0 THEN (SELECT sum(exp(-rate * w + k * ln(rate * w) - lgamma(k + 1))) FROM range(0, CAST(remaining AS BIGINT)) r(k)) ELSE 1 END AS cdf
   FROM di, range(1, 261) g(w) WHERE issuetype = 'Initiative' OR class = 'forecast') GROUP BY key)"""
-query("burndown_percentiles", weeks_left, "SELECT * FROM bd", **ITEMS, bd=BD)
+query("burndown_percentiles", lambda t: flow.burndown(with_weeks(t), QS), "SELECT * FROM bd", **ITEMS, bd=BD)
 query(
     "delivery_forecast",
-    lambda t: items(t).select("key", "issuetype", "done", "remaining", "todo", "prog", "blk", "hold", "recent", "class", "confidence").join(weeks_left(t), "key", "left").withColumn("p85_date", F.date_add(F.to_date(P.now()), c("p85") * 7)),
+    lambda t: forecast_weeks(t).select("key", "issuetype", "done", "remaining", "todo", "prog", "blk", "hold", "recent", "class", "confidence", "p50", "p85", "p95", F.date_add(F.to_date(P.now()), c("p85") * 7).alias("p85_date")),
     "SELECT di.key, issuetype, done, remaining, todo, prog, blk, hold, recent, class, confidence, p50, p85, p95, DATE '2001-09-15' + p85 * 7 AS p85_date FROM di LEFT JOIN bd ON bd.key = di.key",
     **ITEMS,
     bd=BD,
 )
 query(
     "feature_order",
-    lambda t: items(t).filter("issuetype = 'Feature'").join(weeks_left(t), "key", "left").withColumn("r", S.rank_in(c("class"), ("forecast", "stalled", "unbroken", "complete")))
-    .select("key", F.row_number().over(Window.orderBy("r", F.asc_nulls_last("p85"), "key")).alias("place")),
+    lambda t: R.numbered(forecast_weeks(t).filter("issuetype = 'Feature'"), [S.rank_in(c("class"), ("forecast", "stalled", "unbroken", "complete")), F.coalesce("p85", F.lit(1 << 30))], ["key"]).select("key", "place"),
     "SELECT di.key, CAST(row_number() OVER (ORDER BY CASE class WHEN 'forecast' THEN 1 WHEN 'stalled' THEN 2 WHEN 'unbroken' THEN 3 ELSE 4 END, p85 NULLS LAST, di.key) AS INT) AS place FROM di LEFT JOIN bd ON bd.key = di.key WHERE issuetype = 'Feature'",
     **ITEMS,
     bd=BD,

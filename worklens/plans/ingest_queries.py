@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from worklens.functions.params import DEFAULT as P
-from worklens.plans.registry import NOW, query
+from worklens.plans.registry import NOW, days, floor_days, query
 from worklens.sources import ingest as I
 from worklens.streaming import intake
 
@@ -21,12 +21,16 @@ def raw_issues(t):
     history = F.transform("log", lambda x: F.struct(iso(x["changed_at"]).alias("created"), items(x).alias("items")))
     rows = t.issues.join(log, "key", "left")
     rows = rows.withColumn("again", F.explode(F.when(c("id") % 9 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).withColumn("updated", c("updated") + F.make_interval(hours=c("again")))
-    person = lambda x: named(c(x), "displayName")
+    person = lambda x: F.when(c(x).isNotNull(), F.struct(c(x).alias("displayName"), F.concat(F.lit("acc-"), c(x)).alias("accountId")))
+    known = lambda k, x: F.when(c("id") % k != 0, x)
     fields = F.struct(
         "summary", F.struct(c("status").alias("name"), F.struct(c("status_category").alias("key")).alias("statusCategory")).alias("status"), named(c("issuetype")).alias("issuetype"),
-        named(F.when(c("id") % 10 != 0, c("priority_name"))).alias("priority"), person("assignee_name").alias("assignee"), person("creator_name").alias("creator"), F.struct(F.substring_index("key", "-", 1).alias("key"), c("project_name").alias("name")).alias("project"),
-        named(c("parent_key"), "key").alias("parent"), iso(c("created")).alias("created"), iso(c("updated")).alias("updated"), iso(c("resolved")).alias("resolutiondate"), F.date_format("target_end_date", "yyyy-MM-dd").alias("duedate"),
-        person("business_lead").alias("lead"), named(c("estimated_size_name"), "value").alias("size"),
+        known(10, F.struct(c("priority_name").alias("name"), (c("id") % 5).cast("string").alias("id"))).alias("priority"), person("assignee_name").alias("assignee"), person("creator_name").alias("creator"), known(4, person("creator_name")).alias("reporter"),
+        F.struct(F.substring_index("key", "-", 1).alias("key"), c("project_name").alias("name"), (c("id") % 2).cast("string").alias("id")).alias("project"),
+        named(c("parent_key"), "key").alias("parent"), iso(c("created")).alias("created"), iso(c("updated")).alias("updated"), iso(c("resolved")).alias("resolutiondate"), known(3, F.date_format("target_end_date", "yyyy-MM-dd")).alias("duedate"),
+        F.date_format("target_end_date", "yyyy-MM-dd").alias("target_end"), F.date_format("planned_start_date", "yyyy-MM-dd").alias("planned_start"), known(8, person("business_lead")).alias("lead"), named(c("estimated_size_name"), "value").alias("size"),
+        known(2, F.array(F.lit("team-a"), F.concat(F.lit("lead-"), "business_lead"))).alias("labels"), known(7, (c("id") % 100).cast("string")).alias("planning_rank"), known(6, (c("id") % 50).cast("string")).alias("portfolio_rank"),
+        known(5, c("parent_key")).alias("legend"), known(9, c("project_name")).alias("parent_project"),
     )
     return rows.select("id", "again", F.to_json(F.struct("key", c("id").cast("string").alias("id"), fields.alias("fields"), F.struct(history.alias("histories")).alias("changelog"))).alias("value"))
 
@@ -40,16 +44,33 @@ def raw_mrs(t):
     return rows.select("id", F.to_json(F.struct("id", "iid", (c("id") % 7).alias("project_id"), F.struct(c("author").alias("username")).alias("author"), iso(c("merged_at")).alias("merged_at"), F.struct(full.alias("full")).alias("references"), changes.alias("changes"))).alias("value"))
 
 
-parsed = lambda t: I.parse(raw_issues(t).filter("again = 0"), I.ISSUE)
+records = lambda t: I.parse(raw_issues(t), I.ISSUE)
+parsed = lambda t: I.latest(records(t), "key", [F.desc(I.parse_ts_utc(c("fields.updated")))])
 parsed_mrs = lambda t: I.parse(raw_mrs(t), I.MERGE_REQUEST)
+#: Raw records as rows: the repeated ones are an hour newer.
+RR = "SELECT *, 0 AS again FROM w_issues UNION ALL SELECT * REPLACE (updated + INTERVAL 1 HOUR AS updated), 1 FROM w_issues WHERE id % 9 = 0"
+_local = lambda x: f"({x} - INTERVAL 6 HOUR)"
+_parts = ", ".join(f"CAST({n}({_local(x)}) AS INT) AS {n}_{a}" for a, x in (("created", "created"), ("updated", "coalesce(resolved, updated)"), ("resolved", "resolved")) for n in ("year", "month"))
+_due = "CASE WHEN id % 3 <> 0 THEN CAST(CAST(target_end_date AS DATE) AS TIMESTAMP) END"
+_plan = "CAST(CAST(planned_start_date AS DATE) AS TIMESTAMP)"
 query(
     "issue_flatten_wide",
-    lambda t: I.flatten_wide(parsed(t), P),
-    f"""SELECT key, CAST(id AS VARCHAR) AS id, summary, status, issuetype, creator_name, coalesce(assignee_name, 'Unassigned') AS assignee_name, created, coalesce(resolved, updated) AS updated, resolved, project_name,
- CASE WHEN id % 10 <> 0 THEN priority_name ELSE 'None' END AS priority_name, business_lead, coalesce(estimated_size_name, 'Unestimated') AS estimated_size_name, parent_key AS parent, {NOW} AS today FROM w_issues""",
+    lambda t: I.flatten_wide(records(t), P).withColumns({x: F.round(x, 6) for x in ("velocity_hours", "velocity_backlog")}),
+    f"""SELECT key, CAST(id AS VARCHAR) AS id, summary, status, issuetype, creator_name, coalesce(assignee_name, 'Unassigned') AS assignee_name, {_local('created')} AS created, {_local('coalesce(resolved, updated)')} AS updated, {_local('resolved')} AS resolved,
+ project_name, CAST(id % 2 AS VARCHAR) AS project_id, CASE WHEN id % 10 <> 0 THEN priority_name ELSE 'No Priority' END AS priority_name, CASE WHEN id % 10 <> 0 THEN CAST(id % 5 AS VARCHAR) ELSE 'No Priority' END AS priority_id,
+ {_due} AS project_due_date, {NOW} AS today, greatest(0, {floor_days('created', NOW)}) AS days_old, {_parts}, greatest(0, {floor_days('updated', NOW)}) AS last_updated_days, {floor_days('updated', _due)} AS project_due_date_days,
+ {floor_days('created', 'updated')} AS velocity, round({days('created', 'updated')} * 24, 6) AS velocity_hours, {floor_days('created', 'updated')} AS velocity_days, CAST(CAST(target_end_date AS DATE) AS TIMESTAMP) AS target_end_date, {_plan} AS planned_start_date,
+ CASE WHEN id % 8 <> 0 THEN replace(business_lead, '.', ' ') ELSE 'Unknown' END AS business_lead, CASE WHEN id % 7 <> 0 THEN CAST(id % 100 AS VARCHAR) ELSE 'Unknown' END AS planning_rank, CASE WHEN id % 6 <> 0 THEN CAST(id % 50 AS VARCHAR) END AS portfolio_rank,
+ CASE WHEN id % 5 <> 0 THEN parent_key END AS legend, CASE WHEN id % 9 <> 0 THEN project_name END AS parent_project, parent_key AS parent, estimated_size_name,
+ CAST(CASE estimated_size_name WHEN 'Small' THEN 1 WHEN 'Medium' THEN 2 WHEN 'Large' THEN 3 WHEN 'XL' THEN 4 ELSE 0 END AS INT) AS estimated_size_number, round({days('created', _plan)}, 6) AS velocity_backlog,
+ CASE WHEN planned_start_date IS NOT NULL THEN greatest(0, {floor_days('created', _plan)}) END AS velocity_backlog_days FROM rr""",
+    rr=RR,
 )
-SNAP = """SELECT key, id, status, status_category, issuetype, CASE WHEN id % 10 <> 0 THEN priority_name END AS priority, assignee_name AS assignee, parent_key, created, {updated} AS updated, resolved AS resolutiondate, CAST(target_end_date AS DATE) AS target_end FROM w_issues"""
-query("issue_flatten_snapshot", lambda t: I.flatten_snapshot(parsed(t)).drop("labels"), SNAP.format(updated="updated"))
+SNAP = """SELECT key, id, left(key, 3) AS project, issuetype, status, status_category, CASE WHEN id % 10 <> 0 THEN priority_name ELSE 'No Priority' END AS priority, summary, assignee_name AS assignee, 'acc-' || assignee_name AS assignee_account_id,
+ CASE WHEN id % 4 <> 0 THEN creator_name END AS reporter, CASE WHEN id % 8 <> 0 THEN business_lead END AS business_lead, parent_key, created, updated, resolved AS resolutiondate, CAST(planned_start_date AS DATE) AS planned_start, CAST(target_end_date AS DATE) AS target_end,
+ CASE WHEN id % 2 <> 0 THEN 'team-a,lead-' || business_lead ELSE '' END AS labels, updated AS fetched_at FROM {rows}"""
+shown = lambda rows: rows.withColumn("labels", F.array_join("labels", ","))
+query("issue_flatten_snapshot", lambda t: shown(I.flatten_snapshot(records(t))), SNAP.format(rows="rr"), rr=RR)
 query("changelog_transitions", lambda t: I.changelog_transitions(parsed(t)), "SELECT t.key, to_status, changed_at, seq FROM w_transitions t WHERE key IN (SELECT key FROM w_issues)")
 query(
     "transition_seq",
@@ -89,7 +110,7 @@ query(
     lambda t: I.incremental_slice(t.issues.select("key", "updated"), t.issues.filter("id % 100 = 0").agg(F.max("updated").alias("at")), "updated", "'2' MINUTE"),
     "SELECT key, updated FROM w_issues WHERE updated >= (SELECT max(updated) FROM w_issues WHERE id % 100 = 0) - INTERVAL 2 MINUTE",
 )
-query("sync_audit", lambda t: parsed(t).agg(F.count("*").alias("fetched"), F.max(I.parse_ts_utc(c("fields.updated"))).alias("watermark")), "SELECT count(*) AS fetched, max(updated) AS watermark FROM w_issues")
+query("sync_audit", lambda t: records(t).agg(F.count("*").alias("fetched"), F.max(I.parse_ts_utc(c("fields.updated"))).alias("watermark")), "SELECT count(*) AS fetched, max(updated) AS watermark FROM rr", rr=RR)
 query("lookback_slice", lambda t: I.lookback_slice(t.issues, P).select("key", "created"), f"SELECT key, created FROM w_issues WHERE created >= {NOW} - INTERVAL 730 DAY")
 
 
@@ -113,13 +134,13 @@ def _staged(t, raw) -> str:
 def stream_issue_ingest(t):
     target = I.shared_dir(t.spark)
     intake.run_issue_stream(t.spark, _staged(t, raw_issues(t)), target).awaitTermination()
-    return t.spark.read.parquet(f"{target}/data").drop("bucket", "labels")
+    return shown(I.read_latest(t.spark, target, "key", "updated"))
 
 
 def stream_mr_ingest(t):
     target = I.shared_dir(t.spark)
     intake.run_mr_stream(t.spark, _staged(t, raw_mrs(t)), target).awaitTermination()
-    return t.spark.read.parquet(f"{target}/data").select("id", "project_path", "iid", "author", "merged_at", F.size("paths").cast("long").alias("n_paths"))
+    return I.read_latest(t.spark, target, "id", "merged_at").select("id", "project_path", "iid", "author", "merged_at", F.size("paths").cast("long").alias("n_paths"))
 
 
 def _transition_stream(t):
@@ -140,15 +161,24 @@ def _complete(t, stream, mode: str, name: str):
     return t.spark.read.parquet(f"{target}/{name}")
 
 
-query("stream_issue_ingest", stream_issue_ingest, SNAP.format(updated="CASE WHEN id % 9 = 0 THEN updated + INTERVAL 1 HOUR ELSE updated END"))
+query("stream_issue_ingest", stream_issue_ingest, SNAP.format(rows="nw"), rr=RR, nw="SELECT * FROM rr WHERE again = 1 OR id % 9 <> 0")
 query("stream_mr_ingest", stream_mr_ingest, f"SELECT m.*, coalesce(n, 0) AS n_paths FROM ({MRF}) m LEFT JOIN (SELECT mr_id, count(DISTINCT path) AS n FROM ({PATHS}) GROUP BY 1) x ON x.mr_id = m.id")
 query(
     "stream_completions",
     lambda t: _complete(t, intake.daily_completions(_transition_stream(t)), "complete", "days").select(F.to_date("day").alias("day"), "n"),
     "SELECT CAST(changed_at AS DATE) AS day, count(*) AS n FROM w_transitions WHERE to_status = 'Done' GROUP BY 1",
 )
-query(
-    "overlap_safe_idempotence",
-    lambda t: _complete(t, intake.deduplicated(_transition_stream(t).unionByName(_transition_stream(t)).withColumn("id", F.concat_ws("/", "key", "seq")), "id", "changed_at", "4000 days"), "append", "once").groupBy("to_status").agg(F.count("*").alias("n")),
-    "SELECT to_status, count(*) AS n FROM w_transitions GROUP BY 1",
-)
+
+
+def reread(t):
+    """Every transition is read twice, as an overlapping margin would; the second reading is another batch, and both are upserts by the transition's id."""
+    target, source = I.shared_dir(t.spark), I.shared_dir(t.spark)
+    rows = t.transitions.select(F.concat_ws("/", "key", "seq").alias("id"), "to_status", "changed_at")
+    rows.unionByName(rows).write.parquet(source)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(source)
+    merge = lambda batch, epoch: I.append_batch(I.latest(batch, "id", [F.desc("changed_at")]), target, epoch)
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return I.read_latest(t.spark, target, "id", "changed_at").groupBy("to_status").agg(F.count("*").alias("n"))
+
+
+query("overlap_safe_idempotence", reread, "SELECT to_status, count(*) AS n FROM w_transitions GROUP BY 1")

@@ -9,7 +9,7 @@ from worklens.functions import scalars as S
 from worklens.functions.params import DEFAULT as P, PRIORITIES, QUEUE, SIZES
 from worklens.operators import flow, reports as R
 from worklens.plans.registry import NOW, days, floor_days, query
-from worklens.plans.scalar_queries import ATTENTION, IN_SCOPE, OPEN, SLA, attention, sla_rows, sla_scope
+from worklens.plans.scalar_queries import ATTENTION, CUT, IN_SCOPE, OPEN, SLA, attention, sla_rows, sla_scope
 
 c = F.col
 AGE = f"greatest(0, {floor_days('created', NOW)})"
@@ -76,7 +76,7 @@ query(
 )
 query(
     "sla_detail",
-    lambda t: _sla(t).filter("sla_status in ('Breached', 'At Risk')").select("key", "sla_status", F.row_number().over(Window.orderBy(S.rank_in(c("sla_status"), ("Breached", "At Risk")), F.desc(F.round("risk", 9)), F.desc("elapsed"), "key")).alias("place")),
+    lambda t: R.numbered(_sla(t).filter("sla_status in ('Breached', 'At Risk')"), [S.rank_in(c("sla_status"), ("Breached", "At Risk")), -F.floor(F.round("risk", 9) * 1000)], [F.desc(F.round("risk", 9)), F.desc("elapsed"), c("key")]).select("key", "sla_status", "place"),
     "SELECT key, sla_status, CAST(row_number() OVER (ORDER BY CASE sla_status WHEN 'Breached' THEN 1 ELSE 2 END, round(risk, 9) DESC, elapsed DESC, key) AS INT) AS place FROM sc WHERE sla_status IN ('Breached', 'At Risk')",
     sla=SLA, sc=SC,
 )
@@ -99,8 +99,8 @@ query(
 )
 query("melt_capacity", lambda t: R.created_vs_completed(t.issues).unpivot("month", ["created", "completed"], "kind", "n"), "SELECT month, 'created' AS kind, created AS n FROM cv WHERE month >= '1996' UNION ALL SELECT month, 'completed', completed FROM cv WHERE month >= '1996'", cv=CV)
 query("yearly_total", lambda t: t.issues.groupBy(F.year("updated").alias("year")).agg(F.count("*").alias("n")).filter("year >= 1998"), "SELECT CAST(year(updated) AS INT) AS year, count(*) AS n FROM w_issues GROUP BY 1 HAVING year >= 1998")
-_spine = lambda t: flow.month_spine(t.spark, "1999-01", "2001-08")
-SP = "SELECT strftime(m, '%Y-%m') AS month FROM range(DATE '1999-01-01', DATE '2001-09-01', INTERVAL 1 MONTH) r(m)"
+_spine = lambda t: flow.spine_of(t.issues, P)
+SP = f"SELECT strftime(unnest(range(date_trunc('month', low), date_trunc('month', high) + INTERVAL 1 MONTH, INTERVAL 1 MONTH)), '%Y-%m') AS month FROM (SELECT min(created) AS low, least(max(greatest(created, coalesce(resolved, updated))), {NOW}) AS high FROM w_issues)"
 MF = "SELECT sp.month, coalesce(created, 0) AS created, coalesce(completed, 0) AS completed, coalesce(completed, 0) - coalesce(created, 0) AS net FROM sp LEFT JOIN cv ON cv.month = sp.month"
 _flow = lambda t: R.monthly_flow(t.issues, _spine(t))
 query("month_spine_join", lambda t: _flow(t).select("month", "created", "completed"), "SELECT month, created, completed FROM mf", cv=CV, sp=SP, mf=MF)
@@ -131,8 +131,8 @@ query(
     "SELECT CAST(sum(created) AS BIGINT) AS created, CAST(sum(completed) AS BIGINT) AS completed, round(CAST(sum(completed) AS DOUBLE) / sum(created) * 100, 6) AS rate FROM mf",
     cv=CV, sp=SP, mf=MF,
 )
-VU = f"""SELECT key, assignee_name AS assignee, {VEL} AS priority, 'backlog' AS kind, greatest(0, {floor_days('created', 'planned_start_date')}) AS days FROM w_issues WHERE assignee_name IN ({TEAM}) AND created >= {NOW} - INTERVAL 720 DAY AND planned_start_date IS NOT NULL
- UNION ALL SELECT key, assignee_name, {VEL}, 'execution', {floor_days('created', 'coalesce(resolved, updated)')} FROM w_issues WHERE assignee_name IN ({TEAM}) AND created >= {NOW} - INTERVAL 720 DAY AND status = 'Done' AND {floor_days('created', 'updated')} >= 0"""
+VU = f"""SELECT key, assignee_name AS assignee, {VEL} AS priority, 'backlog' AS kind, {floor_days('created', 'planned_start_date')} AS days FROM w_issues WHERE assignee_name IN ({TEAM}) AND created >= {NOW} - INTERVAL 720 DAY AND status = 'Done' AND {floor_days('created', 'planned_start_date')} > 0
+ UNION ALL SELECT key, assignee_name, {VEL}, 'execution', {floor_days('created', 'coalesce(resolved, updated)')} FROM w_issues WHERE assignee_name IN ({TEAM}) AND created >= {NOW} - INTERVAL 720 DAY AND status = 'Done' AND {floor_days('created', 'updated')} > 0"""
 _vu = lambda t: R.velocity_union(t.issues, P)
 query("velocity_union", _vu, "SELECT * FROM vu", vu=VU)
 query(
@@ -146,19 +146,20 @@ query("velocity_pair_outer", lambda t: R.velocity_pair(_vu(t)), "SELECT * FROM v
 query(
     "complete_grid",
     lambda t: R.complete_grid(_vu(t)),
-    "SELECT a.assignee, k.kind, p.priority, round(coalesce(m.mean, (SELECT avg(days) FROM vu)), 6) AS mean FROM (SELECT DISTINCT assignee FROM vu) a CROSS JOIN (SELECT DISTINCT kind FROM vu) k CROSS JOIN (SELECT DISTINCT priority FROM vu) p LEFT JOIN (SELECT assignee, kind, priority, avg(days) AS mean FROM vu GROUP BY 1, 2, 3) m ON m.assignee = a.assignee AND m.kind = k.kind AND m.priority = p.priority",
+    "SELECT a.assignee, k.kind, p.priority, round(coalesce(m.mean, (SELECT avg(days) FROM vu)), 6) AS mean FROM (SELECT DISTINCT assignee FROM vu) a CROSS JOIN (VALUES ('backlog'), ('execution')) k(kind) CROSS JOIN (SELECT DISTINCT priority FROM vu) p LEFT JOIN (SELECT assignee, kind, priority, avg(days) AS mean FROM vu GROUP BY 1, 2, 3) m ON m.assignee = a.assignee AND m.kind = k.kind AND m.priority = p.priority",
     vu=VU,
 )
-EP = f"SELECT assignee_name AS assignee, {EX} AS x, 1 / (1 + {days('updated', NOW)} / 30.0) AS w FROM w_issues WHERE {DONE}"
+EP = f"SELECT assignee_name AS assignee, {EX} AS x, 1 / (1 + {days('updated', NOW)} / 30.0) AS w FROM w_issues WHERE status = 'Done' AND coalesce(resolved, updated) >= {CUT}"
+_recent_done = lambda t: R.done_window(t.issues, P)
 query(
     "execution_profile",
-    lambda t: R.execution_profile(_done(t), P),
+    lambda t: R.execution_profile(_recent_done(t), P),
     "SELECT * FROM (SELECT assignee, round(quantile_cont(x, 0.5), 6) AS median, round(sum(x * w) / sum(w), 6) AS weighted, count(*) AS n FROM ep WHERE assignee IS NOT NULL GROUP BY 1), (SELECT round(quantile_cont(x, 0.5), 6) AS median_all, round(sum(x * w) / sum(w), 6) AS weighted_all, count(*) AS n_all FROM ep)",
     ep=EP,
 )
 IL = "SELECT assignee, open, round(open * coalesce(m, (SELECT round(quantile_cont(x, 0.5), 6) FROM ep)), 6) AS estimated_days FROM (SELECT assignee_name AS assignee, count(*) AS open FROM w_issues WHERE status = 'In Progress' AND assignee_name IS NOT NULL GROUP BY 1) LEFT JOIN (SELECT assignee AS a, round(quantile_cont(x, 0.5), 6) AS m FROM ep GROUP BY 1) ON a = assignee"
 LB = "CASE WHEN {x} > 90 THEN 'Critical' WHEN {x} > 60 THEN 'High' WHEN {x} > 30 THEN 'Medium' WHEN {x} > 0 THEN 'Low' ELSE 'None' END"
-_load = lambda t: R.in_progress_load(t.issues, _done(t), P)
+_load = lambda t: R.in_progress_load(t.issues, _recent_done(t), P)
 query("in_progress_load", _load, f"SELECT *, {LB.format(x='estimated_days')} AS bucket FROM il", ep=EP, il=IL)
 query("counts_left_velocity", lambda t: _load(t).select("assignee", "estimated_days"), "SELECT assignee, estimated_days FROM il", ep=EP, il=IL)
 query(
@@ -169,11 +170,17 @@ query(
 )
 query(
     "backlog_complexity",
-    lambda t: R.backlog_complexity(t.issues, _vu(t)),
-    f"""WITH h AS (SELECT i AS k, sum(1.0 / i) OVER (ORDER BY i) AS h FROM range(1, 100001) r(i)), x AS (SELECT assignee_name AS assignee, count(*) AS open FROM w_issues WHERE status IN ('Backlog', 'To Do') AND assignee_name IS NOT NULL GROUP BY 1),
- y AS (SELECT x.assignee, open, coalesce(execution, (SELECT avg(days) FROM vu WHERE kind = 'execution')) AS av, coalesce(backlog, 0) AS bl FROM x LEFT JOIN vp ON vp.assignee = x.assignee)
- SELECT assignee, open, round(abs(av - bl), 6) AS complexity, round(av * h, 6) AS estimate, {LB.format(x='abs(av - bl)')} AS bucket FROM y JOIN h ON h.k = y.open""",
-    vu=VU, vp=VP,
+    lambda t: R.backlog_complexity(t.issues, R.done_window_union(t.issues, P)),
+    f"""WITH h AS (SELECT i AS k, sum(1.0 / i) OVER (ORDER BY i) AS h FROM range(1, 100001) r(i)), x AS (SELECT coalesce(assignee_name, 'Unassigned') AS assignee, count(*) AS open FROM w_issues WHERE status IN ('Backlog', 'To Do') GROUP BY 1),
+ d AS (SELECT coalesce(assignee_name, 'Unassigned') AS assignee, coalesce(priority_name, 'Unknown') AS priority, {floor_days('created', 'planned_start_date')} AS b, {floor_days('created', 'updated')} AS e FROM w_issues
+  WHERE status = 'Done' AND coalesce(resolved, updated) >= {CUT} AND lower(coalesce(assignee_name, '')) <> 'engineer 10'),
+ u AS (SELECT assignee, priority, 'backlog' AS kind, b AS days FROM d WHERE b > 0 UNION ALL SELECT assignee, priority, 'execution', e FROM d WHERE e > 0),
+ g AS (SELECT a.assignee, k.kind, coalesce(m.mean, (SELECT avg(days) FROM u)) AS mean FROM (SELECT DISTINCT assignee FROM u) a CROSS JOIN (VALUES ('backlog'), ('execution')) k(kind) CROSS JOIN (SELECT DISTINCT priority FROM u) p
+  LEFT JOIN (SELECT assignee, kind, priority, avg(days) AS mean FROM u GROUP BY 1, 2, 3) m ON m.assignee = a.assignee AND m.kind = k.kind AND m.priority = p.priority),
+ q AS (SELECT assignee, avg(mean) FILTER (kind = 'backlog') AS bl, avg(mean) FILTER (kind = 'execution') AS av FROM g GROUP BY 1),
+ y AS (SELECT x.assignee, open, coalesce(av, (SELECT coalesce(avg(av), 0) FROM q)) AS av, coalesce(bl, (SELECT coalesce(avg(bl), 0) FROM q)) AS bl FROM x LEFT JOIN q ON q.assignee = x.assignee),
+ z AS (SELECT *, round(abs(av - bl), 6) AS complexity FROM y)
+ SELECT assignee, open, complexity, round(av * h, 6) AS estimate, {LB.format(x='complexity')} AS bucket FROM z JOIN h ON h.k = z.open""",
 )
 for _n, _s in (("blocked_report", "Blocked"), ("validating_report", "Validating")):
     query(
@@ -221,22 +228,24 @@ query(
     f"WITH x AS (SELECT status, {VEL} AS priority FROM w_issues WHERE {OPEN}) SELECT a.status, b.priority, count(x.status) AS n FROM (SELECT DISTINCT status FROM x) a CROSS JOIN (SELECT DISTINCT priority FROM x) b LEFT JOIN x ON x.status = a.status AND x.priority = b.priority GROUP BY 1, 2",
 )
 query("option_lists", lambda t: t.issues.select(F.lit("priority").alias("list"), c("priority_name").alias("value")).union(t.issues.filter("assignee_name is not null").select(F.lit("assignee"), "assignee_name")).distinct(), "SELECT DISTINCT 'priority' AS list, priority_name AS value FROM w_issues UNION SELECT DISTINCT 'assignee', assignee_name FROM w_issues WHERE assignee_name IS NOT NULL")
+NORM = "lower(trim(translate({x}, '_-', '  ')))"
 query(
     "personal_kpis",
     lambda t: R.personal_kpis(t.issues, P),
-    f"""SELECT assignee_name, count(*) AS total, count(*) FILTER ({OPEN}) AS open, count(*) FILTER (status = 'Done') AS done, count(*) FILTER (status = 'In Progress') AS in_progress, count(*) FILTER (status = 'Blocked') AS blocked, count(*) FILTER (status = 'Validating') AS validating,
- count(*) FILTER (status = 'On Hold') AS on_hold, count(*) FILTER ({OPEN} AND {LEFT} < 0) AS overdue, count(*) FILTER ({OPEN} AND {LEFT} BETWEEN 0 AND 7) AS due_soon, count(*) FILTER ({OPEN} AND {AGE} >= 90) AS aging, count(*) FILTER ({OPEN} AND priority_name IN ('Urgent', 'High')) AS high_priority,
- count(*) FILTER ({OPEN} AND target_end_date IS NULL) AS no_target, count(*) FILTER (issuetype = 'Feature') AS features, round(avg({AGE}) FILTER ({OPEN}), 6) AS mean_age, max({AGE}) FILTER ({OPEN}) AS max_age FROM w_issues WHERE assignee_name IS NOT NULL GROUP BY 1""",
+    f"""SELECT assignee_name, count(*) AS total, count(*) FILTER (s <> 'done') AS open, count(*) FILTER (s = 'done') AS done, count(*) FILTER (s = 'in progress') AS in_progress, count(*) FILTER (s = 'on hold') AS on_hold, count(*) FILTER (s = 'blocked') AS blocked,
+ count(*) FILTER (s = 'validating') AS validating, count(*) FILTER (s <> 'done' AND {LEFT} < 0) AS overdue, count(*) FILTER (s <> 'done' AND {LEFT} BETWEEN 0 AND 7) AS due_soon, count(*) FILTER (s <> 'done' AND target_end_date IS NULL) AS missing_target,
+ count(*) FILTER (s <> 'done' AND p IN ('critical', 'urgent', 'high')) AS high_priority, count(*) FILTER (s = 'triage') AS triage, count(*) FILTER (s = 'tech discovery required') AS tech_discovery, round(avg({AGE}), 6) AS mean_age, max({AGE}) AS max_age
+ FROM (SELECT *, {NORM.format(x='status')} AS s, {NORM.format(x='priority_name')} AS p FROM w_issues) WHERE assignee_name IS NOT NULL GROUP BY 1""",
 )
 query(
     "attention_list",
-    lambda t: attention(t.issues).filter("issuetype <> 'Feature' and assignee_name is not null and attention <> 'Closed'").withColumn("place", F.row_number().over(Window.partitionBy("assignee_name").orderBy("attention_rank", F.asc_nulls_last("days_left"), S.rank_in(c("priority"), PRIORITIES), F.desc("age"), "key"))).filter("place <= 15").select("assignee_name", "place", "key", "attention"),
-    "SELECT assignee_name, CAST(place AS INT) AS place, key, attention FROM (SELECT *, row_number() OVER (PARTITION BY assignee_name ORDER BY attention_rank, days_left NULLS LAST, CASE priority WHEN 'Urgent' THEN 1 WHEN 'High' THEN 2 WHEN 'Medium' THEN 3 WHEN 'Low' THEN 4 ELSE 5 END, age DESC, key) AS place FROM att WHERE issuetype <> 'Feature' AND assignee_name IS NOT NULL AND attention <> 'Closed') WHERE place <= 15",
+    lambda t: attention(t.issues).filter("issuetype <> 'Feature' and assignee_name is not null and status <> 'Done'").withColumn("place", F.row_number().over(Window.partitionBy("assignee_name").orderBy("attention_rank", F.asc_nulls_last("days_left"), "priority_rank", F.desc("age"), "key"))).filter("place <= 15").select("assignee_name", "place", "key", "attention"),
+    "SELECT assignee_name, CAST(place AS INT) AS place, key, attention FROM (SELECT *, row_number() OVER (PARTITION BY assignee_name ORDER BY attention_rank, days_left NULLS LAST, priority_rank, age DESC, key) AS place FROM att WHERE issuetype <> 'Feature' AND assignee_name IS NOT NULL AND sn <> 'done') WHERE place <= 15",
     att=ATTENTION,
 )
 query(
     "queue_oldest_first",
-    lambda t: t.issues.filter(c("status").isin(*QUEUE) & ~c("issuetype").isin("Feature", "Initiative", "Epic")).select("key", "created", F.row_number().over(Window.orderBy("created", "key")).alias("place")),
+    lambda t: R.numbered(t.issues.filter(c("status").isin(*QUEUE) & ~c("issuetype").isin("Feature", "Initiative", "Epic")), [F.to_date("created")], ["created", "key"]).select("key", "created", "place"),
     "SELECT key, created, CAST(row_number() OVER (ORDER BY created, key) AS INT) AS place FROM w_issues WHERE status IN ('Triage', 'Reviewing') AND issuetype NOT IN ('Feature', 'Initiative', 'Epic')",
 )
 query(
@@ -244,7 +253,8 @@ query(
     lambda t: t.issues.filter(c("status").isin("In Progress", "Backlog", "Validating", "Blocked")).select("status", "key", F.substring("summary", 1, 120).alias("summary"), "assignee_name", "priority_name", age().alias("age"), left().alias("days_left")).orderBy("status", F.desc("age"), "key"),
     f"SELECT status, key, left(summary, 120) AS summary, assignee_name, priority_name, {AGE} AS age, {LEFT} AS days_left FROM w_issues WHERE status IN ('In Progress', 'Backlog', 'Validating', 'Blocked')",
 )
-TR = f"SELECT key, assignee_name AS assignee, {VEL} AS priority, updated, {EX} AS cycle, CAST(updated <= target_end_date AS DOUBLE) AS on_time, {days('created', 'target_end_date')} AS budget FROM w_issues WHERE status = 'Done' AND target_end_date IS NOT NULL AND updated >= {NOW} - INTERVAL 720 DAY AND {EX} >= 0 AND {days('created', 'target_end_date')} >= 1"
+TR = f"""SELECT key, assignee_name AS assignee, coalesce(priority_name, 'No Priority') AS priority, updated, {floor_days('created', 'updated')} AS cycle, CAST(updated <= target_end_date AS DOUBLE) AS on_time, {floor_days('created', 'target_end_date')} AS budget
+ FROM w_issues WHERE lower(trim(status)) = 'done' AND assignee_name IN ({TEAM}) AND target_end_date IS NOT NULL AND updated >= CAST({NOW} AS DATE) - INTERVAL 720 DAY AND {floor_days('created', 'updated')} >= 0 AND {floor_days('created', 'target_end_date')} >= 1"""
 
 
 def training(t):
@@ -253,16 +263,18 @@ def training(t):
     return training_rows(t.issues, P, 720)
 
 
-query("training_rows", lambda t: training(t).select("key", F.round("cycle", 6).alias("cycle"), "on_time"), "SELECT key, round(cycle, 6) AS cycle, on_time FROM tr", tr=TR)
+query("training_rows", lambda t: training(t).select("key", "cycle", "on_time"), "SELECT key, cycle, on_time FROM tr", tr=TR)
 query(
     "trimmed_mean",
     lambda t: R.trimmed_mean(training(t), "assignee", "cycle"),
     "SELECT assignee, round(CASE WHEN any_value(n) < 5 THEN any_value(mid) ELSE coalesce(avg(cycle) FILTER (cycle BETWEEN lo AND hi), any_value(mid)) END, 6) AS trimmed FROM (SELECT tr.*, q.* EXCLUDE (a) FROM tr JOIN (SELECT assignee AS a, quantile_cont(cycle, 0.05) AS lo, quantile_cont(cycle, 0.95) AS hi, quantile_cont(cycle, 0.5) AS mid, count(*) AS n FROM tr WHERE assignee IS NOT NULL GROUP BY 1) q ON q.a = tr.assignee) GROUP BY 1",
     tr=TR,
 )
-SM = "SELECT {by}, round((sum({x}) + (SELECT avg({x}) FROM tr) * 8.0) / (count({x}) + 8.0), 6) AS smoothed FROM tr WHERE {by} IS NOT NULL GROUP BY 1"
-query("smoothed_group_mean", lambda t: R.smoothed_mean(training(t), "assignee", c("cycle")), SM.format(by="assignee", x="cycle"), tr=TR)
-query("smoothed_rate", lambda t: R.smoothed_mean(training(t), "priority", c("on_time")), SM.format(by="priority", x="on_time"), tr=TR)
+SM = "SELECT {by}, round((sum({x}) + {prior} * 8.0) / (count({x}) + 8.0), 6) AS smoothed FROM {tr} WHERE {by} IS NOT NULL GROUP BY 1"
+TRIMMED = "(SELECT round(CASE WHEN any_value(n) < 5 THEN any_value(mid) ELSE coalesce(avg({x}) FILTER ({x} BETWEEN lo AND hi), any_value(mid)) END, 6) FROM {tr}, (SELECT quantile_cont({x}, 0.05) AS lo, quantile_cont({x}, 0.95) AS hi, quantile_cont({x}, 0.5) AS mid, count({x}) AS n FROM {tr}))"
+_smoothed = lambda rows, by: R.smoothed_mean(rows, by, "cycle", R.trimmed_mean(rows, None, "cycle"))
+query("smoothed_group_mean", lambda t: _smoothed(training(t), "assignee"), SM.format(by="assignee", x="cycle", tr="tr", prior=TRIMMED.format(x="cycle", tr="tr")), tr=TR)
+query("smoothed_rate", lambda t: R.smoothed_mean(training(t), "priority", "on_time"), SM.format(by="priority", x="on_time", tr="tr", prior="(SELECT avg(on_time) FROM tr)"), tr=TR)
 query(
     "leave_one_out",
     lambda t: R.leave_one_out(training(t), "assignee", "on_time").select("key", "loo"),
@@ -273,27 +285,28 @@ query("open_backlog_counts", lambda t: t.issues.filter(R.is_open()).groupBy("ass
 query("group_medians", lambda t: training(t).groupBy("assignee").agg(F.round(F.percentile("cycle", 0.5), 6).alias("median"), F.count("*").alias("n")), "SELECT assignee, round(quantile_cont(cycle, 0.5), 6) AS median, count(*) AS n FROM tr GROUP BY 1", tr=TR)
 query(
     "group_map_fallback",
-    lambda t: training(t).select("key", "assignee", "priority").join(F.broadcast(R.smoothed_mean(training(t).filter("assignee <> 'Engineer 3'"), "assignee", c("cycle")).withColumnRenamed("smoothed", "a")), "assignee", "left").join(F.broadcast(R.smoothed_mean(training(t), "priority", c("cycle")).withColumnRenamed("smoothed", "b")), "priority", "left").select("key", F.coalesce("a", "b").alias("value")),
-    "SELECT key, coalesce(a.smoothed, b.smoothed) AS value FROM tr LEFT JOIN (" + SM.replace("FROM tr)", "FROM tr WHERE assignee <> 'Engineer 3')").replace("FROM tr WHERE {by}", "FROM tr WHERE assignee <> 'Engineer 3' AND {by}").format(by="assignee", x="cycle") + ") a ON a.assignee = tr.assignee LEFT JOIN (" + SM.format(by="priority", x="cycle") + ") b ON b.priority = tr.priority",
-    tr=TR,
+    lambda t: training(t).select("key", "assignee", "priority").join(_smoothed(training(t).filter("assignee <> 'Engineer 3'"), "assignee").withColumnRenamed("smoothed", "a"), "assignee", "left").join(_smoothed(training(t), "priority").withColumnRenamed("smoothed", "b"), "priority", "left").select("key", F.coalesce("a", "b").alias("value")),
+    "SELECT key, coalesce(a.smoothed, b.smoothed) AS value FROM tr LEFT JOIN (" + SM.format(by="assignee", x="cycle", tr="t3", prior=TRIMMED.format(x="cycle", tr="t3")) + ") a ON a.assignee = tr.assignee LEFT JOIN (" + SM.format(by="priority", x="cycle", tr="tr", prior=TRIMMED.format(x="cycle", tr="tr")) + ") b ON b.priority = tr.priority",
+    tr=TR, t3="SELECT * FROM tr WHERE assignee <> 'Engineer 3'",
 )
 query("on_time_mix", lambda t: R.on_spine(training(t).groupBy(F.when(c("on_time") == 1, "Yes").otherwise("No").alias("on_time")).agg(F.count("*").alias("n")), ("Yes", "No"), "on_time"), "SELECT v.on_time, count(tr.key) AS n FROM (VALUES ('Yes', 1.0), ('No', 0.0)) v(on_time, x) LEFT JOIN tr ON tr.on_time = v.x GROUP BY 1", tr=TR)
+_newest = lambda rows, *order: R.numbered(rows, [-F.datediff(c("updated"), F.lit("1970-01-01").cast("date"))], order)
 query(
     "rolling_on_time",
-    lambda t: training(t).select("assignee", "key", F.round(F.avg("on_time").over(Window.partitionBy("assignee").orderBy("updated", "key").rowsBetween(-3, 3)) * 100, 6).alias("rolling")),
-    "SELECT assignee, key, round(avg(on_time) OVER (PARTITION BY assignee ORDER BY updated, key ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) * 100, 6) AS rolling FROM tr",
+    lambda t: R.centred_mean(R.numbered(training(t).select("key", "updated", "on_time"), [F.to_date("updated")], ["updated", "key"]), "place", "on_time").select("key", F.round("rolling", 6).alias("rolling")),
+    "SELECT key, round(avg(on_time) OVER (ORDER BY updated, key ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) * 100, 6) AS rolling FROM tr",
     tr=TR,
 )
 query(
     "time_holdout",
-    lambda t: training(t).select("key", F.row_number().over(Window.orderBy(F.desc("updated"), F.desc("key"))).alias("r")).crossJoin(training(t).agg(F.count("*").alias("n"))).select("key", (c("r") <= F.least(F.greatest(F.lit(1), F.floor(c("n") * 0.2)), F.greatest(F.lit(0), c("n") - 10))).alias("held_out")),
+    lambda t: _newest(training(t), F.desc("updated"), F.desc("key")).crossJoin(F.broadcast(training(t).agg(F.count("*").alias("n")))).select("key", (c("place") <= F.least(F.greatest(F.lit(1), F.floor(c("n") * 0.2)), F.greatest(F.lit(0), c("n") - 10))).alias("held_out")),
     "SELECT key, row_number() OVER (ORDER BY updated DESC, key DESC) <= least(greatest(1, floor(n * 0.2)), greatest(0, n - 10)) AS held_out FROM tr, (SELECT count(*) AS n FROM tr)",
     tr=TR,
 )
 query(
     "training_detail",
-    lambda t: training(t).select("key", F.floor(c("cycle") - c("budget")).alias("past_due"), F.when(c("on_time") == 1, "Yes").otherwise("No").alias("on_time"), F.row_number().over(Window.orderBy(F.desc("updated"), "key")).alias("place")),
-    "SELECT key, CAST(floor(cycle - budget) AS BIGINT) AS past_due, CASE WHEN on_time = 1 THEN 'Yes' ELSE 'No' END AS on_time, CAST(row_number() OVER (ORDER BY updated DESC, key) AS INT) AS place FROM tr",
+    lambda t: _newest(training(t), F.desc("updated"), c("key")).select("key", (c("cycle") - c("budget")).alias("past_due"), F.when(c("on_time") == 1, "Yes").otherwise("No").alias("on_time"), "place"),
+    "SELECT key, cycle - budget AS past_due, CASE WHEN on_time = 1 THEN 'Yes' ELSE 'No' END AS on_time, CAST(row_number() OVER (ORDER BY updated DESC, key) AS INT) AS place FROM tr",
     tr=TR,
 )
 _mw = lambda: Window.orderBy("month")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from worklens.functions import scalars as S
-from worklens.functions.params import CLOSED, DEFAULT as P, PRIORITY_MAP, SIZES
+from worklens.functions import params
+from worklens.functions.params import DEFAULT as P, EXCLUDED_STATUSES, PRIORITY_MAP, SIZES
 from worklens.plans.registry import NOW, days, floor_days, query
 
 c = F.col
-closed_sql = ", ".join(f"'{s}'" for s in CLOSED)
+# Fixed values of the reports, stated again for the SQL.
+EXCLUDED_SQL = "'Technical Debt', 'Done', 'Backlog', 'Plan Release', 'Prepare Release', 'Will Not Do', 'Blocked For Development', 'Resource Constrained', 'Released Successfully to Production', '❌ Rolled Back'"
+SLA_SQL = "'in progress', 'on hold', 'blocked', 'to do', 'validating', 'tech discovery required'"
 size_sql = ", ".join(f"'{s}'" for s in SIZES[:4])
 
 query(
@@ -60,6 +63,18 @@ query(
     + ", ".join(f"coalesce((SELECT max(canonical) FROM m WHERE profile = '{p}' AND raw = lower(trim(priority_name))), 'None') AS {p}" for p in ("sla", "velocity", "executive"))
     + " FROM w_issues",
 )
+_spelled = ("Highest", " critical ", "URGENT", "Blocker", "P1", "prio 1", "High", "p2", "Prio2", "medium", "P 3", "prio3", "Low", "p4", "PRIO4", "lowest", "Normal", "No Priority", "")
+_spelling = "CASE " + " ".join(f"WHEN id % {len(_spelled) + 1} = {k} THEN '{x}'" for k, x in enumerate(_spelled)) + " END"
+query(
+    "canonical_priority_spellings",
+    lambda t: t.issues.select("key", F.expr(_spelling).alias("raw")).select("key", "raw", *[S.canonical_priority(c("raw"), p).alias(p) for p in ("sla", "velocity", "executive")]),
+    f"""SELECT key, raw,
+ CASE WHEN replace(x, ' ', '') IN ('highest', 'critical', 'urgent', 'blocker', 'p1', 'prio1') THEN 'Urgent' WHEN replace(x, ' ', '') IN ('high', 'p2', 'prio2') THEN 'High' WHEN replace(x, ' ', '') IN ('medium', 'p3', 'prio3') THEN 'Medium'
+  WHEN replace(x, ' ', '') IN ('low', 'p4', 'prio4') THEN 'Low' ELSE 'None' END AS sla,
+ CASE WHEN x IN ('urgent', 'highest', 'critical') THEN 'Urgent' WHEN x = 'high' THEN 'High' WHEN x = 'medium' THEN 'Medium' WHEN x = 'low' THEN 'Low' ELSE 'None' END AS velocity,
+ CASE WHEN x IN ('urgent', 'highest') THEN 'Urgent' WHEN x = 'high' THEN 'High' WHEN x = 'medium' THEN 'Medium' WHEN x = 'low' THEN 'Low' ELSE 'None' END AS executive
+ FROM (SELECT *, lower(trim(raw)) AS x FROM (SELECT key, {_spelling} AS raw FROM w_issues))""",
+)
 query(
     "normalize_size",
     lambda t: t.issues.select("key", S.normalize_size(c("estimated_size_name")).alias("size")),
@@ -105,7 +120,7 @@ SLA = f"""
 SELECT *, CASE WHEN resolved IS NOT NULL THEN CASE WHEN elapsed > target THEN 1.0 ELSE 0.0 END ELSE 1 / (1 + exp(-(elapsed / target - 0.82) * 10)) END AS risk,
  CASE WHEN elapsed > target THEN 'Breached' WHEN elapsed >= 0.8 * target THEN 'At Risk' ELSE 'On Track' END AS sla_status
 FROM (SELECT *, {_pri} AS priority, {days('created', f'coalesce(resolved, {NOW})')} AS elapsed,
- CASE WHEN {_own} > 0 THEN {_own} ELSE CASE {_pri} WHEN 'Urgent' THEN 3.0 WHEN 'High' THEN 7.0 WHEN 'Medium' THEN 30.0 WHEN 'Low' THEN 60.0 ELSE 90.0 END END AS target FROM w_issues)"""
+ CASE WHEN {_own} > 0 THEN {_own} ELSE CASE {_pri} WHEN 'Urgent' THEN 90.0 WHEN 'High' THEN 90.0 WHEN 'Medium' THEN 90.0 WHEN 'Low' THEN 90.0 ELSE 90.0 END END AS target FROM w_issues)"""
 query(
     "elapsed_target_days",
     lambda t: sla_rows(t).select("key", F.round("elapsed", 6).alias("elapsed"), F.round("target", 6).alias("target")),
@@ -155,8 +170,8 @@ query(
     f"SELECT key, greatest(-60, least(60, {_gap})) AS shown, abs({_gap}) > 60 AS clamped FROM w_issues WHERE target_end_date IS NOT NULL",
 )
 
-_open = lambda: ~F.lower(F.trim("status")).isin(*CLOSED)
-OPEN = f"lower(trim(status)) NOT IN ({closed_sql})"
+_open = lambda: ~F.coalesce(c("status").isin(*EXCLUDED_STATUSES), F.lit(False))
+OPEN = f"coalesce(status NOT IN ({EXCLUDED_SQL}), true)"
 query("open_filter", lambda t: t.issues.filter(_open()).select("key", "status"), f"SELECT key, status FROM w_issues WHERE {OPEN}")
 _age = f"greatest(0, {floor_days('created', NOW)})"
 query(
@@ -167,17 +182,16 @@ query(
 
 
 def in_window(col_name: str):
-    return c(col_name) >= P.now() - F.expr("INTERVAL '90' DAY")
+    return c(col_name) >= P.cutoff()
 
 
-IN_SCOPE = f"""NOT starts_with(key, 'CAR-') AND lower(status) IN ('backlog', 'in progress', 'blocked', 'on hold', 'validating', 'staged car')
- AND (created >= {NOW} - INTERVAL 90 DAY OR resolved >= {NOW} - INTERVAL 90 DAY)"""
+CUT = f"(CAST({NOW} AS DATE) - INTERVAL 90 DAY)"
+IN_SCOPE = f"""NOT starts_with(key, 'CAR-') AND lower(status) IN ({SLA_SQL})
+ AND (created >= {CUT} OR resolved >= {CUT})"""
 
 
 def sla_scope(rows):
-    from worklens.functions.params import SLA_STATUSES
-
-    keep = ~c("key").startswith(P.change_project + "-") & F.lower("status").isin(*SLA_STATUSES)
+    keep = ~c("key").startswith(P.change_project + "-") & F.lower("status").isin(*params.SLA_STATUSES)
     return rows.filter(keep & (in_window("created") | F.coalesce(in_window("resolved"), F.lit(False))))
 
 
@@ -185,7 +199,7 @@ query("sla_scope", lambda t: sla_scope(t.issues).select("key", "status", "create
 query(
     "done_window",
     lambda t: t.issues.filter("status = 'Done'").select("key", F.coalesce(in_window("resolved"), F.lit(True)).alias("kept_nulls"), F.coalesce(in_window("resolved"), F.lit(False)).alias("dropped_nulls")),
-    f"SELECT key, coalesce(resolved >= {NOW} - INTERVAL 90 DAY, true) AS kept_nulls, coalesce(resolved >= {NOW} - INTERVAL 90 DAY, false) AS dropped_nulls FROM w_issues WHERE status = 'Done'",
+    f"SELECT key, coalesce(resolved >= {CUT}, true) AS kept_nulls, coalesce(resolved >= {CUT}, false) AS dropped_nulls FROM w_issues WHERE status = 'Done'",
 )
 
 
@@ -243,24 +257,26 @@ query(
 
 
 def attention(rows):
-    """First matching rule, and its rank, of every issue."""
-    left, age, quiet = S.days_left(c("target_end_date"), P), S.age_days(c("created"), P), S.age_days(c("updated"), P)
-    status, priority = F.lower("status"), S.canonical_priority(c("priority_name"), "executive")
-    rules = [
-        (status.isin(*CLOSED), "Closed", 9), (status == "blocked", "Blocked", 1), (left < 0, "Overdue", 2), (left <= 7, "Due soon", 3), (priority == "Urgent", "Urgent", 4),
-        (quiet >= 30, "No recent update", 5), (age >= 90, "Aging", 6), (status == "validating", "Waiting on validation", 7),
-    ]
-    label, rank = F.lit("On track"), F.lit(8)
-    for condition, name, n in reversed(rules):
-        label, rank = F.when(condition, name).otherwise(label), F.when(condition, n).otherwise(rank)
-    return rows.select("*", left.alias("days_left"), age.alias("age"), priority.alias("priority"), label.alias("attention"), rank.alias("attention_rank"))
+    """First matching rule, and its rank, of every issue; an issue that no rule fits shows its status."""
+    left, status, priority = S.days_left(c("target_end_date"), P), S.normalize_text(c("status")), S.normalize_text(c("priority_name"))
+    is_open = status != "done"
+    fits = {
+        "Blocked": status == "blocked", "On Hold": status == "on hold", "Validating": status == "validating", "Overdue": is_open & (left < 0), "Due Soon": is_open & left.between(0, 7),
+        "Missing Target": is_open & c("target_end_date").isNull(), "High Priority": is_open & priority.isin("critical", "urgent", "high"), "In Progress": status == "in progress", "Done": status == "done",
+    }
+    label, rank = c("status"), F.lit(params.ATTENTION_OTHER)
+    for name, n in reversed(params.ATTENTION):
+        label, rank = F.when(fits[name], name).otherwise(label), F.when(fits[name], n).otherwise(rank)
+    order = S.rank_in(priority, params.ATTENTION_PRIORITIES)
+    return rows.select("*", left.alias("days_left"), S.age_days(c("created"), P).alias("age"), order.alias("priority_rank"), label.alias("attention"), rank.alias("attention_rank"))
 
 
 ATTENTION = f"""
-SELECT *, CASE attention WHEN 'Closed' THEN 9 WHEN 'Blocked' THEN 1 WHEN 'Overdue' THEN 2 WHEN 'Due soon' THEN 3 WHEN 'Urgent' THEN 4 WHEN 'No recent update' THEN 5 WHEN 'Aging' THEN 6 WHEN 'Waiting on validation' THEN 7 ELSE 8 END AS attention_rank
-FROM (SELECT *, CASE WHEN lower(status) IN ({closed_sql}) THEN 'Closed' WHEN status = 'Blocked' THEN 'Blocked' WHEN days_left < 0 THEN 'Overdue' WHEN days_left <= 7 THEN 'Due soon' WHEN priority = 'Urgent' THEN 'Urgent'
- WHEN quiet >= 30 THEN 'No recent update' WHEN age >= 90 THEN 'Aging' WHEN status = 'Validating' THEN 'Waiting on validation' ELSE 'On track' END AS attention
- FROM (SELECT *, CAST(CAST(target_end_date AS DATE) - CAST({NOW} AS DATE) AS INT) AS days_left, {_age} AS age, greatest(0, {floor_days('updated', NOW)}) AS quiet, {_pri} AS priority FROM w_issues))"""
+SELECT *, CASE attention WHEN 'Blocked' THEN 0 WHEN 'On Hold' THEN 1 WHEN 'Validating' THEN 2 WHEN 'Overdue' THEN 3 WHEN 'Due Soon' THEN 4 WHEN 'Missing Target' THEN 5 WHEN 'High Priority' THEN 6 WHEN 'In Progress' THEN 7 WHEN 'Done' THEN 9 ELSE 8 END AS attention_rank,
+ CASE pn WHEN 'critical' THEN 1 WHEN 'urgent' THEN 2 WHEN 'high' THEN 3 WHEN 'medium' THEN 4 WHEN 'low' THEN 5 WHEN 'no priority' THEN 6 ELSE 7 END AS priority_rank
+FROM (SELECT *, CASE WHEN sn = 'blocked' THEN 'Blocked' WHEN sn = 'on hold' THEN 'On Hold' WHEN sn = 'validating' THEN 'Validating' WHEN sn <> 'done' AND days_left < 0 THEN 'Overdue' WHEN sn <> 'done' AND days_left BETWEEN 0 AND 7 THEN 'Due Soon'
+ WHEN sn <> 'done' AND target_end_date IS NULL THEN 'Missing Target' WHEN sn <> 'done' AND pn IN ('critical', 'urgent', 'high') THEN 'High Priority' WHEN sn = 'in progress' THEN 'In Progress' WHEN sn = 'done' THEN 'Done' ELSE status END AS attention
+ FROM (SELECT *, CAST(CAST(target_end_date AS DATE) - CAST({NOW} AS DATE) AS INT) AS days_left, {_age} AS age, lower(trim(translate(status, '_-', '  '))) AS sn, lower(trim(translate(priority_name, '_-', '  '))) AS pn FROM w_issues))"""
 query(
     "attention_label",
     lambda t: attention(t.issues).select("key", "attention", c("attention_rank").cast("int").alias("attention_rank")),

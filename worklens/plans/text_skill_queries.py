@@ -10,14 +10,13 @@ from worklens.operators import skills as K, text as T
 from worklens.plans.registry import query
 
 c = F.col
-STOP = ("the", "and", "that", "for", "this", "with", "was", "are")
-stop_sql = ", ".join(f"'{w}'" for w in STOP)
+stop_sql = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 TOK = f"SELECT doc_id, month, word FROM (SELECT doc_id, month, unnest(regexp_extract_all(lower(text), '[a-zA-Z][a-zA-Z'']+')) AS word FROM w_texts) WHERE length(word) > 2 AND word NOT IN ({stop_sql})"
 LEX = "SELECT DISTINCT word, CAST(length(word) % 5 - 2 AS INT) AS valence FROM tok"
 
 
 def tokens(t):
-    return T.tokens(t.texts, t.spark.createDataFrame([(w,) for w in STOP], "word string"))
+    return T.tokens(t.texts, t.spark.createDataFrame([(w,) for w in T.STOP_WORDS], "word string"))
 
 
 def lexicon(t):
@@ -84,9 +83,9 @@ ranking = lambda t: K.domain_ranking(matrix(t), spare(t))
 query("corpus_domain_score", corpus, "SELECT * FROM cs", **SKILLS)
 query("skill_matrix", matrix, "SELECT * FROM sk", **SKILLS)
 query("domain_ranking", ranking, "SELECT * FROM rg", **SKILLS)
-over = lambda t: t.spark.createDataFrame([("sql", "Engineer 4", 1), ("sql", "Engineer 2", 2)], "domain string, engineer string, place int")
-added = lambda t: t.spark.createDataFrame([("sql", "Engineer 9"), ("iam", "Guest")], "domain string, engineer string")
-AO = "SELECT domain, engineer, place FROM rg WHERE domain <> 'sql' UNION ALL SELECT * FROM (VALUES ('sql', 'Engineer 4', 1), ('sql', 'Engineer 2', 2), ('sql', 'Engineer 9', 3)) UNION ALL SELECT 'iam', 'Guest', CAST(max(place) + 1 AS INT) FROM rg WHERE domain = 'iam'"
+over = lambda t: t.spark.createDataFrame([("BigQuery/Data", "Engineer 4", 1), ("BigQuery/Data", "Engineer 2", 2)], "domain string, engineer string, place int")
+added = lambda t: t.spark.createDataFrame([("BigQuery/Data", "Engineer 9"), ("IAM/RBAC", "Guest")], "domain string, engineer string")
+AO = "SELECT domain, engineer, place FROM rg WHERE domain <> 'BigQuery/Data' UNION ALL SELECT * FROM (VALUES ('BigQuery/Data', 'Engineer 4', 1), ('BigQuery/Data', 'Engineer 2', 2), ('BigQuery/Data', 'Engineer 9', 3)) UNION ALL SELECT 'IAM/RBAC', 'Guest', CAST(max(place) + 1 AS INT) FROM rg WHERE domain = 'IAM/RBAC'"
 query("apply_overrides", lambda t: K.apply_overrides(ranking(t), over(t), added(t)), "SELECT domain, engineer, CAST(place AS INT) AS place FROM ao", **SKILLS, ao=AO)
 query(
     "ticket_to_skill",

@@ -7,17 +7,17 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
+from worklens.functions import scalars as S
 from worklens.functions.params import Params
 
 c = F.col
 _NAMED, _PERSON = "struct<name:string>", "struct<displayName:string,accountId:string>"
 ISSUE = (
-    "key string, id string, fields struct<summary:string, status:struct<name:string,statusCategory:struct<key:string>>, issuetype:" + _NAMED + ", priority:" + _NAMED
-    + ", assignee:" + _PERSON + ", creator:" + _PERSON + ", project:struct<key:string,name:string>, parent:struct<key:string>, created:string, updated:string, resolutiondate:string, duedate:string,"
-    " planned_start:string, lead:" + _PERSON + ", size:struct<value:string>, labels:array<string>>,"
+    "key string, id string, fields struct<summary:string, status:struct<name:string,statusCategory:struct<key:string>>, issuetype:" + _NAMED + ", priority:struct<name:string,id:string>"
+    + ", assignee:" + _PERSON + ", creator:" + _PERSON + ", reporter:" + _PERSON + ", project:struct<key:string,name:string,id:string>, parent:struct<key:string>, created:string, updated:string, resolutiondate:string,"
+    " duedate:string, target_end:string, planned_start:string, lead:" + _PERSON + ", size:struct<value:string>, labels:array<string>, planning_rank:string, portfolio_rank:string, legend:string, parent_project:string>,"
     " changelog struct<histories:array<struct<created:string,items:array<struct<field:string,toString:string>>>>>"
 )
 MERGE_REQUEST = "id long, iid long, project_id long, author struct<username:string>, merged_at string, title string, web_url string, references struct<full:string>, changes array<struct<new_path:string,old_path:string>>"
@@ -26,10 +26,11 @@ FILES_KEPT = 60
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set, else a temporary one (tests)."""
+    """A new folder in the one that driver and executors share: spark.checkpoint.dir. Where it is unset, one below the warehouse, or in local mode a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="worklens-")
+        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+        found = tempfile.mkdtemp(prefix="worklens-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/worklens-steps"
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found}/{uuid.uuid4().hex}"
 
@@ -49,22 +50,37 @@ def parse(raw: DataFrame, schema: str) -> DataFrame:
 
 
 def flatten_wide(parsed: DataFrame, p: Params) -> DataFrame:
+    """The forty columns of the reports' table. ``updated`` is overwritten by ``resolved``; velocities and day counts use the raw update."""
     f = lambda x: c("fields." + x)
-    created, resolved = parse_ts_utc(f("created")), parse_ts_utc(f("resolutiondate"))
+    local = lambda x: S.to_zone(x, p.local_offset)
+    created, raw_updated, resolved = parse_ts_utc(f("created")), parse_ts_utc(f("updated")), parse_ts_utc(f("resolutiondate"))
+    due, target, planned = (parse_ts_utc(f(x)) for x in ("duedate", "target_end", "planned_start"))
+    times = {"created": local(created), "updated": local(F.coalesce(resolved, raw_updated)), "resolved": local(resolved)}
+    parts = [part(times[x]).alias(f"{n}_{x}") for x in times for n, part in (("year", F.year), ("month", F.month))]
+    size, backlog = f("size.value"), S.days_between(created, planned)
     return parsed.select(
-        "key", "id", f("summary").alias("summary"), f("status.name").alias("status"), f("issuetype.name").alias("issuetype"), F.coalesce(f("creator.displayName"), F.lit("Unknown")).alias("creator_name"),
-        F.coalesce(f("assignee.displayName"), F.lit("Unassigned")).alias("assignee_name"), created.alias("created"), F.coalesce(resolved, parse_ts_utc(f("updated"))).alias("updated"), resolved.alias("resolved"),
-        f("project.name").alias("project_name"), F.coalesce(f("priority.name"), F.lit("None")).alias("priority_name"), F.replace(F.coalesce(f("lead.displayName"), F.lit("No Lead")), F.lit("."), F.lit(" ")).alias("business_lead"),
-        F.coalesce(f("size.value"), F.lit("Unestimated")).alias("estimated_size_name"), f("parent.key").alias("parent"), p.now().alias("today"),
-    )
-
-
-def flatten_snapshot(parsed: DataFrame) -> DataFrame:
+        "key", "id", F.coalesce(f("summary"), F.lit("")).alias("summary"), F.coalesce(f("status.name"), F.lit("")).alias("status"), F.coalesce(f("issuetype.name"), F.lit("")).alias("issuetype"),
+        F.coalesce(f("creator.displayName"), F.lit("Unknown")).alias("creator_name"), F.coalesce(f("assignee.displayName"), F.lit("Unassigned")).alias("assignee_name"), *[x.alias(n) for n, x in times.items()],
+        F.coalesce(f("project.name"), F.lit("")).alias("project_name"), F.coalesce(f("project.id"), F.lit("")).alias("project_id"), F.coalesce(f("priority.name"), F.lit("No Priority")).alias("priority_name"),
+        F.coalesce(f("priority.id"), F.lit("No Priority")).alias("priority_id"), due.alias("project_due_date"), p.now().alias("today"), S.age_days(created, p).alias("days_old"), *parts,
+        S.age_days(raw_updated, p).alias("last_updated_days"), S.floor_days(raw_updated, due).alias("project_due_date_days"), S.floor_days(created, raw_updated).alias("velocity"),
+        (S.days_between(created, raw_updated) * 24).alias("velocity_hours"), S.floor_days(created, raw_updated).alias("velocity_days"), target.alias("target_end_date"), planned.alias("planned_start_date"),
+        F.replace(F.coalesce(f("lead.displayName"), F.lit("Unknown")), F.lit("."), F.lit(" ")).alias("business_lead"), F.coalesce(f("planning_rank"), F.lit("Unknown")).alias("planning_rank"), f("portfolio_rank").alias("portfolio_rank"),
+        f("legend").alias("legend"), f("parent_project").alias("parent_project"), f("parent.key").alias("parent"), size.alias("estimated_size_name"), S.size_ordinal(size).alias("estimated_size_number"),
+        backlog.alias("velocity_backlog"), F.greatest(F.lit(0).cast("long"), F.floor(backlog).cast("long")).alias("velocity_backlog_days"),
+    ).withColumn("velocity_backlog_days", F.when(c("velocity_backlog").isNotNull(), c("velocity_backlog_days")))
+
+
+def flatten_snapshot(parsed: DataFrame, fetched_at: Column | None = None) -> DataFrame:
+    """The twenty columns of the store's issue table. fetched_at: by default the raw update."""
     f = lambda x: c("fields." + x)
+    text = lambda x, default="": F.coalesce(f(x), F.lit(default))
+    updated = parse_ts_utc(f("updated"))
     return parsed.select(
-        "key", c("id").cast("long").alias("id"), f("status.name").alias("status"), f("status.statusCategory.key").alias("status_category"), f("issuetype.name").alias("issuetype"), f("priority.name").alias("priority"),
-        f("assignee.displayName").alias("assignee"), f("parent.key").alias("parent_key"), parse_ts_utc(f("created")).alias("created"), parse_ts_utc(f("updated")).alias("updated"), parse_ts_utc(f("resolutiondate")).alias("resolutiondate"),
-        parse_date(f("duedate")).alias("target_end"), F.coalesce(f("labels"), F.array().cast("array<string>")).alias("labels"),
+        "key", c("id").cast("long").alias("id"), text("project.key").alias("project"), text("issuetype.name").alias("issuetype"), text("status.name").alias("status"), text("status.statusCategory.key").alias("status_category"),
+        text("priority.name", "No Priority").alias("priority"), text("summary").alias("summary"), f("assignee.displayName").alias("assignee"), f("assignee.accountId").alias("assignee_account_id"), f("reporter.displayName").alias("reporter"),
+        f("lead.displayName").alias("business_lead"), f("parent.key").alias("parent_key"), parse_ts_utc(f("created")).alias("created"), updated.alias("updated"), parse_ts_utc(f("resolutiondate")).alias("resolutiondate"),
+        parse_date(f("planned_start")).alias("planned_start"), parse_date(f("target_end")).alias("target_end"), F.coalesce(f("labels"), F.array().cast("array<string>")).alias("labels"), (updated if fetched_at is None else fetched_at).alias("fetched_at"),
     )
 
 
@@ -117,19 +133,17 @@ def write_monthly(rows: DataFrame, path: str, time: str = "created") -> None:
     rows.withColumn(f"{time}_month", F.date_format(time, "yyyy-MM")).repartition(f"{time}_month").write.partitionBy(f"{time}_month").parquet(path)
 
 
-def upsert_buckets(batch: DataFrame, path: str, schema, key: str, time: str, buckets: int = 8) -> None:
-    """Merge a batch into a table of key buckets; only the buckets that it touches are written again."""
-    spark = batch.sparkSession
-    put = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    touched = [r["bucket"] for r in put.select("bucket").distinct().collect()]
-    full = f"{path}/data"
-    try:
-        old = spark.read.schema(StructType([*schema.fields, StructField("bucket", IntegerType())])).parquet(full).filter(c("bucket").isin(touched))
-        put = snapshot_upsert(old, put.select(*old.columns), key, time)
-    except Exception as e:  # the first batch
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        put = latest(put, key, [F.desc(time)])
-    stage = f"{path}/stage-{uuid.uuid4().hex}"
-    put.write.partitionBy("bucket").parquet(stage)
-    spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(full)
+def append_batch(batch: DataFrame, path: str, epoch: int) -> None:
+    """Write a micro-batch into a folder of its own; the same batch again, after a failure, replaces it. Nothing that is there is read or rewritten."""
+    batch.write.mode("overwrite").parquet(f"{path}/data/epoch={epoch}")
+
+
+def read_latest(spark: SparkSession, path: str, key: str, time: str) -> DataFrame:
+    """The table that the batches make: of each key the row of greatest time, at equal times that of the later batch."""
+    return latest(spark.read.parquet(f"{path}/data"), key, [F.desc(time), F.desc("epoch")]).drop("epoch")
+
+
+def compact(spark: SparkSession, path: str, key: str, time: str, into: str) -> DataFrame:
+    """Merge all batches into one in another folder, which further batches can then be appended to."""
+    append_batch(read_latest(spark, path, key, time), into, -1)
+    return read_latest(spark, into, key, time)

@@ -13,24 +13,24 @@ def _lines(spark: SparkSession, path: str, files_per_batch: int) -> DataFrame:
 
 
 def run_issue_stream(spark: SparkSession, source: str, target: str, trigger: dict | None = None, files_per_batch: int = 2):
-    """JSON lines of issues -> table of snapshots. ``trigger`` as for DataStreamWriter.trigger; by default what is there now."""
+    """JSON lines of issues -> table of snapshots, read with ``read_latest``. ``trigger`` as for DataStreamWriter.trigger; by default what is there now."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
         rows = I.flatten_snapshot(I.parse(batch, I.ISSUE))
-        I.upsert_buckets(I.latest(rows, "key", [F.desc("updated")]), target, rows.schema, "key", "updated")
+        I.append_batch(I.latest(rows, "key", [F.desc("updated")]), target, epoch)
 
     stream = _lines(spark, source, files_per_batch).writeStream.foreachBatch(merge).option("checkpointLocation", f"{target}/checkpoint")
     return stream.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def run_mr_stream(spark: SparkSession, source: str, target: str, trigger: dict | None = None, files_per_batch: int = 2):
-    """JSON lines of merge requests -> table of merge requests with their files."""
+    """JSON lines of merge requests -> table of merge requests with their files, read with ``read_latest``."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
         parsed = I.latest(I.parse(batch, I.MERGE_REQUEST), "id", [F.desc("merged_at")])
         paths = I.mr_changed_paths(parsed).groupBy(F.col("mr_id").alias("id")).agg(F.array_sort(F.collect_set("path")).alias("paths"))
         rows = I.mr_flatten(parsed).join(paths, "id", "left").withColumn("paths", F.coalesce("paths", F.array().cast("array<string>")))
-        I.upsert_buckets(rows, target, rows.schema, "id", "merged_at")
+        I.append_batch(rows, target, epoch)
 
     stream = _lines(spark, source, files_per_batch).writeStream.foreachBatch(merge).option("checkpointLocation", f"{target}/checkpoint")
     return stream.trigger(**(trigger or {"availableNow": True})).start()
