@@ -132,7 +132,7 @@ def edits(a, b):
 
 def test_contamination(spark, empty):
     rng = random.Random(2)
-    items = [(i, prose(rng, 30)) for i in range(6)] + [(6, None), (7, ""), (8, "short")]
+    items = [(i, prose(rng, 30)) for i in range(6)] + [(6, None), (7, ""), (8, "sh0rt")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows, planted = [(100, None, "", "", ""), (101, "", "", "", ""), (102, prose(rng, 300), "", "", "")], {}
     for i, t in items[:6]:
@@ -353,3 +353,47 @@ def test_secrets_copied_by_their_owner(spark):
     got = {r["doc_id"]: r for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all((got[i]["spans"], got[i]["n_live"], got[i]["n_example"]) == (f"owned:4:{4 + len(own)}", 1, 0) for i in range(100))
     assert all((got[200 + i]["spans"], got[200 + i]["n_example"]) == ("", 1) for i in range(6))
+
+
+def least_edits(passage, text):
+    a, b = ("".join(map(chr, decontaminate._folded(x)[0])) for x in (passage.strip(), text))
+    return edits(a, b)
+
+
+def test_contamination_is_each_document_by_itself(spark, monkeypatch):
+    """Against edit distances of every document and piece, for any order and neighbours of the rows; texts over one part, short items, passages over part edges."""
+    monkeypatch.setattr(decontaminate, "PART", 900)
+    monkeypatch.setattr(decontaminate, "AT_ONCE", 50)
+    rng = random.Random(21)
+    items = [prose(rng, 25)[:150] for _ in range(4)]
+    items.append(items[0][:75] + prose(rng, 15)[:70])  # shares grams with another
+    rows = []
+    for i, t in enumerate(items):
+        half = len(t) // 2
+        rows += [prose(rng, 10) + " " + t[:half], t[half:] + " " + prose(rng, 10)]  # an end and a beginning, to stand side by side
+        rows.append(prose(rng, 170) + " " + t[:half] + " " * 700 + t[half:].upper() + prose(rng, 5))
+        s = list(t)
+        for _ in range(3 + 6 * (i % 2)):
+            s[rng.randrange(len(s))] = "#"
+        rows.append(prose(rng, 30) + "".join(s) + prose(rng, 30))
+    rows += [None, "", prose(rng, 60), rows[3], rows[3]]
+    short = [(50, "Q7x zz"), (51, "k9"), (52, "unseen words")]
+    rows += ["say q7X  ZZ.", "xk9 k9y", "only k9", "Q7x zzz"]
+    found = set()
+    for r, text in enumerate(rows):
+        for i, t in enumerate(items):
+            budget = min(int(0.08 * len(t)), (len(t) - 8) // 8)
+            if text and least_edits(t, text) <= budget:
+                found.add((r, i))
+    found |= {(len(rows) - 4, 50), (len(rows) - 2, 51)}
+    bench = spark.createDataFrame([*enumerate(items), *short], "item_id long, text string")
+    wanted = Counter(found)
+    for order in range(3):
+        shuffled = list(enumerate(rows)) if not order else rng.sample(list(enumerate(rows)), len(rows))
+        docs = spark.createDataFrame(shuffled, "doc_id long, text string").repartition(1 + 2 * order)
+        got = decontaminate.contaminated(docs.coalesce(1) if not order else docs, bench).collect()
+        assert Counter((r["doc_id"], r["item_id"]) for r in got) == wanted
+        places = {(r["doc_id"], r["item_id"]): (r["start"], r["end"], r["edits"]) for r in got}
+        assert not order or places == before
+        before = places
+    assert decontaminate.drop_contaminated(docs, bench).count() == len(rows) - len({r for r, _ in found})

@@ -8,12 +8,15 @@ them on neighbouring diagonals (document offset less passage offset). So for eve
 3. the passage is aligned with each such region inside the band; k edits or fewer make a hit.
 
 Passages are benchmark items, cut into overlapping pieces of ``piece`` characters where they are longer, so that a long
-item is also found in part. Both sides are compared in lower case and with white space runs as one space. Documents are
-read where they lie and need no shuffle; the benchmark is broadcast in blocks of up to ``block_bytes``, a pass each.
-
-Defined results: null and empty texts hold no passage; null or empty items, and items under ``shortest`` characters, are never found;
-long texts are read in parts that overlap; repeated rows and items each give their rows; an empty benchmark or document
-table gives an empty result; other columns are ignored (by ``drop_contaminated``: kept).
+item is also found in part. Both sides are compared in lower case and with white space runs as one space. Items of fewer
+than ``shortest`` characters leave no room for edits: they are found as they are, between characters that are no letters
+or digits. Documents are read where they lie and need no shuffle; the benchmark is broadcast in blocks of up to
+``block_bytes``, a pass each. Texts are joined only to see which of them have enough q-grams of passages in reach; each
+of these is then searched by itself, so no hit depends on what else a task reads.
+
+Defined results: null and empty texts hold no passage; null or empty items are never found; long texts are folded and
+read in parts that overlap by more than a passage with its edits; repeated rows and items each give their rows; an empty
+benchmark or document table gives an empty result; other columns are ignored (by ``drop_contaminated``: kept).
 """
 
 from __future__ import annotations
@@ -30,9 +33,10 @@ from worklens.llm.common import table
 
 Q, EDIT_RATE, PIECE, SHORTEST = 8, 0.08, 160, 24
 BLOCK_BYTES = 4 << 20
-#: Characters of documents that are handled at once.
-PART = 1 << 19
-_SEPARATOR = 0
+#: Characters of documents that are handled at once, by how many parts of a text overlap, and pairs of a q-gram and its places in passages at once.
+PART, OVERLAP, AT_ONCE = 1 << 19, 4 * PIECE, 1 << 22
+#: Stands between texts; no character.
+_SEPARATOR = np.array([0x110000], dtype=np.uint32)
 
 
 def _folded(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -64,13 +68,60 @@ def _grams(points: np.ndarray) -> np.ndarray:
     return K.mix(out)
 
 
+def _pieces(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The folded text with places, as of ``_folded``, in parts of PART that overlap; most texts are one."""
+    points, at, done = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), 0
+    for a in range(0, len(text), PART):
+        more, where = _folded(text[a : a + PART])
+        skip = int(len(points) > 0 and len(more) > 0 and points[-1] == 32 and more[0] == 32)
+        points, at = (np.concatenate([points, more[skip:]]), np.concatenate([at, where[skip:] + a])) if len(points) else (more, where + a)
+        while len(points) >= PART + OVERLAP:
+            yield points[: PART + OVERLAP], at[: PART + OVERLAP]
+            points, at = points[PART:], at[PART:]
+    if len(points):
+        yield points, at
+
+
+class Short:
+    """Items that are too short for q-grams with edits: found as they are, by the hash of all their characters."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        self.by_length: dict[int, dict[bytes, list[int]]] = {}
+        for item, points in items:
+            self.by_length.setdefault(len(points), {}).setdefault(points.tobytes(), []).append(item)
+        self.hashes = {n: np.unique(np.concatenate([self._spans(np.frombuffer(p, dtype=np.uint32), n) for p in found])) for n, found in self.by_length.items()}
+
+    @staticmethod
+    def _spans(points: np.ndarray, n: int) -> np.ndarray:
+        codes = K.mix(points.astype(np.uint64) + np.uint64(1))
+        sums = np.zeros(len(points) + 1, dtype=np.uint64)
+        np.cumsum(codes * K.powers(len(points)), out=sums[1:])
+        starts = np.arange(max(0, len(points) - n + 1))
+        return K.span_hash(sums, starts, starts + n)
+
+    def find(self, points: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) of the first place of each item."""
+        inside = lambda k: 0 <= k < len(points) and points[k] < 0x110000 and chr(points[k]).isalnum()
+        for n, found in self.by_length.items():
+            seen: set[int] = set()
+            hashes = self._spans(points, n)
+            for s in np.flatnonzero(np.isin(hashes, self.hashes[n])).tolist():
+                if not inside(s - 1) and not inside(s + n):
+                    for item in found.get(points[s : s + n].tobytes(), []):
+                        if item not in seen:
+                            seen.add(item)
+                            yield item, s, s + n
+
+
 class Passages:
     """An index of the q-grams of one block of benchmark items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.item, self.points, self.edits = [], [], []
+        self.item, self.points, self.edits, short = [], [], [], []
         for item, text in items:
-            whole = _folded((text or "").replace("\x00", " ").strip())[0]
+            whole = _folded((text or "").strip())[0]
+            if 0 < len(whole) < SHORTEST:
+                short.append((item, whole))
             for a in range(0, max(1, len(whole) - PIECE // 2), PIECE // 2):
                 piece = whole[a : a + PIECE]
                 if a and len(piece) < PIECE:
@@ -91,41 +142,55 @@ class Passages:
         self.seen[(self.gram >> np.uint64(42)).astype(np.int64)] = True
         self.bound = np.array([len(p) - Q + 1 - k * Q for p, k in zip(self.points, self.edits, strict=True)], dtype=np.int64)
         self.budget = np.array(self.edits, dtype=np.int64)
+        # place of a q-gram and owner in one sorted number: the places of some owners in a q-gram are a range
+        self.by_owner = np.repeat(np.arange(len(self.gram)), self.last - self.first) * max(1, len(grams)) + self.owner
+        self.short = Short(short)
 
-    def find(self, points: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(passage, start, end, edits) in folded points; points of several texts may follow each other with separators between."""
+    def suspects(self, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Numbers of the texts, joined in ``points`` from ``starts`` on, in which the q-grams of passages stand close enough somewhere."""
         grams = _grams(points)
         if not len(grams) or not len(self.gram):
-            return []
+            return np.zeros(0, dtype=np.int64)
         hit = self.seen[(grams >> np.uint64(42)).astype(np.int64)]
         reach = PIECE + int(self.budget.max())
         upto = np.concatenate([[0], np.cumsum(hit)])
         dense = upto[np.minimum(np.arange(len(hit)) + reach, len(hit))] - upto[:-1] >= self.bound.min()
-        if not dense.any():
+        return np.unique(np.searchsorted(starts, np.flatnonzero(dense & hit), side="right") - 1)
+
+    def find(self, points: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(passage, start, end, edits) in the folded points of one text."""
+        grams = _grams(points)
+        if not len(grams) or not len(self.gram):
             return []
-        dense_upto = np.concatenate([np.zeros(reach, dtype=np.int64), np.cumsum(dense)])
-        at = np.flatnonzero(hit & (dense_upto[reach:] > dense_upto[:-reach]))
-        row = np.searchsorted(self.gram, grams[at])
-        row = np.minimum(row, len(self.gram) - 1)
+        at = np.flatnonzero(self.seen[(grams >> np.uint64(42)).astype(np.int64)])
+        row = np.minimum(np.searchsorted(self.gram, grams[at]), len(self.gram) - 1)
         same = self.gram[row] == grams[at]
-        at, row = at[same], row[same]
-        many = self.last[row] - self.first[row]
-        each = np.repeat(self.first[row] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return self._among(points, at[same], row[same], 0, len(self.points))
+
+    def _among(self, points: np.ndarray, at: np.ndarray, row: np.ndarray, low: int, high: int) -> list[tuple[int, int, int, int]]:
+        """Hits of the passages low to high, given the places ``at`` whose q-grams ``row`` they hold; in halves where the pairs of both are too many."""
+        n = max(1, len(self.points))
+        first, last = np.searchsorted(self.by_owner, row * n + low), np.searchsorted(self.by_owner, row * n + high)
+        many = last - first
+        if not many.sum():
+            return []
+        if many.sum() > AT_ONCE and high - low > 1:
+            some, middle = many > 0, (low + high) // 2
+            return self._among(points, at[some], row[some], low, middle) + self._among(points, at[some], row[some], middle, high)
+        each = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
         owner, diagonal = self.owner[each], np.repeat(at, many) - self.place[each]
-        half = self.budget[owner] + 1
-        shift = np.int64(1 << 40)
+        half, shift = self.budget[owner] + 1, np.int64(1 << 40)
         band = np.floor_divide(diagonal, half)
         keys = np.concatenate([owner * shift + band + 1, owner * shift + band])  # band b holds diagonals of b and b + 1, by halves
         bands, counts = np.unique(keys + (1 << 20), return_counts=True)
         bands -= 1 << 20
         who = (bands + (1 << 20)) // shift
-        kept = counts >= self.bound[who]
-        found = []
+        kept, found = counts >= self.bound[who], []
         for o, b in zip(who[kept].tolist(), (bands - who * shift)[kept].tolist(), strict=True):
             k, m = self.edits[o], len(self.points[o])
-            low, high = (b - 1) * (k + 1), (b + 1) * (k + 1)
-            s, e = max(0, low - k), min(len(points), high + m + k)
-            one = exact(self.points[o], points[s:e]) or align(self.points[o], points[s:e], k, low - s - k, high - s + k)
+            near, far = (b - 1) * (k + 1), (b + 1) * (k + 1)
+            s, e = max(0, near - k), min(len(points), far + m + k)
+            one = exact(self.points[o], points[s:e]) or align(self.points[o], points[s:e], k, near - s - k, far - s + k)
             if one is not None:
                 found.append((o, s + one[0], s + one[1], one[2]))
         return found
@@ -173,39 +238,41 @@ def align(passage: np.ndarray, region: np.ndarray, budget: int, low: int, high:
     return int(origin[end]), int(diagonals[end]) + len(passage), int(cost[end])
 
 
-def _parts(texts: list[str | None]) -> Iterator[tuple[list[tuple[int, int, int]], str]]:
-    """Joined texts: ((row, offset in the joined string, offset in the row's text) of each, string). Long texts come in parts."""
-    rows, held, size = [], [], 0
-    overlap = 4 * PIECE
+def _joined(texts: list[str | None]) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """(row, folded points, places in the text) of some texts, or parts of texts, of about PART together."""
+    held, size = [], 0
     for row, text in enumerate(texts):
-        text = text or ""
-        for a in range(0, max(1, len(text)), PART):
-            part = text[a : a + PART + overlap]
-            rows.append((row, size, a))
-            held.append(part.replace("\x00", " "))
-            size += len(part) + 1
+        for points, at in _pieces(text or ""):
+            held.append((row, points, at))
+            size += len(points) + 1
             if size > PART:
-                yield rows, "\x00".join(held)
-                rows, held, size = [], [], 0
-    if rows:
-        yield rows, "\x00".join(held)
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def scan(passages: Passages, texts: list[str | None]) -> dict[tuple[int, int], tuple[int, int, int]]:
     """(row, item) -> (edits, start, end) of the best region, in code points of the text."""
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for rows, joined in _parts(texts):
-        points, at = _folded(joined)
-        offsets = np.array([o for _, o, _ in rows])
-        for o, s, e, edits in passages.find(points):
-            if e <= s:
-                continue
-            start, end = int(at[s]), int(at[e - 1]) + 1
-            k = int(np.searchsorted(offsets, start, side="right")) - 1
-            row, offset, inner = rows[k]
-            key, value = (row, passages.item[o]), (edits, start - offset + inner, end - offset + inner)
-            if key not in best or value < best[key]:
-                best[key] = value
+
+    def keep(row: int, item: int, at: np.ndarray, s: int, e: int, edits: int) -> None:
+        if e > s:
+            value = (edits, int(at[s]), int(at[e - 1]) + 1)
+            if (row, item) not in best or value < best[row, item]:
+                best[row, item] = value
+
+    for parts in _joined(texts):
+        starts = np.cumsum([0, *(len(p) + 1 for _, p, _ in parts)])[:-1]
+        points = np.concatenate([x for _, p, _ in parts for x in (p, _SEPARATOR)])
+        for k in passages.suspects(points, starts).tolist():
+            row, own, at = parts[k]
+            for o, s, e, edits in passages.find(own):
+                keep(row, passages.item[o], at, s, e, edits)
+        if passages.short.by_length:
+            for row, own, at in parts:
+                for item, s, e in passages.short.find(own):
+                    keep(row, item, at, s, e, 0)
     return best
 
 
