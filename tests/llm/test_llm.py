@@ -172,10 +172,10 @@ def test_chat(spark):
 def test_topk(spark):
     rng = random.Random(3)
     vecs = [(i, [rng.gauss(0, s) for _ in range(8)]) for i, s in enumerate([0.2, 1.0, 3.0] * 70)]
-    vecs += [(300 + i, [1.0] * 8) for i in range(40)] + [(400, None), (450, [float("nan")] * 8), (500, [None] * 8), (550, [1.0] * 3), (None, [1.0] * 8), (50, vecs[50][1])]
-    df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
-    got = topk_search.top_k(topk_search.integer_vectors(df), F.col("vec_id") % 50 == 0, k=5, block=4).collect()
-    ok = [(v, [int(x * 256 // 1) for x in map(float, spark_float(e))]) for v, e in vecs if v is not None and e and all(x is not None and x == x for x in e)]
+    vecs += [(300 + i, [1.0] * 8) for i in range(40)] + [(400, None), (450, [float("nan")] * 8), (500, [None] * 8), (550, [1.0] * 3), (600, [float("inf")] + [1.0] * 7), (650, [1.0] * 7 + [float("-inf")]), (None, [1.0] * 8), (50, vecs[50][1])]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>").withColumns({"row": F.lit(1), "length": F.lit("x"), "v": F.lit(None).cast("string")})
+    got = topk_search.top_k(topk_search.integer_vectors(df), F.col("vec_id") % 50 == 0, k=5, block=200).collect()
+    ok = [(v, [int(x * 256 // 1) for x in map(float, spark_float(e))]) for v, e in vecs if v is not None and e and all(x is not None and abs(x) < float("inf") for x in e)]
     expected = Counter()
     for n, (q, a) in enumerate(ok):
         if q % 50 == 0:
@@ -397,3 +397,21 @@ def test_contamination_is_each_document_by_itself(spark, monkeypatch):
         assert not order or places == before
         before = places
     assert decontaminate.drop_contaminated(docs, bench).count() == len(rows) - len({r for r, _ in found})
+
+
+def test_topk_prunes_in_clusters():
+    """Vectors in tight clusters of similar lengths: most pairs are never multiplied, by both prunings, and nothing is lost."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 24))
+    vectors = np.concatenate([c / np.linalg.norm(c) * 1000 * s + rng.normal(size=(60, 24)) * 12 for c in centres for s in (1.0, 0.5)]).astype(np.int64)
+    ids = np.arange(len(vectors))
+    queries = ids[::30]
+    best = topk_search.Best(topk_search.Block(queries, vectors[queries]), 5)
+    order = np.argsort(-np.linalg.norm(vectors, axis=1), kind="stable")
+    for part in np.array_split(order, 6):
+        topk_search.retrieve(best, vectors[part], part, part)
+    number, score, found, _ = best.held
+    for k, q in enumerate(queries):
+        expected = sorted((-int(s), int(v)) for v, s in enumerate(vectors @ vectors[q]) if v != q)[:5]
+        assert [(-int(s), int(v)) for s, v in zip(score[number == k], found[number == k])] == expected
+    assert best.by_coordinates > 0 and best.multiplied < 0.5 * best.pairs

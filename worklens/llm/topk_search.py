@@ -2,11 +2,13 @@
 
 Vectors are written once in order of their length, so every task and batch holds a range of lengths, which is cut into
 buckets. For a query with k-th best score t so far, a bucket whose longest vector has length L can only matter at cosine
-t / (|q| L) or more, the bucket's local threshold. Above 1 the bucket is skipped. A high threshold is worth coordinate
-pruning: on the query's largest coordinates a vector's own coordinate must lie in the interval that this cosine leaves.
-A low one gets length pruning: only vectors of length t / |q| or more. What remains is multiplied out in exact integers.
+t / (|q| L) or more, the bucket's local threshold. Above 1 the bucket is skipped. On each of the query's largest
+coordinates a vector's own coordinate must lie in the interval that this cosine leaves. Where the narrowest of these
+intervals holds few enough vectors of the bucket, by a count in its sorted coordinates, the query gets coordinate pruning
+there; else length pruning: only vectors of length t / |q| or more. The choice is made for every bucket and query. What
+remains is multiplied out in exact integers.
 
-Queries come in blocks of bounded size, each broadcast to all vectors. Start values of t are scores against the longest
+Queries come in blocks of bounded bytes, each broadcast to all vectors. Start values of t are scores against the longest
 ``n_start`` vectors.
 
 Defined results: vectors null, or holding null or non-finite components, and rows with a null vec_id, take no part;
@@ -26,10 +28,11 @@ from pyspark.sql.window import Window
 
 from worklens.llm.common import materialise, table
 
-#: Queries in a block, vectors in a bucket, queries multiplied at once.
-BLOCK, BUCKET, AT_ONCE = 8192, 2048, 512
-#: A bucket holds lengths down to this part of its longest; above this threshold coordinates are tested, this many.
-RATIO, COORDINATE_FROM, FOCUS = 0.9, 0.6, 4
+#: Bytes of queries in a block, vectors in a bucket, queries multiplied at once.
+BLOCK_BYTES, BUCKET, AT_ONCE = 8 << 20, 2048, 512
+#: A bucket holds lengths down to this part of its longest. From this threshold on intervals are counted, on this many coordinates;
+#: multiplying out one query's candidates by themselves costs about four times as much a vector as in a block of queries.
+RATIO, COUNTED_FROM, FOCUS, WORTH = 0.9, 0.4, 4, 0.25
 _FOUND = "q long, row long, vec_id long, score long"
 
 
@@ -59,6 +62,7 @@ class Best:
         self.block, self.k = block, k
         self.held = [np.zeros(0, dtype=np.int64)] * 4  # query number, score, vec_id, row
         self.least = block.start.copy()
+        self.pairs = self.multiplied = self.by_coordinates = 0
 
     def add(self, number: np.ndarray, score: np.ndarray, vec_id: np.ndarray, row: np.ndarray) -> None:
         cols = [np.concatenate(x) for x in zip(self.held, (number, score, vec_id, row), strict=True)]
@@ -71,6 +75,43 @@ class Best:
         self.least[full] = np.maximum(self.least[full], cols[1][rank == self.k - 1])
 
 
+class Bucket:
+    """Vectors of similar length, longest first, with their directions sorted by each coordinate that is asked for."""
+
+    def __init__(self, vectors: np.ndarray, length: np.ndarray):
+        self.vectors, self.length = vectors, length
+        self.unit = vectors / np.maximum(length, 1e-300)[:, None]
+        self._sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def sorted(self, f: int) -> tuple[np.ndarray, np.ndarray]:
+        if f not in self._sorted:
+            order = np.argsort(self.unit[:, f], kind="stable")
+            self._sorted[f] = order, self.unit[order, f]
+        return self._sorted[f]
+
+    def narrowest(self, block: Block, numbers: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each query the focus coordinate (by its place) whose feasible interval holds the fewest vectors, and where these stand in its order."""
+        best = np.full(len(numbers), len(self.vectors) + 1)
+        which, first = np.zeros(len(numbers), dtype=np.int64), np.zeros(len(numbers), dtype=np.int64)
+        for j in range(block.focus.shape[1]):
+            f = block.focus[numbers, j]
+            low, high = interval(block.unit[numbers, f], local)
+            for g in np.unique(f):
+                k = np.flatnonzero(f == g)
+                _, values = self.sorted(int(g))
+                a, b = np.searchsorted(values, low[k], side="left"), np.searchsorted(values, high[k], side="right")
+                better = b - a < best[k]
+                best[k[better]], which[k[better]], first[k[better]] = (b - a)[better], j, a[better]
+        return best, which, first
+
+
+def interval(x: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a direction's coordinate lies if it has cosine t or more with one whose coordinate is x; open to -1 or 1 beyond the cosine."""
+    t = np.minimum(t, 1.0)
+    spread = np.sqrt(np.maximum(0.0, (1 - x * x) * (1 - t * t))) + 1e-9
+    return np.where(x > -t, x * t - spread, -2.0), np.where(x < t, x * t + spread, 2.0)
+
+
 def retrieve(best: Best, vectors: np.ndarray, vec_id: np.ndarray, row: np.ndarray) -> None:
     """Take the vectors of a batch into account."""
     block = best.block
@@ -82,42 +123,49 @@ def retrieve(best: Best, vectors: np.ndarray, vec_id: np.ndarray, row: np.ndarra
         end = min(len(order), at + BUCKET, at + max(1, int(np.searchsorted(-length[order[at:]], -RATIO * top, side="right"))))
         members = order[at:end]
         at = end
-        reach = block.length * top
+        bucket = Bucket(vectors[members], length[members])
         low = best.least.astype(np.float64)
-        local = np.where(low > 0, low / np.maximum(reach, 1e-300), -1.0)  # what a cosine must reach
-        local[(low <= 0) & (low < -reach)] = -1.0
+        local = np.where(low > 0, low / np.maximum(block.length * top, 1e-300), -1.0)  # what a cosine must reach
         active = np.flatnonzero((local <= 1 + 1e-9) & (block.length > 0) | (low <= 0))
-        for a in range(0, len(active), AT_ONCE):
-            numbers = active[a : a + AT_ONCE]
-            least = best.least[numbers]
-            need = least.astype(np.float64) / np.maximum(block.length[numbers], 1e-300)
-            reached = np.where(need > 0, np.searchsorted(-length[members], -need * (1 - 1e-12), side="right"), len(members))
-            used = members[: int(reached.max(initial=0))]
-            sharp = numbers[local[numbers] >= COORDINATE_FROM]
-            if len(sharp) == len(numbers) and len(used):
-                used = used[_coordinates(block, sharp, vectors[used] / np.maximum(length[used], 1e-300)[:, None], local[sharp])]
-            if not len(used):
-                continue
-            score = products(block.v[numbers], vectors[used])
-            i, j = np.nonzero((score >= least[:, None]) & (block.q[numbers][:, None] != row[used][None, :]))
+        best.pairs += len(block.q) * len(members)
+        # length pruning: how many of the bucket are long enough for each query
+        need = low[active] / np.maximum(block.length[active], 1e-300)
+        reached = np.where(need > 0, np.searchsorted(-bucket.length, -need * (1 - 1e-12), side="right"), len(members))
+        sharp = np.flatnonzero(local[active] >= COUNTED_FROM)
+        alone = np.zeros(len(active), dtype=bool)
+        if len(sharp):
+            held, which, first = bucket.narrowest(block, active[sharp], local[active[sharp]])
+            few = held <= WORTH * reached[sharp]
+            alone[sharp[few]] = True
+            _by_coordinates(best, bucket, active[sharp[few]], local[active[sharp[few]]], held[few], which[few], first[few], vec_id[members], row[members])
+        rest = np.flatnonzero(~alone & (reached > 0))
+        rest = rest[np.argsort(-reached[rest], kind="stable")]  # queries that reach as far are multiplied together
+        for a in range(0, len(rest), AT_ONCE):
+            numbers, used = active[rest[a : a + AT_ONCE]], int(reached[rest[a]])
+            score = products(block.v[numbers], bucket.vectors[:used])
+            best.multiplied += score.size
+            i, j = np.nonzero((score >= best.least[numbers][:, None]) & (block.q[numbers][:, None] != row[members[:used]][None, :]))
             if len(i):
-                best.add(numbers[i], score[i, j], vec_id[used[j]], row[used[j]])
-
-
-def _coordinates(block: Block, numbers: np.ndarray, unit: np.ndarray, local: np.ndarray) -> np.ndarray:
-    """Which vectors lie in the feasible intervals of the focus coordinates of any of the queries."""
-    keep = np.zeros(len(unit), dtype=bool)
-    for n, t in zip(numbers, np.minimum(local, 1.0), strict=True):
-        ok = np.ones(len(unit), dtype=bool)
-        for f in block.focus[n]:
-            x = block.unit[n, f]
-            spread = np.sqrt(max(0.0, (1 - x * x) * (1 - t * t))) + 1e-9
-            if x > -t:  # else the interval holds -1
-                ok &= unit[:, f] >= x * t - spread
-            if x < t:  # else it holds 1
-                ok &= unit[:, f] <= x * t + spread
-        keep |= ok
-    return np.flatnonzero(keep)
+                best.add(numbers[i], score[i, j], vec_id[members[j]], row[members[j]])
+
+
+def _by_coordinates(best: Best, bucket: Bucket, numbers, local, held, which, first, vec_id: np.ndarray, row: np.ndarray) -> None:
+    """Coordinate pruning: each query meets the vectors of its narrowest interval that lie in its other intervals as well."""
+    block, found = best.block, []
+    for n, t, count, j, a in zip(numbers.tolist(), local.tolist(), held.tolist(), which.tolist(), first.tolist(), strict=True):
+        near = bucket.sorted(int(block.focus[n, j]))[0][a : a + count]
+        for f in np.delete(block.focus[n], j):
+            low, high = interval(block.unit[n, f], np.float64(t))
+            x = bucket.unit[near, f]
+            near = near[(x >= low) & (x <= high)]
+        if len(near):
+            score = products(block.v[n : n + 1], bucket.vectors[near])[0]
+            ok = (score >= best.least[n]) & (row[near] != block.q[n])
+            found.append((np.full(int(ok.sum()), n), score[ok], vec_id[near[ok]], row[near[ok]]))
+        best.by_coordinates += 1
+        best.multiplied += len(near)
+    if found:
+        best.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
 def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -163,12 +211,12 @@ def integer_vectors(embeddings: DataFrame) -> DataFrame:
     return out.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
 
 
-def top_k(vectors: DataFrame, queries, k: int = 5, block: int = BLOCK, n_start: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id, score. ``vectors`` as from integer_vectors; ``queries`` is a condition on them."""
+def top_k(vectors: DataFrame, queries, k: int = 5, block: int = BLOCK_BYTES, n_start: int = 4096) -> DataFrame:
+    """query_id, rank, vec_id, score. ``vectors`` as from integer_vectors; ``queries`` is a condition on them; ``block`` in bytes."""
     vectors = materialise(vectors, "vectors")
     vectors = materialise(vectors.repartitionByRange(F.desc("length"), "row").sortWithinPartitions(F.desc("length")), "by-length")
     asked = vectors.filter(queries)
-    n_blocks = -(-asked.count() // (block // 2))
+    n_blocks = -(-(asked.agg(F.sum(8 * F.size("v") + 8)).first()[0] or 0) // block)
     start = _local(vectors.orderBy(F.desc("length"), "row").limit(n_start)) if n_blocks else {}
     found = None
     for b in range(n_blocks):
