@@ -415,3 +415,37 @@ def test_topk_prunes_in_clusters():
         expected = sorted((-int(s), int(v)) for v, s in enumerate(vectors @ vectors[q]) if v != q)[:5]
         assert [(-int(s), int(v)) for s, v in zip(score[number == k], found[number == k])] == expected
     assert best.by_coordinates > 0 and best.multiplied < 0.5 * best.pairs
+
+
+def test_refined_strings():
+    rng = random.Random(31)
+    parts = list({bytes(rng.choice(b"ab") for _ in range(rng.randrange(20, 60))) for _ in range(30)})
+    bucket = np.array([i % 3 for i in range(len(parts))], dtype=np.int64) * 7**20
+    for length in (8, 16, 20):
+        holders = {}
+        for i, p in enumerate(parts):
+            for k in range(len(p) - length + 1):
+                holders.setdefault((i % 3, p[k : k + length]), set()).add(i)
+        expected = {(i, k) for i, p in enumerate(parts) for k in range(len(p) - length + 1) if len(holders[i % 3, p[k : k + length]]) > 1}
+        entry, nth = suffix_dedup.refined_strings(bucket, parts, length)
+        assert set(zip(entry.tolist(), nth.tolist())) == expected
+        assert (len(expected) > 0) == (length == 8) or length > 8
+
+
+def test_repeats_in_texts_over_one_part(spark, monkeypatch):
+    """Parts and their overlap: a text over several parts repeats a passage of its own across a part's edge, and one of another text."""
+    monkeypatch.setattr(suffix_dedup.K, "CHUNK", 1000)
+    rng = random.Random(33)
+    fresh = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    own, other = fresh(350), fresh(260)
+    texts = [fresh(880) + own + fresh(2700) + other + fresh(400) + own + fresh(333), fresh(50) + other, fresh(300), fresh(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(df).collect()}
+    for d, t in enumerate(texts):
+        gone = [False] * len(t)
+        for i in range(len(t) - 199):
+            if seen[t[i : i + 200]] > 1:
+                gone[i : i + 200] = [True] * 200
+        assert got[d] == (sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)))
+    assert got[0][0] >= 2 * 350 + 260

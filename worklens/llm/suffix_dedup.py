@@ -2,17 +2,20 @@
 
 Bucket-pointer refinement, on places chosen by the texts themselves. An initial bucket is a q-gram; every string of
 ``length`` bytes is filed under the smallest q-gram (by hash) that it holds, so equal strings are filed in equal buckets
-at equal offsets, and neighbouring strings share one entry ("anchor"). Buckets are then refined:
+at equal offsets, and neighbouring strings share one entry ("anchor"). Copies of a text are one entry with a count from
+the first shuffle on. Buckets are then refined:
 
 1. A bucket with one entry holds no repeated string and goes.
-2. The rest is sorted by the identifier of all later offsets that the entry stands for: the hash of the bytes from its
-   first string's start to its last string's end. Entries in the same refined bucket are repeated as a whole.
-3. Only where a bucket fell into several refined ones, their strings are told apart one by one, by identifiers of
-   ``length`` bytes; of each refined bucket one member stands for all, sent once however many copies its text has, and
-   what is found is passed to its members. A bucket of up to ``TOGETHER`` refined ones meets in one place; of a larger one every string is a row of its own, and rows are counted.
+2. The rest is sorted by the identifier of all bytes that the entry stands for, from its first string's start to its last
+   string's end. Entries in the same refined bucket are repeated as a whole.
+3. Only where a bucket fell into several refined ones are their strings told apart; one member stands for each refined
+   bucket, and what is found is passed to its members. Positions start in the buckets of their q-grams of an eighth of
+   ``length`` bytes. A round sorts them by (own bucket, bucket of the place as many bytes later) and numbers the runs:
+   these are the buckets of twice the width, which the next round takes up for both places. After each round strings that
+   share their bucket with no other entry go, and with them the positions that only they needed.
 
-Identifiers are 64-bit hashes in place of ranks, so no step needs a global sort. Exact copies of a text share its
-entries' results; each row keeps its own.
+A bucket of up to ``TOGETHER`` refined ones is refined in one place. Of a larger one every string is a row of its own,
+named by a hash of its bytes, and rows are counted. Hashes have 64 bits.
 
 Defined results: null text is empty; texts of fewer than ``length`` bytes stay as they are; repeated rows are two places;
 rows with a null or repeated doc_id keep a row each; an empty table gives an empty result; other columns are ignored.
@@ -30,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worklens.llm import textkernel as K
-from worklens.llm.common import materialise, table
+from worklens.llm.common import BitFilter, materialise, release, table
 
 GRAM = 32
 #: Bits of each filter over entries or buckets. More of them fill it up; then more rows are sent than needed.
 FILTER_BITS = 1 << 24
-#: Refined buckets of one bucket that are compared in one place.
-TOGETHER = 4000
+#: Refined buckets of one bucket that are refined further in one place, and rows of whole buckets taken at once.
+TOGETHER, ROWS = 4000, 1000
 
 
 def _entries(data: np.ndarray, cuts: np.ndarray, length: int):
@@ -159,36 +162,56 @@ def _compare(length: int):
             yield from compared(held)
 
     def compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Whole buckets, about a thousand rows at once."""
+        """Whole buckets, about ROWS rows at once."""
         heads = np.flatnonzero(np.append(True, np.diff(rows.column("bucket").to_numpy()) != 0)) if rows.num_rows else np.zeros(0, dtype=np.int64)
         ends, a = np.append(heads[1:], rows.num_rows), 0
         while a < rows.num_rows:
-            b = int(ends[min(np.searchsorted(ends, a + 1000), len(ends) - 1)])
-            yield from several(rows.slice(a, b - a))
+            b = int(ends[min(np.searchsorted(ends, a + ROWS), len(ends) - 1)])
+            some = rows.slice(a, b - a)
+            entry, nth = refined_strings(some.column("bucket").to_numpy(), some.column("bytes").to_pylist(), length)
+            yield pa.RecordBatch.from_arrays([pa.array(some.column("refined").to_numpy()[entry]), pa.array(nth.astype(np.int32))], names=["refined", "nth"])
             a = b
 
-    def several(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not rows.num_rows:
-            return
-        parts = rows.column("bytes").to_pylist()
-        size = np.array([len(p) for p in parts], dtype=np.int64)
-        sums = K.rolling(np.frombuffer(b"".join(parts), dtype=np.uint8))
-        entry, nth, string = _expand(sums, np.cumsum(size) - size, size - length + 1, length)
-        bucket, refined = rows.column("bucket").to_numpy(), rows.column("refined").to_numpy()
-        # equal strings of a bucket by sorting; they are repeated where a run holds two refined buckets
-        order = np.lexsort((refined[entry], string, bucket[entry]))
-        e, x = entry[order], string[order]
-        new = np.ones(len(e), dtype=bool)
-        new[1:] = (x[1:] != x[:-1]) | (bucket[e[1:]] != bucket[e[:-1]])
-        run_of = np.cumsum(new) - 1
-        first = refined[e[np.flatnonzero(new)]][run_of]
-        final = refined[e[np.append(np.flatnonzero(new)[1:], len(e)) - 1]][run_of]
-        twice = np.flatnonzero(first != final)
-        yield pa.RecordBatch.from_arrays([pa.array(refined[e[twice]]), pa.array(nth[order][twice].astype(np.int32))], names=["refined", "nth"])
-
     return run
 
 
+def _numbered(keys: np.ndarray) -> np.ndarray:
+    """Equal keys get equal numbers from 0."""
+    order = np.argsort(keys, kind="stable")
+    out = np.empty(len(keys), dtype=np.int64)
+    out[order] = np.cumsum(np.append(False, keys[order[1:]] != keys[order[:-1]])) if len(keys) else 0
+    return out
+
+
+def refined_strings(bucket: np.ndarray, parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, place in the entry) of strings of ``length`` bytes that another entry of the same bucket holds; entries are different byte strings."""
+    size = np.array([len(p) for p in parts], dtype=np.int64)
+    data, offset = np.frombuffer(b"".join(parts), dtype=np.uint8), np.cumsum(size) - size
+    many = size - length + 1
+    entry = np.repeat(np.arange(len(parts)), many)
+    nth = np.arange(len(entry)) - np.repeat(np.cumsum(many) - many, many)
+    start, of = offset[entry] + nth, _numbered(bucket)[entry]
+    width = max(1, length // 8)
+    sums, places = K.rolling(data), np.arange(len(data) - width + 1)
+    ids = _numbered(K.span_hash(sums, places, places + width))
+    while True:
+        # strings whose bucket holds another entry's string stay
+        run = _numbered(of << np.int64(32) | ids[start])
+        low, high = np.full(len(run), len(parts)), np.full(len(run), -1)
+        np.minimum.at(low, run, entry)
+        np.maximum.at(high, run, entry)
+        stays = low[run] != high[run]
+        entry, nth, start, of = entry[stays], nth[stays], start[stays], of[stays]
+        if width == length or not len(start):
+            return entry, nth
+        step = min(width, length - width)
+        edge = np.bincount(start, minlength=len(data) + 1) - np.bincount(start + length - width - step + 1, minlength=len(data) + 1)
+        needed = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+        wider = np.zeros(len(data), dtype=np.int64)
+        wider[needed] = _numbered(ids[needed] << np.int64(32) | ids[needed + step])
+        ids, width = wider, width + step
+
+
 def _places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([pa.array(_place(np.asarray(batch.column("th")), np.asarray(batch.column("start"))))], names=["bit"])
@@ -231,22 +254,16 @@ def _bits(rows: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _in_shared_buckets(entries: DataFrame) -> DataFrame:
-    """Entries of buckets with two or more. A bit filter of fixed size, broadcast as rows, lets few others into the join."""
-    often = materialise(entries.groupBy("bucket").count().filter("count > 1").select("bucket"), "shared-buckets")
-    word, bit = F.shiftright(F.col("bucket").bitwiseAND(F.lit(FILTER_BITS - 1)), 5), F.expr("shiftleft(1L, cast(bucket & 31 as int))")
-    words = often.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
-    maybe = entries.withColumn("word", word).join(F.broadcast(words), "word").filter(F.col("bits").bitwiseAND(bit) != 0)
-    return maybe.select(*entries.columns).join(often, "bucket")
-
-
 def repeated_entries(docs: DataFrame, length: int = 200) -> DataFrame:
     """(th, start, many): starts of repeated strings, by the text's hash; all starts from ``start`` on, ``many`` of them."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") >= length).select("text", F.xxhash64("text").alias("th"))
-    entries = materialise(texts.mapInArrow(_anchors(length), "bucket long, refined long, th long, start long, many int"), "entries")
-    entries = materialise(_in_shared_buckets(entries), "shared-entries")
-    refined = entries.groupBy("bucket", "refined").agg(F.count("*").alias("members"), F.min(F.struct("th", "start")).alias("one"))
+    raw = materialise(texts.mapInArrow(_anchors(length), "bucket long, refined long, th long, start long, many int"), "entries")
+    often = materialise(raw.groupBy("bucket").count().filter("count > 1").select("bucket"), "shared-buckets")
+    entries = BitFilter(often, "bucket").maybe(raw, "bucket").groupBy("bucket", "refined", "th", "start", "many").agg(F.count("*").alias("copies"))
+    entries = materialise(entries.join(often, "bucket"), "shared-entries")
+    release(raw, often)
+    refined = entries.groupBy("bucket", "refined").agg(F.sum("copies").alias("members"), F.min(F.struct("th", "start")).alias("one"))
     refined = materialise(refined, "refined")
     split = refined.groupBy("bucket").count().filter("count > 1")
     apart = materialise(refined.join(split, "bucket").select("one.th", "one.start", (F.col("count") > TOGETHER).alias("singly")), "apart")
