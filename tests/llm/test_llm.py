@@ -1,6 +1,7 @@
 """Training-data operators against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing names."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -449,3 +450,50 @@ def test_repeats_in_texts_over_one_part(spark, monkeypatch):
                 gone[i : i + 200] = [True] * 200
         assert got[d] == (sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)))
     assert got[0][0] >= 2 * 350 + 260
+
+
+def test_url_ratio(spark, monkeypatch):
+    """Counts, smoothing, scores and threshold against dictionaries; long and repeated URLs, more columns."""
+    monkeypatch.setattr(url_filter, "PIECE", 16)
+    rng = random.Random(41)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 9)))
+    urls = [f"http://{word('abcd')}.com/{word('abcdx')}" for _ in range(60)] + [f"http://{word('mnop')}.net/es/{word('mnopÄ')}" for _ in range(60)]
+    urls += [f"http://{word('abcd')}.org/{word('abcdx')}?q={word('mn')}" for _ in range(30)] + [f"HTTP://{word('MNOP')}.org/{word('MNOP')}" for _ in range(30)] + ["http://a.com/" + "abcd" * 200, urls[0], urls[0], "http://", None]
+    df = spark.createDataFrame([(i, u, "x", 1.0, "k") for i, u in enumerate(urls)], "page_id long, url string, text string, score double, key string")
+    got = {r["page_id"]: r for r in url_filter.url_filter(df).collect()}
+    parts = {i: (got[i]["host"], got[i]["path"]) for i in got}
+    keys = {(r["host"], r["path"]): (r["out"], r["text"]) for r in spark.createDataFrame(sorted(set(parts.values())), "host string, path string").select("*", (F.pmod(F.xxhash64(F.xxhash64("host", "path")), F.lit(4)) == 0).alias("out"), F.lower(F.concat("host", "path")).alias("text")).collect()}
+    label = {p: got[i]["verdict"] for i, p in parts.items() if got[i]["rule"]}
+    begin, counts = "\x02" * 4, {True: Counter(), False: Counter()}
+    every = set()
+    for p, (out, text) in keys.items():
+        padded = begin + text
+        for k in range(4, len(padded)):
+            every.add(padded[k])
+            if p in label and not out:
+                for n in range(5):
+                    counts[label[p] == "allow"].update([(padded[k - n : k], padded[k]), (padded[k - n : k], None)])
+
+    def probability(side, context, char):
+        c = counts[side]
+        p = (c["", char] + 1) / (c["", None] + len(every))
+        for n in range(1, 5):
+            p = (c[context[4 - n :], char] + 4 * p) / (c[context[4 - n :], None] + 4)
+        return p
+
+    score = {}
+    for p, (_, text) in keys.items():
+        padded = begin + text
+        llr = [math.log(probability(True, padded[k - 4 : k], padded[k]) / probability(False, padded[k - 4 : k], padded[k])) for k in range(4, len(padded))]
+        score[p] = sum(llr) / len(llr) if llr else 0.0
+    held = [(math.floor(score[p] * 100) / 100, label[p] == "allow") for p, (out, text) in keys.items() if out and p in label]
+    ups, downs = sum(x for _, x in held), sum(not x for _, x in held)
+    halfway = lambda t: (t + max([s for s, _ in held if s < t], default=t)) / 2
+    threshold = max((sum(x and s >= t for s, x in held) / ups + sum(not x and s < t for s, x in held) / downs, halfway(t)) for t, _ in held)[1]
+    for i, p in parts.items():
+        assert abs(got[i]["score"] - score[p]) < 1e-5
+        assert got[i]["verdict"] == label.get(p, "allow" if score[p] >= threshold else "block")
+    free = [got[i]["verdict"] for i in range(120, 180)]
+    assert free[:30].count("allow") > 25 and free[30:].count("block") > 25
+    one_sided = url_filter.url_filter(df.filter("page_id < 60 or page_id >= 120")).collect()
+    assert {r["verdict"] for r in one_sided} == {"allow"}

@@ -1,15 +1,18 @@
 """URL rules, and a character language-model ratio where no rule fits.
 
-Two variable-order Markov models (contexts of two, one and no characters, each smoothed by the next shorter one) are
-counted over all URLs that rules accept and all that rules reject. A URL that no rule fits is judged by the difference of
-its log-likelihoods divided by its length; the threshold is the one with the best balanced accuracy on a quarter of the
-rule-judged URLs, taken by hash and kept out of the counts.
+Two variable-order Markov models over the lower-cased host and path are counted on the distinct URLs that rules accept and
+on those that rules reject. A character is predicted from the ``order`` characters before it, smoothed by the shorter
+contexts down to none: p_k(c) = (n(context, c) + S p_{k-1}(c)) / (n(context) + S), and (n(c) + 1) / (n + V) without a
+context, for V different characters. A URL that no rule fits is judged by the difference of its log-likelihoods divided by
+its length; the threshold is the one with the best balanced accuracy on a quarter of the rule-judged URLs, taken by hash
+and kept out of the counts.
 
-The alphabet is fixed (a-z, 0-9, ``. - / _`` and one symbol for all else), so a model has ``len(ALPHABET)+1`` cubed
-numbers however many URLs there are.
+A URL is a row for each of its characters; counts are tables of distinct n-grams, joined to these rows and summed by URL,
+all with SQL functions. Host and path are scored once for all pages that share them.
 
 Defined results: null URLs and URLs without ``://`` have empty host and path, fit no rule, and score 0; if rules accept
-nothing or reject nothing, the method allows all; repeated rows are judged alike; other columns are ignored.
+nothing or reject nothing (outside the quarter or in it), the method allows all; repeated rows are judged alike; long URLs
+are cut into overlapping pieces and count whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,14 +21,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from worklens.llm.common import ascii_lower, table
+from worklens.llm.common import ascii_lower, materialise, table
 
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789.-/_"
-V = len(ALPHABET) + 1
-#: Weight of the shorter context, in counts.
-SMOOTHING = 4.0
+#: Characters of context; weight of the shorter context, in counts; characters of a URL that are cut out of one piece.
+ORDER, SMOOTHING, PIECE = 4, 4.0, 256
+#: Stands before the first character.
+BEGIN = "\x02"
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
@@ -46,69 +48,77 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
 
 
-def _symbols(text: Column) -> Column:
-    """Array of symbol numbers; 0 is any character outside the alphabet, and stands twice before the first."""
-    codes = F.transform(F.split(F.lower(text), ""), lambda c: F.when(c == "", F.lit(0)).otherwise(F.instr(F.lit(ALPHABET), c)))
-    return F.concat(F.array(F.lit(0), F.lit(0)), F.when(F.length(text) > 0, codes).otherwise(F.array().cast("array<int>")))
-
-
-def _triples(symbols: Column) -> Column:
-    """Number of each symbol with the two before it."""
-    return F.transform(
-        F.filter(F.sequence(F.lit(1), F.size(symbols)), lambda i: i > 2),
-        lambda i: F.get(symbols, i - 3) * (V * V) + F.get(symbols, i - 2) * V + F.get(symbols, i - 1),
-    )
-
-
-def ratio_model(labelled: DataFrame) -> DataFrame:
-    """(accepted boolean, triples array<int>) -> (code, llr) for every code from 0 to V^3: log P(c|ab, accepted) - log P(c|ab, rejected)."""
-    counts = labelled.select("accepted", F.explode("triples").alias("code")).groupBy("accepted", "code").count()
-    grid = labelled.sparkSession.range(V * V * V).withColumnRenamed("id", "code").crossJoin(labelled.sparkSession.createDataFrame([(True,), (False,)], "accepted boolean"))
-    ab, b, c = F.floor(F.col("code") / V), F.floor(F.col("code") / V) % V, F.col("code") % V
-    n = grid.join(counts, ["accepted", "code"], "left").fillna(0, ["count"]).select("accepted", "code", ab.alias("ab"), b.alias("b"), c.alias("c"), F.col("count").cast("double").alias("n3"))
-    over = lambda *by: F.sum("n3").over(Window.partitionBy("accepted", *by))
-    p1 = (over("c") + 1) / (over() + V)
-    p2 = (over("b", "c") + SMOOTHING * p1) / (over("b") + SMOOTHING)
-    p3 = (F.col("n3") + SMOOTHING * p2) / (over("ab") + SMOOTHING)
-    return n.select("code", F.when(F.col("accepted"), F.log(p3)).otherwise(-F.log(p3)).alias("x")).groupBy("code").agg(F.sum("x").alias("llr"))
-
-
-def score_column(model: list[float], triples: Column) -> Column:
-    """Mean log-likelihood difference of a URL; the model is one constant array of V^3 numbers."""
-    numbers = F.split(F.lit(",".join(f"{x:.6g}" for x in model)), ",").cast("array<double>")
-    total = F.aggregate(triples, F.lit(0.0), lambda acc, k: acc + F.get(numbers, k))
-    return F.when(F.size(triples) > 0, total / F.size(triples)).otherwise(F.lit(0.0))
+def _grams(texts: DataFrame, order: int) -> DataFrame:
+    """texts (text, ...) -> a row with ``gram`` for each character: the character behind the ``order`` before it."""
+    rest = [c for c in texts.columns if c != "text"]
+    padded = F.concat(F.lit(BEGIN * order), "text")
+    pieces = texts.select(*rest, padded.alias("padded"), F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int"))).alias("piece"))
+    pieces = pieces.select(*rest, F.substr("padded", F.col("piece") * PIECE + 1, F.lit(PIECE + order)).alias("piece"))
+    at = pieces.select(*rest, "piece", F.explode(F.sequence(F.lit(1), F.length("piece") - order)).alias("at"))
+    return at.select(*rest, F.substr("piece", F.col("at"), F.lit(order + 1)).alias("gram"))
+
+
+def ratio_model(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """texts (text, accepted: true, false, or null where it doesn't count) -> (gram, llr) of every n-gram in any of them: log P(c|context, accepted) - log P(c|context, rejected)."""
+    one = lambda x: F.sum(F.when(F.col("accepted") == x, 1).otherwise(0)).cast("double")
+    model = materialise(_grams(texts.select("text", "accepted"), order).groupBy("gram").agg(one(True).alias("a"), one(False).alias("r")), "url-grams")
+    last = F.substr("gram", F.lit(order + 1), F.lit(1))
+    overall = model.agg(F.sum("a").alias("all_a"), F.sum("r").alias("all_r"), F.count_distinct(last).cast("double").alias("v"))
+    single = model.groupBy(last.alias("last")).agg(F.sum("a").alias("n_a"), F.sum("r").alias("n_r"))
+    p0 = lambda x: ((F.col("n_" + x) + 1) / (F.col("all_" + x) + F.col("v"))).alias("p_" + x)
+    single = single.crossJoin(F.broadcast(overall)).select("last", p0("a"), p0("r"))
+    out = model.withColumn("last", last).join(single, "last").drop("last")
+    for k in range(1, order + 1):
+        context, with_char = F.substr("gram", F.lit(order + 1 - k), F.lit(k)), F.substr("gram", F.lit(order + 1 - k), F.lit(k + 1))
+        before = model.groupBy(context.alias("context")).agg(F.sum("a").alias("c_a"), F.sum("r").alias("c_r"))
+        pairs = model.groupBy(with_char.alias("with_char")).agg(F.sum("a").alias("n_a"), F.sum("r").alias("n_r"))
+        out = out.withColumns({"context": context, "with_char": with_char}).join(before, "context").join(pairs, "with_char")
+        p = lambda x: ((F.col("n_" + x) + SMOOTHING * F.col("p_" + x)) / (F.col("c_" + x) + SMOOTHING)).alias("p_" + x)
+        out = out.select("gram", "a", "r", p("a"), p("r"))
+    return materialise(out.select("gram", (F.log("p_a") - F.log("p_r")).alias("llr")), "url-model")
+
+
+def scores(texts: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, text) -> (key, score): the mean log-likelihood difference of a character."""
+    return _grams(texts.select("key", "text"), order).join(model, "gram").groupBy("key").agg(F.avg("llr").alias("score"))
 
 
 def best_threshold(scored: DataFrame) -> float:
-    """The score (in hundredths, -20 to 20) that separates accepted from rejected with the best balanced accuracy."""
-    bins = F.greatest(F.lit(-2000), F.least(F.lit(2000), F.floor(F.col("score") * 100))).cast("int")
-    counted = scored.groupBy(bins.alias("bin"), "accepted").count().collect()
+    """The score (in hundredths) that separates accepted from rejected with the best balanced accuracy, halfway down to the next lower score.
+
+    Scores of a character are bounded by the smoothing, and with them the number of hundredths that come to the driver.
+    """
+    counted = scored.groupBy(F.floor(F.col("score") * 100).cast("int").alias("bin"), "accepted").count().collect()
     n = {True: 0, False: 0}
     for r in counted:
         n[r["accepted"]] += r["count"]
     if not n[True] or not n[False]:
         return float("-inf")
-    kept, dropped, best = n[True], 0, (1.0, -21.0)
+    kept, dropped, best, below = n[True], 0, (1.0, float("-inf")), None
     for b in sorted({r["bin"] for r in counted}):
-        best = max(best, (kept / n[True] + dropped / n[False], b / 100))
+        best = max(best, (kept / n[True] + dropped / n[False], (b if below is None else (b + below) / 2) / 100))
         kept -= sum(r["count"] for r in counted if r["bin"] == b and r["accepted"])
         dropped += sum(r["count"] for r in counted if r["bin"] == b and not r["accepted"])
+        below = b
     return best[1]
 
 
-def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, order: int = ORDER) -> DataFrame:
     """page_id, host, path, rule, verdict, and the method's score of every row."""
     host, path = split_url(F.col("url"))
-    parts = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    parts = parts.withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("triples", _triples(_symbols(F.concat("host", "path"))))
-    labelled = parts.filter(F.col("fit").isNotNull()).select("url", (F.col("fit.verdict") == "allow").alias("accepted"), "triples")
-    held_out = F.pmod(F.xxhash64("url"), F.lit(4)) == 0
-    model = [r["llr"] for r in ratio_model(labelled.filter(~held_out)).orderBy("code").collect()]
-    score = score_column(model, F.col("triples"))
-    threshold = best_threshold(labelled.filter(held_out).select("accepted", score.alias("score")))
-    method = F.when(score >= F.lit(threshold), "allow").otherwise("block")
-    return parts.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"), F.round(score, 6).alias("score"))
+    parts = pages.select("page_id", host.alias("host"), path.alias("path"))
+    parts = parts.withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("key", F.xxhash64("host", "path"))
+    text = F.lower(F.concat("host", "path"))
+    texts = parts.select("key", text.alias("text"), (F.col("fit.verdict") == "allow").alias("accepted")).filter("text <> ''")
+    texts = materialise(texts.groupBy("key").agg(F.first("text").alias("text"), F.first("accepted").alias("accepted")), "url-texts")
+    held_out = F.pmod(F.xxhash64("key"), F.lit(4)) == 0
+    classes = texts.filter(F.col("accepted").isNotNull() & ~held_out).select("accepted").distinct().count()
+    model = ratio_model(texts.withColumn("accepted", F.when(~held_out, F.col("accepted"))), order)
+    scored = materialise(scores(texts, model, order), "url-scores")
+    threshold = best_threshold(scored.join(texts.filter(held_out & F.col("accepted").isNotNull()).select("key", "accepted"), "key")) if classes == 2 else float("-inf")
+    judged = parts.join(scored, "key", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    method = F.when(F.col("score") >= F.lit(threshold), "allow").otherwise("block")
+    return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"), F.round("score", 6).alias("score"))
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
