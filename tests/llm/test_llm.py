@@ -497,3 +497,120 @@ def test_url_ratio(spark, monkeypatch):
     assert free[:30].count("allow") > 25 and free[30:].count("block") > 25
     one_sided = url_filter.url_filter(df.filter("page_id < 60 or page_id >= 120")).collect()
     assert {r["verdict"] for r in one_sided} == {"allow"}
+
+
+def test_secrets_query(spark, tmp_path):
+    """The query against patterns written out again, and ownership counted by hand; repeated rows, null owners, a long text."""
+    rng = random.Random(51)
+    token = lambda n, letters="abcdefXYZ0123456789": "".join(rng.choice(letters) for _ in range(n))
+    shared = [token(24) + "7a" for _ in range(6)]
+    make = [
+        lambda: f"{rng.choice(['Password', 'api_key', 'APIKEY', 'secret', 'tokens', 'passwd'])}{rng.choice([chr(34), '', chr(39)])}{rng.choice(['=', ' : ', ' '])}{token(rng.randrange(3, 12))}",
+        lambda: "AKIA" + token(rng.randrange(10, 24), "ABCDEF0123"), lambda: token(rng.randrange(18, 30), "0123456789abcdef"), lambda: rng.choice(shared), lambda: "é" * 3 + token(22), lambda: prose(rng, 4),
+    ]
+    texts = [" ".join(rng.choice(make)() for _ in range(rng.randrange(1, 9))) for _ in range(120)] + [None, "", prose(rng, 9000) + " token=abcdefgh " + prose(rng, 9000)]
+    rows = [(i, t, None if i % 11 == 0 else f"s{i % 4}", "x") for i, t in enumerate(texts)]
+    rows += rows[:5]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, owner string").write.parquet(f"{tmp_path}/documents.parquet")
+    assign = re.compile("(?a)([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    spans, owners = [], {}
+    for _, text, owner, _ in rows:
+        text = text or ""
+        own = [(m.start(), 0, m.end(), m[2]) for m in assign.finditer(text) if len(m[2]) >= 6]
+        own += [(m.start(), 1, m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        own += [(m.start(), 2, m.end(), m[0]) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        taken = [x for s, _, e, _ in own for x in range(s, e)]
+        for m in re.finditer("[A-Za-z0-9+/_-]{20,}", text):
+            h = -sum(v / len(m[0]) * math.log2(v / len(m[0])) for v in Counter(m[0]).values())
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and h >= 3.0 and not set(range(m.start(), m.end())) & set(taken):
+                own.append((m.start(), 3, m.end(), m[0]))
+        spans.append(sorted(own))
+        for *_, value in own:
+            owners.setdefault(value, set()).add(owner)
+    name = lambda x: ",".join(f"{('assign', 'access', 'hex', 'owned')[k]}:{s}:{e}" for s, k, e, _ in x)
+    expected = Counter()
+    for (doc, *_), own in zip(rows, spans):
+        base = [x for x in own if x[1] < 3]
+        shown = [x for x in own if x[1] < 3 or len(owners[x[3]]) <= 2]
+        expected[(doc, *(sum(x[1] == k for x in own) for k in range(3)), hashlib.sha256(name(base).encode()).hexdigest(), name(shown))] += 1
+    got = secret_scan.op6_secret_scan(spark, str(tmp_path)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    assert Counter(map(tuple, got.collect())) == expected
+    assert any("owned" in e[5] for e in expected) and any(x[1] == 3 and len(owners[x[3]]) > 2 for own in spans for x in own)
+
+
+@pytest.mark.parametrize("n", [2, 100, 1000])
+def test_schedule_stays_within_a_block_of_given_weights(n):
+    from fractions import Fraction
+
+    rng = random.Random(n)
+    weights = {f"s{k}": rng.choice([1 / 3, 0.1, rng.random() + 0.01]) * (50 if not k else 1) for k in range(n)}
+    whole = mix_sources.exact_weights(weights)
+    total = sum(map(Fraction, weights.values()))
+    slots = 4 * n + 500
+    taken = [s for s, _, t in mix_sources.schedule(whole, dict.fromkeys(weights, slots), sum(whole.values())) if t < slots][:slots] if n < 1000 else None
+    if taken is None:
+        taken, plan = [], mix_sources.schedule(whole, dict.fromkeys(weights, slots), sum(whole.values()))
+        while len(taken) < slots:
+            taken.append(next(plan)[0])
+    count = Counter()
+    for t, s in enumerate(taken, 1):
+        count[s] += 1
+        assert abs(count[s] - Fraction(weights[s]) / total * t) < 1
+    assert all(abs(count[s] - Fraction(w) / total * slots) < 1 for s, w in weights.items())
+
+
+def test_mixture_query(spark, tmp_path):
+    """Blocks, offsets and slots of the query, worked out row by row; null and hot sources, a text over a block, repeated rows."""
+    rng = random.Random(61)
+    rows = [(i, prose(rng, rng.randrange(1, 900)), "hot" if i % 3 else rng.choice(["a", "b", None]), 7) for i in range(300)]
+    rows += [(1000, "x" * 200_000, "a", 7), (1001, None, "b", 7), (None, "z", "b", 7), rows[0], rows[0]]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, mix_slot int").write.parquet(f"{tmp_path}/documents.parquet")
+    size = lambda t: len((t or "").encode()) + 1
+    digest = lambda d: hashlib.md5(str(d).encode()).hexdigest() if d is not None else "~"
+    by_source, place = {}, {}
+    for r in rows:
+        by_source.setdefault(r[2], []).append(r)
+    for source, own in by_source.items():
+        at = 0
+        for d, t, *_ in sorted(own, key=lambda r: digest(r[0])):
+            place.setdefault((d, source), []).append((at // 65536, at % 65536, size(t)))
+            at += size(t)
+    total = {s: sum(size(t) for _, t, *_ in own) for s, own in by_source.items()}
+    whole = mix_sources.exact_weights({s: math.sqrt(b) for s, b in total.items()})
+    slot, used, t, sum_ = {}, set(), 0, sum(whole.values())
+    todo = {s: -(-b // 65536) for s, b in total.items()}
+    done = dict.fromkeys(todo, 0)
+    while any(done[s] < todo[s] for s in todo):
+        ready = [(-(-(done[s] + 1) * sum_ // whole[s]), s is None, s or "", s) for s in todo if done[s] < todo[s] and done[s] * sum_ // whole[s] <= t]
+        if ready:
+            s = min(ready)[-1]
+            slot[s, done[s]] = t
+            used.add(t)
+            done[s] += 1
+        t += 1
+    got = Counter((r["doc_id"], r["source"], r["block"], r["offset"], r["size"], r["slot"]) for r in mix_sources.op9_mix_sources(spark, str(tmp_path)).collect())
+    expected = Counter((d, s, b, o, n, slot[s, b]) for (d, s), places in place.items() for b, o, n in places)
+    assert got == expected
+
+
+def test_quality_query(spark, tmp_path):
+    """The query on labelled prose and junk: the held-out quarter, the cut at 0.7, accuracy there, and nothing but the text and the other labels decides."""
+    rng = random.Random(71)
+    rows = [(i, prose(rng, rng.randrange(20, 120)) if i % 3 else " | ".join(str(rng.randrange(10**6)) for _ in range(rng.randrange(10, 60))), f"l{i % 5}", f"s{i % 7}", 0) for i in range(600)]
+    rows += [(700, None, "l", "s", 0), (701, "", "l", "s", 0), rows[5], (None, rows[3][1], "l", "s", 0), (702, prose(rng, 30_000), "l", "s", 0)]
+    out = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d, *_ in rows if d is not None}
+    labels = [(i, int(i % 3 > 0), 0) for i in range(600)] + [(5, 1, 0), (6, None, 0), (None, 1, 0)]
+    found = []
+    for name, flip, change in (("plain", False, False), ("other", True, True)):
+        folder = f"{tmp_path}/{name}"
+        own = [(d, t, "zz" if change else la, "yy" if change else so, x) for d, t, la, so, x in rows]
+        marks = [(d, 1 - q if flip and d is not None and out.get(d) and q is not None else q, x) for d, q, x in labels]
+        spark.createDataFrame(own, "doc_id long, text string, lang string, source string, label int").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        found.append(sorted(map(tuple, quality_rules.op10_quality_rules(spark, folder).collect()), key=repr))
+    assert [x[:2] + x[3:] for x in found[0]] == [x[:2] + x[3:] for x in found[1]] and max(abs(a[2] - b[2]) for a, b in zip(*found)) < 1e-9
+    assert len(found[0]) == len(rows)
+    for d, held, score, predicted in found[0]:
+        assert 0 <= score <= 1 and predicted == int(score >= 0.7) and (d is None or held == out[d])
+    judged = [(d % 3 > 0, p) for d, held, _, p in found[0] if held and d is not None and d < 600]
+    assert len(judged) > 100 and sum(int(a) == p for a, p in judged) > 0.95 * len(judged)

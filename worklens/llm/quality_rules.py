@@ -7,7 +7,7 @@ Labels, language, source and doc_id are no statistics. The model is fitted on up
 smallest doc_id hash), which are kept apart from the held-out quarter; every row is scored.
 
 Defined results: null text is empty; the empty text has all statistics 0 and is scored; labels that are null are ignored
-and several labels of one doc_id count by their mean; without labels, or with one class, the score is the smoothed share of class 1; repeated rows
+and several labels of one doc_id count by their mean; without labels, or with one class, the score is the smoothed share of class 1 (``drop_low_quality`` keeps all then); repeated rows
 are scored alike; an empty table gives an empty result; other columns are ignored (by ``drop_low_quality``: kept).
 """
 
@@ -32,7 +32,7 @@ STATISTICS = (
     "log_bytes", "log_words", "word_length", "upper", "digit", "space", "line_feed", "not_ascii", "stops", "bang", "bar", "marks", "distinct_words",
     "top_word", "distinct_pairs", "repeated_next", "log_line_length",
 )
-SAMPLE, TREES, DEPTH, LASSO = 20_000, 24, 3, 0.001
+SAMPLE, TREES, DEPTH, LASSO, ACCEPTED = 20_000, 24, 3, 0.001, 0.7
 #: Classes of bytes, a number for each statistic that is a share of the bytes.
 _CLASS = np.zeros(256, dtype=np.int64)
 for _k, _chars in enumerate((range(65, 91), range(48, 58), (9, 11, 12, 13, 32), (10,), range(128, 256), b".,;:?", b"!", b"|", b"#$%&*@^~<>{}[]_=+\\/"), 1):
@@ -118,12 +118,14 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
-    """stats: doc_id and the statistics; labels: doc_id, quality."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
+    """docs: doc_id, text; labels: doc_id, quality. The labelled sample is chosen first, so statistics are only computed for its rows."""
     marked = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
-    marked = marked.filter(~held_out(F.col("doc_id")))
-    rows = stats.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = materialise(rows.select("label", *STATISTICS).coalesce(1), "labelled")
+    marked = marked.filter(~held_out(F.col("doc_id"))).join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = materialise(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labelled-ids")
+    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "doc_id", "text"), "")
+    rows = materialise(rows.select("label", "doc_id", *STATISTICS), "labelled").orderBy("doc_id", *STATISTICS).coalesce(1).drop("doc_id")
+    rows = materialise(rows, "labelled")
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if ones in (0, n):
         share = (ones + 1) / (n + 2)
@@ -141,16 +143,17 @@ def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Score of every document."""
-    stats = materialise(with_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"), "").drop("text"), "statistics")
-    model = fit(stats, table(spark, sf_dir, "labels"))
-    scored = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    scored = with_statistics(docs, "").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= ACCEPTED).cast("int"))
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, below: float = 0.5) -> DataFrame:
+def drop_low_quality(docs: DataFrame, labels: DataFrame, below: float = ACCEPTED) -> DataFrame:
     """The rows of documents scored ``below`` or higher, with all columns; a null doc_id is no reason to go."""
-    stats = materialise(with_statistics(docs.select("doc_id", "text"), "").drop("text"), "statistics")
-    model = fit(stats, labels)
+    model = fit(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))
+    if not model.rules:  # nothing to judge by
+        return docs
     prefix = "stat_"
     while any(c.startswith(prefix) for c in docs.columns):
         prefix += "_"
