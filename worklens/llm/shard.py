@@ -3,15 +3,15 @@
 Law ``bytes``. The sort key is (hash of the text, hash of the doc_id), both 64 bits, so equal texts are neighbours.
 Splitters are found by counting: bytes are summed for every value of the next ``bits`` bits of the key over all rows;
 each splitter lies in one of these bins, and only the bins that hold a splitter are counted again by their next bits.
-A splitter stops as soon as a bin edge lies within ``tolerance`` of its target (both as a part of a shard's bytes). A
-group of equal texts of up to ``keep_group`` stays in one shard: the splitter takes the nearer end of the group. Only a
-larger group that lies across a target is divided, by the doc_id's hash. Then rows move once.
+A splitter stops as soon as a bin edge lies within ``tolerance`` of its target (as a part of a shard's bytes); where one
+text alone holds more, the doc_id's hash goes on. So a group of equal texts, of whatever size, lies in neighbouring
+shards, and is divided only where a splitter's target falls into it. Then rows move once.
 
 Slots inside a shard are prefix counts in two levels: buckets, then rows in a bucket. With ``order`` the buckets are ranges of
 its first column, and slots follow the columns ``order``; else buckets are dealt by the doc_id's hash.
 
 Defined results: null text has size 1 and checksum 0 and counts as the empty text; a null doc_id is a value like any other; repeated rows
-keep a row each; an empty table gives an empty result; other columns are ignored.
+keep a row each, in one shard; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,13 +49,13 @@ def _histogram(keys: DataFrame, col: str, skip: int, width: int, spots: set[tupl
     return found
 
 
-def find_splitters(keys: DataFrame, n_shards: int, tolerance: float, keep_group: float, bits: int = 12) -> list[tuple[int, int]]:
+def find_splitters(keys: DataFrame, n_shards: int, tolerance: float, bits: int = 12) -> list[tuple[int, int]]:
     """Splitters (text hash, doc hash) as unsigned numbers: a row goes behind every splitter that is at most its key.
 
     keys: (size, th, dh). A splitter's second part is 0 where it does not divide a group of equal texts.
     """
     total = keys.agg(F.sum("size")).first()[0]
-    slack, group_slack = tolerance * total / n_shards, keep_group * total / n_shards
+    slack = tolerance * total / n_shards
     # of each open splitter: the bytes it still needs behind the bins that lie before it, and the bin it is in
     open_ = {k: (k * total / n_shards, "th", None, 0, 0) for k in range(1, n_shards)}
     done: dict[int, tuple[int, int]] = {}
@@ -73,7 +73,7 @@ def find_splitters(keys: DataFrame, n_shards: int, tolerance: float, keep_group:
             low, shift = prefix << width | edge, KEY_BITS - skip - width
             near = min(need - before, run - need)
             cut = (low if need - before <= run - need else low + 1) << shift
-            if near <= slack or single and (col == "dh" or n <= group_slack):
+            if near <= slack or single and col == "dh":
                 done[k] = (cut, 0) if col == "th" else (text, cut)
                 del open_[k]
             elif single or not shift:  # one large group of equal texts
@@ -101,7 +101,7 @@ def _at_least(splitter: tuple[int, int]) -> Column:
     return (flipped("th") > F.lit(flip(text))) | same
 
 
-def histogram_sort(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.005, keep_group: float = 0.05, rows_per_bucket: int = 20_000, whole_rows: bool = False, order: tuple[str, ...] = ()) -> DataFrame:
+def histogram_sort(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.005, rows_per_bucket: int = 20_000, whole_rows: bool = False, order: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row; with ``whole_rows`` all its columns, then size, text_crc32, shard, slot in place of columns of these names.
 
     Slots run through a shard's buckets, which are dealt by the doc_id's hash, and in a bucket by key; with ``order``, columns of which the
@@ -118,7 +118,7 @@ def histogram_sort(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.005
     keys = materialise(docs.select("doc_id", *key), "shard-keys")
     rows = keys.count()
     shard = F.lit(0)
-    for s in find_splitters(keys, n_shards, tolerance, keep_group) if rows else []:
+    for s in find_splitters(keys, n_shards, tolerance) if rows else []:
         shard = shard + _at_least(s).cast("int")
     n_buckets = max(8, -(-rows // (n_shards * rows_per_bucket)))
     if order and rows:
