@@ -1,12 +1,17 @@
 """Hand-computed cases of the semantics that decide correctness."""
 
 from datetime import datetime as D
+from math import exp, factorial
 
+import pytest
 from pyspark.sql import functions as F
 
 from worklens.functions import scalars as S
 from worklens.functions.params import DEFAULT
 from worklens.operators import flow, reports, text
+from worklens.plans.scalar_queries import attention, sla_scope
+from worklens.sources import ingest
+from worklens.streaming import intake
 
 ISSUE = "key string, created timestamp_ntz"
 LOG = "key string, to_status string, changed_at timestamp_ntz, seq int"
@@ -78,3 +83,93 @@ def test_tokens(spark):
 def test_crosstab_keeps_zero_cells(spark):
     rows = spark.createDataFrame([("s1", "p1"), ("s2", "p2")], "a string, b string")
     assert sorted(map(tuple, reports.crosstab(rows, "a", "b").collect())) == [("s1", "p1", 1), ("s1", "p2", 0), ("s2", "p1", 0), ("s2", "p2", 1)]
+
+
+def test_priority_spellings(spark):
+    """Each spelling in the three families; what none of them knows is None."""
+    expected = {
+        "Highest": ("Urgent", "Urgent", "Urgent"), "critical": ("Urgent", "Urgent", "None"), " URGENT ": ("Urgent", "Urgent", "Urgent"), "Blocker": ("Urgent", "None", "None"), "P1": ("Urgent", "None", "None"),
+        "prio 1": ("Urgent", "None", "None"), "High": ("High", "High", "High"), "p2": ("High", "None", "None"), "Prio2": ("High", "None", "None"), "medium": ("Medium", "Medium", "Medium"), "P 3": ("Medium", "None", "None"),
+        "prio3": ("Medium", "None", "None"), "Low": ("Low", "Low", "Low"), "p4": ("Low", "None", "None"), "prio4": ("Low", "None", "None"), "lowest": ("None",) * 3, "normal": ("None",) * 3, "No Priority": ("None",) * 3, "": ("None",) * 3, None: ("None",) * 3,
+    }
+    rows = spark.createDataFrame([(x,) for x in expected], "raw string")
+    got = {r["raw"]: (r["sla"], r["velocity"], r["executive"]) for r in rows.select("raw", *[S.canonical_priority(F.col("raw"), p).alias(p) for p in ("sla", "velocity", "executive")]).collect()}
+    assert got == expected
+
+
+def test_attention_rules(spark):
+    """The first rule that fits, in order; days are counted from 2001-09-15."""
+    late, soon, far = D(2001, 9, 1), D(2001, 9, 22), D(2001, 12, 1)
+    cases = [
+        ("Blocked", "Low", late, "Blocked", 0), ("on_hold", "Low", late, "On Hold", 1), ("Validating", "Low", late, "Validating", 2), ("In Progress", "Low", late, "Overdue", 3), ("In Progress", "Low", soon, "Due Soon", 4),
+        ("To Do", "Critical", None, "Missing Target", 5), ("To Do", "critical", far, "High Priority", 6), ("To Do", "Urgent", far, "High Priority", 6), ("In Progress", "Medium", far, "In Progress", 7), ("Done", "Urgent", late, "Done", 9), ("Triage", "Low", far, "Triage", 8),
+    ]
+    rows = [(str(k), s, p, t, D(2001, 1, 1)) for k, (s, p, t, _, _) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "key string, status string, priority_name string, target_end_date timestamp_ntz, created timestamp_ntz")
+    got = {r["key"]: (r["attention"], r["attention_rank"]) for r in attention(df).collect()}
+    assert got == {str(k): (a, n) for k, (*_, a, n) in enumerate(cases)}
+
+
+def test_scopes(spark):
+    """SLA scope by status and window, from the start of the day; open by status as spelled."""
+    rows = [("OPS-1", "To Do", D(2001, 6, 17), None), ("OPS-2", "To Do", D(2001, 6, 16, 23), None), ("OPS-3", "Backlog", D(2001, 9, 1), None), ("CAR-4", "To Do", D(2001, 9, 1), None), ("OPS-5", "blocked", D(1999, 1, 1), D(2001, 8, 1)), ("OPS-6", "Tech Discovery Required", D(2001, 9, 1), None)]
+    df = spark.createDataFrame(rows, "key string, status string, created timestamp_ntz, resolved timestamp_ntz")
+    assert sorted(r["key"] for r in sla_scope(df).collect()) == ["OPS-1", "OPS-5", "OPS-6"]
+    states = spark.createDataFrame([("Backlog",), ("backlog",), ("Plan Release",), ("Blocked",), (None,)], "status string")
+    assert [r["status"] for r in states.filter(reports.is_open()).collect()] == ["backlog", "Blocked", None]
+    assert one(spark, S.sla_target(F.lit(None).cast("double"), F.lit("Urgent"))) == 90 and one(spark, S.sla_target(F.lit(5.0), F.lit("Low"))) == 5
+
+
+def test_scope_counts(spark):
+    """Will Not Do is neither done nor left; recent counts every child whose last Done is recent."""
+    states = ["Done", "Will Not Do", "To Do", "Triage", "In Progress", "Blocked", "On Hold", "Backlog", "Reviewing"]
+    children = spark.createDataFrame([(f"c{k}", "p", s, D(2001, 1, 1 + k)) for k, s in enumerate(states)], "key string, parent_key string, status string, created timestamp_ntz")
+    log = spark.createDataFrame([("c0", "Done", D(2001, 9, 1), 0), ("c1", "Done", D(2001, 9, 1), 0), ("c4", "Done", D(2001, 1, 1), 0)], LOG)
+    r = flow.child_counts(children, log, DEFAULT).first()
+    assert tuple(r[x] for x in flow.SCOPE) == (1, 7, 2, 1, 1, 1, 2) and r["first_created"] == D(2001, 1, 1)
+
+
+def test_burndown_by_bisection(spark):
+    cases = [(r, x / 4) for r in (1, 2, 5, 17, 60) for x in (1, 3, 8, 40)]
+    rows = spark.createDataFrame([(str(k), r, x) for k, (r, x) in enumerate(cases)], "key string, remaining long, rate double")
+    got = {r["key"]: (r["p50"], r["p85"], r["p95"]) for r in flow.burndown(rows, {"p50": 0.5, "p85": 0.85, "p95": 0.95}).collect()}
+    done = lambda r, m: 1 - sum(exp(-m) * m**k / factorial(k) for k in range(r))
+    assert got == {str(k): tuple(next((w for w in range(1, 260) if done(r, x * w) > q), 260) for q in (0.5, 0.85, 0.95)) for k, (r, x) in enumerate(cases)}
+
+
+def test_numbers_over_days(spark):
+    rows = spark.createDataFrame([(k, (k * 7) % 5, k % 2) for k in range(40)], "id long, day long, x long")
+    got = reports.numbered(rows, [F.col("day")], [F.desc("id")]).collect()
+    expected = {k: n for n, k in enumerate(sorted(range(40), key=lambda k: ((k * 7) % 5, -k)), 1)}
+    assert {r["id"]: r["place"] for r in got} == expected
+    near = {r["id"]: r["rolling"] for r in reports.centred_mean(reports.numbered(rows, [F.col("day")], ["id"]), "place", "x").collect()}
+    order = sorted(range(40), key=lambda k: ((k * 7) % 5, k))
+    for n, k in enumerate(order):
+        part = [j % 2 for j in order[max(0, n - 3) : n + 4]]
+        assert abs(near[k] - 100 * sum(part) / len(part)) < 1e-9
+
+
+def test_failed_batch_is_read_again(spark, tmp_path, monkeypatch):
+    """A batch whose write fails leaves the checkpoint where it was; the next run reads the same records and the table is whole."""
+    line = lambda k, status, hour: '{"key":"OPS-%d","id":"%d","fields":{"status":{"name":"%s"},"updated":"2001-01-01T%02d:00:00.000+0000"}}' % (k, k, status, hour)
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(line(k, "To Do", 1),) for k in range(20)], "value string").coalesce(1).write.text(source)
+    intake.run_issue_stream(spark, source, target).awaitTermination()
+    spark.createDataFrame([(line(k, "Done", 2),) for k in range(10)], "value string").coalesce(1).write.mode("append").text(source)
+    write, seen = ingest.append_batch, []
+
+    def fails(batch, path, epoch):
+        seen.append((epoch, batch.count()))
+        write(batch.limit(3), path, epoch)  # part of it was written
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(ingest, "append_batch", fails)
+    with pytest.raises(Exception, match="lost"):
+        intake.run_issue_stream(spark, source, target).awaitTermination()
+    monkeypatch.setattr(ingest, "append_batch", lambda batch, path, epoch: (seen.append((epoch, batch.count())), write(batch, path, epoch)))
+    intake.run_issue_stream(spark, source, target).awaitTermination()
+    assert seen == [(1, 10), (1, 10)]
+    got = ingest.read_latest(spark, target, "key", "updated")
+    assert sorted((r["id"], r["status"]) for r in got.collect()) == [(k, "Done" if k < 10 else "To Do") for k in range(20)]
+    merged = ingest.compact(spark, target, "key", "updated", str(tmp_path / "merged"))
+    assert merged.count() == 20

@@ -60,11 +60,12 @@ def lead_time_report(issues: DataFrame, transitions: DataFrame, p: Params, month
 
 
 def nearest_rank(values: DataFrame, by: list[str], column: str, at: dict[str, float]) -> DataFrame:
-    """Per group the value at place floor(p n) of the sorted values (the last for p = 1)."""
+    """Per group the value at place floor(p n) of the sorted values (the last for p = 1). Windows run over counts of distinct values, not over rows."""
     w = Window.partitionBy(*by).orderBy(column)
-    ranked = values.filter(c(column).isNotNull()).select(*by, column, (F.row_number().over(w) - 1).alias("_place"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
-    pick = lambda q: F.max(F.when(c("_place") == F.least(c("_n") - 1, F.floor(c("_n") * q)), c(column)))
-    return ranked.groupBy(*by).agg(*[pick(q).alias(n) for n, q in at.items()])
+    counts = values.filter(c(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_times"))
+    upto = counts.select(*by, column, F.sum("_times").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"), F.sum("_times").over(Window.partitionBy(*by)).alias("_n"))
+    pick = lambda q: F.min(F.when(c("_upto") > F.least(c("_n") - 1, F.floor(c("_n") * q)), c(column)))
+    return upto.groupBy(*by).agg(*[pick(q).alias(n) for n, q in at.items()])
 
 
 def half_up_median(values: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

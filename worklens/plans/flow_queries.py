@@ -50,14 +50,13 @@ query(
 
 
 def lead_summary(t):
-    """Nearest-rank percentiles from a histogram of whole days: the windows run over distinct days, not over stories."""
+    """Percentiles of both times in one pass, and the median flow efficiency."""
     rows = report(t)
-    days = rows.select(F.explode(F.array(F.struct(F.lit("lead").alias("what"), c("lead").alias("d")), F.struct(F.lit("cycle").alias("what"), c("cycle").alias("d")))).alias("x")).select("x.*").groupBy("what", "d").agg(F.count("*").alias("n"))
-    upto, total = Window.partitionBy("what").orderBy("d").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("what")
-    days = days.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(total)})
-    at = lambda what, q: F.min(F.when((c("what") == what) & (c("upto") > F.least(c("all") - 1, F.floor(c("all") * q))), c("d")))
-    found = days.agg(*[at("lead", q).alias(n) for n, q in (("p50", 0.5), ("p85", 0.85), ("p95", 0.95))], at("cycle", 0.5).alias("cycle_p50"))
-    return found.crossJoin(rows.filter("lead > 0").agg(F.round(F.percentile(c("cycle") / c("lead"), 0.5), 6).alias("flow_efficiency")))
+    both = rows.select(F.explode(F.array(*[F.struct(F.lit(x).alias("what"), c(x).alias("days")) for x in ("lead", "cycle")])).alias("x")).select("x.*")
+    found = flow.nearest_rank(both, ["what"], "days", {"p50": 0.5, "p85": 0.85, "p95": 0.95})
+    of = lambda what, x: F.max(F.when(c("what") == what, c(x)))
+    shown = found.agg(*[of("lead", x).alias(x) for x in ("p50", "p85", "p95")], of("cycle", "p50").alias("cycle_p50"))
+    return shown.crossJoin(rows.filter("lead > 0").agg(F.round(F.percentile(c("cycle") / c("lead"), 0.5), 6).alias("flow_efficiency")))
 
 
 query(
