@@ -363,8 +363,6 @@ def least_edits(passage, text):
 
 def test_contamination_is_each_document_by_itself(spark, monkeypatch):
     """Against edit distances of every document and piece, for any order and neighbours of the rows; texts over one part, short items, passages over part edges."""
-    monkeypatch.setattr(decontaminate, "PART", 900)
-    monkeypatch.setattr(decontaminate, "AT_ONCE", 50)
     rng = random.Random(21)
     items = [prose(rng, 25)[:150] for _ in range(4)]
     items.append(items[0][:75] + prose(rng, 15)[:70])  # shares grams with another
@@ -398,6 +396,12 @@ def test_contamination_is_each_document_by_itself(spark, monkeypatch):
         assert not order or places == before
         before = places
     assert decontaminate.drop_contaminated(docs, bench).count() == len(rows) - len({r for r, _ in found})
+    passages = decontaminate.Passages([*enumerate(items), *short])
+    whole = decontaminate.scan(passages, rows)
+    assert set(whole) == found and {k: (s, e, n) for k, (n, s, e) in whole.items()} == places
+    monkeypatch.setattr(decontaminate, "PART", 900)
+    monkeypatch.setattr(decontaminate, "AT_ONCE", 50)
+    assert decontaminate.scan(passages, rows) == whole
 
 
 def test_topk_prunes_in_clusters():
@@ -433,28 +437,40 @@ def test_refined_strings():
         assert (len(expected) > 0) == (length == 8) or length > 8
 
 
-def test_repeats_in_texts_over_one_part(spark, monkeypatch):
-    """Parts and their overlap: a text over several parts repeats a passage of its own across a part's edge, and one of another text."""
-    monkeypatch.setattr(suffix_dedup.K, "CHUNK", 1000)
+def test_repeats_in_texts_over_one_part(monkeypatch):
+    """The same strings in the same buckets whether a text is taken whole or in overlapping parts."""
     rng = random.Random(33)
-    fresh = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
-    own, other = fresh(350), fresh(260)
-    texts = [fresh(880) + own + fresh(2700) + other + fresh(400) + own + fresh(333), fresh(50) + other, fresh(300), fresh(150)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
-    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(df).collect()}
-    for d, t in enumerate(texts):
-        gone = [False] * len(t)
-        for i in range(len(t) - 199):
-            if seen[t[i : i + 200]] > 1:
-                gone[i : i + 200] = [True] * 200
-        assert got[d] == (sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)))
-    assert got[0][0] >= 2 * 350 + 260
+    texts = ["".join(rng.choice("abcdefgh é") for _ in range(n)) for n in (5000, 150, 260, 2600, 0)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(5), pa.int64())], names=["text", "th"])
+
+    def strings():
+        found = {}
+        for part in suffix_dedup._anchors(200)(iter([batch])):
+            for r in part.to_pylist():
+                for k in range(r["many"]):
+                    assert (r["th"], r["start"] + k) not in found
+                    found[r["th"], r["start"] + k] = r["bucket"]
+        return found
+
+    whole = strings()
+    assert set(whole) == {(i, k) for i, t in enumerate(texts) for k in range(len(t.encode()) - 199)}
+    monkeypatch.setattr(suffix_dedup.K, "CHUNK", 300)
+    assert strings() == whole
+    chosen = suffix_dedup._chosen(iter([batch]), 200, np.full(suffix_dedup.FILTER_BITS // 8, 255, dtype=np.uint8))
+    assert sum(int(many.sum()) for *_, many, _ in chosen) == len(whole)
+
+
+def test_shingles_in_texts_over_one_part(monkeypatch):
+    rng = random.Random(34)
+    column = pa.array([prose(rng, 400), None, "one", prose(rng, 3) + "x" * 500, prose(rng, 80)])
+    whole = [s.tolist() for s in jaccard_join.K.shingle_sets(column)]
+    monkeypatch.setattr(jaccard_join.K, "CHUNK", 70)
+    assert [s.tolist() for s in jaccard_join.K.shingle_sets(column)] == whole
 
 
 def test_url_ratio(spark, monkeypatch):
     """Counts, smoothing, scores and threshold against dictionaries; long and repeated URLs, more columns."""
-    monkeypatch.setattr(url_filter, "PIECE", 16)
+    monkeypatch.setattr(url_filter, "PIECE", 16)  # read while the plan is made
     rng = random.Random(41)
     word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 9)))
     urls = [f"http://{word('abcd')}.com/{word('abcdx')}" for _ in range(60)] + [f"http://{word('mnop')}.net/es/{word('mnopÄ')}" for _ in range(60)]
@@ -614,3 +630,23 @@ def test_quality_query(spark, tmp_path):
         assert 0 <= score <= 1 and predicted == int(score >= 0.7) and (d is None or held == out[d])
     judged = [(d % 3 > 0, p) for d, held, _, p in found[0] if held and d is not None and d < 600]
     assert len(judged) > 100 and sum(int(a) == p for a, p in judged) > 0.95 * len(judged)
+
+
+def test_chat_odd_rows(spark):
+    """Repeated turns stay turns, rows without a conversation are one, other columns of any name don't matter."""
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b")] + [(None, k, "user" if k % 2 else "assistant", f"t{k}") for k in range(60)]
+    df = spark.createDataFrame([(*r, "p", 1, "f") for r in rows], "conv_id long, turn long, role string, text string, pieces string, example int, formatted string")
+    got = {r["conv_id"]: r for r in chat_format.conversation_digest(chat_format.prefix_examples(df)).collect()}
+    assert (got[1]["n_turns"], got[1]["loss_chars"], got[1]["n_examples"]) == (4, 2, 2)
+    assert got[None]["n_turns"] == 60 and got[None]["loss_chars"] == sum(len(f"t{k}") for k in range(0, 60, 2))
+
+
+def test_shards_of_odd_rows(spark):
+    """Columns named like the result's, and many rows that are equal in text and doc_id: these stay together."""
+    rows = [(i, f"text {i}" * 5, 9, "s", -1) for i in range(300)] + [(7, "same", 9, "s", -1)] * 100
+    df = spark.createDataFrame(rows, "doc_id long, text string, size int, shard string, slot int")
+    got = shard.histogram_sort(df, n_shards=4, whole_rows=True).collect()
+    assert len(got) == 400 and {r["size"] for r in got if r["text"] == "same"} == {5} and len({r["shard"] for r in got if r["text"] == "same"}) == 1
+    for k in range(4):
+        own = sorted(r["slot"] for r in got if r["shard"] == k)
+        assert own == list(range(len(own)))

@@ -58,9 +58,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
-def groups(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with up to ``limit`` bytes together, or one longer text."""
-    i, n = 0, len(offsets) - 1
+def groups(offsets: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with up to ``limit`` (by default CHUNK) bytes together, or one longer text."""
+    i, n, limit = 0, len(offsets) - 1, limit or CHUNK
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
         yield i, min(j, n)
