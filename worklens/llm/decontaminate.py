@@ -36,7 +36,7 @@ BLOCK_BYTES = 4 << 20
 #: Characters of documents that are handled at once, by how many parts of a text overlap, and pairs of a q-gram and its places in passages at once.
 PART, OVERLAP, AT_ONCE = 1 << 19, 4 * PIECE, 1 << 22
 #: Stands between texts; no character.
-_SEPARATOR = np.array([0x110000], dtype=np.uint32)
+_SEPARATOR = np.uint32(0x110000)
 
 
 def _folded(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -147,36 +147,49 @@ class Passages:
         self.short = Short(short)
 
     def suspects(self, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Numbers of the texts, joined in ``points`` from ``starts`` on, in which the q-grams of passages stand close enough somewhere."""
+        """Numbers of the texts, joined in ``points`` from ``starts`` on, that a band with enough q-grams of a passage touches. Neighbours can add texts, not hide them."""
+        found = [np.searchsorted(starts, (max(0, near - self.edits[o]), far + len(self.points[o]) + self.edits[o]), side="right") - 1 for o, near, far in self._bands(points)]
+        return np.unique(np.concatenate([np.arange(max(0, a), b + 1) for a, b in found])) if found else np.zeros(0, dtype=np.int64)
+
+    def find(self, points: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(passage, start, end, edits) in the folded points of one text."""
+        found = []
+        for o, near, far in self._bands(points):
+            k, m = self.edits[o], len(self.points[o])
+            s, e = max(0, near - k), min(len(points), far + m + k)
+            one = exact(self.points[o], points[s:e]) or align(self.points[o], points[s:e], k, near - s - k, far - s + k)
+            if one is not None:
+                found.append((o, s + one[0], s + one[1], one[2]))
+        return found
+
+    def _bands(self, points: np.ndarray) -> list[tuple[int, int, int]]:
+        """(passage, first and last diagonal) of the bands that hold enough q-grams."""
         grams = _grams(points)
         if not len(grams) or not len(self.gram):
-            return np.zeros(0, dtype=np.int64)
+            return []
         hit = self.seen[(grams >> np.uint64(42)).astype(np.int64)]
         reach = PIECE + int(self.budget.max())
         upto = np.concatenate([[0], np.cumsum(hit)])
         dense = upto[np.minimum(np.arange(len(hit)) + reach, len(hit))] - upto[:-1] >= self.bound.min()
-        return np.unique(np.searchsorted(starts, np.flatnonzero(dense & hit), side="right") - 1)
-
-    def find(self, points: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(passage, start, end, edits) in the folded points of one text."""
-        grams = _grams(points)
-        if not len(grams) or not len(self.gram):
+        if not dense.any():
             return []
-        at = np.flatnonzero(self.seen[(grams >> np.uint64(42)).astype(np.int64)])
+        dense_upto = np.concatenate([np.zeros(reach, dtype=np.int64), np.cumsum(dense)])
+        at = np.flatnonzero(hit & (dense_upto[reach:] > dense_upto[:-reach]))
         row = np.minimum(np.searchsorted(self.gram, grams[at]), len(self.gram) - 1)
         same = self.gram[row] == grams[at]
-        return self._among(points, at[same], row[same], 0, len(self.points))
+        return self._among(at[same], row[same], 0, len(self.points))
 
-    def _among(self, points: np.ndarray, at: np.ndarray, row: np.ndarray, low: int, high: int) -> list[tuple[int, int, int, int]]:
-        """Hits of the passages low to high, given the places ``at`` whose q-grams ``row`` they hold; in halves where the pairs of both are too many."""
+    def _among(self, at: np.ndarray, row: np.ndarray, low: int, high: int) -> list[tuple[int, int, int]]:
+        """Bands of the passages low to high, given the places ``at`` whose q-grams ``row`` they hold; in halves where the pairs of both are too many."""
         n = max(1, len(self.points))
-        first, last = np.searchsorted(self.by_owner, row * n + low), np.searchsorted(self.by_owner, row * n + high)
+        every = not low and high == len(self.points)
+        first, last = (self.first[row], self.last[row]) if every else (np.searchsorted(self.by_owner, row * n + low), np.searchsorted(self.by_owner, row * n + high))
         many = last - first
         if not many.sum():
             return []
         if many.sum() > AT_ONCE and high - low > 1:
             some, middle = many > 0, (low + high) // 2
-            return self._among(points, at[some], row[some], low, middle) + self._among(points, at[some], row[some], middle, high)
+            return self._among(at[some], row[some], low, middle) + self._among(at[some], row[some], middle, high)
         each = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
         owner, diagonal = self.owner[each], np.repeat(at, many) - self.place[each]
         half, shift = self.budget[owner] + 1, np.int64(1 << 40)
@@ -185,15 +198,8 @@ class Passages:
         bands, counts = np.unique(keys + (1 << 20), return_counts=True)
         bands -= 1 << 20
         who = (bands + (1 << 20)) // shift
-        kept, found = counts >= self.bound[who], []
-        for o, b in zip(who[kept].tolist(), (bands - who * shift)[kept].tolist(), strict=True):
-            k, m = self.edits[o], len(self.points[o])
-            near, far = (b - 1) * (k + 1), (b + 1) * (k + 1)
-            s, e = max(0, near - k), min(len(points), far + m + k)
-            one = exact(self.points[o], points[s:e]) or align(self.points[o], points[s:e], k, near - s - k, far - s + k)
-            if one is not None:
-                found.append((o, s + one[0], s + one[1], one[2]))
-        return found
+        kept = counts >= self.bound[who]
+        return [(o, (b - 1) * (self.edits[o] + 1), (b + 1) * (self.edits[o] + 1)) for o, b in zip(who[kept].tolist(), (bands - who * shift)[kept].tolist(), strict=True)]
 
 
 def exact(passage: np.ndarray, region: np.ndarray) -> tuple[int, int, int] | None:
@@ -238,18 +244,36 @@ def align(passage: np.ndarray, region: np.ndarray, budget: int, low: int, high:
     return int(origin[end]), int(diagonals[end]) + len(passage), int(cost[end])
 
 
-def _joined(texts: list[str | None]) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
-    """(row, folded points, places in the text) of some texts, or parts of texts, of about PART together."""
+Part = tuple[int, np.ndarray, np.ndarray]
+
+
+def _together(held: list[tuple[int, str]]) -> tuple[list[Part], np.ndarray, np.ndarray]:
+    """Texts folded in one go: each code point is folded by itself, so only the places of the separators matter."""
+    begin = np.cumsum([0, *(len(t) + 1 for _, t in held)])
+    points, at = _folded("\x00".join([*(t for _, t in held), ""]))
+    edges = np.searchsorted(at, begin)
+    points[edges[1:] - 1] = _SEPARATOR
+    parts = [(row, points[a : b - 1], at[a : b - 1] - o) for (row, _), a, b, o in zip(held, edges[:-1], edges[1:], begin, strict=False)]
+    return parts, points, edges[:-1]
+
+
+def _joined(texts: list[str | None]) -> Iterator[tuple[list[Part], np.ndarray, np.ndarray]]:
+    """(row, folded points, places in the text) of some texts, or of a part of a long one; their points together, and where each begins in these."""
     held, size = [], 0
     for row, text in enumerate(texts):
-        for points, at in _pieces(text or ""):
-            held.append((row, points, at))
-            size += len(points) + 1
-            if size > PART:
-                yield held
-                held, size = [], 0
+        if not text:
+            continue
+        if len(text) > PART:
+            for points, at in _pieces(text):
+                yield [(row, points, at)], points, np.zeros(1, dtype=np.int64)
+            continue
+        held.append((row, text))
+        size += len(text) + 1
+        if size > PART:
+            yield _together(held)
+            held, size = [], 0
     if held:
-        yield held
+        yield _together(held)
 
 
 def scan(passages: Passages, texts: list[str | None]) -> dict[tuple[int, int], tuple[int, int, int]]:
@@ -262,9 +286,7 @@ def scan(passages: Passages, texts: list[str | None]) -> dict[tuple[int, int], t
             if (row, item) not in best or value < best[row, item]:
                 best[row, item] = value
 
-    for parts in _joined(texts):
-        starts = np.cumsum([0, *(len(p) + 1 for _, p, _ in parts)])[:-1]
-        points = np.concatenate([x for _, p, _ in parts for x in (p, _SEPARATOR)])
+    for parts, points, starts in _joined(texts):
         for k in passages.suspects(points, starts).tolist():
             row, own, at = parts[k]
             for o, s, e, edits in passages.find(own):
