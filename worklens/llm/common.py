@@ -13,12 +13,23 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MOST_BITS = 1 << 24
 
 
+#: Bytes of rows that go to a Python worker at once. Texts may be long, and an executor holds a batch on both sides.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session send Arrow batches of BATCH_BYTES; Spark's default is 64 MB. Results don't depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one below the warehouse, or in local mode a temporary one."""
+    bound_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
