@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from worklens.llm import chat_format, decontaminate, jaccard_join, mix_sources, quality_rules, secret_scan, shard, suffix_dedup, topk_search, url_filter
+from worklens.llm import chat_format, decontaminate, jaccard_join, mix_sources, periodic_runs, quality_rules, secret_scan, shard, spelling_variants, suffix_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_mix_sources": mix_sources.op9_mix_sources,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_spelling_variants": spelling_variants.op11_spelling_variants,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 ORACLES = {"op2_chat_format": chat_format.ORACLE, "op3_topk_search": topk_search.ORACLE}
