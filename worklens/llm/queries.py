@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from worklens.llm import chat_format, decontaminate, jaccard_join, mix_sources, periodic_runs, quality_rules, secret_scan, shard, spelling_variants, suffix_dedup, topk_search, url_filter
+from worklens.llm import chat_format, decontaminate, jaccard_join, mix_sources, periodic_runs, quality_rules, secret_scan, shard, spelling_variants, suffix_dedup, topk_search, url_filter, wrapper_induction
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mix_sources": mix_sources.op9_mix_sources,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_spelling_variants": spelling_variants.op11_spelling_variants,
+    "op12_html_extraction": wrapper_induction.op12_html_extraction,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
