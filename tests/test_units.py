@@ -3,15 +3,12 @@
 from datetime import datetime as D
 from math import exp, factorial
 
-import pytest
 from pyspark.sql import functions as F
 
 from worklens.functions import scalars as S
 from worklens.functions.params import DEFAULT
 from worklens.operators import flow, reports, text
 from worklens.plans.scalar_queries import attention, sla_scope
-from worklens.sources import ingest
-from worklens.streaming import intake
 
 ISSUE = "key string, created timestamp_ntz"
 LOG = "key string, to_status string, changed_at timestamp_ntz, seq int"
@@ -147,29 +144,3 @@ def test_numbers_over_days(spark):
     for n, k in enumerate(order):
         part = [j % 2 for j in order[max(0, n - 3) : n + 4]]
         assert abs(near[k] - 100 * sum(part) / len(part)) < 1e-9
-
-
-def test_failed_batch_is_read_again(spark, tmp_path, monkeypatch):
-    """A batch whose write fails leaves the checkpoint where it was; the next run reads the same records and the table is whole."""
-    line = lambda k, status, hour: '{"key":"OPS-%d","id":"%d","fields":{"status":{"name":"%s"},"updated":"2001-01-01T%02d:00:00.000+0000"}}' % (k, k, status, hour)
-    source, target = str(tmp_path / "in"), str(tmp_path / "out")
-    spark.createDataFrame([(line(k, "To Do", 1),) for k in range(20)], "value string").coalesce(1).write.text(source)
-    intake.run_issue_stream(spark, source, target).awaitTermination()
-    spark.createDataFrame([(line(k, "Done", 2),) for k in range(10)], "value string").coalesce(1).write.mode("append").text(source)
-    write, seen = ingest.append_batch, []
-
-    def fails(batch, path, epoch):
-        seen.append((epoch, batch.count()))
-        write(batch.limit(3), path, epoch)  # part of it was written
-        raise RuntimeError("lost")
-
-    monkeypatch.setattr(ingest, "append_batch", fails)
-    with pytest.raises(Exception, match="lost"):
-        intake.run_issue_stream(spark, source, target).awaitTermination()
-    monkeypatch.setattr(ingest, "append_batch", lambda batch, path, epoch: (seen.append((epoch, batch.count())), write(batch, path, epoch)))
-    intake.run_issue_stream(spark, source, target).awaitTermination()
-    assert seen == [(1, 10), (1, 10)]
-    got = ingest.read_latest(spark, target, "key", "updated")
-    assert sorted((r["id"], r["status"]) for r in got.collect()) == [(k, "Done" if k < 10 else "To Do") for k in range(20)]
-    merged = ingest.compact(spark, target, "key", "updated", str(tmp_path / "merged"))
-    assert merged.count() == 20

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worklens.functions.params import DEFAULT as P
 from worklens.plans.registry import NOW, days, floor_days, query
 from worklens.sources import ingest as I
+from worklens.sources.keyed import Store, Upsert
 from worklens.streaming import intake
 
 c = F.col
@@ -69,6 +73,8 @@ query(
 SNAP = """SELECT key, id, left(key, 3) AS project, issuetype, status, status_category, CASE WHEN id % 10 <> 0 THEN priority_name ELSE 'No Priority' END AS priority, summary, assignee_name AS assignee, 'acc-' || assignee_name AS assignee_account_id,
  CASE WHEN id % 4 <> 0 THEN creator_name END AS reporter, CASE WHEN id % 8 <> 0 THEN business_lead END AS business_lead, parent_key, created, updated, resolved AS resolutiondate, CAST(planned_start_date AS DATE) AS planned_start, CAST(target_end_date AS DATE) AS target_end,
  CASE WHEN id % 2 <> 0 THEN 'team-a,lead-' || business_lead ELSE '' END AS labels, updated AS fetched_at FROM {rows}"""
+NEWEST = "SELECT * FROM rr WHERE again = 1 OR id % 9 <> 0"
+LOGGED = "SELECT * FROM w_transitions WHERE key IN (SELECT key FROM w_issues)"
 shown = lambda rows: rows.withColumn("labels", F.array_join("labels", ","))
 query("issue_flatten_snapshot", lambda t: shown(I.flatten_snapshot(records(t))), SNAP.format(rows="rr"), rr=RR)
 query("changelog_transitions", lambda t: I.changelog_transitions(parsed(t)), "SELECT t.key, to_status, changed_at, seq FROM w_transitions t WHERE key IN (SELECT key FROM w_issues)")
@@ -110,7 +116,24 @@ query(
     lambda t: I.incremental_slice(t.issues.select("key", "updated"), t.issues.filter("id % 100 = 0").agg(F.max("updated").alias("at")), "updated", "'2' MINUTE"),
     "SELECT key, updated FROM w_issues WHERE updated >= (SELECT max(updated) FROM w_issues WHERE id % 100 = 0) - INTERVAL 2 MINUTE",
 )
-query("sync_audit", lambda t: records(t).agg(F.count("*").alias("fetched"), F.max(I.parse_ts_utc(c("fields.updated"))).alias("watermark")), "SELECT count(*) AS fetched, max(updated) AS watermark FROM rr", rr=RR)
+
+
+def sync_audit(t):
+    """Two cycles: the first readings as a whole, then of all lines those from the watermark less the margin on."""
+    store, lines = Store(t.spark, I.shared_dir(t.spark), 8), raw_issues(t)
+    intake.sync_cycle(store, lines.filter("again = 0").select("value"), intake.issue_changes, "fields.updated", I.ISSUE)
+    intake.sync_cycle(store, lines.select("value"), intake.issue_changes, "fields.updated", I.ISSUE)
+    sizes = [c(x)[y].alias(f"{x}_{y}") for x in ("fetched", "total") for y in ("issues", "transitions")]
+    return store.audit().select("number", "whole", *sizes, "watermark")
+
+
+query(
+    "sync_audit",
+    sync_audit,
+    """SELECT CAST(0 AS BIGINT) AS number, true AS whole, (SELECT count(*) FROM w_issues) AS fetched_issues, (SELECT count(*) FROM lg) AS fetched_transitions, (SELECT count(*) FROM w_issues) AS total_issues, (SELECT count(*) FROM lg) AS total_transitions,
+ (SELECT max(updated) FROM w_issues) AS watermark UNION ALL SELECT 1, false, (SELECT count(*) FROM sl), (SELECT count(*) FROM lg WHERE key IN (SELECT key FROM sl)), (SELECT count(*) FROM w_issues), (SELECT count(*) FROM lg), (SELECT max(updated) FROM rr)""",
+    rr=RR, lg=LOGGED, sl="SELECT DISTINCT key FROM rr WHERE updated >= (SELECT max(updated) FROM w_issues) - INTERVAL 2 MINUTE",
+)
 query("lookback_slice", lambda t: I.lookback_slice(t.issues, P).select("key", "created"), f"SELECT key, created FROM w_issues WHERE created >= {NOW} - INTERVAL 730 DAY")
 
 
@@ -120,6 +143,24 @@ def table_sink(t):
     return t.spark.read.parquet(path).groupBy(c("created_month").cast("string").alias("month")).agg(F.count("*").alias("n"))
 
 
+def table_sink_by_key(t):
+    """Issues with their transitions and merge requests with their files in buckets of their key, in one commit; then some keys from their buckets alone."""
+    store = Store(t.spark, I.shared_dir(t.spark), 16)
+    issues = Upsert(t.issues, "key", "updated", {"transitions": t.transitions.join(t.issues.select("key"), "key", "left_semi")})
+    mrs = Upsert(t.mrs, "id", "merged_at", {"mr_files": t.mr_files.withColumnRenamed("mr_id", "id").join(t.mrs.select("id"), "id", "left_semi")})
+    store.commit({"issues": issues, "merge_requests": mrs})
+    some = [f"OPS-{k}" for k in (1, 3, 7, 32, 33, 96)]
+    parts = [(n, store.table(n)) for n in ("issues", "transitions", "merge_requests", "mr_files")] + [("transitions of some", store.rows_of("transitions", "key", some))]
+    return reduce(DataFrame.unionAll, [rows.agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n, rows in parts])
+
+
+query(
+    "table_sink_by_key",
+    table_sink_by_key,
+    "SELECT 'issues' AS name, count(*) AS n FROM w_issues UNION ALL SELECT 'transitions', count(*) FROM lg UNION ALL SELECT 'merge_requests', count(*) FROM w_mrs UNION ALL SELECT 'mr_files', count(*) FROM w_mr_files WHERE mr_id IN (SELECT id FROM w_mrs)"
+    " UNION ALL SELECT 'transitions of some', count(*) FROM lg WHERE key IN ('OPS-1', 'OPS-3', 'OPS-7', 'OPS-32', 'OPS-33', 'OPS-96')",
+    lg=LOGGED,
+)
 query("table_sink", table_sink, "SELECT strftime(created, '%Y-%m') AS month, count(*) AS n FROM w_issues GROUP BY 1")
 
 
@@ -131,41 +172,56 @@ def _staged(t, raw) -> str:
     return path
 
 
-def stream_issue_ingest(t):
+def _taken_in(t, run, raw) -> Store:
+    """The store that a stream over the raw lines has filled."""
     target = I.shared_dir(t.spark)
-    intake.run_issue_stream(t.spark, _staged(t, raw_issues(t)), target).awaitTermination()
-    return shown(I.read_latest(t.spark, target, "key", "updated"))
+    run(t.spark, _staged(t, raw), target, buckets=8).awaitTermination()
+    return Store(t.spark, target)
 
 
-def stream_mr_ingest(t):
-    target = I.shared_dir(t.spark)
-    intake.run_mr_stream(t.spark, _staged(t, raw_mrs(t)), target).awaitTermination()
-    return I.read_latest(t.spark, target, "id", "merged_at").select("id", "project_path", "iid", "author", "merged_at", F.size("paths").cast("long").alias("n_paths"))
+def both_tables(store: Store):
+    """Snapshots with the transitions that the same commits brought."""
+    log = store.table("transitions").groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("seq", "to_status")).alias("last"), F.max("changed_at").alias("last_at"))
+    rows = store.table("issues").join(log, "key", "left")
+    return rows.select("key", "status", "updated", F.coalesce("n", F.lit(0)).alias("n"), c("last.to_status").alias("last_status"), "last_at")
 
 
-def _transition_stream(t):
-    path = I.shared_dir(t.spark)
+def stream_audit(t):
+    """The audit after all commits: lines with an update are read at least once, totals are the tables' sizes, the watermark is the newest update."""
+    audit = _taken_in(t, intake.run_issue_stream, raw_issues(t)).audit()
+    last = audit.orderBy(F.desc("number")).limit(1)
+    return last.select(c("total")["issues"].alias("issues"), c("total")["transitions"].alias("transitions")).join(F.broadcast(audit.agg(F.max("watermark").alias("watermark"), F.count_if("whole").alias("whole"))))
+
+
+def stream_completions(t):
+    """Rows come in order of time, in several batches; each batch updates the days that it touches."""
+    path, target = I.shared_dir(t.spark), I.shared_dir(t.spark)
     rows = t.transitions.select("key", "to_status", c("changed_at").cast("timestamp").alias("changed_at"), "seq")
     rows.write.parquet(path)
-    return t.spark.readStream.schema(rows.schema).parquet(path)
+    intake.run_completions(t.spark.readStream.schema(rows.schema).parquet(path), target).awaitTermination()
+    return Store(t.spark, target).table("days").select(F.to_date("day").alias("day"), "n")
 
 
-def _complete(t, stream, mode: str, name: str):
-    """Run a stream over what is there into a table in the shared folder."""
-    target = I.shared_dir(t.spark)
+query("stream_issue_ingest", lambda t: shown(_taken_in(t, intake.run_issue_stream, raw_issues(t)).table("issues")), SNAP.format(rows="nw"), rr=RR, nw=NEWEST)
+query(
+    "stream_issue_and_transitions",
+    lambda t: both_tables(_taken_in(t, intake.run_issue_stream, raw_issues(t))),
+    "SELECT i.key, status, updated, coalesce(n, 0) AS n, last_status, last_at FROM nw i LEFT JOIN (SELECT key, count(*) AS n, arg_max(to_status, seq) AS last_status, max(changed_at) AS last_at FROM lg GROUP BY 1) x ON x.key = i.key",
+    rr=RR, nw=NEWEST, lg=LOGGED,
+)
+query("stream_audit", stream_audit, "SELECT (SELECT count(*) FROM w_issues) AS issues, (SELECT count(*) FROM lg) AS transitions, (SELECT max(updated) FROM rr) AS watermark, CAST(1 AS BIGINT) AS whole", rr=RR, lg=LOGGED)
 
-    def put(batch, epoch):
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{target}/{name}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{target}/{name}")
+def stream_mr_ingest(t):
+    store = _taken_in(t, intake.run_mr_stream, raw_mrs(t))
+    files = store.table("mr_files").groupBy("id").agg(F.count("*").alias("n_paths"))
+    return store.table("merge_requests").join(files, "id", "left").withColumn("n_paths", F.coalesce("n_paths", F.lit(0).cast("long")))
 
 
-query("stream_issue_ingest", stream_issue_ingest, SNAP.format(rows="nw"), rr=RR, nw="SELECT * FROM rr WHERE again = 1 OR id % 9 <> 0")
 query("stream_mr_ingest", stream_mr_ingest, f"SELECT m.*, coalesce(n, 0) AS n_paths FROM ({MRF}) m LEFT JOIN (SELECT mr_id, count(DISTINCT path) AS n FROM ({PATHS}) GROUP BY 1) x ON x.mr_id = m.id")
 query(
     "stream_completions",
-    lambda t: _complete(t, intake.daily_completions(_transition_stream(t)), "complete", "days").select(F.to_date("day").alias("day"), "n"),
+    stream_completions,
     "SELECT CAST(changed_at AS DATE) AS day, count(*) AS n FROM w_transitions WHERE to_status = 'Done' GROUP BY 1",
 )
 
@@ -176,9 +232,9 @@ def reread(t):
     rows = t.transitions.select(F.concat_ws("/", "key", "seq").alias("id"), "to_status", "changed_at")
     rows.unionByName(rows).write.parquet(source)
     stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(source)
-    merge = lambda batch, epoch: I.append_batch(I.latest(batch, "id", [F.desc("changed_at")]), target, epoch)
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return I.read_latest(t.spark, target, "id", "changed_at").groupBy("to_status").agg(F.count("*").alias("n"))
+    store = Store(t.spark, target, 8)
+    intake.commit_stream(stream, store, lambda batch: {"log": Upsert(batch, "id", "changed_at")}, f"{target}/checkpoint").awaitTermination()
+    return store.table("log").groupBy("to_status").agg(F.count("*").alias("n"))
 
 
 query("overlap_safe_idempotence", reread, "SELECT to_status, count(*) AS n FROM w_transitions GROUP BY 1")

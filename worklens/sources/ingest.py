@@ -85,12 +85,12 @@ def flatten_snapshot(parsed: DataFrame, fetched_at: Column | None = None) -> Dat
 
 
 def changelog_transitions(parsed: DataFrame) -> DataFrame:
-    """key, to_status, changed_at, seq from 0 in time order; ties by place in the history."""
+    """key, to_status (empty where missing), changed_at, seq from 0 in time order; ties by place in the history."""
     h = parsed.select("key", F.posexplode("changelog.histories").alias("hp", "h"))
     items = h.select("key", "hp", parse_ts_utc(c("h.created")).alias("changed_at"), F.posexplode("h.items").alias("ip", "i"))
     kept = items.filter("i.field = 'status' and changed_at is not null")
     w = Window.partitionBy("key").orderBy("changed_at", "hp", "ip")
-    return kept.select("key", c("i.toString").alias("to_status"), "changed_at", (F.row_number().over(w) - 1).alias("seq"))
+    return kept.select("key", F.coalesce("i.toString", F.lit("")).alias("to_status"), "changed_at", (F.row_number().over(w) - 1).alias("seq"))
 
 
 def mr_flatten(parsed: DataFrame) -> DataFrame:
@@ -131,19 +131,3 @@ def lookback_slice(rows: DataFrame, p: Params, days: int = 730) -> DataFrame:
 def write_monthly(rows: DataFrame, path: str, time: str = "created") -> None:
     """Table sink, partitioned by month."""
     rows.withColumn(f"{time}_month", F.date_format(time, "yyyy-MM")).repartition(f"{time}_month").write.partitionBy(f"{time}_month").parquet(path)
-
-
-def append_batch(batch: DataFrame, path: str, epoch: int) -> None:
-    """Write a micro-batch into a folder of its own; the same batch again, after a failure, replaces it. Nothing that is there is read or rewritten."""
-    batch.write.mode("overwrite").parquet(f"{path}/data/epoch={epoch}")
-
-
-def read_latest(spark: SparkSession, path: str, key: str, time: str) -> DataFrame:
-    """The table that the batches make: of each key the row of greatest time, at equal times that of the later batch."""
-    return latest(spark.read.parquet(f"{path}/data"), key, [F.desc(time), F.desc("epoch")]).drop("epoch")
-
-
-def compact(spark: SparkSession, path: str, key: str, time: str, into: str) -> DataFrame:
-    """Merge all batches into one in another folder, which further batches can then be appended to."""
-    append_batch(read_latest(spark, path, key, time), into, -1)
-    return read_latest(spark, into, key, time)
