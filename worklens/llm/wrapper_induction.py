@@ -11,8 +11,8 @@
 4. Roles. Elements whose tag, role or class says menu, header, footer, sidebar, notice, advert, form, reader comments are
    template too, however much they vary. Where a page marks its main part or its article, only blocks in it are content.
 
-Layouts and constants are counted by Spark with partial sums; a page's blocks are written once; the wrapper and the constants of
-a host are bounded by the size of a few of its pages, not by their number.
+Layouts, slots and constants are counted by Spark with partial sums over all pages; the wrapper and the constants of a host are bounded by
+the size of a few of its pages, not by their number. Texts and slots are counted by 64-bit hashes.
 
 Defined results: null and empty html give an empty text; a null url, or one without ``://``, has the empty host; a host of up to four different
 pages has no constants, there roles decide; broken markup is read as browsers do in its main lines (unclosed p, li, td; stray end tags); repeated
@@ -21,6 +21,7 @@ rows keep a row each; an empty table gives an empty result; other columns are ig
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -409,19 +410,47 @@ def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["host", "layout"])
 
 
-_BLOCKED = "page_id long, url string, host string, blocks array<struct<slot:string,text:string,links:int,fits:boolean,marked:boolean>>"
+def _key(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("slot", pa.string()), ("text", pa.string()), ("links", pa.int32()), ("fits", pa.bool_()), ("marked", pa.bool_())]))
+_SEEN = "host string, page long, texts array<long>, slots array<struct<slot:long,links:int,chars:int>>"
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page with content: its host, a hash of its content, the hashes of its (slot, text) pairs, and letters and linked letters by slot."""
+    known: dict = {}
+    kind = pa.list_(pa.struct([("slot", pa.int64()), ("links", pa.int32()), ("chars", pa.int32())]))
+    for batch in batches:
+        rows: list[list] = [[], [], [], []]
+        for host, page, wrapper in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            own = [b for b in blocks(page or "", wrapper, known) if b[3]]
+            if own:
+                made = [{"slot": _key(host, slot), "links": links, "chars": len(text) - text.count(" ")} for slot, text, links, *_ in own]
+                for col, value in zip(rows, (host, _key(host, *(b[1] for b in own)), sorted({_key(host, b[0], b[1]) for b in own}), made), strict=True):
+                    col.append(value)
+        kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()), kind)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["host", "page", "texts", "slots"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of content slots that are not constant, unless these are the lesser part of the page's content."""
     known: dict = {}
     for batch in batches:
-        made = [[dict(zip(("slot", "text", "links", "fits", "marked"), b, strict=True)) for b in blocks(page or "", wrapper, known)] for page, wrapper in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, kind)], names=["page_id", "url", "host", "blocks"])
+        made = []
+        hosts, pages, *told = (batch.column(i).to_pylist() for i in range(2, 8))
+        for host, page, wrapper, constants, firms, menus in zip(hosts, pages, *told, strict=True):
+            constants, firms, menus = (set(x or ()) for x in (constants, firms, menus))
+            own = [b for b in blocks(page or "", wrapper, known) if b[3] and _key(host, b[0]) not in menus]
+            vary = [b for b in own if _key(host, b[0], b[1]) not in (firms if b[4] else constants)]
+            size = [sum(len(b[1]) for b in x) for x in (vary, own)]
+            made.append("\n\n".join(b[1] for b in (vary if 2 * size[0] >= size[1] else own)))
+        columns = [batch.column(0), batch.column(1), pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
 
 def main_texts(pages: DataFrame, least_pages: int = 5) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
+    """page_id, url, text, n_chars of every page. Pages are parsed three times rather than written in between: for layouts, for counts, for their texts."""
     at = F.locate("://", "url")
     host = F.when(at > 0, F.lower(F.regexp_extract(F.expr("substring(url, locate('://', url) + 3)"), "^([^/?#]*)", 1))).otherwise("")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -429,31 +458,19 @@ def main_texts(pages: DataFrame, least_pages: int = 5) -> DataFrame:
 
     counted = rows.select("host", "html").mapInArrow(_layouts, "host string, layout string").groupBy("host", "layout").agg(F.count("*").alias("n"))
     wrappers = materialise(counted.groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("less"), "layout")).alias("w")).select("host", F.col("w.layout").alias("wrapper")), "wrappers")
-    cut = materialise(rows.join(wrappers, "host", "left").select("page_id", "url", "host", "html", "wrapper").mapInArrow(_blocked, _BLOCKED), "page-blocks")
-
-    fits = F.filter("blocks", lambda b: b["fits"])
-    slim = cut.select("host", F.xxhash64(F.transform(fits, lambda b: b["text"])).alias("page"), F.transform(fits, lambda b: F.struct(b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("text"), F.length(F.regexp_replace(b["text"], " ", "")).alias("chars"), b["links"].alias("links"))).alias("b"))
-    each = slim.filter(F.size("b") > 0).select("host", "page", F.explode("b").alias("b"))
-    # links: by slot over all pages; constants: texts of a slot by different pages
-    menus = each.groupBy("host", "b.slot").agg(F.sum("b.links").alias("links"), F.sum("b.chars").alias("chars")).filter("2 * links >= chars")
-    pages_of = each.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    seen = each.select("host", "page", "b.slot", "b.text").distinct().groupBy("host", "slot", "text").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    constants = seen.join(pages_of, "host").filter("2 * n >= pages")
-    none = F.lit(None).cast("struct<slot:string,text:bigint>")
-    verdicts = constants.select("host", F.struct("slot", "text").alias("constant"), F.when(10 * F.col("n") >= 9 * F.col("pages"), F.struct("slot", "text")).alias("firm"), F.lit(None).cast("string").alias("menu"))
-    verdicts = verdicts.unionAll(menus.select("host", none.alias("constant"), none.alias("firm"), F.col("slot").alias("menu")))
-    verdicts = verdicts.groupBy("host").agg(*(F.collect_set(c).alias(c + "s") for c in ("constant", "firm", "menu")))
-
-    judged = cut.join(verdicts, "host", "left")
-    content = F.filter("blocks", lambda b: b["fits"] & ~F.coalesce(F.array_contains("menus", b["slot"]), F.lit(False)))
-    judged = judged.select("page_id", "url", "constants", "firms", content.alias("blocks"))
-    known = lambda b: F.array_contains(F.when(b["marked"], F.col("firms")).otherwise(F.col("constants")), F.struct(b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("text")))
-    varies = F.filter("blocks", lambda b: ~F.coalesce(known(b), F.lit(False)))
-    judged = judged.select("page_id", "url", "blocks", varies.alias("varying"))
-    size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, b: s + F.length(b["text"]))
-    kept = F.when(2 * size("varying") >= size("blocks"), F.col("varying")).otherwise(F.col("blocks"))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
-    return judged.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    seen = materialise(rows.join(wrappers, "host", "left").select("host", "html", "wrapper").mapInArrow(_seen, _SEEN), "page-contents")
+
+    different = seen.groupBy("page").agg(F.first("host").alias("host"), F.first("texts").alias("texts"))  # equal hosts and texts
+    pages_of = different.groupBy("host").agg(F.count("*").alias("pages"))
+    texts = different.select("host", F.explode("texts").alias("text")).groupBy("text").agg(F.first("host").alias("host"), F.count("*").alias("n"))
+    constants = texts.filter(F.col("n") >= least_pages).join(pages_of, "host").filter("2 * n >= pages")
+    firm = F.when(10 * F.col("n") >= 9 * F.col("pages"), F.col("text"))
+    constants = constants.groupBy("host").agg(F.collect_list("text").alias("constants"), F.collect_list(firm).alias("firms"))
+    slots = seen.select("host", F.explode("slots").alias("s")).groupBy("host", "s.slot").agg(F.sum("s.links").alias("links"), F.sum("s.chars").alias("chars"))
+    menus = slots.filter("2 * links >= chars").groupBy("host").agg(F.collect_list("slot").alias("menus"))
+    told = materialise(wrappers.join(constants, "host", "left").join(menus, "host", "left"), "templates")
+    columns = ["page_id", "url", "host", "html", "wrapper", "constants", "firms", "menus"]
+    return rows.join(told, "host", "left").select(*columns).mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
 
 
 def op12_html_extraction(spark, sf_dir: str) -> DataFrame:
