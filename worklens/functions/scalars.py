@@ -141,11 +141,12 @@ def sla_status(elapsed: Column, target: Column) -> Column:
 
 
 def due_risk_bucket(left: Column) -> Column:
-    return F.when(left.isNull(), "No Target").when(left < 0, "Overdue").when(left <= 7, "Due in 7 Days").otherwise("On Track")
+    return F.when(left.isNull(), "No Target Date").when(left < 0, "Overdue").when(left <= 7, "Due in 7 Days").otherwise("On Track")
 
 
 def target_timeline_bucket(left: Column) -> Column:
-    return F.when(left.isNull(), "No Target").when(left < 0, "Overdue").when(left <= 14, "0-14 Days").when(left <= 30, "15-30 Days").otherwise("30+ Days")
+    """Null without a date: such issues are left out of the timeline."""
+    return F.when(left < 0, "Overdue").when(left <= 14, "Due in 14 Days").when(left <= 30, "Due in 30 Days").when(left.isNotNull(), "Due Later")
 
 
 def load_bucket(days: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import mul
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -144,32 +148,39 @@ def initiative_counts(features: DataFrame, counts: DataFrame) -> DataFrame:
     return rolled.groupBy("initiative").agg(*[F.sum(x).alias(x) for x in SCOPE], F.min("first_created").alias("first_created"))
 
 
-def burndown_columns(quantiles: dict[str, float], cap: int = 260) -> dict[str, Column]:
-    """Columns over remaining and rate: the week at which the finish is more likely than each quantile.
+def _log_gamma(z: Column) -> Column:
+    """Logarithm of the gamma function for z >= 1: Stirling's series eight places further."""
+    far, step = z + 8, 1 / ((z + 8) * (z + 8))
+    series = (1 / 12 + step * (-1 / 360 + step * (1 / 1260 + step * (-1 / 1680 + step / 1188)))) / far
+    return (far - 0.5) * F.log(far) - far + 0.9189385332046727 + series - F.log(reduce(mul, [z + k for k in range(8)]))
+
 
-    W <= w exactly when a Poisson(rate w) count reaches the remaining work. The probability grows with w, so each
-    quantile's week is bisected inside one expression: no row is made for a week. rate 0 gives the cap, nothing remaining gives 0.
+def gamma_quantile(shape: Column, q: float, rounds: int = 4) -> Column:
+    """The m at which a Poisson(m) count reaches ``shape`` with probability q, for whole shapes >= 1.
+
+    Newton's method from the Wilson-Hilferty approximation by the normal law. The probability is the density times a series, evaluated from its
+    far end by one product a term; 40 + 9 sqrt(shape) terms leave nothing that a double could hold.
     """
+    r, z = shape.cast("double"), NormalDist().inv_cdf(q)
+    terms = F.sequence((40 + F.ceil(9 * F.sqrt(r))).cast("int"), F.lit(1))
+
+    def better(m: Column) -> Column:
+        series = F.aggregate(terms, F.lit(1.0), lambda s, k: 1 + s * m / (r + k))
+        density = F.exp((r - 1) * F.log(m) - m - _log_gamma(r))  # of the gamma law at m; the probability is density m / r series
+        return F.greatest(m / 16, m - (m / r * series - F.lit(q) / density))
 
-    def finished(w):
-        """Probability of ``remaining`` completions or more in w weeks: terms of the Poisson law, in logarithms."""
-        log_mean = F.log(c("rate") * w)
-        start = F.struct((-c("rate") * w).alias("t"), F.exp(-c("rate") * w).alias("s"))
-        term = lambda a, k: a["t"] + log_mean - F.log(k.cast("double"))
-        step = lambda a, k: F.struct(term(a, k).alias("t"), (a["s"] + F.exp(term(a, k))).alias("s"))
-        more = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), c("remaining").cast("int") - 1)), lambda k: k < c("remaining"))
-        return 1 - F.aggregate(more, start, step)["s"]
-
-    def week(q: float):
-        low_high = F.struct(F.lit(0).alias("low"), F.lit(cap).alias("high"))  # the week lies in (low, high], or is the cap
-        middle = lambda a: F.floor((a["low"] + a["high"]) / 2).cast("int")
-        at = lambda a: (a["high"] - a["low"] > 1) & (finished(middle(a)) > q)
-        halve = lambda a, _: F.struct(
-            F.when((a["high"] - a["low"] > 1) & ~at(a), middle(a)).otherwise(a["low"]).alias("low"), F.when(at(a), middle(a)).otherwise(a["high"]).alias("high")
-        )
-        return F.aggregate(F.sequence(F.lit(1), F.lit(cap.bit_length())), low_high, halve)["high"]
+    start = F.greatest(r * F.pow(1 - 1 / (9 * r) + z / (3 * F.sqrt(r)), F.lit(3.0)), r / 100)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda m, _: better(m))
 
+
+def burndown_columns(quantiles: dict[str, float], cap: int = 260) -> dict[str, Column]:
+    """Columns over remaining and rate: the first week at which the finish is more likely than each quantile.
+
+    W <= w exactly when a Poisson(rate w) count reaches the remaining work, so the week is the first whose mean passes the gamma quantile of the
+    remaining work. rate 0 gives the cap, nothing remaining gives 0.
+    """
     live = (c("remaining") > 0) & (c("rate") > 0)
+    week = lambda q: F.least(F.lit(cap).cast("double"), F.floor(gamma_quantile(c("remaining"), q) / c("rate")) + 1)
     return {n: F.when(c("remaining") <= 0, 0).when(live, week(q)).otherwise(cap).cast("int") for n, q in quantiles.items()}
 
 

@@ -39,9 +39,23 @@ def training_rows(issues: DataFrame, p: Params, lookback_days: int = 90) -> Data
     return rows.filter("cycle >= 0 and budget >= 1")
 
 
+def training_detail(issues: DataFrame) -> DataFrame:
+    """All Done issues with a deadline: days past it, and whether they are on time once the usual validation delay is taken off."""
+    kept = (F.lower(F.trim("status")) == "done") & c("target_end_date").isNotNull() & c("updated").isNotNull()
+    rows = issues.filter(kept).select("key", F.coalesce("assignee_name", F.lit("Unassigned")).alias("assignee"), F.coalesce("priority_name", F.lit("No Priority")).alias("priority"), "updated", "target_end_date")
+    offset = trimmed_mean(rows.withColumn("late", _late()), None, "late").select(F.coalesce("trimmed", F.lit(0.0)).alias("offset"))
+    adjusted = F.timestamp_micros((S.micros(c("updated")) - F.round(c("offset") * S.DAY)).cast("long")).cast("timestamp_ntz")
+    on_time = F.when(F.to_date(adjusted) <= F.to_date("target_end_date"), "Yes").otherwise("No")
+    return rows.crossJoin(F.broadcast(offset)).withColumns({"past_due": F.datediff("updated", "target_end_date"), "on_time": on_time})
+
+
+def _late() -> Column:
+    return F.greatest(F.lit(0.0), S.days_between(c("target_end_date"), c("updated")))
+
+
 def validation_delays(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Days from deadline to completion, 0 at least: smoothed by assignee, by priority (columns delay_a, delay_p), and the trimmed mean of all (delay_all)."""
-    late = rows.withColumn("late", F.greatest(F.lit(0.0), S.days_between(c("target_end_date"), c("updated"))))
+    late = rows.withColumn("late", _late())
     overall = trimmed_mean(late, None, "late").toDF("delay_all").select(F.coalesce("delay_all", F.lit(0.0)).alias("delay_all"))
 
     def by(group: str, name: str) -> DataFrame:
@@ -135,9 +149,22 @@ def weighted(rows: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(n)).withColumn("weight", w).drop("_n", "_k")
 
 
+def folded(rows: DataFrame, folds: int = 3) -> DataFrame:
+    """rows with ``fold``, dealt out within each class in an order by hash: folds hold equal numbers of a class, one apart at most."""
+    dealt = numbered(rows.withColumn("_h", F.xxhash64("key")), [c("label"), F.shiftrightunsigned("_h", 48)], ["_h", "key"], "_place")
+    first = dealt.groupBy("label").agg(F.min("_place").alias("_first")).withColumnRenamed("label", "_label")
+    return dealt.join(F.broadcast(first), c("label") == c("_label")).withColumn("fold", F.pmod(c("_place") - c("_first"), F.lit(folds))).drop("_h", "_place", "_first", "_label")
+
+
+def can_calibrate(rows: DataFrame, least: int = 30) -> bool:
+    """Calibration asks for ``least`` rows and both classes."""
+    n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    return n >= least and 0 < ones < n
+
+
 def out_of_fold(features: DataFrame, pipeline: Pipeline, folds: int = 3) -> DataFrame:
-    """(label, score): every row scored by a model of the other folds; folds by hash of the key."""
-    rows = weighted(features).withColumn("fold", F.pmod(F.xxhash64("key"), F.lit(folds)))
+    """(label, score): every row scored by a model of the other folds; folds are stratified by class."""
+    rows = folded(weighted(features), folds)
     parts = [pipeline.fit(rows.filter(c("fold") != k)).transform(rows.filter(c("fold") == k)) for k in range(folds)]
     return reduce(DataFrame.unionByName, [p.select("label", vector_to_array("probability")[1].alias("score")) for p in parts])
 
@@ -178,7 +205,7 @@ def fit_on_time(labelled: DataFrame, issues: DataFrame, p: Params, **sizes: int)
     past = history(labelled, issues, p)
     full = with_features(rows, past, leave_out=True)
     model = classifiers(**sizes)[best].fit(weighted(full))
-    calibration = platt(out_of_fold(full, classifiers(**sizes)[best])) if n >= 30 else None
+    calibration = platt(out_of_fold(full, classifiers(**sizes)[best])) if can_calibrate(full) else None
     delays = validation_delays(labelled)
     fitted = OnTime(model, calibration, past, delays, {})
     own = probabilities(fitted, full).agg(F.avg((((c("probability") >= 0.5).cast("double")) == c("label")).cast("double"))).first()[0]
@@ -250,11 +277,11 @@ def _tested(model, columns, rows: DataFrame, least: int) -> tuple[DataFrame, dic
     return tested, tested.agg(F.avg(F.abs(gap)).alias("mae"), F.avg(gap * gap).alias("mse")).first().asDict()
 
 
-def fit_throughput(features: DataFrame, rounds: int = 5000):
-    """(backtest rows, errors) of boosted trees over MAIN; None under 8 months."""
+def fit_throughput(features: DataFrame, rounds: int = 5000, rate: float = 0.01):
+    """(backtest rows, errors) of boosted trees over MAIN; None under 8 months. Few rounds want a greater learning rate."""
     if features.select("month").distinct().count() < 8:
         return None
-    return _tested(GBTRegressor(labelCol="completed", maxIter=rounds, maxDepth=3, stepSize=0.01 if rounds > 1000 else 0.1, seed=7), MAIN, features, 1)
+    return _tested(GBTRegressor(labelCol="completed", maxIter=rounds, maxDepth=3, stepSize=rate, seed=7), MAIN, features, 1)
 
 
 def compare_throughput(rows: DataFrame, rounds: int = 400, trees: int = 500):

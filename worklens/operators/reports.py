@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from worklens.functions import scalars as S
 from worklens.functions.params import EXCLUDED_STATUSES, Params
+from worklens.operators.ranks import quantiles
 
 c = F.col
 
@@ -24,19 +25,37 @@ def on_spine(counts: DataFrame, spine: Sequence[str], column: str) -> DataFrame:
     return values.join(counts, column, "left").fillna(0, ["n"])
 
 
+def grains(rows: DataFrame, sets: dict[str, list[str]], *aggregates: Column) -> DataFrame:
+    """The same aggregates at several grains in one pass: ``grain`` names the set of columns, the others are null."""
+    names = list(dict.fromkeys(x for own in sets.values() for x in own))
+    mask = {sum(1 << len(names) - 1 - k for k, x in enumerate(names) if x not in own): grain for grain, own in sets.items()}
+    out = rows.groupingSets([[c(x) for x in own] for own in sets.values()], *names).agg(F.grouping_id().alias("_mask"), *aggregates)
+    grain = F.coalesce(*[F.when(c("_mask") == m, F.lit(g)) for m, g in mask.items()])
+    return out.select(grain.alias("grain"), *names, *[x for x in out.columns if x not in ("_mask", *names)])
+
+
+def owner() -> Column:
+    """The assignee as workload reports name it."""
+    return F.trim(F.coalesce("assignee_name", F.lit("Unassigned")))
+
+
+def not_excluded(assignee: Column, p: Params) -> Column:
+    return ~F.lower(assignee).isin(*[x.lower() for x in p.excluded])
+
+
 def share(condition: Column) -> Column:
     return F.round(F.avg(condition.cast("double")) * 100, 6)
 
 
 def top_semi(rows: DataFrame, column: str, n: int) -> DataFrame:
-    """Rows of the n most frequent values of a column, ties by value."""
+    """Rows of the n most frequent values of a column, ties by value. n is a report's length."""
     top = rows.filter(c(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), column).limit(n).select(column)
     return rows.join(F.broadcast(top), column, "left_semi")
 
 
 def crosstab(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Counts of every pair of values that occur, also of pairs that do not."""
-    grid = rows.select(a).distinct().crossJoin(F.broadcast(rows.select(b).distinct()))
+    grid = rows.select(a).distinct().crossJoin(rows.select(b).distinct())
     return grid.join(rows.groupBy(a, b).agg(F.count("*").alias("n")), [a, b], "left").fillna(0, ["n"])
 
 
@@ -61,15 +80,16 @@ def velocity_union(issues: DataFrame, p: Params, days: int = 720) -> DataFrame:
 
 def done_window_union(issues: DataFrame, p: Params) -> DataFrame:
     """As ``velocity_union`` for everybody but the excluded, of issues Done in the window; priorities as they stand, "Unknown" if null."""
-    assignee = F.trim(F.coalesce("assignee_name", F.lit("Unassigned")))
-    rows = done_window(issues, p, keep_nulls=True).filter(~F.lower(assignee).isin(*[x.lower() for x in p.excluded]))
-    return _both_velocities(rows, assignee, F.coalesce("priority_name", F.lit("Unknown")), S.floor_days(c("created"), c("updated")))
+    rows = done_window(issues, p, keep_nulls=True).filter(not_excluded(owner(), p))
+    return _both_velocities(rows, owner(), F.coalesce("priority_name", F.lit("Unknown")), S.floor_days(c("created"), c("updated")))
 
 
 def _both_velocities(rows: DataFrame, assignee: Column, priority: Column, execution: Column) -> DataFrame:
-    own = rows.select("key", assignee.alias("assignee"), priority.alias("priority"), F.floor(S.floor_days(c("created"), c("planned_start_date"))).alias("backlog"), S.floor_days(c("created"), c("updated")).alias("gap"), execution.alias("execution"))
-    backlog = own.filter("backlog > 0").select("key", "assignee", "priority", F.lit("backlog").alias("kind"), c("backlog").alias("days"))
-    return backlog.unionByName(own.filter("gap > 0").select("key", "assignee", "priority", F.lit("execution").alias("kind"), c("execution").alias("days")))
+    """One pass: an issue gives a row for each of its two velocities that counts."""
+    backlog = F.floor(S.floor_days(c("created"), c("planned_start_date")))
+    kind = lambda name, days, fits: F.when(fits, F.struct(F.lit(name).alias("kind"), days.alias("days")))
+    both = F.array(kind("backlog", backlog, backlog > 0), kind("execution", execution, S.floor_days(c("created"), c("updated")) > 0))
+    return rows.select("key", assignee.alias("assignee"), priority.alias("priority"), F.explode(F.array_compact(both)).alias("v")).select("key", "assignee", "priority", "v.kind", "v.days")
 
 
 def done_window(issues: DataFrame, p: Params, keep_nulls: bool = False) -> DataFrame:
@@ -80,21 +100,29 @@ def done_window(issues: DataFrame, p: Params, keep_nulls: bool = False) -> DataF
 
 def execution_profile(done: DataFrame, p: Params) -> DataFrame:
     """Per assignee median, recency-weighted mean and n of execution days; global values beside them."""
-    rows = done.select(c("assignee_name").alias("assignee"), S.days_between(c("created"), c("updated")).alias("x"), S.recency_weight(S.days_between(c("updated"), p.now())).alias("w"))
-    stats = lambda suffix: [F.round(F.percentile("x", 0.5), 6).alias("median" + suffix), F.round(F.sum(c("x") * c("w")) / F.sum("w"), 6).alias("weighted" + suffix), F.count("*").alias("n" + suffix)]
-    return rows.filter("assignee is not null").groupBy("assignee").agg(*stats("")).crossJoin(F.broadcast(rows.agg(*stats("_all"))))
+    rows = done.select(owner().alias("assignee"), S.days_between(c("created"), c("updated")).alias("x"), S.recency_weight(S.days_between(c("updated"), p.now())).alias("w"))
+    weighted = F.round(F.sum(c("x") * c("w")) / F.sum("w"), 6)
+    one = quantiles(rows, ["assignee"], c("x"), {"median": 0.5}).join(rows.groupBy("assignee").agg(weighted.alias("weighted")), "assignee")
+    every = quantiles(rows, [], c("x"), {"median_all": 0.5}).withColumnRenamed("n", "n_all").crossJoin(F.broadcast(rows.agg(weighted.alias("weighted_all"))))
+    one = one.select("assignee", F.round("median", 6).alias("median"), "weighted", "n")
+    return one.crossJoin(F.broadcast(every)).select(*one.columns, F.round("median_all", 6).alias("median_all"), "weighted_all", "n_all")
 
 
 def in_progress_load(issues: DataFrame, done: DataFrame, p: Params) -> DataFrame:
-    """Open work per assignee times the assignee's median, the global one where the assignee has none."""
-    counts = issues.filter("status = 'In Progress' and assignee_name is not null").groupBy(c("assignee_name").alias("assignee")).agg(F.count("*").alias("open"))
-    profile = execution_profile(done, p).select("assignee", "median", "median_all")
-    overall = done.agg(F.round(F.percentile(S.days_between(c("created"), c("updated")), 0.5), 6).alias("all"))
-    rows = counts.join(profile, "assignee", "left").crossJoin(F.broadcast(overall))
+    """Work in progress per assignee, without Features and excluded assignees, times the assignee's median, the global one where the assignee has none."""
+    busy = issues.filter((F.lower("status") == "in progress") & (F.lower("issuetype") != "feature") & not_excluded(owner(), p))
+    counts = busy.groupBy(owner().alias("assignee")).agg(F.count("*").alias("open"))
+    profile = execution_profile(done, p).select("assignee", "median")
+    every = quantiles(done, [], S.days_between(c("created"), c("updated")), {"all": 0.5}).select(F.round("all", 6).alias("all"))
     days = F.round(c("open") * F.coalesce("median", "all"), 6)
+    rows = counts.join(profile, "assignee", "left").crossJoin(F.broadcast(every))
     return rows.select("assignee", "open", days.alias("estimated_days")).withColumn("bucket", S.load_bucket(c("estimated_days")))
 
 
+def load_totals(load: DataFrame) -> DataFrame:
+    return load.agg(F.sum("open").alias("open"), F.round(F.sum("estimated_days"), 4).alias("estimated_days"), F.round(F.avg("estimated_days"), 4).alias("mean_days"), F.count_if(c("bucket") == "Critical").alias("critical"))
+
+
 def complete_grid(union: DataFrame, digits: int | None = 6) -> DataFrame:
     """Mean days of every assignee x kind x priority, overall mean where a cell has no rows. The grid is the operator: its sides are names, not issues."""
     overall = union.agg(F.avg("days").alias("overall"))
@@ -114,11 +142,18 @@ def velocity_pair(union: DataFrame) -> DataFrame:
 def backlog_complexity(issues: DataFrame, union: DataFrame) -> DataFrame:
     """Per assignee: gap of the two velocities, harmonic estimate of the open backlog and the load bucket of the gap.
 
-    The velocities are means over the completed grid; assignees without one get the mean of all assignees.
+    The velocities are means over the completed grid of ``complete_grid``; assignees without one get the mean of all assignees. The grid is not
+    made: a cell without rows counts as the overall mean, so sums over the cells that have rows and the number of priorities are enough.
     """
-    counts = issues.filter("status in ('Backlog', 'To Do')").groupBy(F.trim(F.coalesce("assignee_name", F.lit("Unassigned"))).alias("assignee")).agg(F.count("*").alias("open"))
-    pairs = complete_grid(union, None).groupBy("assignee").agg(*[F.avg(F.when(c("kind") == k, c("mean"))).alias(k) for k in ("backlog", "execution")])
-    overall = pairs.agg(*[F.coalesce(F.avg(k), F.lit(0.0)).alias("all_" + k) for k in ("backlog", "execution")])
+    counts = issues.filter("status in ('Backlog', 'To Do')").groupBy(owner().alias("assignee")).agg(F.count("*").alias("open"))
+    cells = union.groupBy("assignee", "kind", "priority").agg(F.sum("days").alias("total"), F.count("*").alias("n"))
+    kinds = ("backlog", "execution")
+    of = lambda k, x: F.when(c("kind") == k, x)
+    own = cells.groupBy("assignee").agg(*[f(of(k, x)).alias(f"{k}_{n}") for k in kinds for n, f, x in (("sum", F.sum, c("total") / c("n")), ("cells", F.count, c("n")))])
+    every = cells.agg((F.sum("total") / F.sum("n")).alias("overall"), F.countDistinct("priority").alias("priorities"))
+    mean = lambda k: (F.coalesce(f"{k}_sum", F.lit(0.0)) + (c("priorities") - c(f"{k}_cells")) * c("overall")) / c("priorities")
+    pairs = own.crossJoin(F.broadcast(every)).select("assignee", *[mean(k).alias(k) for k in kinds])
+    overall = pairs.agg(*[F.coalesce(F.avg(k), F.lit(0.0)).alias("all_" + k) for k in kinds])
     rows = counts.join(pairs, "assignee", "left").crossJoin(F.broadcast(overall))
     execution, backlog = F.coalesce("execution", "all_execution"), F.coalesce("backlog", "all_backlog")
     gap = F.round(F.abs(execution - backlog), 6)
@@ -126,18 +161,23 @@ def backlog_complexity(issues: DataFrame, union: DataFrame) -> DataFrame:
 
 
 def five_numbers(rows: DataFrame, by: str, x: Column) -> DataFrame:
-    q = F.percentile(x, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
-    got = rows.filter(c(by).isNotNull()).groupBy(by).agg(q.alias("q"))
-    return got.select(by, *[F.round(c("q")[k], 6).alias(n) for k, n in enumerate(("low", "q1", "median", "q3", "high"))])
+    at = dict(zip(("low", "q1", "median", "q3", "high"), (0.0, 0.25, 0.5, 0.75, 1.0), strict=True))
+    return quantiles(rows.filter(c(by).isNotNull()), [by], x, at).select(by, *[F.round(n, 6).alias(n) for n in at])
+
+
+RISKS = ("Overdue", "Due in 7 Days", "On Track", "No Target Date")
+
+
+def risk_report(rows: DataFrame, p: Params, urgent: tuple[str, ...]) -> DataFrame:
+    """n, overdue, due soon and urgent issues of all, by lead and by assignee (blocked and validating reports). ``urgent``: priorities as they stand in the records."""
+    risk = rows.select(c("business_lead").alias("lead"), c("assignee_name").alias("assignee"), S.due_risk_bucket(S.days_left(c("target_end_date"), p)).alias("risk"), c("priority_name").isin(*urgent).alias("urgent"))
+    counts = [F.count("*").alias("n"), F.count_if(c("risk") == "Overdue").alias("overdue"), F.count_if(c("risk") == "Due in 7 Days").alias("due_soon"), F.count_if("urgent").alias("urgent")]
+    return grains(risk, {"all": [], "lead": ["lead"], "assignee": ["assignee"]}, *counts)
 
 
-def risk_report(rows: DataFrame, p: Params) -> DataFrame:
-    """n, overdue, due soon, high priority per lead (blocked and validating reports)."""
-    left = S.days_left(c("target_end_date"), p)
-    urgent = S.canonical_priority(c("priority_name"), "executive").isin("Urgent", "High")
-    return rows.groupBy(c("business_lead").alias("lead")).agg(
-        F.count("*").alias("n"), F.count_if(left < 0).alias("overdue"), F.count_if((left >= 0) & (left <= 7)).alias("due_soon"), F.count_if(urgent).alias("urgent")
-    )
+def risk_mix(rows: DataFrame, p: Params) -> DataFrame:
+    """Issues by risk, zeros included."""
+    return on_spine(rows.groupBy(S.due_risk_bucket(S.days_left(c("target_end_date"), p)).alias("risk")).agg(F.count("*").alias("n")), RISKS, "risk")
 
 
 def personal_kpis(issues: DataFrame, p: Params) -> DataFrame:
@@ -168,11 +208,11 @@ def size_groups(issues: DataFrame) -> DataFrame:
 def trimmed_mean(rows: DataFrame, by: str | None, x: str) -> DataFrame:
     """Mean within the 5th and 95th percentile; the median under five values. ``by`` None: one row for all."""
     keys = [] if by is None else [by]
-    own = rows.filter(c(x).isNotNull()).select(*keys, c(x).alias("x")) if by is None else rows.filter(c(x).isNotNull() & c(by).isNotNull()).select(by, c(x).alias("x"))
-    q = own.groupBy(*keys).agg(F.percentile("x", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"), F.count("*").alias("n"))
+    own = rows.filter(c(x).isNotNull()).select(c(x).alias("x")) if by is None else rows.filter(c(x).isNotNull() & c(by).isNotNull()).select(by, c(x).alias("x"))
+    q = quantiles(own, keys, c("x"), {"from": 0.05, "mid": 0.5, "to": 0.95})
     cut = own.join(q, by) if keys else own.crossJoin(F.broadcast(q))
-    inner = F.avg(F.when(c("x").between(c("q")[0], c("q")[2]), c("x")))
-    return cut.groupBy(*keys).agg(F.round(F.when(F.first("n") < 5, F.first("q")[1]).otherwise(F.coalesce(inner, F.first("q")[1])), 6).alias("trimmed"))
+    inner = F.avg(F.when(c("x").between(c("from"), c("to")), c("x")))
+    return cut.groupBy(*keys).agg(F.round(F.when(F.first("n") < 5, F.first("mid")).otherwise(F.coalesce(inner, F.first("mid"))), 6).alias("trimmed"))
 
 
 def smoothed_mean(rows: DataFrame, by: str, x: str, prior: DataFrame | None = None, weight: float = 8.0) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from worklens.functions.params import DELIVERY_TYPES, QUEUE, WIP
+
 c = F.col
 
-#: Fixed values: (domain, pattern), matched per line and in either case. Names of an organisation's own repositories are left out; add them with ``patterns(spark, more)``.
+#: Fixed values: (domain, pattern), matched per line and in either case. Names of an organisation's own repositories are left out; add them with ``patterns(more)``.
 DOMAIN_PATTERNS = (
     ("Kubernetes/GitOps", r"clusters/|namespaces/|helmrelease|kustomization|/helm/|\bk8s\b|karpenter|nodepool|nodeclass|kube-system|argocd|/flux|gitrepository|daemonset|statefulset|\bcrds?\b"),
     ("Terraform/Terragrunt", r"terragrunt\.hcl|\.tf$|\.tftpl|\.tfvars|/tf-|terraform|\.hcl$"),
@@ -40,14 +42,22 @@ DOMAIN_PATTERNS = (
 )
 
 
-def patterns(spark, more: tuple[tuple[str, str], ...] = ()) -> DataFrame:
-    return spark.createDataFrame([*DOMAIN_PATTERNS, *more], "domain string, pattern string")
+Rules = tuple[tuple[str, str], ...]
+
+
+def patterns(more: Rules = ()) -> Rules:
+    return (*DOMAIN_PATTERNS, *more)
+
 
+def matches(column: str, rules: Rules) -> list[Column]:
+    """The domain of each rule where the column matches it, else null. Patterns are literals, so a task compiles each of them once."""
+    return [F.when(c(column).rlike(f"(?im){pattern}"), F.lit(domain)) for domain, pattern in rules]
 
-def regex_join(texts: DataFrame, column: str, rules: DataFrame) -> DataFrame:
-    """Distinct (text, domain) pairs that match. Distinct texts first: paths repeat heavily, and rows x patterns is a nested loop."""
+
+def regex_join(texts: DataFrame, column: str, rules: Rules) -> DataFrame:
+    """Distinct (text, domain) pairs that match. Distinct texts first: paths repeat heavily."""
     distinct = texts.select(column).filter(c(column).isNotNull()).distinct()
-    return distinct.join(F.broadcast(rules), F.expr(f"rlike({column}, concat('(?im)', pattern))")).select(column, "domain")
+    return distinct.select(column, F.explode(F.array_distinct(F.array_compact(F.array(*matches(column, rules))))).alias("domain"))
 
 
 def mr_lines(mrs: DataFrame, files: DataFrame) -> DataFrame:
@@ -56,7 +66,7 @@ def mr_lines(mrs: DataFrame, files: DataFrame) -> DataFrame:
     return own.unionByName(mrs.select("id", "author").join(files.select(c("mr_id").alias("id"), c("path").alias("line")), "id"))
 
 
-def mr_domains(mrs: DataFrame, files: DataFrame, rules: DataFrame) -> DataFrame:
+def mr_domains(mrs: DataFrame, files: DataFrame, rules: Rules) -> DataFrame:
     """id, author, domain, each domain once per merge request."""
     lines = mr_lines(mrs, files)
     return lines.join(regex_join(lines, "line", rules), "line").select("id", "author", "domain").distinct()
@@ -66,11 +76,17 @@ def domain_counts(tagged: DataFrame) -> DataFrame:
     return tagged.groupBy(c("author").alias("engineer"), "domain").agg(F.count("*").alias("n"))
 
 
-def corpus_scores(issues: DataFrame, rules: DataFrame, done: str, active: tuple[str, ...]) -> DataFrame:
-    """engineer, domain, score: 1 for each done and 0.5 for each active issue whose summary matches."""
-    weight = F.when(c("status") == done, 1.0).when(c("status").isin(*active), 0.5)
-    rows = issues.select(c("assignee_name").alias("engineer"), "summary", weight.alias("w")).filter("engineer is not null and w is not null")
-    return rows.join(regex_join(rows, "summary", rules), "summary").groupBy("engineer", "domain").agg(F.sum("w").alias("score"))
+def corpus(issues: DataFrame) -> DataFrame:
+    """engineer, summary, weight of delivery issues: 1 for each done one but for Will Not Do, 0.5 for each in work."""
+    done = c("status_category") == "done"
+    rows = issues.filter(c("issuetype").isin(*DELIVERY_TYPES) & c("assignee_name").isNotNull() & ((done & (c("status") != "Will Not Do")) | c("status").isin(*WIP)))
+    return rows.select(c("assignee_name").alias("engineer"), F.coalesce("summary", F.lit("")).alias("summary"), F.when(done, 1.0).otherwise(0.5).alias("weight"))
+
+
+def corpus_scores(issues: DataFrame, rules: Rules) -> DataFrame:
+    """engineer, domain, score: the weights of the corpus's rows whose summary matches."""
+    rows = corpus(issues)
+    return rows.join(regex_join(rows, "summary", rules), "summary").groupBy("engineer", "domain").agg(F.sum("weight").alias("score"))
 
 
 def skill_matrix(corpus: DataFrame, counts: DataFrame) -> DataFrame:
@@ -79,6 +95,7 @@ def skill_matrix(corpus: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def domain_ranking(matrix: DataFrame, spare: DataFrame) -> DataFrame:
+    """matrix with ``spare`` (0 for engineers without one) and ``place`` in the domain: skill first, spare capacity second, then by name."""
     rows = matrix.join(spare, "engineer", "left").fillna(0, ["spare"])
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("score"), F.desc("spare"), "engineer")))
 
@@ -93,9 +110,22 @@ def apply_overrides(ranking: DataFrame, overrides: DataFrame, added: DataFrame)
     return base.unionByName(tail.select("domain", "engineer", "place"))
 
 
-def ticket_to_skill(tickets: DataFrame, ranking: DataFrame, rules: DataFrame) -> DataFrame:
-    """Expert, runner-up and stretch of the ticket's first domain, null where no domain matches."""
-    tagged = tickets.join(regex_join(tickets, "summary", rules), "summary", "left").groupBy("key").agg(F.min("domain").alias("domain"))
-    at = lambda k: F.max(F.when(c("place") == k, c("engineer")))
-    people = ranking.groupBy("domain").agg(at(1).alias("expert"), at(2).alias("runner_up"), at(3).alias("stretch"))
-    return tagged.join(people, "domain", "left").select("key", "domain", "expert", "runner_up", "stretch")
+def ticket_to_skill(tickets: DataFrame, ranking: DataFrame, spare: DataFrame, rules: Rules) -> DataFrame:
+    """Expert, runner-up and stretch pick of the ticket's primary domain, the first rule that its summary matches; without a domain the three with most spare capacity."""
+    named = tickets.select("key", F.coalesce(*matches("summary", rules)).alias("domain"))
+    picks = lambda rows: [F.max(F.when(c("place") == k, c("engineer"))).alias(n) for k, n in ((1, "expert"), (2, "runner_up"), (3, "stretch"))]
+    people = ranking.filter("place <= 3").groupBy("domain").agg(*picks(ranking))
+    free = spare.orderBy(F.desc("spare"), "engineer").limit(3).withColumn("place", F.row_number().over(Window.orderBy(F.desc("spare"), "engineer")))
+    people = people.unionByName(free.agg(*picks(free)).withColumn("domain", F.lit(None).cast("string")))
+    return named.alias("t").join(people.alias("p"), c("t.domain").eqNullSafe(c("p.domain")), "left").select("key", "t.domain", "expert", "runner_up", "stretch")
+
+
+def intake(issues: DataFrame, roster: DataFrame, counts: DataFrame) -> dict[str, DataFrame]:
+    """What intake is decided from: the roster (name, velocity, wip, done), the queue oldest first, the corpus, and domains by merge requests."""
+    team = roster.select("name")
+    outside = F.when(c("assignee_name").isNotNull(), F.concat(F.lit("ext:"), "assignee_name"))
+    inside = team.select(c("name").alias("assignee_name"), F.lower("name").alias("inside"))
+    queue = issues.filter(c("status").isin(*QUEUE) & ~c("issuetype").isin("Feature", "Initiative", "Epic")).join(inside, "assignee_name", "left")
+    queue = queue.select("key", F.to_date("created").alias("created"), "status", "issuetype", "priority_name", F.coalesce("creator_name", F.lit("")).alias("reporter"), F.coalesce("inside", outside).alias("assigned"), F.coalesce("summary", F.lit("")).alias("summary"))
+    known = team.withColumnRenamed("name", "engineer")
+    return {"roster": roster, "queue": queue, "corpus": corpus(issues).join(known, "engineer", "left_semi"), "mr_domains": counts.join(known, "engineer", "left_semi")}

@@ -255,9 +255,18 @@ query(
  FROM w_issues i LEFT JOIN (SELECT key, max(changed_at) AS last, max(changed_at) FILTER (to_status = 'Done') AS done_at FROM w_transitions GROUP BY 1) l ON l.key = i.key WHERE parent_key IN (SELECT key FROM w_issues WHERE issuetype = 'Feature'))""",
 )
 query("wip_by_owner", lambda t: t.issues.filter(c("status").isin(*WIP) & c("issuetype").isin(*DELIVERY_TYPES) & c("assignee_name").isNotNull()).groupBy("assignee_name").agg(F.count("*").alias("wip")), f"SELECT assignee_name, count(*) AS wip FROM w_issues WHERE status IN ({wip_sql}) AND issuetype IN ({types_sql}) AND assignee_name IS NOT NULL GROUP BY 1")
-query(
-    "spare_capacity",
-    lambda t: forecast(t).select("name", "baseline").join(current(t), "name").join(t.issues.filter(c("status").isin(*WIP) & c("issuetype").isin(*DELIVERY_TYPES)).groupBy(c("assignee_name").alias("name")).agg(F.count("*").alias("wip")), "name", "left").fillna(0, ["wip"]).select("name", (F.greatest(F.lit(0).cast("long"), c("baseline") - c("done")) - c("wip")).alias("spare")),
-    f"SELECT name, greatest(0, baseline - done) - coalesce(wip, 0) AS spare FROM vf JOIN cur USING (name) LEFT JOIN (SELECT assignee_name, count(*) AS wip FROM w_issues WHERE status IN ({wip_sql}) AND issuetype IN ({types_sql}) GROUP BY 1) w ON w.assignee_name = name",
-    ro=ROSTER, dn=DONE, mv=MV, cur=CUR, vf=VF,
-)
+
+
+def capacity(t):
+    """name, velocity (the baseline), wip and done of every member of the roster."""
+    wip = t.issues.filter(c("status").isin(*WIP) & c("issuetype").isin(*DELIVERY_TYPES)).groupBy(c("assignee_name").alias("name")).agg(F.count("*").alias("wip"))
+    return forecast(t).select("name", c("baseline").alias("velocity")).join(current(t), "name").join(wip, "name", "left").fillna(0, ["wip"]).select("name", "velocity", "wip", "done")
+
+
+def spare_capacity(t):
+    return capacity(t).select("name", (F.greatest(F.lit(0).cast("long"), c("velocity") - c("done")) - c("wip")).alias("spare"))
+
+
+CAPACITY_SQL = f"SELECT name, baseline AS velocity, coalesce(wip, 0) AS wip, done FROM vf JOIN cur USING (name) LEFT JOIN (SELECT assignee_name, count(*) AS wip FROM w_issues WHERE status IN ({wip_sql}) AND issuetype IN ({types_sql}) GROUP BY 1) w ON w.assignee_name = name"
+SPARE = f"SELECT name, greatest(0, velocity - done) - wip AS spare FROM ({CAPACITY_SQL})"
+query("spare_capacity", spare_capacity, SPARE, ro=ROSTER, dn=DONE, mv=MV, cur=CUR, vf=VF)

@@ -12,7 +12,7 @@ from worklens.sources import ingest as I
 
 c = F.col
 #: Trees and rounds of the registered model queries, which show results on small tables; the operators' defaults are the reports'.
-TREES, ROUNDS = 24, 12
+TREES, ROUNDS, RATE = 24, 12, 0.1
 TR_ALL = TR.replace("updated, ", "created, updated, target_end_date, ", 1)
 LATE = f"SELECT *, greatest(0.0, {days('target_end_date', 'updated')}) AS late FROM tr"
 _delay = "(SELECT {g}, (sum(late) + " + TRIMMED.format(x="late", tr="lt") + " * 8.0) / (count(*) + 8.0) AS v FROM lt GROUP BY 1)"
@@ -99,6 +99,8 @@ def curve(t):
 def calibration(t):
     """Coefficients of the sigmoid over out-of-fold scores, and the mean error of scores before and after it."""
     rows = stored(t, features(t, True))
+    if not M.can_calibrate(rows):
+        return t.spark.createDataFrame([], "slope double, intercept double, n long, brier_before double, brier_after double")
     scores = stored(t, M.out_of_fold(rows, M.classifiers(TREES, ROUNDS)["forest"]))
     found = M.platt(scores)
     after = 1 / (1 + F.exp(-(found.coefficients[0] * c("score") + found.intercept)))
@@ -144,32 +146,50 @@ STEPS = 6
 
 
 def throughput_model(t):
-    tested, _ = M.fit_throughput(stored(t, M.throughput_features(series(t))), ROUNDS)
-    return tested
+    found = M.fit_throughput(stored(t, M.throughput_features(series(t))), ROUNDS, RATE)
+    return t.spark.createDataFrame([], "series string, month string, completed double, prediction double") if found is None else found[0]
 
 
 def compared(t):
+    """(rows, best, models, errors, backtests), or None where there are too few months for a model."""
     rows = stored(t, M.seasonal_lags(series(t)))
-    return rows, *M.compare_throughput(rows, ROUNDS, TREES)
+    found = M.compare_throughput(rows, ROUNDS, TREES)
+    return None if found is None else (rows, *found)
 
 
-def model_comparison(t):
-    _, best, _, errors, _ = compared(t)
+def or_empty(schema: str):
+    """A query of the comparison's parts; an empty result where there is no comparison."""
+
+    def of(make):
+        def run(t):
+            found = compared(t)
+            return t.spark.createDataFrame([], schema) if found is None else make(t, *found)
+
+        return run
+
+    return of
+
+
+BANDED = "series string, month string, low double, mid double, high double"
+
+
+@or_empty("model string, mae double, mse double, chosen boolean")
+def model_comparison(t, rows, best, models, errors, tested):
     return t.spark.createDataFrame([(n, float(e["mae"]), float(e["mse"]), n == best) for n, e in sorted(errors.items())], "model string, mae double, mse double, chosen boolean")
 
 
-def forecast(t):
-    rows, best, models, errors, _ = compared(t)
+@or_empty(BANDED)
+def forecast(t, rows, best, models, errors, tested):
     return M.band(M.recursive_forecast(models[best], rows, STEPS), float(errors[best]["mae"]))
 
 
-def ensemble_forecast(t):
-    rows, best, models, errors, _ = compared(t)
+@or_empty(BANDED)
+def ensemble_forecast(t, rows, best, models, errors, tested):
     return M.ensemble({n: M.recursive_forecast(m, rows, STEPS) for n, m in models.items()}, float(errors[best]["mae"]))
 
 
-def forecast_concat(t):
-    rows, best, models, errors, tested = compared(t)
+@or_empty("series string, month string, kind string, value double")
+def forecast_concat(t, rows, best, models, errors, tested):
     ahead = M.band(M.recursive_forecast(models[best], rows, STEPS), float(errors[best]["mae"]))
     return tested[best].select("series", "month", F.lit("backtest").alias("kind"), c("prediction").alias("value")).unionByName(ahead.select("series", "month", F.lit("forecast").alias("kind"), c("mid").alias("value")))
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from worklens.functions import scalars as S
 from worklens.functions.params import DEFAULT as P, PRIORITIES, QUEUE, SIZES
 from worklens.operators import flow, reports as R
+from worklens.operators.ranks import quantiles
 from worklens.plans.registry import NOW, days, floor_days, query
 from worklens.plans.scalar_queries import ATTENTION, CUT, IN_SCOPE, OPEN, SLA, attention, sla_rows, sla_scope
 
@@ -25,10 +26,12 @@ query(
     lambda t: t.issues.filter(~c("status").isin("Done", "Will Not Do")).groupBy("status").agg(F.count("*").alias("n")).withColumn("place", S.rank_in(c("status"), BOARD)),
     "SELECT status, count(*) AS n, CAST(coalesce(list_position([" + ", ".join(f"'{b}'" for b in BOARD) + "], status), 10) AS INT) AS place FROM w_issues WHERE status NOT IN ('Done', 'Will Not Do') GROUP BY 1",
 )
+OPEN_ON_BOARD = ("Triage", "Tech Discovery Required", "To Do", "Blocked", "On Hold", "In Progress", "Validating")
+_one = lambda s: s.lower().replace(" ", "_")
 query(
     "overview_kpis",
-    lambda t: t.issues.agg(F.count_if(c("status").isin("In Progress", "Validating")).alias("active"), F.count_if(c("status").isin("Backlog", "To Do")).alias("waiting"), F.count_if(c("status") == "Blocked").alias("blocked")),
-    "SELECT count(*) FILTER (status IN ('In Progress', 'Validating')) AS active, count(*) FILTER (status IN ('Backlog', 'To Do')) AS waiting, count(*) FILTER (status = 'Blocked') AS blocked FROM w_issues",
+    lambda t: t.issues.agg(F.count_if(c("status").isin(*OPEN_ON_BOARD)).alias("total_open"), *[F.count_if(c("status") == s).alias(_one(s)) for s in ("In Progress", "Blocked", "Validating")]),
+    "SELECT count(*) FILTER (status IN (" + ", ".join(f"'{s}'" for s in OPEN_ON_BOARD) + ")) AS total_open, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {_one(s)}" for s in ("In Progress", "Blocked", "Validating")) + " FROM w_issues",
 )
 query(
     "exec_kpis",
@@ -42,16 +45,37 @@ for name, col, n in (("mean_age_by_lead", "business_lead", 12), ("mean_age_by_as
         f"SELECT {col}, round(avg({AGE}), 6) AS mean_age, count(*) AS n FROM w_issues WHERE {OPEN} AND {col} IS NOT NULL GROUP BY 1 ORDER BY 2, 1 LIMIT {n}",
     )
 _sla = lambda t: sla_scope(sla_rows(t))
+SLA_COUNTS = (("Breached", "breached"), ("At Risk", "at_risk"), ("On Track", "on_track"))
+_sla_counts = lambda: [F.count_if(c("sla_status") == s).alias(a) for s, a in SLA_COUNTS]
+sla_counts = ", ".join(f"count(*) FILTER (sla_status = '{s}') AS {a}" for s, a in SLA_COUNTS)
+_pct = lambda s: f"round(avg(CASE WHEN sla_status = '{s}' THEN 1.0 ELSE 0.0 END) * 100, 6)"
+
+
+def sla_kpis(t):
+    middle = lambda x: quantiles(_sla(t), [], c(x), {x: 0.5}).select(F.round(x, 6).alias(f"median_{x}"))
+    counts = _sla(t).agg(F.count("*").alias("n"), *_sla_counts(), R.share(c("sla_status") == "Breached").alias("breach_pct"))
+    return counts.crossJoin(F.broadcast(middle("elapsed"))).crossJoin(F.broadcast(middle("target")))
+
+
 query(
     "sla_kpis",
-    lambda t: _sla(t).agg(F.count("*").alias("n"), *[F.count_if(c("sla_status") == s).alias(a) for s, a in (("Breached", "breached"), ("At Risk", "at_risk"), ("On Track", "on_track"))], R.share(c("sla_status") == "Breached").alias("breach_pct"), F.round(F.percentile("elapsed", 0.5), 6).alias("median_elapsed"), F.round(F.percentile("target", 0.5), 6).alias("median_target")),
-    f"SELECT count(*) AS n, count(*) FILTER (sla_status = 'Breached') AS breached, count(*) FILTER (sla_status = 'At Risk') AS at_risk, count(*) FILTER (sla_status = 'On Track') AS on_track, round(avg(CASE WHEN sla_status = 'Breached' THEN 1.0 ELSE 0.0 END) * 100, 6) AS breach_pct, round(quantile_cont(elapsed, 0.5), 6) AS median_elapsed, round(quantile_cont(target, 0.5), 6) AS median_target FROM sla WHERE {IN_SCOPE}",
+    sla_kpis,
+    f"SELECT count(*) AS n, {sla_counts}, {_pct('Breached')} AS breach_pct, round(quantile_cont(elapsed, 0.5), 6) AS median_elapsed, round(quantile_cont(target, 0.5), 6) AS median_target FROM sla WHERE {IN_SCOPE}",
     sla=SLA,
 )
+
+
+def sla_by_priority(t):
+    """Counts of every status, rates and quartiles of the elapsed days, by priority."""
+    counts = _sla(t).groupBy("priority").agg(*_sla_counts(), R.share(c("sla_status") == "Breached").alias("breach_pct"), R.share(c("sla_status") == "At Risk").alias("at_risk_pct"))
+    ranks = quantiles(_sla(t), ["priority"], c("elapsed"), {"median": 0.5, "p75": 0.75})
+    return counts.join(ranks.select("priority", "n", *[F.round(x, 6).alias(x) for x in ("median", "p75")]), "priority")
+
+
 query(
     "sla_by_priority",
-    lambda t: _sla(t).groupBy("priority").agg(F.count("*").alias("n"), F.count_if(c("sla_status") == "Breached").alias("breached"), F.round(F.percentile("elapsed", 0.5), 6).alias("median"), F.round(F.percentile("elapsed", 0.75), 6).alias("p75"), R.share(c("sla_status") == "Breached").alias("breach_pct")),
-    f"SELECT priority, count(*) AS n, count(*) FILTER (sla_status = 'Breached') AS breached, round(quantile_cont(elapsed, 0.5), 6) AS median, round(quantile_cont(elapsed, 0.75), 6) AS p75, round(avg(CASE WHEN sla_status = 'Breached' THEN 1.0 ELSE 0.0 END) * 100, 6) AS breach_pct FROM sla WHERE {IN_SCOPE} GROUP BY 1",
+    sla_by_priority,
+    f"SELECT priority, count(*) AS n, {sla_counts}, round(quantile_cont(elapsed, 0.5), 6) AS median, round(quantile_cont(elapsed, 0.75), 6) AS p75, {_pct('Breached')} AS breach_pct, {_pct('At Risk')} AS at_risk_pct FROM sla WHERE {IN_SCOPE} GROUP BY 1",
     sla=SLA,
 )
 TOP15 = "(SELECT assignee_name FROM {x} WHERE assignee_name IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT {n})"
@@ -86,19 +110,21 @@ query(
     "SELECT priority, " + ", ".join(f"round(quantile_cont(elapsed, {q}), 6) AS {n}" for q, n in ((0, "low"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1, "high"))) + " FROM sc GROUP BY 1",
     sla=SLA, sc=SC,
 )
+#: Months of later years are reported; a parameter of the operators, 0 for all.
+FROM_YEAR = 0
 CV = """SELECT coalesce(a.month, b.month) AS month, coalesce(created, 0) AS created, coalesce(completed, 0) AS completed FROM (SELECT strftime(created, '%Y-%m') AS month, count(*) AS created FROM w_issues GROUP BY 1) a
  FULL JOIN (SELECT strftime(coalesce(resolved, updated), '%Y-%m') AS month, count(*) AS completed FROM w_issues WHERE status = 'Done' GROUP BY 1) b ON a.month = b.month"""
-query("created_vs_completed", lambda t: R.created_vs_completed(t.issues), "SELECT * FROM cv WHERE CAST(left(month, 4) AS INT) > 1995", cv=CV)
+query("created_vs_completed", lambda t: R.created_vs_completed(t.issues, FROM_YEAR), f"SELECT * FROM cv WHERE CAST(left(month, 4) AS INT) > {FROM_YEAR}", cv=CV)
 query("monthly_created", lambda t: R.created_vs_completed(t.issues, 0).filter("created > 0").select("month", "created"), "SELECT month, created FROM cv WHERE created > 0", cv=CV)
 query("monthly_completed", lambda t: R.created_vs_completed(t.issues, 0).filter("completed > 0").select("month", "completed"), "SELECT month, completed FROM cv WHERE completed > 0", cv=CV)
 query(
     "capacity_kpis",
-    lambda t: R.created_vs_completed(t.issues).agg(F.round(F.avg("created"), 6).alias("mean_created"), F.round(F.avg("completed"), 6).alias("mean_completed"), F.max_by("created", "month").alias("last_created"), F.max_by("completed", "month").alias("last_completed")),
-    "SELECT round(avg(created), 6) AS mean_created, round(avg(completed), 6) AS mean_completed, max_by(created, month) AS last_created, max_by(completed, month) AS last_completed FROM cv WHERE CAST(left(month, 4) AS INT) > 1995",
+    lambda t: R.created_vs_completed(t.issues, FROM_YEAR).agg(F.round(F.avg("created"), 6).alias("mean_created"), F.round(F.avg("completed"), 6).alias("mean_completed"), F.max_by("created", "month").alias("last_created"), F.max_by("completed", "month").alias("last_completed")),
+    "SELECT round(avg(created), 6) AS mean_created, round(avg(completed), 6) AS mean_completed, max_by(created, month) AS last_created, max_by(completed, month) AS last_completed FROM cv",
     cv=CV,
 )
-query("melt_capacity", lambda t: R.created_vs_completed(t.issues).unpivot("month", ["created", "completed"], "kind", "n"), "SELECT month, 'created' AS kind, created AS n FROM cv WHERE month >= '1996' UNION ALL SELECT month, 'completed', completed FROM cv WHERE month >= '1996'", cv=CV)
-query("yearly_total", lambda t: t.issues.groupBy(F.year("updated").alias("year")).agg(F.count("*").alias("n")).filter("year >= 1998"), "SELECT CAST(year(updated) AS INT) AS year, count(*) AS n FROM w_issues GROUP BY 1 HAVING year >= 1998")
+query("melt_capacity", lambda t: R.created_vs_completed(t.issues, FROM_YEAR).unpivot("month", ["created", "completed"], "kind", "n"), "SELECT month, 'created' AS kind, created AS n FROM cv UNION ALL SELECT month, 'completed', completed FROM cv", cv=CV)
+query("yearly_total", lambda t: t.issues.groupBy(F.year("updated").alias("year")).agg(F.count("*").alias("n")), "SELECT CAST(year(updated) AS INT) AS year, count(*) AS n FROM w_issues GROUP BY 1")
 _spine = lambda t: flow.spine_of(t.issues, P)
 SP = f"SELECT strftime(unnest(range(date_trunc('month', low), date_trunc('month', high) + INTERVAL 1 MONTH, INTERVAL 1 MONTH)), '%Y-%m') AS month FROM (SELECT min(created) AS low, least(max(greatest(created, coalesce(resolved, updated))), {NOW}) AS high FROM w_issues)"
 MF = "SELECT sp.month, coalesce(created, 0) AS created, coalesce(completed, 0) AS completed, coalesce(completed, 0) - coalesce(created, 0) AS net FROM sp LEFT JOIN cv ON cv.month = sp.month"
@@ -110,14 +136,14 @@ _done = lambda t: t.issues.filter("status = 'Done' and not startswith(key, 'CAR-
 EX = days("created", "updated")
 query(
     "monthly_cycle",
-    lambda t: _spine(t).join(_done(t).groupBy(F.date_format("updated", "yyyy-MM").alias("month")).agg(F.percentile(S.days_between(c("created"), c("updated")), F.array(F.lit(0.5), F.lit(0.75))).alias("q")), "month", "left").select("month", F.round(F.coalesce(c("q")[0], F.lit(0.0)), 6).alias("median"), F.round(F.coalesce(c("q")[1], F.lit(0.0)), 6).alias("p75")),
+    lambda t: _spine(t).join(quantiles(_done(t).withColumn("month", F.date_format("updated", "yyyy-MM")), ["month"], S.days_between(c("created"), c("updated")), {"a": 0.5, "b": 0.75}), "month", "left").select("month", *[F.round(F.coalesce(x, F.lit(0.0)), 6).alias(n) for x, n in (("a", "median"), ("b", "p75"))]),
     f"SELECT sp.month, round(coalesce(a, 0.0), 6) AS median, round(coalesce(b, 0.0), 6) AS p75 FROM sp LEFT JOIN (SELECT strftime(updated, '%Y-%m') AS month, quantile_cont({EX}, 0.5) AS a, quantile_cont({EX}, 0.75) AS b FROM w_issues WHERE {DONE} GROUP BY 1) q ON q.month = sp.month",
     sp=SP,
 )
 query(
     "status_mix",
-    lambda t: R.top_semi(t.issues, "status", 6).groupBy(F.date_format("created", "yyyy-MM").alias("month"), "status").agg(F.count("*").alias("n")),
-    "SELECT strftime(created, '%Y-%m') AS month, status, count(*) AS n FROM w_issues WHERE status IN (SELECT status FROM w_issues GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 6) GROUP BY 1, 2",
+    lambda t: R.top_semi(t.issues, "status", 6).groupBy(F.date_format("updated", "yyyy-MM").alias("month"), "status").agg(F.count("*").alias("n")),
+    "SELECT strftime(updated, '%Y-%m') AS month, status, count(*) AS n FROM w_issues WHERE status IN (SELECT status FROM w_issues GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 6) GROUP BY 1, 2",
 )
 query("top_n_semi", lambda t: R.top_semi(t.issues, "assignee_name", 5).select("key", "assignee_name"), f"SELECT key, assignee_name FROM w_issues WHERE assignee_name IN {TOP15.format(x='w_issues', n=5)}")
 query(
@@ -137,8 +163,8 @@ _vu = lambda t: R.velocity_union(t.issues, P)
 query("velocity_union", _vu, "SELECT * FROM vu", vu=VU)
 query(
     "velocity_by_priority",
-    lambda t: R.top_semi(_vu(t), "assignee", 25).groupBy("assignee", "kind", "priority").agg(F.round(F.avg("days"), 6).alias("mean"), F.count("*").alias("n")),
-    "SELECT assignee, kind, priority, round(avg(days), 6) AS mean, count(*) AS n FROM vu GROUP BY 1, 2, 3",
+    lambda t: R.grains(R.top_semi(_vu(t), "assignee", 25), {"priority": ["assignee", "kind", "priority"], "assignee": ["assignee", "kind"], "kind": ["kind"]}, F.round(F.avg("days"), 6).alias("mean"), F.count("*").alias("n")),
+    "SELECT CASE WHEN grouping(assignee) = 1 THEN 'kind' WHEN grouping(priority) = 1 THEN 'assignee' ELSE 'priority' END AS grain, assignee, kind, priority, round(avg(days), 6) AS mean, count(*) AS n FROM vu GROUP BY GROUPING SETS ((assignee, kind, priority), (assignee, kind), (kind))",
     vu=VU,
 )
 VP = "SELECT coalesce(a.assignee, b.assignee) AS assignee, backlog, execution FROM (SELECT assignee, round(avg(days), 6) AS backlog FROM vu WHERE kind = 'backlog' GROUP BY 1) a FULL JOIN (SELECT assignee, round(avg(days), 6) AS execution FROM vu WHERE kind = 'execution' GROUP BY 1) b ON a.assignee = b.assignee"
@@ -149,18 +175,24 @@ query(
     "SELECT a.assignee, k.kind, p.priority, round(coalesce(m.mean, (SELECT avg(days) FROM vu)), 6) AS mean FROM (SELECT DISTINCT assignee FROM vu) a CROSS JOIN (VALUES ('backlog'), ('execution')) k(kind) CROSS JOIN (SELECT DISTINCT priority FROM vu) p LEFT JOIN (SELECT assignee, kind, priority, avg(days) AS mean FROM vu GROUP BY 1, 2, 3) m ON m.assignee = a.assignee AND m.kind = k.kind AND m.priority = p.priority",
     vu=VU,
 )
-EP = f"SELECT assignee_name AS assignee, {EX} AS x, 1 / (1 + {days('updated', NOW)} / 30.0) AS w FROM w_issues WHERE status = 'Done' AND coalesce(resolved, updated) >= {CUT}"
+EP = f"SELECT coalesce(assignee_name, 'Unassigned') AS assignee, {EX} AS x, 1 / (1 + {days('updated', NOW)} / 30.0) AS w FROM w_issues WHERE status = 'Done' AND coalesce(resolved, updated) >= {CUT}"
 _recent_done = lambda t: R.done_window(t.issues, P)
 query(
     "execution_profile",
     lambda t: R.execution_profile(_recent_done(t), P),
-    "SELECT * FROM (SELECT assignee, round(quantile_cont(x, 0.5), 6) AS median, round(sum(x * w) / sum(w), 6) AS weighted, count(*) AS n FROM ep WHERE assignee IS NOT NULL GROUP BY 1), (SELECT round(quantile_cont(x, 0.5), 6) AS median_all, round(sum(x * w) / sum(w), 6) AS weighted_all, count(*) AS n_all FROM ep)",
+    "SELECT * FROM (SELECT assignee, round(quantile_cont(x, 0.5), 6) AS median, round(sum(x * w) / sum(w), 6) AS weighted, count(*) AS n FROM ep GROUP BY 1), (SELECT round(quantile_cont(x, 0.5), 6) AS median_all, round(sum(x * w) / sum(w), 6) AS weighted_all, count(*) AS n_all FROM ep)",
     ep=EP,
 )
-IL = "SELECT assignee, open, round(open * coalesce(m, (SELECT round(quantile_cont(x, 0.5), 6) FROM ep)), 6) AS estimated_days FROM (SELECT assignee_name AS assignee, count(*) AS open FROM w_issues WHERE status = 'In Progress' AND assignee_name IS NOT NULL GROUP BY 1) LEFT JOIN (SELECT assignee AS a, round(quantile_cont(x, 0.5), 6) AS m FROM ep GROUP BY 1) ON a = assignee"
+IL = "SELECT assignee, open, round(open * coalesce(m, (SELECT round(quantile_cont(x, 0.5), 6) FROM ep)), 6) AS estimated_days FROM (SELECT coalesce(assignee_name, 'Unassigned') AS assignee, count(*) AS open FROM w_issues WHERE status = 'In Progress' AND issuetype <> 'Feature' AND lower(coalesce(assignee_name, '')) <> 'engineer 10' GROUP BY 1) LEFT JOIN (SELECT assignee AS a, round(quantile_cont(x, 0.5), 6) AS m FROM ep GROUP BY 1) ON a = assignee"
 LB = "CASE WHEN {x} > 90 THEN 'Critical' WHEN {x} > 60 THEN 'High' WHEN {x} > 30 THEN 'Medium' WHEN {x} > 0 THEN 'Low' ELSE 'None' END"
 _load = lambda t: R.in_progress_load(t.issues, _recent_done(t), P)
 query("in_progress_load", _load, f"SELECT *, {LB.format(x='estimated_days')} AS bucket FROM il", ep=EP, il=IL)
+query(
+    "in_progress_totals",
+    lambda t: R.load_totals(_load(t)),
+    f"SELECT CAST(sum(open) AS BIGINT) AS open, round(sum(estimated_days), 4) AS estimated_days, round(avg(estimated_days), 4) AS mean_days, count(*) FILTER ({LB.format(x='estimated_days')} = 'Critical') AS critical FROM il",
+    ep=EP, il=IL,
+)
 query("counts_left_velocity", lambda t: _load(t).select("assignee", "estimated_days"), "SELECT assignee, estimated_days FROM il", ep=EP, il=IL)
 query(
     "bucket_mix",
@@ -182,11 +214,20 @@ query(
  z AS (SELECT *, round(abs(av - bl), 6) AS complexity FROM y)
  SELECT assignee, open, complexity, round(av * h, 6) AS estimate, {LB.format(x='complexity')} AS bucket FROM z JOIN h ON h.k = z.open""",
 )
-for _n, _s in (("blocked_report", "Blocked"), ("validating_report", "Validating")):
+RISK = f"SELECT business_lead AS lead, assignee_name AS assignee, status, priority_name, CASE WHEN {LEFT} IS NULL THEN 'No Target Date' WHEN {LEFT} < 0 THEN 'Overdue' WHEN {LEFT} <= 7 THEN 'Due in 7 Days' ELSE 'On Track' END AS risk FROM w_issues"
+for _n, _s, _urgent in (("blocked", "Blocked", ("High", "Critical", "Urgent")), ("validating", "Validating", ("Urgent",))):
     query(
-        _n,
-        lambda t, s=_s: R.risk_report(t.issues.filter(c("status") == s), P),
-        f"SELECT business_lead AS lead, count(*) AS n, count(*) FILTER ({LEFT} < 0) AS overdue, count(*) FILTER ({LEFT} BETWEEN 0 AND 7) AS due_soon, count(*) FILTER (priority_name IN ('Urgent', 'High')) AS urgent FROM w_issues WHERE status = '{_s}' GROUP BY 1",
+        f"{_n}_report",
+        lambda t, s=_s, u=_urgent: R.risk_report(t.issues.filter(c("status") == s), P, u),
+        f"""SELECT CASE WHEN grouping(lead) = 0 THEN 'lead' WHEN grouping(assignee) = 0 THEN 'assignee' ELSE 'all' END AS grain, lead, assignee, count(*) AS n, count(*) FILTER (risk = 'Overdue') AS overdue, count(*) FILTER (risk = 'Due in 7 Days') AS due_soon,
+ count(*) FILTER (priority_name IN ({', '.join(f"'{x}'" for x in _urgent)})) AS urgent FROM rk WHERE status = '{_s}' GROUP BY GROUPING SETS ((), (lead), (assignee))""",
+        rk=RISK,
+    )
+    query(
+        f"{_n}_risk_mix",
+        lambda t, s=_s: R.risk_mix(t.issues.filter(c("status") == s), P),
+        f"SELECT v.risk, count(rk.risk) AS n FROM (VALUES {', '.join(f"('{x}')" for x in R.RISKS)}) v(risk) LEFT JOIN rk ON rk.risk = v.risk AND status = '{_s}' GROUP BY 1",
+        rk=RISK,
     )
 STALE = f"SELECT *, {AGE} AS age, {VEL} AS priority FROM w_issues WHERE {OPEN} AND {AGE} >= 90"
 query(
@@ -197,14 +238,14 @@ query(
 )
 query(
     "age_by_status",
-    lambda t: t.issues.filter(R.is_open()).groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg(age()), 6).alias("mean"), F.max(age()).alias("max"), F.percentile(age(), 0.5).alias("median"), F.percentile(age(), 0.75).alias("p75")).withColumn("band", S.age_risk_band(c("median"))),
-    f"SELECT *, CASE WHEN median >= 90 THEN 'Critical' WHEN median >= 60 THEN 'Aging' WHEN median >= 30 THEN 'Watch' ELSE 'Healthy' END AS band FROM (SELECT status, count(*) AS n, round(avg({AGE}), 6) AS mean, max({AGE}) AS max, quantile_cont(CAST({AGE} AS DOUBLE), 0.5) AS median, quantile_cont(CAST({AGE} AS DOUBLE), 0.75) AS p75 FROM w_issues WHERE {OPEN} GROUP BY 1)",
+    lambda t: R.grains(t.issues.filter(R.is_open()).select("status", age().alias("age")), {"status": ["status"], "all": []}, F.count("*").alias("n"), F.round(F.avg("age"), 6).alias("mean"), F.max("age").alias("max"), F.percentile("age", 0.5).alias("median"), F.percentile("age", 0.75).alias("p75")).withColumn("band", S.age_risk_band(c("median"))),
+    f"SELECT *, CASE WHEN median >= 90 THEN 'Critical' WHEN median >= 60 THEN 'Aging' WHEN median >= 30 THEN 'Watch' ELSE 'Healthy' END AS band FROM (SELECT CASE WHEN grouping(status) = 0 THEN 'status' ELSE 'all' END AS grain, status, count(*) AS n, round(avg({AGE}), 6) AS mean, max({AGE}) AS max, quantile_cont(CAST({AGE} AS DOUBLE), 0.5) AS median, quantile_cont(CAST({AGE} AS DOUBLE), 0.75) AS p75 FROM w_issues WHERE {OPEN} GROUP BY GROUPING SETS ((status), ()))",
 )
 query("oldest_n", lambda t: t.issues.filter(R.is_open()).select("key", age().alias("age")).orderBy(F.desc_nulls_last("age"), "key").limit(30), f"SELECT key, {AGE} AS age FROM w_issues WHERE {OPEN} ORDER BY 2 DESC, 1 LIMIT 30")
 query(
     "lead_month_priority",
-    lambda t: t.issues.groupBy("business_lead", F.date_format("created", "yyyy-MM").alias("month"), S.canonical_priority(c("priority_name"), "velocity").alias("priority")).agg(F.count("*").alias("n")),
-    f"SELECT business_lead, strftime(created, '%Y-%m') AS month, {VEL} AS priority, count(*) AS n FROM w_issues GROUP BY 1, 2, 3",
+    lambda t: R.grains(t.issues.select("business_lead", F.date_format("created", "yyyy-MM").alias("month"), S.canonical_priority(c("priority_name"), "velocity").alias("priority")), {"cell": ["business_lead", "month", "priority"], "lead": ["business_lead"], "month": ["month"], "priority": ["priority"]}, F.count("*").alias("n")),
+    f"SELECT CASE grouping(business_lead, month, priority) WHEN 0 THEN 'cell' WHEN 3 THEN 'lead' WHEN 5 THEN 'month' ELSE 'priority' END AS grain, business_lead, month, priority, count(*) AS n FROM (SELECT business_lead, strftime(created, '%Y-%m') AS month, {VEL} AS priority FROM w_issues) GROUP BY GROUPING SETS ((business_lead, month, priority), (business_lead), (month), (priority))",
 )
 _pivot = ", ".join(f"count(*) FILTER (priority = '{x}') AS \"{x}\"" for x in PRIORITIES)
 query(
@@ -282,7 +323,12 @@ query(
     tr=TR,
 )
 query("open_backlog_counts", lambda t: t.issues.filter(R.is_open()).groupBy("assignee_name", S.canonical_priority(c("priority_name"), "velocity").alias("priority")).agg(F.count("*").alias("n")), f"SELECT assignee_name, {VEL} AS priority, count(*) AS n FROM w_issues WHERE {OPEN} GROUP BY 1, 2")
-query("group_medians", lambda t: training(t).groupBy("assignee").agg(F.round(F.percentile("cycle", 0.5), 6).alias("median"), F.count("*").alias("n")), "SELECT assignee, round(quantile_cont(cycle, 0.5), 6) AS median, count(*) AS n FROM tr GROUP BY 1", tr=TR)
+query(
+    "group_medians",
+    lambda t: R.grains(training(t).select("assignee", "priority", "cycle"), {"assignee": ["assignee"], "priority": ["priority"], "all": []}, F.round(F.percentile("cycle", 0.5), 6).alias("median"), F.count("*").alias("n")),
+    "SELECT CASE WHEN grouping(assignee) = 0 THEN 'assignee' WHEN grouping(priority) = 0 THEN 'priority' ELSE 'all' END AS grain, assignee, priority, round(quantile_cont(cycle, 0.5), 6) AS median, count(*) AS n FROM tr GROUP BY GROUPING SETS ((assignee), (priority), ())",
+    tr=TR,
+)
 query(
     "group_map_fallback",
     lambda t: training(t).select("key", "assignee", "priority").join(_smoothed(training(t).filter("assignee <> 'Engineer 3'"), "assignee").withColumnRenamed("smoothed", "a"), "assignee", "left").join(_smoothed(training(t), "priority").withColumnRenamed("smoothed", "b"), "priority", "left").select("key", F.coalesce("a", "b").alias("value")),
@@ -303,11 +349,21 @@ query(
     "SELECT key, row_number() OVER (ORDER BY updated DESC, key DESC) <= least(greatest(1, floor(n * 0.2)), greatest(0, n - 10)) AS held_out FROM tr, (SELECT count(*) AS n FROM tr)",
     tr=TR,
 )
+DT = f"SELECT key, coalesce(assignee_name, 'Unassigned') AS assignee, coalesce(priority_name, 'No Priority') AS priority, updated, target_end_date, greatest(0.0, {days('target_end_date', 'updated')}) AS late FROM w_issues WHERE lower(trim(status)) = 'done' AND target_end_date IS NOT NULL AND updated IS NOT NULL"
+
+
+def training_detail(t):
+    from worklens.operators.ml import training_detail as detail
+
+    return _newest(detail(t.issues), c("key")).select("key", "assignee", "priority", "past_due", F.round("offset", 1).alias("offset"), "on_time", "place")
+
+
 query(
     "training_detail",
-    lambda t: _newest(training(t), F.desc("updated"), c("key")).select("key", (c("cycle") - c("budget")).alias("past_due"), F.when(c("on_time") == 1, "Yes").otherwise("No").alias("on_time"), "place"),
-    "SELECT key, cycle - budget AS past_due, CASE WHEN on_time = 1 THEN 'Yes' ELSE 'No' END AS on_time, CAST(row_number() OVER (ORDER BY updated DESC, key) AS INT) AS place FROM tr",
-    tr=TR,
+    training_detail,
+    f"""SELECT key, assignee, priority, CAST(CAST(updated AS DATE) - CAST(target_end_date AS DATE) AS INT) AS past_due, round(o, 1) AS "offset", CASE WHEN CAST(make_timestamp(CAST(epoch_us(updated) - round(o * 86400000000) AS BIGINT)) AS DATE) <= CAST(target_end_date AS DATE) THEN 'Yes' ELSE 'No' END AS on_time,
+ CAST(row_number() OVER (ORDER BY CAST(updated AS DATE) DESC, key) AS INT) AS place FROM dt, (SELECT {TRIMMED.format(x='late', tr='dt')} AS o)""",
+    dt=DT,
 )
 _mw = lambda: Window.orderBy("month")
 _guard = lambda f, lo, hi: F.when(F.count("*").over(_mw().rowsBetween(lo, hi)) == hi - lo + 1, F.round(f("completed").over(_mw().rowsBetween(lo, hi)).cast("double"), 6))

@@ -229,10 +229,10 @@ query(
     "SELECT key, assignee_name FROM w_issues WHERE lower(coalesce(assignee_name, '')) <> 'engineer 10'",
 )
 for _name, _fn, _cases in (
-    ("due_risk_bucket", S.due_risk_bucket, "WHEN x IS NULL THEN 'No Target' WHEN x < 0 THEN 'Overdue' WHEN x <= 7 THEN 'Due in 7 Days' ELSE 'On Track'"),
-    ("target_timeline_bucket", S.target_timeline_bucket, "WHEN x IS NULL THEN 'No Target' WHEN x < 0 THEN 'Overdue' WHEN x <= 14 THEN '0-14 Days' WHEN x <= 30 THEN '15-30 Days' ELSE '30+ Days'"),
+    ("due_risk_bucket", S.due_risk_bucket, "WHEN x IS NULL THEN 'No Target Date' WHEN x < 0 THEN 'Overdue' WHEN x <= 7 THEN 'Due in 7 Days' ELSE 'On Track'"),
+    ("target_timeline_bucket", S.target_timeline_bucket, "WHEN x < 0 THEN 'Overdue' WHEN x <= 14 THEN 'Due in 14 Days' WHEN x <= 30 THEN 'Due in 30 Days' WHEN x IS NOT NULL THEN 'Due Later'"),
 ):
-    query(_name, lambda t, f=_fn: t.issues.select("key", f(S.days_left(c("target_end_date"), P)).alias("bucket")), f"SELECT key, CASE {_cases} END AS bucket FROM (SELECT key, CAST(CAST(target_end_date AS DATE) - CAST({NOW} AS DATE) AS INT) AS x FROM w_issues)")
+    query(_name, lambda t, f=_fn: t.issues.select("key", f(S.days_left(c("target_end_date"), P)).alias("bucket")).filter("bucket is not null"), f"SELECT * FROM (SELECT key, CASE {_cases} END AS bucket FROM (SELECT key, CAST(CAST(target_end_date AS DATE) - CAST({NOW} AS DATE) AS INT) AS x FROM w_issues)) WHERE bucket IS NOT NULL")
 for _name, _fn, _cases in (
     ("load_bucket", S.load_bucket, "WHEN x > 90 THEN 'Critical' WHEN x > 60 THEN 'High' WHEN x > 30 THEN 'Medium' WHEN x > 0 THEN 'Low' ELSE 'None'"),
     ("age_risk_band", S.age_risk_band, "WHEN x >= 90 THEN 'Critical' WHEN x >= 60 THEN 'Aging' WHEN x >= 30 THEN 'Watch' ELSE 'Healthy'"),
@@ -244,10 +244,20 @@ query(
     lambda t: t.issues.filter("status = 'Done' and target_end_date is not null").groupBy(F.when(F.datediff("updated", "target_end_date") <= 3, "On Time").otherwise("Late").alias("bucket")).agg(F.count("*").alias("n")),
     "SELECT CASE WHEN CAST(CAST(updated AS DATE) - CAST(target_end_date AS DATE) AS INT) <= 3 THEN 'On Time' ELSE 'Late' END AS bucket, count(*) AS n FROM w_issues WHERE status = 'Done' AND target_end_date IS NOT NULL GROUP BY 1",
 )
+
+
+def age_histogram(t, bins: int = 20):
+    """Open issues in ``bins`` parts of equal width from the least to the greatest age; the greatest is in the last."""
+    ages = t.issues.filter(_open()).select(S.age_days(c("created"), P).alias("age"))
+    ends = ages.agg(F.min("age").alias("low"), F.max("age").alias("high"))
+    bin_ = F.when(c("low") == c("high"), 1).otherwise(F.least(F.lit(bins).cast("long"), F.floor((c("age") - c("low")) * bins / (c("high") - c("low"))) + 1)).cast("long")
+    return ages.crossJoin(F.broadcast(ends)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
+
+
 query(
     "age_histogram",
-    lambda t: t.issues.filter(_open()).groupBy(F.width_bucket(S.age_days(c("created"), P).cast("double"), F.lit(0.0), F.lit(2500.0), F.lit(20)).alias("bin")).agg(F.count("*").alias("n")),
-    f"SELECT least(21, CAST(floor({_age} / 125.0) AS BIGINT) + 1) AS bin, count(*) AS n FROM w_issues WHERE {OPEN} GROUP BY 1",
+    age_histogram,
+    f"SELECT CASE WHEN lo = hi THEN 1 ELSE least(20, CAST(floor((a - lo) * 20 / CAST(hi - lo AS DOUBLE)) AS BIGINT) + 1) END AS bin, count(*) AS n FROM (SELECT {_age} AS a, min({_age}) OVER () AS lo, max({_age}) OVER () AS hi FROM w_issues WHERE {OPEN}) GROUP BY 1",
 )
 query(
     "override_group_fix",

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worklens.functions import scalars as S
-from worklens.functions.params import DEFAULT as P, WIP
+from worklens.functions.params import DEFAULT as P, DELIVERY_TYPES, WIP
 from worklens.operators import skills as K, text as T
+from worklens.plans.flow_queries import CAPACITY_SQL, CUR, DONE, MV, ROSTER, SPARE, VF, capacity, spare_capacity
 from worklens.plans.registry import query
 
 c = F.col
@@ -48,7 +52,7 @@ DP = "SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{p}')" for d, p in K.DOMAIN
 LN = "SELECT id, author, project_path AS line FROM w_mrs UNION ALL SELECT id, author, path FROM w_mrs JOIN w_mr_files ON mr_id = id"
 TG = "SELECT DISTINCT id, author, domain FROM ln JOIN dp ON regexp_matches(line, pattern, 'i')"
 CT = "SELECT author AS engineer, domain, count(*) AS n FROM tg GROUP BY 1, 2"
-rules = lambda t: K.patterns(t.spark)
+rules = lambda t: K.patterns()
 tagged = lambda t: K.mr_domains(t.mrs, t.mr_files, rules(t))
 MR = {"dp": DP, "ln": LN, "tg": TG, "ct": CT}
 query("mr_file_join", lambda t: K.mr_lines(t.mrs, t.mr_files).groupBy("id").agg(F.count("*").alias("lines")), "SELECT id, count(*) AS lines FROM ln GROUP BY 1", ln=LN)
@@ -66,19 +70,24 @@ query(
     lambda t: t.mrs.filter(c("merged_at").isNotNull() & (c("merged_at") >= P.now() - F.expr("INTERVAL '180' DAY"))).join(F.broadcast(t.spark.createDataFrame([(x,) for x in P.team], "author string")), "author", "left_semi").select("id", "author", "merged_at"),
     "SELECT id, author, merged_at FROM w_mrs WHERE merged_at >= TIMESTAMP '2001-09-15 12:00:00' - INTERVAL 180 DAY AND author IN (" + ", ".join(f"'{x}'" for x in P.team) + ")",
 )
-#: Summaries are part names here; colour words stand for domains.
-COLOURS = (("steel", r"\bsteel\b"), ("copper", r"\bcopper\b"), ("brass", r"\bbrass\b"), ("tin", r"\btin\b"), ("nickel", r"\bnickel\b"))
-colours = lambda t: t.spark.createDataFrame(list(COLOURS), "domain string, pattern string")
-DC = "SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{p}')" for d, p in COLOURS) + ") v(domain, pattern)"
-wip_sql = ", ".join(f"'{s}'" for s in WIP)
-CS = f"SELECT assignee_name AS engineer, domain, CAST(sum(CASE WHEN status = 'Done' THEN 1.0 ELSE 0.5 END) AS DOUBLE) AS score FROM w_issues JOIN dc ON regexp_matches(summary, pattern, 'i') WHERE assignee_name IS NOT NULL AND (status = 'Done' OR status IN ({wip_sql})) GROUP BY 1, 2"
+def titled(t):
+    """Issues whose titles name the project of the merge request of their number, in five of eight cases; else they say nothing that a pattern knows."""
+    named = t.mrs.select("id", "project_path")
+    return t.issues.join(named, "id", "left").withColumn("summary", F.when(c("id") % 8 < 5, F.concat_ws(" ", "summary", "project_path")).otherwise(c("summary")))
+
+
+TI = "SELECT i.* EXCLUDE (summary), CASE WHEN i.id % 8 < 5 THEN concat_ws(' ', summary, project_path) ELSE summary END AS summary FROM w_issues i LEFT JOIN w_mrs m ON m.id = i.id"
+types_sql, wip_sql = (", ".join(f"'{s}'" for s in x) for x in (DELIVERY_TYPES, WIP))
+CO = f"SELECT assignee_name AS engineer, summary, CASE WHEN status_category = 'done' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS weight FROM ti WHERE issuetype IN ({types_sql}) AND assignee_name IS NOT NULL AND ((status_category = 'done' AND status <> 'Will Not Do') OR status IN ({wip_sql}))"
+CS = "SELECT engineer, domain, sum(weight) AS score FROM co JOIN (SELECT s, domain FROM (SELECT DISTINCT summary AS s FROM co) x JOIN dp ON regexp_matches(s, pattern, 'i')) y ON y.s = co.summary GROUP BY 1, 2"
 SK = "SELECT engineer, domain, sum(score) AS score FROM (SELECT engineer, domain, score FROM cs UNION ALL SELECT engineer, domain, CAST(n AS DOUBLE) FROM ct) GROUP BY 1, 2"
-SPARE = f"SELECT assignee_name AS engineer, -count(*) AS spare FROM w_issues WHERE status IN ({wip_sql}) AND assignee_name IS NOT NULL GROUP BY 1"
-RG = "SELECT sk.engineer, domain, score, coalesce(spare, 0) AS spare, CAST(row_number() OVER (PARTITION BY domain ORDER BY score DESC, coalesce(spare, 0) DESC, sk.engineer) AS INT) AS place FROM sk LEFT JOIN sp ON sp.engineer = sk.engineer"
-SKILLS = MR | {"dc": DC, "cs": CS, "sk": SK, "sp": SPARE, "rg": RG}
-corpus = lambda t: K.corpus_scores(t.issues, colours(t), "Done", WIP)
+RG = "SELECT sk.engineer, domain, score, coalesce(spare, 0) AS spare, CAST(row_number() OVER (PARTITION BY domain ORDER BY score DESC, coalesce(spare, 0) DESC, sk.engineer) AS INT) AS place FROM sk LEFT JOIN se ON se.engineer = sk.engineer"
+SE_SPARE = f"SELECT name AS engineer, spare FROM ({SPARE})"
+CAPACITY = {"ro": ROSTER, "dn": DONE, "mv": MV, "cur": CUR, "vf": VF}
+SKILLS = MR | CAPACITY | {"ti": TI, "co": CO, "cs": CS, "sk": SK, "se": SE_SPARE, "rg": RG}
+corpus = lambda t: K.corpus_scores(titled(t), rules(t))
 matrix = lambda t: K.skill_matrix(corpus(t), K.domain_counts(tagged(t)))
-spare = lambda t: t.issues.filter(c("status").isin(*WIP) & c("assignee_name").isNotNull()).groupBy(c("assignee_name").alias("engineer")).agg((-F.count("*")).alias("spare"))
+spare = lambda t: spare_capacity(t).withColumnRenamed("name", "engineer")
 ranking = lambda t: K.domain_ranking(matrix(t), spare(t))
 query("corpus_domain_score", corpus, "SELECT * FROM cs", **SKILLS)
 query("skill_matrix", matrix, "SELECT * FROM sk", **SKILLS)
@@ -87,15 +96,32 @@ over = lambda t: t.spark.createDataFrame([("BigQuery/Data", "Engineer 4", 1), ("
 added = lambda t: t.spark.createDataFrame([("BigQuery/Data", "Engineer 9"), ("IAM/RBAC", "Guest")], "domain string, engineer string")
 AO = "SELECT domain, engineer, place FROM rg WHERE domain <> 'BigQuery/Data' UNION ALL SELECT * FROM (VALUES ('BigQuery/Data', 'Engineer 4', 1), ('BigQuery/Data', 'Engineer 2', 2), ('BigQuery/Data', 'Engineer 9', 3)) UNION ALL SELECT 'IAM/RBAC', 'Guest', CAST(max(place) + 1 AS INT) FROM rg WHERE domain = 'IAM/RBAC'"
 query("apply_overrides", lambda t: K.apply_overrides(ranking(t), over(t), added(t)), "SELECT domain, engineer, CAST(place AS INT) AS place FROM ao", **SKILLS, ao=AO)
+PRIMARY = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(summary, '{p}', 'i') THEN '{d}' END" for d, p in K.DOMAIN_PATTERNS) + ")"
+_pick = lambda k, n: f"CASE WHEN domain IS NULL THEN (SELECT engineer FROM fr WHERE place = {k}) ELSE (SELECT engineer FROM rg WHERE rg.domain = d.domain AND rg.place = {k}) END AS {n}"
 query(
     "ticket_to_skill",
-    lambda t: K.ticket_to_skill(t.issues.filter("assignee_name is null").select("key", "summary"), ranking(t), colours(t)),
-    "SELECT key, d.domain, max(engineer) FILTER (place = 1) AS expert, max(engineer) FILTER (place = 2) AS runner_up, max(engineer) FILTER (place = 3) AS stretch FROM (SELECT key, min(domain) AS domain FROM w_issues LEFT JOIN dc ON regexp_matches(summary, pattern, 'i') WHERE assignee_name IS NULL GROUP BY 1) d LEFT JOIN rg ON rg.domain = d.domain GROUP BY 1, 2",
+    lambda t: K.ticket_to_skill(titled(t).filter("assignee_name is null").select("key", "summary"), ranking(t), spare(t), rules(t)),
+    f"SELECT key, domain, {_pick(1, 'expert')}, {_pick(2, 'runner_up')}, {_pick(3, 'stretch')} FROM (SELECT key, {PRIMARY} AS domain FROM ti WHERE assignee_name IS NULL) d",
     **SKILLS,
+    fr="SELECT engineer, row_number() OVER (ORDER BY spare DESC, engineer) AS place FROM se",
 )
+
+
+def intake_report(t):
+    """The four parts with their fields as text, under one another."""
+    parts = K.intake(titled(t), capacity(t), K.domain_counts(tagged(t)))
+    shown = {"roster": ("name", "velocity", "wip", "done"), "queue": ("key", "created", "status", "issuetype", "priority_name", "reporter", "assigned", "summary"), "corpus": ("engineer", "summary", "weight"), "mr_domains": ("engineer", "domain", "n")}
+    text = lambda rows, fields: F.concat_ws("|", *[F.coalesce(c(x).cast("string"), F.lit("-")) for x in fields])
+    return reduce(DataFrame.unionAll, [rows.select(F.lit(name).alias("part"), text(rows, shown[name]).alias("item")) for name, rows in parts.items()])
+
+
+_text = lambda *fields: " || '|' || ".join(f"coalesce(CAST({x} AS VARCHAR), '-')" for x in fields)
 query(
     "intake_report",
-    lambda t: t.issues.filter(c("status").isin("Triage", "Reviewing")).select(F.lit("queue").alias("part"), c("key").alias("item")).unionByName(corpus(t).select(F.lit("corpus").alias("part"), F.concat_ws("/", "engineer", "domain").alias("item"))).unionByName(K.domain_counts(tagged(t)).select(F.lit("requests").alias("part"), F.concat_ws("/", "engineer", "domain").alias("item"))),
-    "SELECT 'queue' AS part, key AS item FROM w_issues WHERE status IN ('Triage', 'Reviewing') UNION ALL SELECT 'corpus', engineer || '/' || domain FROM cs UNION ALL SELECT 'requests', engineer || '/' || domain FROM ct",
+    intake_report,
+    f"""SELECT 'roster' AS part, {_text('name', 'velocity', 'wip', 'done')} AS item FROM cp UNION ALL SELECT 'queue', {_text('key', 'CAST(created AS DATE)', 'status', 'issuetype', 'priority_name', 'creator_name', "CASE WHEN assignee_name IN (SELECT name FROM ro) THEN lower(assignee_name) ELSE 'ext:' || assignee_name END", 'summary')}
+ FROM ti WHERE status IN ('Triage', 'Reviewing') AND issuetype NOT IN ('Feature', 'Initiative', 'Epic') UNION ALL SELECT 'corpus', {_text('engineer', 'summary', 'weight')} FROM co WHERE engineer IN (SELECT name FROM ro)
+ UNION ALL SELECT 'mr_domains', {_text('engineer', 'domain', 'n')} FROM ct WHERE engineer IN (SELECT name FROM ro)""",
     **SKILLS,
+    cp=CAPACITY_SQL,
 )
