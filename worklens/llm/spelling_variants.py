@@ -8,8 +8,9 @@
    it that a new gram may come to cover. All others are found, at the same place or one further, in any word at distance one; for
    words of five letters or more with grams of at most three there is always such a gram (the test tries all patterns of lengths).
 5. Lists: a word is entered under its (bound + 1) rarest grams only, keyed by gram, place and word length. Two near words share
-   such an entry, for their common grams are too many to lie outside both selections. The lists are merged by one join,
-   and each candidate is verified by its edit distance.
+   such an entry, for their common grams are too many to lie outside both selections. The lists are merged by one join.
+   Candidates whose letters differ in more than two parities can't be near (one edit changes two letters' counts at most); the others
+   are verified by their edit distance.
 
 The longest chain of forms is short, for counts double at each step; roots are found by pointer doubling.
 
@@ -102,37 +103,47 @@ def affected(grams: list[tuple[int, int]], length: int) -> int:
     return most
 
 
+def parities(word: str) -> int:
+    """A bit for each letter (modulo 63) that occurs an odd number of times."""
+    bits = 0
+    for c in word:
+        bits ^= 1 << ord(c) % 63
+    return bits
+
+
 def entries(words: DataFrame, grams: dict[str, int], rare_part: int = RARE_PART) -> DataFrame:
-    """word, n, size, gram, place: the lists' entries of every word, its rarest grams one more than an edit can touch."""
+    """word, n, size, letters, gram, place: the lists' entries of every word, its rarest grams one more than an edit can touch."""
     shared = words.sparkSession.sparkContext.broadcast(grams)
     total = max(grams.values(), default=0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 framed = f"^{word}$"
                 own = decomposed(framed, lambda g: known.get(g) == total)
                 keyed = sorted((known.get(framed[p : q + 1], 0), framed[p : q + 1], p) for p, q in own)
+                letters = parities(word)
                 for _, gram, place in keyed[: affected(own, len(framed)) + 1]:
-                    for col, value in zip(cols, (word, n, len(word), gram, place), strict=True):
+                    for col, value in zip(cols, (word, n, len(word), letters, gram, place), strict=True):
                         col.append(value)
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["word", "n", "size", "gram", "place"])
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["word", "n", "size", "letters", "gram", "place"])
 
-    return words.select("word", "n").mapInArrow(scan, "word string, n long, size int, gram string, place int")
+    return words.select("word", "n").mapInArrow(scan, "word string, n long, size int, letters long, gram string, place int")
 
 
 def near_pairs(words: DataFrame, rare_part: int = RARE_PART) -> DataFrame:
     """a, n_a, b, n_b: words at an edit distance of exactly one, each pair once."""
     lists = materialise(entries(words, gram_dictionary(words, rare_part), rare_part), "gram-lists")
-    one = lists.select(F.col("word").alias("b"), F.col("n").alias("n_b"), "gram", "place", "size")
+    one = lists.select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("letters").alias("letters_b"), "gram", "place", "size")
     # a is as long as b, or one shorter: then grams behind the edit stand one place further in b
     probes = "explode(array(struct(place as at, size as to), struct(place as at, size + 1 as to), struct(place + 1 as at, size + 1 as to)))"
-    other = lists.select(F.col("word").alias("a"), F.col("n").alias("n_a"), "gram", "size", F.expr(probes).alias("p"))
-    other = other.select("a", "n_a", "gram", F.col("p.at").alias("place"), F.col("p.to").alias("size"))
-    met = other.join(one, ["gram", "place", "size"]).filter((F.length("a") < F.length("b")) | (F.col("a") < F.col("b")))
+    other = lists.select(F.col("word").alias("a"), F.col("n").alias("n_a"), "letters", "gram", "size", F.expr(probes).alias("p"))
+    other = other.select("a", "n_a", "letters", "gram", F.col("p.at").alias("place"), F.col("p.to").alias("size"))
+    met = other.join(one, ["gram", "place", "size"]).filter(F.bit_count(F.col("letters").bitwiseXOR(F.col("letters_b"))) <= 2)
+    met = met.filter((F.length("a") < F.length("b")) | (F.col("a") < F.col("b")))
     return met.filter(F.expr("levenshtein(a, b, 1)") == 1).select("a", "n_a", "b", "n_b").distinct()
 
 
