@@ -68,18 +68,18 @@ def _grams(points: np.ndarray) -> np.ndarray:
     return K.mix(out)
 
 
-def _pieces(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The folded text with places, as of ``_folded``, in parts of PART that overlap; most texts are one."""
-    points, at, done = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), 0
+def _pieces(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, bool, bool]]:
+    """The folded text with places, as of ``_folded``, in parts of PART that overlap, and whether a part begins and ends where the text does; most texts are one."""
+    points, at, begins = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), True
     for a in range(0, len(text), PART):
         more, where = _folded(text[a : a + PART])
         skip = int(len(points) > 0 and len(more) > 0 and points[-1] == 32 and more[0] == 32)
         points, at = (np.concatenate([points, more[skip:]]), np.concatenate([at, where[skip:] + a])) if len(points) else (more, where + a)
         while len(points) >= PART + OVERLAP:
-            yield points[: PART + OVERLAP], at[: PART + OVERLAP]
-            points, at = points[PART:], at[PART:]
+            yield points[: PART + OVERLAP], at[: PART + OVERLAP], begins, False
+            points, at, begins = points[PART:], at[PART:], False
     if len(points):
-        yield points, at
+        yield points, at, begins, True
 
 
 class Short:
@@ -99,14 +99,15 @@ class Short:
         starts = np.arange(max(0, len(points) - n + 1))
         return K.span_hash(sums, starts, starts + n)
 
-    def find(self, points: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, start, end) of the first place of each item."""
+    def find(self, points: np.ndarray, begins: bool = True, ends: bool = True) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) of the first place of each item. Where a part begins or ends inside its text, the part that overlaps it there knows what stands beside the item."""
         inside = lambda k: 0 <= k < len(points) and points[k] < 0x110000 and chr(points[k]).isalnum()
         for n, found in self.by_length.items():
             seen: set[int] = set()
             hashes = self._spans(points, n)
             for s in np.flatnonzero(np.isin(hashes, self.hashes[n])).tolist():
-                if not inside(s - 1) and not inside(s + n):
+                known = (begins or s > 0) and (ends or s + n < len(points))
+                if known and not inside(s - 1) and not inside(s + n):
                     for item in found.get(points[s : s + n].tobytes(), []):
                         if item not in seen:
                             seen.add(item)
@@ -244,7 +245,7 @@ def align(passage: np.ndarray, region: np.ndarray, budget: int, low: int, high:
     return int(origin[end]), int(diagonals[end]) + len(passage), int(cost[end])
 
 
-Part = tuple[int, np.ndarray, np.ndarray]
+Part = tuple[int, np.ndarray, np.ndarray, bool, bool]
 
 
 def _together(held: list[tuple[int, str]]) -> tuple[list[Part], np.ndarray, np.ndarray]:
@@ -253,19 +254,19 @@ def _together(held: list[tuple[int, str]]) -> tuple[list[Part], np.ndarray, np.n
     points, at = _folded("\x00".join([*(t for _, t in held), ""]))
     edges = np.searchsorted(at, begin)
     points[edges[1:] - 1] = _SEPARATOR
-    parts = [(row, points[a : b - 1], at[a : b - 1] - o) for (row, _), a, b, o in zip(held, edges[:-1], edges[1:], begin, strict=False)]
+    parts = [(row, points[a : b - 1], at[a : b - 1] - o, True, True) for (row, _), a, b, o in zip(held, edges[:-1], edges[1:], begin, strict=False)]
     return parts, points, edges[:-1]
 
 
 def _joined(texts: list[str | None]) -> Iterator[tuple[list[Part], np.ndarray, np.ndarray]]:
-    """(row, folded points, places in the text) of some texts, or of a part of a long one; their points together, and where each begins in these."""
+    """(row, folded points, places in the text, begins, ends) of some texts, or of a part of a long one; their points together, and where each begins in these."""
     held, size = [], 0
     for row, text in enumerate(texts):
         if not text:
             continue
         if len(text) > PART:
-            for points, at in _pieces(text):
-                yield [(row, points, at)], points, np.zeros(1, dtype=np.int64)
+            for piece in _pieces(text):
+                yield [(row, *piece)], piece[0], np.zeros(1, dtype=np.int64)
             continue
         held.append((row, text))
         size += len(text) + 1
@@ -288,12 +289,12 @@ def scan(passages: Passages, texts: list[str | None]) -> dict[tuple[int, int], t
 
     for parts, points, starts in _joined(texts):
         for k in passages.suspects(points, starts).tolist():
-            row, own, at = parts[k]
+            row, own, at, *_ = parts[k]
             for o, s, e, edits in passages.find(own):
                 keep(row, passages.item[o], at, s, e, edits)
         if passages.short.by_length:
-            for row, own, at in parts:
-                for item, s, e in passages.short.find(own):
+            for row, own, at, begins, ends in parts:
+                for item, s, e in passages.short.find(own, begins, ends):
                     keep(row, item, at, s, e, 0)
     return best
 
