@@ -339,8 +339,9 @@ def near_duplicates_removed(docs: DataFrame, size: int = 5, percent: int = 75) -
     same = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("th") == F.col("best_th"))
     grouped = rows.join(best, "comp").groupBy(F.xxhash64("doc_id", "th").alias("near_key")).agg(F.max(same).alias("near_stays"))
     grouped = materialise(grouped, "grouped")
-    keyed = docs.withColumn("near_key", F.xxhash64("doc_id", F.xxhash64("text")))
+    # the row travels as one column, so no name of a document's column can meet one of these
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("near_row"), F.xxhash64("doc_id", F.xxhash64("text")).alias("near_key"))
     maybe, alone = BitFilter(grouped, "near_key").split(keyed, "near_key")
     maybe = maybe.join(grouped, "near_key", "left").filter(F.coalesce("near_stays", F.lit(True)))
     single = maybe.filter("near_stays is null").unionAll(maybe.filter("near_stays").dropDuplicates(["near_key"]))
-    return single.select(*docs.columns).unionAll(alone.select(*docs.columns))
+    return single.select("near_row.*").unionAll(alone.select("near_row.*"))

@@ -104,8 +104,7 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bl
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     spark = docs.sparkSession
-    own = ("mix_size", "mix_key", "mix_bucket", "mix_block", "mix_slot", "mix_offset")
-    kept = [c for c in docs.columns if c not in own]
+    kept = [c for c in docs.columns if c not in ("mix_size", "mix_block", "mix_slot", "mix_offset")]
     if weights is None:
         weights = {r["source"]: sqrt(r["bytes"]) for r in found}
     else:
@@ -116,7 +115,8 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bl
     digits, n = 1, sum(r["rows"] for r in found)
     while 16**digits * ROWS_PER_BUCKET < n:
         digits += 1
-    rows = docs.select(*kept, size.alias("mix_size"), digest.alias("mix_key"), F.substring(digest, 1, digits).alias("mix_bucket"))
+    # the row travels as one column, so no name of a document's column can meet one of these
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), "source", "doc_id", F.xxhash64("text").alias("th"), size.alias("mix_size"), digest.alias("mix_key"), F.substring(digest, 1, digits).alias("mix_bucket"))
     before = Window.partitionBy("source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = docs.groupBy("source", F.substring(digest, 1, digits).alias("mix_bucket")).agg(F.sum(size).alias("bytes"))
     starts = sums.select("source", "mix_bucket", "bytes", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("mix_before"))
@@ -125,13 +125,13 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bl
     a, b = held.alias("a"), plan.alias("b")
     held = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.block") == F.col("b.block"))).select("a.*", "b.slot")
     starts = held.groupBy("source", "mix_bucket", "mix_before").agg(F.array_sort(F.collect_list("slot")).alias("mix_slots"))  # slots grow with the block
-    within = Window.partitionBy("source", "mix_bucket").orderBy("mix_key", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "mix_bucket").orderBy("mix_key", "doc_id", "th").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("mix_in", F.sum("mix_size").over(within) - F.col("mix_size"))
     a, b = placed.alias("a"), starts.alias("b")
     joined = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.mix_bucket") == F.col("b.mix_bucket")))
     start = F.col("b.mix_before") + F.col("a.mix_in")
     slot = F.get(F.col("b.mix_slots"), (of(start) - of(F.col("b.mix_before"))).cast("int"))
-    return joined.select(*(F.col(f"a.{c}") for c in kept), "a.mix_size", of(start).alias("mix_block"), slot.alias("mix_slot"), (start - of(start) * block_bytes).alias("mix_offset"))
+    return joined.select("a.row.*", "a.mix_size", of(start).alias("mix_block"), slot.alias("mix_slot"), (start - of(start) * block_bytes).alias("mix_offset"))
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
