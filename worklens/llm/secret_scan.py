@@ -2,8 +2,9 @@
 
 Base kinds are found by fixed patterns; in addition every run of 20 or more token characters with a digit, a letter and
 enough entropy is a candidate. The hash of each candidate's value is counted over the whole corpus by distinct
-owners. Values of up to ``max_owners`` owners look live, in however many of their repositories; values copied to more
-owners are examples. Base spans always stay; of the additional candidates only live-looking ones are spans (kind ``owned``).
+repositories of each owner, and these by value. Values of up to ``max_owners`` owners look live, in however many of their repositories;
+so do values of more owners of which one has nine tenths of the repositories or more: others have copied from it. Values spread over
+more owners are examples. Base spans always stay; of the additional candidates only live-looking ones are spans (kind ``owned``).
 
 Defined results: null text is empty; a null owner is a value of its own; repeated rows keep a row each; an empty table
 gives an empty result; other columns are ignored. Positions are code points.
@@ -14,8 +15,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +35,7 @@ OTHER = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 MIN_ENTROPY = 3.0
 
-_SCHEMA = "doc_id long, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,kind:int,end:int,value:string>>"
+_SCHEMA = "doc_id long, owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,kind:int,end:int,value:string>>"
 
 
 def entropy(text: str) -> float:
@@ -52,10 +55,11 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
             found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
         if longest >= 24:
             found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text) if m.end() - m.start() >= 24]
-        taken = [(s, e) for s, _, e, _ in found]
+        taken = sorted((s, e) for s, _, e, _ in found)
+        starts, furthest = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
         for m in OTHER.finditer(text):
             value = m[0]
-            if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and entropy(value) >= MIN_ENTROPY and not any(s < m.end() and m.start() < e for s, e in taken):
+            if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and entropy(value) >= MIN_ENTROPY and not ((k := bisect_left(starts, m.end())) and furthest[k - 1] > m.start()):
                 found.append((m.start(), 3, m.end(), value))
     return sorted(found)
 
@@ -74,22 +78,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest.append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in own).encode()).hexdigest())
             base.append([{"start": s, "kind": k, "end": e} for s, k, e, _ in own])
             found.append([{"start": s, "kind": k, "end": e, "value": hashlib.sha256(v.encode()).hexdigest()} for s, k, e, v in spans])
-        cols = [batch.column("doc_id"), batch.column("owner"), *(pa.array(x, pa.int64()) for x in n), pa.array(digest, pa.string())]
+        cols = [batch.column("doc_id"), batch.column("owner"), batch.column("repository"), *(pa.array(x, pa.int64()) for x in n), pa.array(digest, pa.string())]
         yield pa.RecordBatch.from_arrays([*cols, pa.array(base, pa.list_(span)), pa.array(found, pa.list_(valued))], names=[f.split()[0] for f in _SCHEMA.split(", ")])
 
 
-def ownership(found: DataFrame) -> DataFrame:
-    """(value, owner) -> value, owners. Distinct pairs first, so no value's rows meet in one task unsummed."""
-    return found.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("owners"))
+def examples(found: DataFrame, max_owners: int) -> DataFrame:
+    """(value, owner, repository) -> value, owners, repositories of the values that are widely copied. Distinct rows first, so no value's rows meet in one task unsummed."""
+    own = found.select("value", "owner", "repository").distinct().groupBy("value", "owner").agg(F.count("*").alias("held"))
+    spread = own.groupBy("value").agg(F.count("*").alias("owners"), F.sum("held").alias("repositories"), F.max("held").alias("most"))
+    return spread.filter((F.col("owners") > max_owners) & (10 * F.col("most") < 9 * F.col("repositories"))).drop("most")
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", max_owners: int = 2) -> DataFrame:
+def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = 2) -> DataFrame:
     """doc_id, base counts and digest, all spans as text, and how many spans look live or like examples."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(owner).cast("string").alias("owner"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), "text")
     scanned = materialise(rows.mapInArrow(_scan, _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "secret-candidates")
-    found = scanned.select("row", "owner", F.explode("found").alias("s")).select("row", "owner", "s.*")
-    live = F.col("owners") <= max_owners
-    judged = found.join(ownership(found), "value").select("row", "start", "kind", "end", live.alias("live"))
+    found = scanned.select("row", "owner", "repository", F.explode("found").alias("s")).select("row", "owner", "repository", "s.*")
+    judged = found.join(examples(found, max_owners), "value", "left").select("row", "start", "kind", "end", F.col("owners").isNull().alias("live"))
     more = judged.groupBy("row").agg(
         F.collect_list(F.when((F.col("kind") == 3) & F.col("live"), F.struct("start", "kind", "end"))).alias("owned"),
         F.count_if("live").alias("n_live"),
