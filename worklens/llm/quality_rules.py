@@ -123,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
     marked = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     marked = marked.filter(~held_out(F.col("doc_id"))).join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = materialise(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labelled-ids")
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "doc_id", "text"), "")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))  # one row a doc_id: the sample's bound holds for rows
+    rows = with_statistics(texts.select("label", "doc_id", "text"), "")
     rows = materialise(rows.select("label", "doc_id", *STATISTICS), "labelled").orderBy("doc_id", *STATISTICS).coalesce(1).drop("doc_id")
     rows = materialise(rows, "labelled")
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
@@ -157,4 +158,4 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, below: float = ACCEPTED
     prefix = "stat_"
     while any(c.startswith(prefix) for c in docs.columns):
         prefix += "_"
-    return with_statistics(docs, prefix).filter(model.score(prefix) >= below).select(*docs.columns)
+    return with_statistics(docs, prefix).filter(model.score(prefix) >= below).select(*(F.col(f"`{c}`") for c in docs.columns))
