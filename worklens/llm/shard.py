@@ -101,6 +101,20 @@ def _at_least(splitter: tuple[int, int]) -> Column:
     return (flipped("th") > F.lit(flip(text))) | same
 
 
+def _bucket(keys: DataFrame, order: tuple[str, ...], n: int) -> Column:
+    """A number that grows with (order, th): equal parts of the range of the first order column that has two values, else of the text's hash. Nulls come before."""
+    ends = keys.agg(*[f(f"order{k}").alias(f"{end}{k}") for k in range(len(order)) for end, f in (("low", F.min), ("high", F.max))]).first()
+    nulls = keys.agg(*[F.count_if(F.col(f"order{k}").isNull()).alias(f"null{k}") for k in range(len(order))]).first()
+    for k in range(len(order)):
+        low, high = ends[f"low{k}"], ends[f"high{k}"]
+        if low is not None and low < high:
+            part = F.floor((F.col(f"order{k}").cast("double") - low) / (high - low + 1) * n).cast("long")
+            return F.coalesce(part, F.lit(-1))
+        if low is not None and nulls[f"null{k}"]:
+            return F.when(F.col(f"order{k}").isNull(), -1).otherwise(0)
+    return F.floor((F.col("th") / 2.0**64 + 0.5) * n).cast("long")
+
+
 def histogram_sort(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.005, rows_per_bucket: int = 20_000, whole_rows: bool = False, order: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row; with ``whole_rows`` all its columns, then size, text_crc32, shard, slot in place of columns of these names.
 
@@ -121,16 +135,11 @@ def histogram_sort(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.005
     for s in find_splitters(keys, n_shards, tolerance) if rows else []:
         shard = shard + _at_least(s).cast("int")
     n_buckets = max(8, -(-rows // (n_shards * rows_per_bucket)))
-    if order and rows:
-        found = keys.agg(F.percentile_approx("order0", [k / n_buckets for k in range(1, n_buckets)])).first()[0] or []
-        edges = F.array(*(F.lit(x) for x in sorted(set(found)))).cast("array<long>")
-        bucket = F.coalesce(F.size(F.filter(edges, lambda x: x < F.col("order0"))), F.lit(0))
-    else:
-        bucket = F.pmod("dh", F.lit(n_buckets))
+    bucket = _bucket(keys, order, n_buckets) if order and rows else F.pmod("dh", F.lit(n_buckets))
     shard, bucket = shard.alias("shard"), bucket.alias("bucket")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = keys.groupBy(shard, bucket).count().select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    carried = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", *key) if whole_rows else keys
+    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", *key) if whole_rows else keys
     dealt = carried.select("*", shard, bucket)
     within = Window.partitionBy("shard", "bucket").orderBy(*(f"order{k}" for k in range(len(order))), "th", "dh", "doc_id")
     placed = dealt.withColumn("place", F.row_number().over(within)).join(F.broadcast(starts) if n_buckets <= 4096 else starts, ["shard", "bucket"])
