@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from worklens.functions import scalars as S
 from worklens.functions.params import DEFAULT
-from worklens.operators import flow, reports, text
+from worklens.operators import flow, reports, skills, text
 from worklens.plans.scalar_queries import attention, sla_scope
 
 ISSUE = "key string, created timestamp_ntz"
@@ -144,3 +144,50 @@ def test_numbers_over_days(spark):
     for n, k in enumerate(order):
         part = [j % 2 for j in order[max(0, n - 3) : n + 4]]
         assert abs(near[k] - 100 * sum(part) / len(part)) < 1e-9
+
+
+def test_gamma_quantiles(spark):
+    """Against bisection of the exact law, for small and large remaining work."""
+
+    def probability(r, m):
+        term = total = exp(-m)
+        for k in range(1, r):
+            term *= m / k
+            total += term
+        return 1 - total
+
+    cases = [(r, q) for r in (1, 2, 3, 7, 25, 90, 400) for q in (0.05, 0.5, 0.85, 0.95)]
+    rows = spark.createDataFrame([(r,) for r in sorted({r for r, _ in cases})], "r long")
+    got = {r["r"]: r for r in rows.select("r", *[flow.gamma_quantile(F.col("r"), q).alias(str(q)) for q in (0.05, 0.5, 0.85, 0.95)]).collect()}
+    for r, q in cases:
+        low, high = 0.0, 3.0 * r + 10
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if probability(r, middle) < q else (low, middle)
+        assert abs(got[r][str(q)] - low) < 1e-7 * max(1, low), (r, q)
+    assert abs(one(spark, flow.gamma_quantile(F.lit(100_000), 0.5)) - (100_000 - 1 / 3)) < 1e-3
+
+
+def test_domain_tags_without_a_nested_loop(spark):
+    texts = spark.createDataFrame([("modules/vpc/main.tf",), ("clusters/a/helmrelease.yaml",), ("plain",), (None,), ("modules/vpc/main.tf",)], "line string")
+    found = skills.regex_join(texts, "line", skills.patterns((("Plain", "^plain$"),)))
+    assert sorted(map(tuple, found.collect())) == [("clusters/a/helmrelease.yaml", "Kubernetes/GitOps"), ("modules/vpc/main.tf", "Networking"), ("modules/vpc/main.tf", "Terraform/Terragrunt"), ("plain", "Plain")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_ticket_routing(spark):
+    """Skill first, spare capacity second; a ticket without a domain goes by spare capacity alone; its first matching rule is its domain."""
+    rules = (("A", "alpha"), ("B", "beta"))
+    matrix = spark.createDataFrame([("x", "A", 3.0), ("y", "A", 3.0), ("z", "A", 9.0), ("w", "A", 1.0), ("y", "B", 1.0)], "engineer string, domain string, score double")
+    spare = spark.createDataFrame([("x", 1), ("y", 2), ("z", -4), ("v", 7)], "engineer string, spare long")
+    ranking = skills.domain_ranking(matrix, spare)
+    tickets = spark.createDataFrame([("1", "beta and ALPHA"), ("2", "beta"), ("3", "none"), ("4", None)], "key string, summary string")
+    got = {r["key"]: tuple(r)[1:] for r in skills.ticket_to_skill(tickets, ranking, spare, rules).collect()}
+    assert got == {"1": ("A", "z", "y", "x"), "2": ("B", "y", None, None), "3": (None, "v", "y", "x"), "4": (None, "v", "y", "x")}
+
+
+def test_grains_in_one_pass(spark):
+    rows = spark.createDataFrame([("a", "p", 1), ("a", None, 2), ("b", "p", 3)], "x string, y string, n long")
+    got = {(r["grain"], r["x"], r["y"]): r["s"] for r in reports.grains(rows, {"cell": ["x", "y"], "x": ["x"], "all": []}, F.sum("n").alias("s")).collect()}
+    assert got == {("cell", "a", "p"): 1, ("cell", "a", None): 2, ("cell", "b", "p"): 3, ("x", "a", None): 3, ("x", "b", None): 3, ("all", None, None): 6}
