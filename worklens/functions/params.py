@@ -28,6 +28,10 @@ DELIVERY_TYPES = ("Story", "Task", "Bug", "Hotfix", "Sub-task")
 PRIORITIES = ("Urgent", "High", "Medium", "Low", "None")
 SIZES = ("Small", "Medium", "Large", "XL", "Unestimated")
 SLA_STATUSES = ("in progress", "on hold", "blocked", "to do", "validating", "tech discovery required")
+#: Statuses that count as closed for service levels, lower-cased, and as done in trends and in capacity.
+CLOSED_STATUSES = ("done", "closed", "resolved", "complete", "completed")
+TREND_DONE = ("Done", "Released Successfully to Production", "Closed", "Resolved")
+CAPACITY_DONE = ("Done", "Released Successfully to Production")
 SLA_DAYS = {"Urgent": 90.0, "High": 90.0, "Medium": 90.0, "Low": 90.0}
 #: (profile, raw, canonical); raw is trimmed and lower-cased, for "sla" without blanks as well. All others are None. The three report families disagree on purpose.
 PRIORITY_MAP = tuple(

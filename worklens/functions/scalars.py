@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worklens.functions.params import PRIORITY_MAP, SIZES, SLA_DAYS, Params
+from worklens.functions.params import CLOSED_STATUSES, PRIORITY_MAP, Params, SIZES, SLA_DAYS
 
 DAY = 86_400_000_000
 
@@ -136,8 +136,14 @@ def percent_change(new: Column, old: Column) -> Column:
     return F.when(F.abs(x) < 10, F.round(x, 1)).otherwise(F.round(x, 0))
 
 
-def sla_status(elapsed: Column, target: Column) -> Column:
-    return F.when(elapsed.isNull() | target.isNull(), "Unknown").when(elapsed > target, "Breached").when(elapsed >= 0.8 * target, "At Risk").otherwise("On Track")
+def is_closed(status: Column, resolved: Column) -> Column:
+    return F.coalesce(F.lower(status).isin(*CLOSED_STATUSES), F.lit(False)) | resolved.isNotNull()
+
+
+def sla_status(elapsed: Column, target: Column, closed: Column) -> Column:
+    """What is closed is breached or on track; only open issues can be at risk."""
+    unknown = elapsed.isNull() | target.isNull() | (target <= 0)
+    return F.when(unknown, "Unknown").when(elapsed > target, "Breached").when(~closed & (elapsed >= 0.8 * target), "At Risk").otherwise("On Track")
 
 
 def due_risk_bucket(left: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from worklens.functions import scalars as S
-from worklens.functions.params import EXCLUDED_STATUSES, Params
+from worklens.functions.params import CAPACITY_DONE, EXCLUDED_STATUSES, TREND_DONE, Params
 from worklens.operators.ranks import quantiles
 
 c = F.col
@@ -59,16 +59,43 @@ def crosstab(rows: DataFrame, a: str, b: str) -> DataFrame:
     return grid.join(rows.groupBy(a, b).agg(F.count("*").alias("n")), [a, b], "left").fillna(0, ["n"])
 
 
-def created_vs_completed(issues: DataFrame, from_year: int = 1995) -> DataFrame:
+def created_vs_completed(issues: DataFrame, from_year: int = 1995, done: tuple[str, ...] = CAPACITY_DONE) -> DataFrame:
     """month, created, completed."""
     made = issues.groupBy(F.date_format("created", "yyyy-MM").alias("month")).agg(F.count("*").alias("created"))
-    done = issues.filter("status = 'Done'").groupBy(F.date_format(F.coalesce("resolved", "updated"), "yyyy-MM").alias("month")).agg(F.count("*").alias("completed"))
-    return made.join(done, "month", "full_outer").fillna(0).filter(F.substring("month", 1, 4).cast("int") > from_year)
+    finished = issues.filter(c("status").isin(*done)).groupBy(F.date_format(F.coalesce("resolved", "updated"), "yyyy-MM").alias("month")).agg(F.count("*").alias("completed"))
+    return made.join(finished, "month", "full_outer").fillna(0).filter(F.substring("month", 1, 4).cast("int") > from_year)
 
 
-def monthly_flow(issues: DataFrame, spine: DataFrame) -> DataFrame:
+def trend_spine(issues: DataFrame, months: int = 9) -> DataFrame:
+    """The last months (six to nine) up to that of the last update."""
+    last = F.trunc("last", "month")
+    ends = issues.agg(F.max(F.coalesce("resolved", "updated")).alias("last")).filter("last is not null")
+    return ends.select(F.explode(F.sequence(F.add_months(last, 1 - max(6, min(9, months))), last, F.expr("INTERVAL 1 MONTH"))).alias("day")).select(F.date_format("day", "yyyy-MM").alias("month"))
+
+
+def trend_done(issues: DataFrame, spine: DataFrame) -> DataFrame:
+    """Issues done in the months, with the month."""
+    return issues.filter(c("status").isin(*TREND_DONE)).withColumn("month", F.date_format(F.coalesce("resolved", "updated"), "yyyy-MM")).join(F.broadcast(spine), "month")  # nine rows at most
+
+
+def monthly_cycle(issues: DataFrame, spine: DataFrame) -> DataFrame:
+    """month, median and 75th percentile of whole days from creation to update of what was done in it, 0 where nothing was. Days are few different values, so Spark's percentile holds few."""
+    days = F.percentile(S.floor_days(c("created"), c("updated")), F.array(F.lit(0.5), F.lit(0.75)))
+    rows = spine.join(trend_done(issues, spine).groupBy("month").agg(days.alias("q")), "month", "left")
+    return rows.select("month", *[F.coalesce(c("q")[k], F.lit(0.0)).alias(n) for k, n in enumerate(("median", "p75"))])
+
+
+def trend_kpis(flow: DataFrame, cycle: DataFrame) -> DataFrame:
+    """Totals of the months, completion rate in percent, and the means of the months' cycle times that aren't 0."""
+    totals = flow.agg(F.sum("created").alias("created"), F.sum("completed").alias("completed"))
+    rate = F.coalesce(F.round(c("completed") / F.nullif(c("created"), F.lit(0)) * 100, 6), F.lit(0.0)).alias("rate")
+    mean = lambda x: F.coalesce(F.round(F.avg(F.nullif(c(x), F.lit(0.0))), 6), F.lit(0.0)).alias(f"{x}_cycle")
+    return totals.select("created", "completed", rate).crossJoin(F.broadcast(cycle.agg(mean("median"), mean("p75"))))
+
+
+def monthly_flow(issues: DataFrame, spine: DataFrame, done: tuple[str, ...] = ("Done",)) -> DataFrame:
     """Counts on a continuous month index, net flow and its running sum. The windows run over months, not over issues."""
-    rows = spine.join(created_vs_completed(issues, 0), "month", "left").fillna(0).withColumn("net", c("completed") - c("created"))
+    rows = spine.join(created_vs_completed(issues, 0, done), "month", "left").fillna(0).withColumn("net", c("completed") - c("created"))
     return rows.withColumn("cumulative", F.sum("net").over(Window.orderBy("month")))
 
 

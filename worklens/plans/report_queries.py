@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from worklens.functions import scalars as S
-from worklens.functions.params import DEFAULT as P, PRIORITIES, QUEUE, SIZES
+from worklens.functions.params import DEFAULT as P, PRIORITIES, QUEUE, SIZES, TREND_DONE
 from worklens.operators import flow, reports as R
 from worklens.operators.ranks import quantiles
 from worklens.plans.registry import NOW, days, floor_days, query
@@ -38,14 +38,14 @@ query(
     lambda t: t.issues.filter(R.is_open()).agg(F.count("*").alias("n"), F.round(F.avg(age()), 6).alias("mean_age"), F.count_if(age() >= 90).alias("old"), F.count_if(left() < 0).alias("overdue")),
     f"SELECT count(*) AS n, round(avg({AGE}), 6) AS mean_age, count(*) FILTER ({AGE} >= 90) AS old, count(*) FILTER ({LEFT} < 0) AS overdue FROM w_issues WHERE {OPEN}",
 )
-for name, col, n in (("mean_age_by_lead", "business_lead", 12), ("mean_age_by_assignee", "assignee_name", 15)):
+for name, col, missing, n in (("mean_age_by_lead", "business_lead", "Unknown", 12), ("mean_age_by_assignee", "assignee_name", "Unassigned", 15)):
     query(
         name,
-        lambda t, col=col, n=n: t.issues.filter(R.is_open() & c(col).isNotNull()).groupBy(col).agg(F.round(F.avg(age()), 6).alias("mean_age"), F.count("*").alias("n")).orderBy("mean_age", col).limit(n),
-        f"SELECT {col}, round(avg({AGE}), 6) AS mean_age, count(*) AS n FROM w_issues WHERE {OPEN} AND {col} IS NOT NULL GROUP BY 1 ORDER BY 2, 1 LIMIT {n}",
+        lambda t, col=col, missing=missing, n=n: t.issues.filter(R.is_open()).groupBy(F.coalesce(col, F.lit(missing)).alias(col)).agg(F.round(F.avg(age()), 6).alias("mean_age"), F.count("*").alias("n")).orderBy("mean_age", col).limit(n),
+        f"SELECT coalesce({col}, '{missing}') AS {col}, round(avg({AGE}), 6) AS mean_age, count(*) AS n FROM w_issues WHERE {OPEN} GROUP BY 1 ORDER BY 2, 1 LIMIT {n}",
     )
 _sla = lambda t: sla_scope(sla_rows(t))
-SLA_COUNTS = (("Breached", "breached"), ("At Risk", "at_risk"), ("On Track", "on_track"))
+SLA_COUNTS = (("Breached", "breached"), ("At Risk", "at_risk"), ("On Track", "on_track"), ("Unknown", "unknown"))
 _sla_counts = lambda: [F.count_if(c("sla_status") == s).alias(a) for s, a in SLA_COUNTS]
 sla_counts = ", ".join(f"count(*) FILTER (sla_status = '{s}') AS {a}" for s, a in SLA_COUNTS)
 _pct = lambda s: f"round(avg(CASE WHEN sla_status = '{s}' THEN 1.0 ELSE 0.0 END) * 100, 6)"
@@ -53,14 +53,14 @@ _pct = lambda s: f"round(avg(CASE WHEN sla_status = '{s}' THEN 1.0 ELSE 0.0 END)
 
 def sla_kpis(t):
     middle = lambda x: quantiles(_sla(t), [], c(x), {x: 0.5}).select(F.round(x, 6).alias(f"median_{x}"))
-    counts = _sla(t).agg(F.count("*").alias("n"), *_sla_counts(), R.share(c("sla_status") == "Breached").alias("breach_pct"))
+    counts = _sla(t).agg(F.count("*").alias("n"), *_sla_counts(), R.share(c("sla_status") == "Breached").alias("breach_pct"), R.share(c("sla_status") == "At Risk").alias("at_risk_pct"))
     return counts.crossJoin(F.broadcast(middle("elapsed"))).crossJoin(F.broadcast(middle("target")))
 
 
 query(
     "sla_kpis",
     sla_kpis,
-    f"SELECT count(*) AS n, {sla_counts}, {_pct('Breached')} AS breach_pct, round(quantile_cont(elapsed, 0.5), 6) AS median_elapsed, round(quantile_cont(target, 0.5), 6) AS median_target FROM sla WHERE {IN_SCOPE}",
+    f"SELECT count(*) AS n, {sla_counts}, {_pct('Breached')} AS breach_pct, {_pct('At Risk')} AS at_risk_pct, round(quantile_cont(elapsed, 0.5), 6) AS median_elapsed, round(quantile_cont(target, 0.5), 6) AS median_target FROM sla WHERE {IN_SCOPE}",
     sla=SLA,
 )
 
@@ -80,16 +80,17 @@ query(
 )
 TOP15 = "(SELECT assignee_name FROM {x} WHERE assignee_name IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT {n})"
 SC = f"SELECT * FROM sla WHERE {IN_SCOPE}"
+_labelled = lambda t: _sla(t).withColumn("assignee_name", F.coalesce("assignee_name", F.lit("Unassigned")))
 query(
     "sla_breach_heatmap",
-    lambda t: R.top_semi(_sla(t), "assignee_name", 15).groupBy("assignee_name", "priority").agg(F.count("*").alias("total"), F.count_if(c("sla_status") == "Breached").alias("breached"), R.share(c("sla_status") == "Breached").alias("rate")),
-    f"SELECT assignee_name, priority, count(*) AS total, count(*) FILTER (sla_status = 'Breached') AS breached, round(avg(CASE WHEN sla_status = 'Breached' THEN 1.0 ELSE 0.0 END) * 100, 6) AS rate FROM sc WHERE assignee_name IN {TOP15.format(x='sc', n=15)} GROUP BY 1, 2",
-    sla=SLA, sc=SC,
+    lambda t: R.top_semi(_labelled(t), "assignee_name", 15).groupBy("assignee_name", "priority").agg(F.count("*").alias("total"), F.count_if(c("sla_status") == "Breached").alias("breached"), R.share(c("sla_status") == "Breached").alias("rate")),
+    f"SELECT assignee_name, priority, count(*) AS total, count(*) FILTER (sla_status = 'Breached') AS breached, round(avg(CASE WHEN sla_status = 'Breached' THEN 1.0 ELSE 0.0 END) * 100, 6) AS rate FROM sl WHERE assignee_name IN {TOP15.format(x='sl', n=15)} GROUP BY 1, 2",
+    sla=SLA, sc=SC, sl="SELECT * REPLACE (coalesce(assignee_name, 'Unassigned') AS assignee_name) FROM sc",
 )
 query(
     "sla_weekly",
-    lambda t: _sla(t).groupBy(F.to_date(F.date_trunc("week", "created")).alias("week")).agg(F.count("*").alias("created"), F.count_if(c("sla_status") == "Breached").alias("breached"), F.count_if(c("sla_status") == "At Risk").alias("at_risk"), F.count_if(c("sla_status") == "On Track").alias("on_track")),
-    "SELECT CAST(date_trunc('week', created) AS DATE) AS week, count(*) AS created, count(*) FILTER (sla_status = 'Breached') AS breached, count(*) FILTER (sla_status = 'At Risk') AS at_risk, count(*) FILTER (sla_status = 'On Track') AS on_track FROM sc GROUP BY 1",
+    lambda t: _sla(t).groupBy(F.to_date(F.date_trunc("week", "created")).alias("week")).agg(F.count("*").alias("created"), *_sla_counts()[:3], R.share(c("sla_status") == "Breached").alias("breach_pct")),
+    f"SELECT CAST(date_trunc('week', created) AS DATE) AS week, count(*) AS created, count(*) FILTER (sla_status = 'Breached') AS breached, count(*) FILTER (sla_status = 'At Risk') AS at_risk, count(*) FILTER (sla_status = 'On Track') AS on_track, {_pct('Breached')} AS breach_pct FROM sc GROUP BY 1",
     sla=SLA, sc=SC,
 )
 query(
@@ -113,7 +114,7 @@ query(
 #: Months of later years are reported; a parameter of the operators, 0 for all.
 FROM_YEAR = 0
 CV = """SELECT coalesce(a.month, b.month) AS month, coalesce(created, 0) AS created, coalesce(completed, 0) AS completed FROM (SELECT strftime(created, '%Y-%m') AS month, count(*) AS created FROM w_issues GROUP BY 1) a
- FULL JOIN (SELECT strftime(coalesce(resolved, updated), '%Y-%m') AS month, count(*) AS completed FROM w_issues WHERE status = 'Done' GROUP BY 1) b ON a.month = b.month"""
+ FULL JOIN (SELECT strftime(coalesce(resolved, updated), '%Y-%m') AS month, count(*) AS completed FROM w_issues WHERE status IN ('Done', 'Released Successfully to Production') GROUP BY 1) b ON a.month = b.month"""
 query("created_vs_completed", lambda t: R.created_vs_completed(t.issues, FROM_YEAR), f"SELECT * FROM cv WHERE CAST(left(month, 4) AS INT) > {FROM_YEAR}", cv=CV)
 query("monthly_created", lambda t: R.created_vs_completed(t.issues, 0).filter("created > 0").select("month", "created"), "SELECT month, created FROM cv WHERE created > 0", cv=CV)
 query("monthly_completed", lambda t: R.created_vs_completed(t.issues, 0).filter("completed > 0").select("month", "completed"), "SELECT month, completed FROM cv WHERE completed > 0", cv=CV)
@@ -129,34 +130,36 @@ _spine = lambda t: flow.spine_of(t.issues, P)
 SP = f"SELECT strftime(unnest(range(date_trunc('month', low), date_trunc('month', high) + INTERVAL 1 MONTH, INTERVAL 1 MONTH)), '%Y-%m') AS month FROM (SELECT min(created) AS low, least(max(greatest(created, coalesce(resolved, updated))), {NOW}) AS high FROM w_issues)"
 MF = "SELECT sp.month, coalesce(created, 0) AS created, coalesce(completed, 0) AS completed, coalesce(completed, 0) - coalesce(created, 0) AS net FROM sp LEFT JOIN cv ON cv.month = sp.month"
 _flow = lambda t: R.monthly_flow(t.issues, _spine(t))
-query("month_spine_join", lambda t: _flow(t).select("month", "created", "completed"), "SELECT month, created, completed FROM mf", cv=CV, sp=SP, mf=MF)
-query("cumulative_net_flow", lambda t: _flow(t).select("month", "net", "cumulative"), "SELECT month, net, CAST(sum(net) OVER (ORDER BY month) AS BIGINT) AS cumulative FROM mf", cv=CV, sp=SP, mf=MF)
-DONE = "status = 'Done' AND NOT starts_with(key, 'CAR-')"
-_done = lambda t: t.issues.filter("status = 'Done' and not startswith(key, 'CAR-')")
+TS = "SELECT strftime(unnest(range(m - INTERVAL 8 MONTH, m + INTERVAL 1 MONTH, INTERVAL 1 MONTH)), '%Y-%m') AS month FROM (SELECT date_trunc('month', max(coalesce(resolved, updated))) AS m FROM w_issues)"
+TD = f"SELECT *, strftime(coalesce(resolved, updated), '%Y-%m') AS month FROM w_issues WHERE status IN ({', '.join(f"'{x}'" for x in TREND_DONE)}) AND strftime(coalesce(resolved, updated), '%Y-%m') IN (SELECT month FROM tsp)"
+TF = "SELECT tsp.month, coalesce(created, 0) AS created, coalesce(completed, 0) AS completed, coalesce(completed, 0) - coalesce(created, 0) AS net FROM tsp LEFT JOIN (SELECT strftime(created, '%Y-%m') AS month, count(*) AS created FROM w_issues GROUP BY 1) a ON a.month = tsp.month LEFT JOIN (SELECT month, count(*) AS completed FROM td GROUP BY 1) b ON b.month = tsp.month"
+TC = f"SELECT tsp.month, coalesce(a, 0.0) AS median, coalesce(b, 0.0) AS p75 FROM tsp LEFT JOIN (SELECT month, quantile_cont({floor_days('created', 'updated')}, 0.5) AS a, quantile_cont({floor_days('created', 'updated')}, 0.75) AS b FROM td GROUP BY 1) q ON q.month = tsp.month"
+TREND = {"tsp": TS, "td": TD, "tf": TF, "tc": TC}
+_trend = lambda t: R.trend_spine(t.issues)
+_trend_flow = lambda t: R.monthly_flow(t.issues, _trend(t), TREND_DONE)
+query("month_spine_join", lambda t: _trend_flow(t).select("month", "created", "completed"), "SELECT month, created, completed FROM tf", **TREND)
+query("cumulative_net_flow", lambda t: _trend_flow(t).select("month", "net", "cumulative"), "SELECT month, net, CAST(sum(net) OVER (ORDER BY month) AS BIGINT) AS cumulative FROM tf", **TREND)
 EX = days("created", "updated")
-query(
-    "monthly_cycle",
-    lambda t: _spine(t).join(quantiles(_done(t).withColumn("month", F.date_format("updated", "yyyy-MM")), ["month"], S.days_between(c("created"), c("updated")), {"a": 0.5, "b": 0.75}), "month", "left").select("month", *[F.round(F.coalesce(x, F.lit(0.0)), 6).alias(n) for x, n in (("a", "median"), ("b", "p75"))]),
-    f"SELECT sp.month, round(coalesce(a, 0.0), 6) AS median, round(coalesce(b, 0.0), 6) AS p75 FROM sp LEFT JOIN (SELECT strftime(updated, '%Y-%m') AS month, quantile_cont({EX}, 0.5) AS a, quantile_cont({EX}, 0.75) AS b FROM w_issues WHERE {DONE} GROUP BY 1) q ON q.month = sp.month",
-    sp=SP,
-)
+query("monthly_cycle", lambda t: R.monthly_cycle(t.issues, _trend(t)), "SELECT * FROM tc", **TREND)
 query(
     "status_mix",
-    lambda t: R.top_semi(t.issues, "status", 6).groupBy(F.date_format("updated", "yyyy-MM").alias("month"), "status").agg(F.count("*").alias("n")),
-    "SELECT strftime(updated, '%Y-%m') AS month, status, count(*) AS n FROM w_issues WHERE status IN (SELECT status FROM w_issues GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 6) GROUP BY 1, 2",
+    lambda t: R.top_semi(t.issues, "status", 6).withColumn("month", F.date_format(F.coalesce("resolved", "updated"), "yyyy-MM")).join(F.broadcast(_trend(t)), "month").groupBy("month", "status").agg(F.count("*").alias("n")),
+    "SELECT strftime(coalesce(resolved, updated), '%Y-%m') AS month, status, count(*) AS n FROM w_issues WHERE strftime(coalesce(resolved, updated), '%Y-%m') IN (SELECT month FROM tsp) AND status IN (SELECT status FROM w_issues GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 6) GROUP BY 1, 2",
+    **TREND,
 )
 query("top_n_semi", lambda t: R.top_semi(t.issues, "assignee_name", 5).select("key", "assignee_name"), f"SELECT key, assignee_name FROM w_issues WHERE assignee_name IN {TOP15.format(x='w_issues', n=5)}")
 query(
     "team_monthly_done",
-    lambda t: t.issues.filter((c("status") == "Done") & (c("issuetype") != "Feature") & c("assignee_name").isNotNull()).groupBy(F.date_format("updated", "yyyy-MM").alias("month"), "assignee_name").agg(F.count("*").alias("n")),
-    "SELECT strftime(updated, '%Y-%m') AS month, assignee_name, count(*) AS n FROM w_issues WHERE status = 'Done' AND issuetype <> 'Feature' AND assignee_name IS NOT NULL GROUP BY 1, 2",
+    lambda t: R.trend_done(t.issues, _trend(t)).filter((F.lower(F.trim("issuetype")) != "feature") & c("assignee_name").isin(*P.team)).groupBy("month", "assignee_name").agg(F.count("*").alias("n")),
+    f"SELECT month, assignee_name, count(*) AS n FROM td WHERE lower(trim(issuetype)) <> 'feature' AND assignee_name IN ({TEAM}) GROUP BY 1, 2",
+    **TREND,
 )
 query(
     "trend_kpis",
-    lambda t: _flow(t).agg(F.sum("created").alias("created"), F.sum("completed").alias("completed"), F.round(F.sum("completed") / F.sum("created") * 100, 6).alias("rate")),
-    "SELECT CAST(sum(created) AS BIGINT) AS created, CAST(sum(completed) AS BIGINT) AS completed, round(CAST(sum(completed) AS DOUBLE) / sum(created) * 100, 6) AS rate FROM mf",
-    cv=CV, sp=SP, mf=MF,
-)
+    lambda t: R.trend_kpis(_trend_flow(t), R.monthly_cycle(t.issues, _trend(t))),
+    "SELECT * FROM (SELECT CAST(sum(created) AS BIGINT) AS created, CAST(sum(completed) AS BIGINT) AS completed, coalesce(round(CAST(sum(completed) AS DOUBLE) / nullif(sum(created), 0) * 100, 6), 0.0) AS rate FROM tf), (SELECT coalesce(round(avg(nullif(median, 0)), 6), 0.0) AS median_cycle, coalesce(round(avg(nullif(p75, 0)), 6), 0.0) AS p75_cycle FROM tc)",
+    **TREND,
+)
 VU = f"""SELECT key, assignee_name AS assignee, {VEL} AS priority, 'backlog' AS kind, {floor_days('created', 'planned_start_date')} AS days FROM w_issues WHERE assignee_name IN ({TEAM}) AND created >= {NOW} - INTERVAL 720 DAY AND status = 'Done' AND {floor_days('created', 'planned_start_date')} > 0
  UNION ALL SELECT key, assignee_name, {VEL}, 'execution', {floor_days('created', 'coalesce(resolved, updated)')} FROM w_issues WHERE assignee_name IN ({TEAM}) AND created >= {NOW} - INTERVAL 720 DAY AND status = 'Done' AND {floor_days('created', 'updated')} > 0"""
 _vu = lambda t: R.velocity_union(t.issues, P)
@@ -229,11 +232,11 @@ for _n, _s, _urgent in (("blocked", "Blocked", ("High", "Critical", "Urgent")),
         f"SELECT v.risk, count(rk.risk) AS n FROM (VALUES {', '.join(f"('{x}')" for x in R.RISKS)}) v(risk) LEFT JOIN rk ON rk.risk = v.risk AND status = '{_s}' GROUP BY 1",
         rk=RISK,
     )
-STALE = f"SELECT *, {AGE} AS age, {VEL} AS priority FROM w_issues WHERE {OPEN} AND {AGE} >= 90"
+STALE = f"SELECT *, {AGE} AS age, coalesce(priority_name, 'Unknown') AS priority FROM w_issues WHERE {OPEN} AND {AGE} >= 90"
 query(
     "stale_summary",
-    lambda t: t.issues.filter(R.is_open() & (age() >= 90)).groupBy(S.canonical_priority(c("priority_name"), "velocity").alias("priority")).agg(F.count("*").alias("n"), F.floor(F.avg(age())).alias("mean_age")),
-    "SELECT priority, count(*) AS n, CAST(floor(avg(age)) AS BIGINT) AS mean_age FROM st GROUP BY 1",
+    lambda t: R.grains(t.issues.filter(R.is_open() & (age() >= 90)).select(F.coalesce("priority_name", F.lit("Unknown")).alias("priority"), age().alias("age")), {"all": [], "priority": ["priority"]}, F.count("*").alias("n"), F.floor(F.avg("age")).alias("mean_age")),
+    "SELECT CASE WHEN grouping(priority) = 1 THEN 'all' ELSE 'priority' END AS grain, priority, count(*) AS n, CAST(floor(avg(age)) AS BIGINT) AS mean_age FROM st GROUP BY GROUPING SETS ((), (priority))",
     st=STALE,
 )
 query(

@@ -110,15 +110,17 @@ def sla_rows(t):
     priority = S.canonical_priority(c("priority_name"), "sla")
     elapsed = S.days_between(c("created"), F.coalesce(c("resolved"), P.now()))
     rows = t.issues.select("*", priority.alias("priority"), elapsed.alias("elapsed"), S.days_between(c("created"), c("target_end_date")).alias("own_target"))
-    rows = rows.withColumn("target", S.sla_target(c("own_target"), c("priority"))).withColumn("risk", S.risk_score(c("elapsed"), c("target"), c("resolved").isNotNull()))
-    return rows.withColumn("sla_status", S.sla_status(c("elapsed"), c("target")))
+    closed = S.is_closed(c("status"), c("resolved"))
+    rows = rows.withColumn("target", S.sla_target(c("own_target"), c("priority"))).withColumn("risk", S.risk_score(c("elapsed"), c("target"), closed))
+    return rows.withColumn("sla_status", S.sla_status(c("elapsed"), c("target"), closed))
 
 
 _pri = "CASE lower(trim(priority_name)) WHEN 'urgent' THEN 'Urgent' WHEN 'high' THEN 'High' WHEN 'medium' THEN 'Medium' WHEN 'low' THEN 'Low' ELSE 'None' END"
 _own = days("created", "target_end_date")
+_closed = "(resolved IS NOT NULL OR lower(status) IN (" + ", ".join(f"'{x}'" for x in params.CLOSED_STATUSES) + "))"
 SLA = f"""
-SELECT *, CASE WHEN resolved IS NOT NULL THEN CASE WHEN elapsed > target THEN 1.0 ELSE 0.0 END ELSE 1 / (1 + exp(-(elapsed / target - 0.82) * 10)) END AS risk,
- CASE WHEN elapsed > target THEN 'Breached' WHEN elapsed >= 0.8 * target THEN 'At Risk' ELSE 'On Track' END AS sla_status
+SELECT *, CASE WHEN {_closed} THEN CASE WHEN elapsed > target THEN 1.0 ELSE 0.0 END ELSE 1 / (1 + exp(-(elapsed / target - 0.82) * 10)) END AS risk,
+ CASE WHEN elapsed > target THEN 'Breached' WHEN NOT {_closed} AND elapsed >= 0.8 * target THEN 'At Risk' ELSE 'On Track' END AS sla_status
 FROM (SELECT *, {_pri} AS priority, {days('created', f'coalesce(resolved, {NOW})')} AS elapsed,
  CASE WHEN {_own} > 0 THEN {_own} ELSE CASE {_pri} WHEN 'Urgent' THEN 90.0 WHEN 'High' THEN 90.0 WHEN 'Medium' THEN 90.0 WHEN 'Low' THEN 90.0 ELSE 90.0 END END AS target FROM w_issues)"""
 query(
