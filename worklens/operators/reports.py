@@ -125,9 +125,16 @@ def done_window(issues: DataFrame, p: Params, keep_nulls: bool = False) -> DataF
     return issues.filter((F.lower("status") == "done") & F.coalesce(recent, F.lit(keep_nulls)))
 
 
+def execution_days(done: DataFrame, p: Params) -> DataFrame:
+    """assignee, x, w of done issues with a planned start: days from it to the update where positive, and their weight by recency. Excluded assignees are left out."""
+    recency = F.greatest(F.lit(0.0), S.days_between(c("updated"), p.now()))
+    rows = done.filter(not_excluded(owner(), p)).select(owner().alias("assignee"), S.days_between(c("planned_start_date"), c("updated")).alias("x"), S.recency_weight(recency).alias("w"))
+    return rows.filter("x > 0")
+
+
 def execution_profile(done: DataFrame, p: Params) -> DataFrame:
     """Per assignee median, recency-weighted mean and n of execution days; global values beside them."""
-    rows = done.select(owner().alias("assignee"), S.days_between(c("created"), c("updated")).alias("x"), S.recency_weight(S.days_between(c("updated"), p.now())).alias("w"))
+    rows = execution_days(done, p)
     weighted = F.round(F.sum(c("x") * c("w")) / F.sum("w"), 6)
     one = quantiles(rows, ["assignee"], c("x"), {"median": 0.5}).join(rows.groupBy("assignee").agg(weighted.alias("weighted")), "assignee")
     every = quantiles(rows, [], c("x"), {"median_all": 0.5}).withColumnRenamed("n", "n_all").crossJoin(F.broadcast(rows.agg(weighted.alias("weighted_all"))))
@@ -135,19 +142,24 @@ def execution_profile(done: DataFrame, p: Params) -> DataFrame:
     return one.crossJoin(F.broadcast(every)).select(*one.columns, F.round("median_all", 6).alias("median_all"), "weighted_all", "n_all")
 
 
+def in_progress(issues: DataFrame, p: Params) -> DataFrame:
+    """Work in progress without Features and excluded assignees."""
+    return issues.filter((F.lower("status") == "in progress") & (F.lower("issuetype") != "feature") & not_excluded(owner(), p))
+
+
 def in_progress_load(issues: DataFrame, done: DataFrame, p: Params) -> DataFrame:
-    """Work in progress per assignee, without Features and excluded assignees, times the assignee's median, the global one where the assignee has none."""
-    busy = issues.filter((F.lower("status") == "in progress") & (F.lower("issuetype") != "feature") & not_excluded(owner(), p))
-    counts = busy.groupBy(owner().alias("assignee")).agg(F.count("*").alias("open"))
-    profile = execution_profile(done, p).select("assignee", "median")
-    every = quantiles(done, [], S.days_between(c("created"), c("updated")), {"all": 0.5}).select(F.round("all", 6).alias("all"))
-    days = F.round(c("open") * F.coalesce("median", "all"), 6)
-    rows = counts.join(profile, "assignee", "left").crossJoin(F.broadcast(every))
-    return rows.select("assignee", "open", days.alias("estimated_days")).withColumn("bucket", S.load_bucket(c("estimated_days")))
-
-
-def load_totals(load: DataFrame) -> DataFrame:
-    return load.agg(F.sum("open").alias("open"), F.round(F.sum("estimated_days"), 4).alias("estimated_days"), F.round(F.avg("estimated_days"), 4).alias("mean_days"), F.count_if(c("bucket") == "Critical").alias("critical"))
+    """Work in progress per assignee times the assignee's median execution days, the global ones where the assignee has none."""
+    counts = in_progress(issues, p).groupBy(owner().alias("assignee")).agg(F.count("*").alias("open"))
+    rows = execution_days(done, p)
+    every = quantiles(rows, [], c("x"), {"all": 0.5}).select(F.coalesce(F.round("all", 6), F.lit(0.0)).alias("all"))
+    own = quantiles(rows, ["assignee"], c("x"), {"median": 0.5}).select("assignee", F.round("median", 6).alias("median"))
+    out = counts.join(own, "assignee", "left").crossJoin(F.broadcast(every)).select("assignee", "open", F.coalesce("median", "all").alias("velocity"))
+    return out.withColumn("estimated_days", F.round(c("open") * c("velocity"), 6)).withColumn("bucket", S.load_bucket(c("estimated_days")))
+
+
+def load_totals(load: DataFrame, velocity: str, estimate: str) -> DataFrame:
+    """Issues, estimated days, mean velocity over assignees, and assignees with over 90 estimated days."""
+    return load.agg(F.sum("open").alias("open"), F.round(F.sum(estimate), 4).alias("estimated_days"), F.round(F.avg(velocity), 4).alias("mean_velocity"), F.count_if(c(estimate) > 90).alias("critical"))
 
 
 def complete_grid(union: DataFrame, digits: int | None = 6) -> DataFrame:

@@ -178,7 +178,8 @@ query(
     "SELECT a.assignee, k.kind, p.priority, round(coalesce(m.mean, (SELECT avg(days) FROM vu)), 6) AS mean FROM (SELECT DISTINCT assignee FROM vu) a CROSS JOIN (VALUES ('backlog'), ('execution')) k(kind) CROSS JOIN (SELECT DISTINCT priority FROM vu) p LEFT JOIN (SELECT assignee, kind, priority, avg(days) AS mean FROM vu GROUP BY 1, 2, 3) m ON m.assignee = a.assignee AND m.kind = k.kind AND m.priority = p.priority",
     vu=VU,
 )
-EP = f"SELECT coalesce(assignee_name, 'Unassigned') AS assignee, {EX} AS x, 1 / (1 + {days('updated', NOW)} / 30.0) AS w FROM w_issues WHERE status = 'Done' AND coalesce(resolved, updated) >= {CUT}"
+_days = days("planned_start_date", "updated")
+EP = f"SELECT coalesce(assignee_name, 'Unassigned') AS assignee, {_days} AS x, 1 / (1 + greatest(0.0, {days('updated', NOW)}) / 30.0) AS w FROM w_issues WHERE status = 'Done' AND coalesce(resolved, updated) >= {CUT} AND lower(coalesce(assignee_name, '')) <> 'engineer 10' AND {_days} > 0"
 _recent_done = lambda t: R.done_window(t.issues, P)
 query(
     "execution_profile",
@@ -186,14 +187,24 @@ query(
     "SELECT * FROM (SELECT assignee, round(quantile_cont(x, 0.5), 6) AS median, round(sum(x * w) / sum(w), 6) AS weighted, count(*) AS n FROM ep GROUP BY 1), (SELECT round(quantile_cont(x, 0.5), 6) AS median_all, round(sum(x * w) / sum(w), 6) AS weighted_all, count(*) AS n_all FROM ep)",
     ep=EP,
 )
-IL = "SELECT assignee, open, round(open * coalesce(m, (SELECT round(quantile_cont(x, 0.5), 6) FROM ep)), 6) AS estimated_days FROM (SELECT coalesce(assignee_name, 'Unassigned') AS assignee, count(*) AS open FROM w_issues WHERE status = 'In Progress' AND issuetype <> 'Feature' AND lower(coalesce(assignee_name, '')) <> 'engineer 10' GROUP BY 1) LEFT JOIN (SELECT assignee AS a, round(quantile_cont(x, 0.5), 6) AS m FROM ep GROUP BY 1) ON a = assignee"
+BUSY = "status = 'In Progress' AND issuetype <> 'Feature' AND lower(coalesce(assignee_name, '')) <> 'engineer 10'"
+IL = f"""SELECT *, round(open * velocity, 6) AS estimated_days FROM (SELECT assignee, open, coalesce(m, (SELECT coalesce(round(quantile_cont(x, 0.5), 6), 0.0) FROM ep)) AS velocity FROM (SELECT coalesce(assignee_name, 'Unassigned') AS assignee, count(*) AS open FROM w_issues WHERE {BUSY} GROUP BY 1)
+ LEFT JOIN (SELECT assignee AS a, round(quantile_cont(x, 0.5), 6) AS m FROM ep GROUP BY 1) ON a = assignee)"""
 LB = "CASE WHEN {x} > 90 THEN 'Critical' WHEN {x} > 60 THEN 'High' WHEN {x} > 30 THEN 'Medium' WHEN {x} > 0 THEN 'Low' ELSE 'None' END"
 _load = lambda t: R.in_progress_load(t.issues, _recent_done(t), P)
 query("in_progress_load", _load, f"SELECT *, {LB.format(x='estimated_days')} AS bucket FROM il", ep=EP, il=IL)
+TOTALS = "SELECT CAST(sum(open) AS BIGINT) AS open, round(sum({e}), 4) AS estimated_days, round(avg({v}), 4) AS mean_velocity, count(*) FILTER ({e} > 90) AS critical FROM {x}"
+
+
+def in_progress_totals(t):
+    missing = R.in_progress(t.issues, P).agg(F.count_if(c("target_end_date").isNull()).alias("missing_targets"))
+    return R.load_totals(_load(t), "velocity", "estimated_days").crossJoin(F.broadcast(missing))
+
+
 query(
     "in_progress_totals",
-    lambda t: R.load_totals(_load(t)),
-    f"SELECT CAST(sum(open) AS BIGINT) AS open, round(sum(estimated_days), 4) AS estimated_days, round(avg(estimated_days), 4) AS mean_days, count(*) FILTER ({LB.format(x='estimated_days')} = 'Critical') AS critical FROM il",
+    in_progress_totals,
+    f"SELECT * FROM ({TOTALS.format(e='estimated_days', v='velocity', x='il')}), (SELECT count(*) FILTER (target_end_date IS NULL) AS missing_targets FROM w_issues WHERE {BUSY})",
     ep=EP, il=IL,
 )
 query("counts_left_velocity", lambda t: _load(t).select("assignee", "estimated_days"), "SELECT assignee, estimated_days FROM il", ep=EP, il=IL)
@@ -203,10 +214,7 @@ query(
     f"SELECT b.bucket, coalesce(n, 0) AS n FROM (VALUES ('Critical'), ('High'), ('Medium'), ('Low'), ('None')) b(bucket) LEFT JOIN (SELECT {LB.format(x='estimated_days')} AS bucket, count(*) AS n FROM il GROUP BY 1) x ON x.bucket = b.bucket",
     ep=EP, il=IL,
 )
-query(
-    "backlog_complexity",
-    lambda t: R.backlog_complexity(t.issues, R.done_window_union(t.issues, P)),
-    f"""WITH h AS (SELECT i AS k, sum(1.0 / i) OVER (ORDER BY i) AS h FROM range(1, 100001) r(i)), x AS (SELECT coalesce(assignee_name, 'Unassigned') AS assignee, count(*) AS open FROM w_issues WHERE status IN ('Backlog', 'To Do') GROUP BY 1),
+BC = f"""WITH h AS (SELECT i AS k, sum(1.0 / i) OVER (ORDER BY i) AS h FROM range(1, 100001) r(i)), x AS (SELECT coalesce(assignee_name, 'Unassigned') AS assignee, count(*) AS open FROM w_issues WHERE status IN ('Backlog', 'To Do') GROUP BY 1),
  d AS (SELECT coalesce(assignee_name, 'Unassigned') AS assignee, coalesce(priority_name, 'Unknown') AS priority, {floor_days('created', 'planned_start_date')} AS b, {floor_days('created', 'updated')} AS e FROM w_issues
   WHERE status = 'Done' AND coalesce(resolved, updated) >= {CUT} AND lower(coalesce(assignee_name, '')) <> 'engineer 10'),
  u AS (SELECT assignee, priority, 'backlog' AS kind, b AS days FROM d WHERE b > 0 UNION ALL SELECT assignee, priority, 'execution', e FROM d WHERE e > 0),
@@ -215,8 +223,10 @@ query(
  q AS (SELECT assignee, avg(mean) FILTER (kind = 'backlog') AS bl, avg(mean) FILTER (kind = 'execution') AS av FROM g GROUP BY 1),
  y AS (SELECT x.assignee, open, coalesce(av, (SELECT coalesce(avg(av), 0) FROM q)) AS av, coalesce(bl, (SELECT coalesce(avg(bl), 0) FROM q)) AS bl FROM x LEFT JOIN q ON q.assignee = x.assignee),
  z AS (SELECT *, round(abs(av - bl), 6) AS complexity FROM y)
- SELECT assignee, open, complexity, round(av * h, 6) AS estimate, {LB.format(x='complexity')} AS bucket FROM z JOIN h ON h.k = z.open""",
-)
+ SELECT assignee, open, complexity, round(av * h, 6) AS estimate, {LB.format(x='complexity')} AS bucket FROM z JOIN h ON h.k = z.open"""
+_complexity = lambda t: R.backlog_complexity(t.issues, R.done_window_union(t.issues, P))
+query("backlog_complexity", _complexity, BC)
+query("backlog_totals", lambda t: R.load_totals(_complexity(t), "complexity", "estimate"), TOTALS.format(e="estimate", v="complexity", x="bc"), bc=BC)
 RISK = f"SELECT business_lead AS lead, assignee_name AS assignee, status, priority_name, CASE WHEN {LEFT} IS NULL THEN 'No Target Date' WHEN {LEFT} < 0 THEN 'Overdue' WHEN {LEFT} <= 7 THEN 'Due in 7 Days' ELSE 'On Track' END AS risk FROM w_issues"
 for _n, _s, _urgent in (("blocked", "Blocked", ("High", "Critical", "Urgent")), ("validating", "Validating", ("Urgent",))):
     query(
