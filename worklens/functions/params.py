@@ -16,6 +16,13 @@ EXCLUDED_STATUSES = (
     "Technical Debt", "Done", "Backlog", "Plan Release", "Prepare Release", "Will Not Do", "Blocked For Development", "Resource Constrained",
     "Released Successfully to Production", "❌ Rolled Back",
 )
+#: Statuses that the age report leaves out, and those that its view by status leaves out besides.
+AGE_EXCLUDED = (
+    "Done", "Will Not Do", "Released Successfully to Production", "❌ Rolled Back", "Prepare Release", "Plan Release", "Post Implementation Review", "Deploy Release", "Test and Validate", "Review Release Plan",
+)
+AGE_EXCLUDED_BY_STATUS = ("Resource Constrained", "Blocked For Development", "Plan Release", "Technical Debt")
+#: Backlog of the size report, lower-cased.
+SIZE_BACKLOG = ("to do", "tech discovery required")
 #: Scope of a delivery item's children.
 TERMINAL, TODO, IN_PROGRESS = ("Done", "Will Not Do"), ("To Do", "Tech Discovery Required", "Triage"), ("In Progress", "Validating")
 #: Rules of the personal report in order, with their ranks; any other issue shows its status, at rank 8.
@@ -52,6 +59,7 @@ class Params:
     business_tz: str = "America/Denver"
     local_offset: str = "-06:00"
     change_project: str = "CAR"
+    change_lead: str = "Release Lead"
     base_url: str = "https://tracker.example/browse/"
     window_days: int = 90
     team: tuple = field(default=tuple(f"Engineer {i}" for i in range(10)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from worklens.functions import scalars as S
-from worklens.functions.params import CAPACITY_DONE, EXCLUDED_STATUSES, TREND_DONE, Params
+from worklens.functions.params import AGE_EXCLUDED, AGE_EXCLUDED_BY_STATUS, CAPACITY_DONE, EXCLUDED_STATUSES, PRIORITIES, SIZE_BACKLOG, SIZES, TREND_DONE, Params
 from worklens.operators.ranks import quantiles
 
 c = F.col
@@ -238,10 +238,36 @@ def pivot_counts(rows: DataFrame, by: list[str], column: str, values: Sequence[s
 
 
 def size_groups(issues: DataFrame) -> DataFrame:
-    """In Progress and Backlog issues, tagged, with normalised size and priority."""
-    tagged = lambda s, g: issues.filter(c("status") == s).withColumn("group", F.lit(g))
-    both = tagged("In Progress", "In Progress").unionByName(tagged("Backlog", "Backlog"))
-    return both.withColumns({"size": S.normalize_size(c("estimated_size_name")), "priority": S.canonical_priority(c("priority_name"), "velocity")})
+    """Issues in progress and in the backlog, without Features, with group, normalised size and priority."""
+    text = lambda x: F.lower(F.trim(F.coalesce(x, F.lit(""))))
+    group = F.when(text("status") == "in progress", "In Progress").when(text("status").isin(*SIZE_BACKLOG), "Backlog")
+    rows = issues.filter(text("issuetype") != "feature").withColumn("group", group).filter("group is not null")
+    return rows.withColumns({"size": S.normalize_size(c("estimated_size_name")), "priority": S.canonical_priority(c("priority_name"), "velocity")})
+
+
+def size_matrix(groups: DataFrame) -> DataFrame:
+    """priority, size, n, at_risk of all priorities and estimated sizes, zeros included."""
+    sizes = [x for x in SIZES if x != "Unestimated"]
+    counted = pivot_counts(groups.filter(c("size").isin(*sizes)), ["priority"], "size", sizes)
+    spine = groups.sparkSession.createDataFrame([(x,) for x in PRIORITIES], "priority string")
+    rows = spine.join(counted, "priority", "left").fillna(0).unpivot("priority", sizes, "size", "n")
+    return rows.withColumn("at_risk", c("priority").isin("Urgent", "High") & c("size").isin("Large", "XL"))
+
+
+def age_by_status(issues: DataFrame, p: Params) -> DataFrame:
+    """Ages of open issues by status with a risk band, and their whole median and 75th percentile over all. Ages are whole days, few different values, so Spark's percentile holds few."""
+    rows = issues.filter(~F.coalesce(c("status").isin(*AGE_EXCLUDED), F.lit(False))).select("status", S.age_days(c("created"), p).alias("age")).dropna()
+    rank = lambda q: F.percentile("age", q)
+    out = grains(rows, {"status": ["status"], "all": []}, F.count("*").alias("n"), F.round(F.avg("age"), 6).alias("mean"), F.max("age").alias("max"), rank(0.5).alias("median"), rank(0.75).alias("p75"))
+    out = out.filter((c("grain") == "all") | ~c("status").isin(*AGE_EXCLUDED_BY_STATUS))
+    whole = lambda x: F.when(c("grain") == "all", F.floor(x).cast("double")).otherwise(c(x))
+    return out.withColumns({"median": whole("median"), "p75": whole("p75")}).withColumn("band", S.age_risk_band(c("median")))
+
+
+def lead_months(issues: DataFrame, p: Params) -> DataFrame:
+    """business_lead, month, priority of issues by month of creation; change requests belong to one lead; priorities as they stand."""
+    lead = F.when(c("key").contains(p.change_project + "-"), p.change_lead).otherwise(F.trim(F.coalesce("business_lead", F.lit("Unassigned"))))
+    return issues.select(lead.alias("business_lead"), F.date_format("created", "yyyy-MM").alias("month"), F.coalesce("priority_name", F.lit("Unknown")).alias("priority"))
 
 
 def trimmed_mean(rows: DataFrame, by: str | None, x: str) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from worklens.functions import scalars as S
-from worklens.functions.params import DEFAULT as P, PRIORITIES, QUEUE, SIZES, TREND_DONE
+from worklens.functions.params import AGE_EXCLUDED, AGE_EXCLUDED_BY_STATUS, DEFAULT as P, PRIORITIES, QUEUE, SIZES, TREND_DONE
 from worklens.operators import flow, reports as R
 from worklens.operators.ranks import quantiles
 from worklens.plans.registry import NOW, days, floor_days, query
-from worklens.plans.scalar_queries import ATTENTION, CUT, IN_SCOPE, OPEN, SLA, attention, sla_rows, sla_scope
+from worklens.plans.scalar_queries import ATTENTION, CUT, IN_SCOPE, OPEN, SLA, attention, month_range, sla_rows, sla_scope
 
 c = F.col
 AGE = f"greatest(0, {floor_days('created', NOW)})"
@@ -249,31 +249,37 @@ query(
     "SELECT CASE WHEN grouping(priority) = 1 THEN 'all' ELSE 'priority' END AS grain, priority, count(*) AS n, CAST(floor(avg(age)) AS BIGINT) AS mean_age FROM st GROUP BY GROUPING SETS ((), (priority))",
     st=STALE,
 )
+_in = lambda values: ", ".join(f"'{x}'" for x in values)
 query(
     "age_by_status",
-    lambda t: R.grains(t.issues.filter(R.is_open()).select("status", age().alias("age")), {"status": ["status"], "all": []}, F.count("*").alias("n"), F.round(F.avg("age"), 6).alias("mean"), F.max("age").alias("max"), F.percentile("age", 0.5).alias("median"), F.percentile("age", 0.75).alias("p75")).withColumn("band", S.age_risk_band(c("median"))),
-    f"SELECT *, CASE WHEN median >= 90 THEN 'Critical' WHEN median >= 60 THEN 'Aging' WHEN median >= 30 THEN 'Watch' ELSE 'Healthy' END AS band FROM (SELECT CASE WHEN grouping(status) = 0 THEN 'status' ELSE 'all' END AS grain, status, count(*) AS n, round(avg({AGE}), 6) AS mean, max({AGE}) AS max, quantile_cont(CAST({AGE} AS DOUBLE), 0.5) AS median, quantile_cont(CAST({AGE} AS DOUBLE), 0.75) AS p75 FROM w_issues WHERE {OPEN} GROUP BY GROUPING SETS ((status), ()))",
+    lambda t: R.age_by_status(t.issues, P),
+    f"""SELECT *, CASE WHEN median >= 90 THEN 'Critical' WHEN median >= 60 THEN 'Aging' WHEN median >= 30 THEN 'Watch' ELSE 'Healthy' END AS band FROM (SELECT CASE WHEN g = 0 THEN 'status' ELSE 'all' END AS grain, status, n, mean, max, CASE WHEN g = 1 THEN floor(median) ELSE median END AS median, CASE WHEN g = 1 THEN floor(p75) ELSE p75 END AS p75
+ FROM (SELECT grouping(status) AS g, status, count(*) AS n, round(avg({AGE}), 6) AS mean, max({AGE}) AS max, quantile_cont(CAST({AGE} AS DOUBLE), 0.5) AS median, quantile_cont(CAST({AGE} AS DOUBLE), 0.75) AS p75 FROM w_issues WHERE status NOT IN ({_in(AGE_EXCLUDED)}) GROUP BY GROUPING SETS ((status), ())) WHERE g = 1 OR status NOT IN ({_in(AGE_EXCLUDED_BY_STATUS)}))""",
 )
 query("oldest_n", lambda t: t.issues.filter(R.is_open()).select("key", age().alias("age")).orderBy(F.desc_nulls_last("age"), "key").limit(30), f"SELECT key, {AGE} AS age FROM w_issues WHERE {OPEN} ORDER BY 2 DESC, 1 LIMIT 30")
+LM = "SELECT CASE WHEN contains(key, 'CAR-') THEN 'Release Lead' ELSE trim(coalesce(business_lead, 'Unassigned')) END AS business_lead, strftime(created, '%Y-%m') AS month, coalesce(priority_name, 'Unknown') AS priority FROM w_issues"
+LR = "SELECT lm.* FROM lm, (SELECT max(month) AS top, min(month) AS bottom FROM lm) WHERE month <= top AND month >= greatest(bottom, strftime(CAST(top || '-01' AS DATE) - INTERVAL 2 MONTH, '%Y-%m'))"
+_leads = lambda t: month_range(R.lead_months(t.issues, P))
 query(
     "lead_month_priority",
-    lambda t: R.grains(t.issues.select("business_lead", F.date_format("created", "yyyy-MM").alias("month"), S.canonical_priority(c("priority_name"), "velocity").alias("priority")), {"cell": ["business_lead", "month", "priority"], "lead": ["business_lead"], "month": ["month"], "priority": ["priority"]}, F.count("*").alias("n")),
-    f"SELECT CASE grouping(business_lead, month, priority) WHEN 0 THEN 'cell' WHEN 3 THEN 'lead' WHEN 5 THEN 'month' ELSE 'priority' END AS grain, business_lead, month, priority, count(*) AS n FROM (SELECT business_lead, strftime(created, '%Y-%m') AS month, {VEL} AS priority FROM w_issues) GROUP BY GROUPING SETS ((business_lead, month, priority), (business_lead), (month), (priority))",
-)
+    lambda t: R.grains(_leads(t), {"cell": ["business_lead", "month", "priority"], "lead": ["business_lead"], "month": ["month"], "priority": ["priority"]}, F.count("*").alias("n")),
+    "SELECT CASE grouping(business_lead, month, priority) WHEN 0 THEN 'cell' WHEN 3 THEN 'lead' WHEN 5 THEN 'month' ELSE 'priority' END AS grain, business_lead, month, priority, count(*) AS n FROM lr GROUP BY GROUPING SETS ((business_lead, month, priority), (business_lead), (month), (priority))",
+    lm=LM, lr=LR,
+)
 _pivot = ", ".join(f"count(*) FILTER (priority = '{x}') AS \"{x}\"" for x in PRIORITIES)
 query(
     "pivot_lead_priority",
     lambda t: R.pivot_counts(t.issues.select("business_lead", F.date_format("created", "yyyy-MM").alias("month"), S.canonical_priority(c("priority_name"), "velocity").alias("priority")), ["business_lead", "month"], "priority", PRIORITIES),
     f"SELECT business_lead, month, {_pivot} FROM (SELECT business_lead, strftime(created, '%Y-%m') AS month, {VEL} AS priority FROM w_issues) GROUP BY 1, 2",
 )
-SZ = f"SELECT key, status AS \"group\", {VEL} AS priority, CASE WHEN estimated_size_name IN ('Small', 'Medium', 'Large', 'XL') THEN estimated_size_name ELSE 'Unestimated' END AS size FROM w_issues WHERE status IN ('In Progress', 'Backlog')"
+SZ = f"SELECT key, CASE WHEN status = 'In Progress' THEN 'In Progress' ELSE 'Backlog' END AS \"group\", {VEL} AS priority, CASE WHEN estimated_size_name IN ('Small', 'Medium', 'Large', 'XL') THEN estimated_size_name ELSE 'Unestimated' END AS size FROM w_issues WHERE status IN ('In Progress', 'To Do', 'Tech Discovery Required') AND issuetype <> 'Feature'"
 query("group_union", lambda t: R.size_groups(t.issues).select("key", "group"), 'SELECT key, "group" FROM sz', sz=SZ)
 query("size_by_group", lambda t: R.size_groups(t.issues).groupBy("group", "size").agg(F.count("*").alias("n")), 'SELECT "group", size, count(*) AS n FROM sz GROUP BY 1, 2', sz=SZ)
 query("pivot_size", lambda t: R.pivot_counts(R.size_groups(t.issues), ["group"], "size", SIZES), 'SELECT "group", ' + ", ".join(f"count(*) FILTER (size = '{x}') AS \"{x}\"" for x in SIZES) + " FROM sz GROUP BY 1", sz=SZ)
 query(
     "priority_size_matrix",
-    lambda t: R.pivot_counts(R.size_groups(t.issues), ["priority"], "size", SIZES).unpivot("priority", list(SIZES), "size", "n").withColumn("at_risk", c("priority").isin("Urgent", "High") & c("size").isin("Large", "XL")),
-    "SELECT p.priority, s.size, count(sz.key) AS n, p.priority IN ('Urgent', 'High') AND s.size IN ('Large', 'XL') AS at_risk FROM (SELECT DISTINCT priority FROM sz) p CROSS JOIN (VALUES ('Small'), ('Medium'), ('Large'), ('XL'), ('Unestimated')) s(size) LEFT JOIN sz ON sz.priority = p.priority AND sz.size = s.size GROUP BY 1, 2",
+    lambda t: R.size_matrix(R.size_groups(t.issues)),
+    f"SELECT p.priority, s.size, count(sz.key) AS n, p.priority IN ('Urgent', 'High') AND s.size IN ('Large', 'XL') AS at_risk FROM (VALUES {', '.join(f"('{x}')" for x in PRIORITIES)}) p(priority) CROSS JOIN (VALUES ('Small'), ('Medium'), ('Large'), ('XL')) s(size) LEFT JOIN sz ON sz.priority = p.priority AND sz.size = s.size GROUP BY 1, 2",
     sz=SZ,
 )
 query(

@@ -263,7 +263,7 @@ query(
 )
 query(
     "override_group_fix",
-    lambda t: t.issues.select("key", F.when(c("key").contains(P.change_project + "-"), "Release Lead").otherwise(c("business_lead")).alias("lead")),
+    lambda t: t.issues.select("key", F.when(c("key").contains(P.change_project + "-"), P.change_lead).otherwise(c("business_lead")).alias("lead")),
     "SELECT key, CASE WHEN contains(key, 'CAR-') THEN 'Release Lead' ELSE business_lead END AS lead FROM w_issues",
 )
 
