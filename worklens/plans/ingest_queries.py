@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from worklens.functions.params import DEFAULT as P
 from worklens.plans.registry import NOW, days, floor_days, query
 from worklens.sources import ingest as I
-from worklens.sources.keyed import Store, Upsert
+from worklens.sources.keyed import Store, Upsert, newest
 from worklens.streaming import intake
 
 c = F.col
@@ -49,7 +49,13 @@ def raw_mrs(t):
 
 
 records = lambda t: I.parse(raw_issues(t), I.ISSUE)
-parsed = lambda t: I.latest(records(t), "key", [F.desc(I.parse_ts_utc(c("fields.updated")))])
+
+
+def transitions_of(lines):
+    """Transitions of raw lines, of the newest line of each key."""
+    return I.changelog_transitions(newest(I.parse(lines, I.ISSUE), "key", I.parse_ts_utc(c("fields.updated"))))
+
+
 parsed_mrs = lambda t: I.parse(raw_mrs(t), I.MERGE_REQUEST)
 #: Raw records as rows: the repeated ones are an hour newer.
 RR = "SELECT *, 0 AS again FROM w_issues UNION ALL SELECT * REPLACE (updated + INTERVAL 1 HOUR AS updated), 1 FROM w_issues WHERE id % 9 = 0"
@@ -77,10 +83,10 @@ NEWEST = "SELECT * FROM rr WHERE again = 1 OR id % 9 <> 0"
 LOGGED = "SELECT * FROM w_transitions WHERE key IN (SELECT key FROM w_issues)"
 shown = lambda rows: rows.withColumn("labels", F.array_join("labels", ","))
 query("issue_flatten_snapshot", lambda t: shown(I.flatten_snapshot(records(t))), SNAP.format(rows="rr"), rr=RR)
-query("changelog_transitions", lambda t: I.changelog_transitions(parsed(t)), "SELECT t.key, to_status, changed_at, seq FROM w_transitions t WHERE key IN (SELECT key FROM w_issues)")
+query("changelog_transitions", lambda t: transitions_of(raw_issues(t)), "SELECT t.key, to_status, changed_at, seq FROM w_transitions t WHERE key IN (SELECT key FROM w_issues)")
 query(
     "transition_seq",
-    lambda t: I.changelog_transitions(parsed(t)).groupBy("key").agg(F.max("seq").alias("last"), F.count("*").alias("n")),
+    lambda t: transitions_of(raw_issues(t)).groupBy("key").agg(F.max("seq").alias("last"), F.count("*").alias("n")),
     "SELECT key, max(seq) AS last, count(*) AS n FROM w_transitions WHERE key IN (SELECT key FROM w_issues) GROUP BY 1",
 )
 MRF = "SELECT id, CASE WHEN id % 5 <> 0 THEN project_path ELSE CAST(id % 7 AS VARCHAR) END AS project_path, iid, author, merged_at FROM w_mrs"
