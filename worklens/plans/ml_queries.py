@@ -133,7 +133,7 @@ query(
     lambda t: M.throughput_features(series(t)).select("series", "month", "completed", *[F.round(x, 6).alias(x) if x in ("rolling_mean", "rolling_std") else c(x) for x in M.MAIN]),
     f"""SELECT * FROM (SELECT series, month, CAST(completed AS DOUBLE) AS completed, {_lag(1)}, {_lag(2)}, {_lag(3)}, CAST(month({_day}) AS INT) AS month_number, CAST(isodow({_day}) - 1 AS INT) AS day_of_week, CAST(CASE WHEN isodow({_day}) >= 6 THEN 1 ELSE 0 END AS INT) AS is_weekend,
  CAST(max(completed) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS DOUBLE) AS high, CAST(min(completed) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS DOUBLE) AS low,
- round(avg(completed) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS rolling_mean, round(stddev_samp(completed) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS rolling_std, CAST(created AS DOUBLE) AS created FROM sr WINDOW w AS (PARTITION BY series ORDER BY month)) WHERE lag3 IS NOT NULL""".replace("(w ROWS", "(PARTITION BY series ORDER BY month ROWS"),
+ round(avg(completed) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS rolling_mean, round(stddev_samp(completed) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS rolling_std, CAST(created AS DOUBLE) AS created, row_number() OVER w AS rn FROM sr WINDOW w AS (PARTITION BY series ORDER BY month)) WHERE rn > 6""".replace("SELECT * FROM", "SELECT * EXCLUDE (rn) FROM", 1).replace("(w ROWS", "(PARTITION BY series ORDER BY month ROWS"),
     sp=SP, sr=SR,
 )
 query(
@@ -203,6 +203,6 @@ query("forecast_concat", forecast_concat)
 query(
     "model_error",
     lambda t: M.throughput_features(series(t)).agg(F.round(F.avg(F.abs(c("lag1") - c("completed"))), 6).alias("mae"), F.round(F.avg((c("lag1") - c("completed")) ** 2), 6).alias("mse")),
-    "SELECT round(avg(abs(lag1 - completed)), 6) AS mae, round(avg((lag1 - completed) ** 2), 6) AS mse FROM (SELECT CAST(completed AS DOUBLE) AS completed, CAST(lag(completed) OVER w AS DOUBLE) AS lag1, lag(completed, 3) OVER w AS l3 FROM sr WINDOW w AS (PARTITION BY series ORDER BY month)) WHERE l3 IS NOT NULL",
+    "SELECT round(avg(abs(lag1 - completed)), 6) AS mae, round(avg((lag1 - completed) ** 2), 6) AS mse FROM (SELECT CAST(completed AS DOUBLE) AS completed, CAST(lag(completed) OVER w AS DOUBLE) AS lag1, row_number() OVER w AS rn FROM sr WINDOW w AS (PARTITION BY series ORDER BY month)) WHERE rn > 6",
     sp=SP, sr=SR,
 )

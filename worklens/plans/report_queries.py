@@ -303,6 +303,12 @@ query(
     "SELECT assignee_name, CAST(place AS INT) AS place, key, attention FROM (SELECT *, row_number() OVER (PARTITION BY assignee_name ORDER BY attention_rank, days_left NULLS LAST, priority_rank, age DESC, key) AS place FROM att WHERE issuetype <> 'Feature' AND assignee_name IS NOT NULL AND sn <> 'done') WHERE place <= 15",
     att=ATTENTION,
 )
+query(
+    "attention_features",
+    lambda t: attention(t.issues).filter((S.normalize_text(c("issuetype")) == "feature") & c("assignee_name").isNotNull()).withColumn("place", F.row_number().over(Window.partitionBy("assignee_name").orderBy("attention_rank", F.asc_nulls_last("days_left"), "priority_rank", F.desc("age"), "key"))).select("assignee_name", "place", "key", "attention"),
+    f"SELECT assignee_name, CAST(row_number() OVER (PARTITION BY assignee_name ORDER BY attention_rank, days_left NULLS LAST, priority_rank, age DESC, key) AS INT) AS place, key, attention FROM att WHERE {NORM.format(x='issuetype')} = 'feature' AND assignee_name IS NOT NULL",
+    att=ATTENTION,
+)
 query(
     "queue_oldest_first",
     lambda t: R.numbered(t.issues.filter(c("status").isin(*QUEUE) & ~c("issuetype").isin("Feature", "Initiative", "Epic")), [F.to_date("created")], ["created", "key"]).select("key", "created", "place"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from worklens.functions import scalars as S
 from worklens.functions.params import DEFAULT as P, DELIVERY_TYPES, WIP
-from worklens.operators import skills as K, text as T
+from worklens.operators import reports as R, skills as K, text as T
 from worklens.plans.flow_queries import CAPACITY_SQL, CUR, DONE, MV, ROSTER, SPARE, VF, capacity, spare_capacity
 from worklens.plans.registry import query
 
@@ -40,8 +40,8 @@ query(
 )
 query(
     "sentiment_mix",
-    lambda t: T.sentiment(tokens(t), lexicon(t), "doc_id").groupBy("bucket").agg(F.count("*").alias("n")),
-    "SELECT CASE WHEN s / sqrt(s * s + 15) >= 0.05 THEN 'Positive' WHEN s / sqrt(s * s + 15) <= -0.05 THEN 'Negative' ELSE 'Neutral' END AS bucket, count(*) AS n FROM se GROUP BY 1",
+    lambda t: R.on_spine(T.sentiment(tokens(t), lexicon(t), "doc_id").groupBy("bucket").agg(F.count("*").alias("n")), ("Positive", "Neutral", "Negative"), "bucket"),
+    "SELECT b.bucket, coalesce(n, 0) AS n FROM (VALUES ('Positive'), ('Neutral'), ('Negative')) b(bucket) LEFT JOIN (SELECT CASE WHEN s / sqrt(s * s + 15) >= 0.05 THEN 'Positive' WHEN s / sqrt(s * s + 15) <= -0.05 THEN 'Negative' ELSE 'Neutral' END AS bucket, count(*) AS n FROM se GROUP BY 1) x ON x.bucket = b.bucket",
     tok=TOK, lex=LEX, se=SE,
 )
 query("word_valence_tier", lambda t: lexicon(t).select("word", S.valence_tier(c("valence")).alias("tier")), "SELECT word, CASE WHEN valence >= 1.5 THEN 'very positive' WHEN valence > 0 THEN 'positive' WHEN valence <= -1.5 THEN 'very negative' WHEN valence < 0 THEN 'negative' ELSE 'neutral' END AS tier FROM lex", tok=TOK, lex=LEX)
