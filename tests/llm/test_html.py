@@ -55,6 +55,10 @@ def made(rng):
     rows.append((100, "http://cut.example.org/", "<p>x</p><script>if (a < b) {", ["x"]))
     rows.append((101, "http://cut.example.org/2", "<table><tr><td>a<td>b<tr><td><p>c</table><ul><li>d<li>e</ul><div class='unclosed", ["a", "b", "c", "d", "e"]))
     rows.append((102, "http://frame.example.org/", "<form class='page search'><main><h1>T</h1><article><p>body</p></article></main></form>", ["T", "body"]))
+    body = "".join(f"<p>{p}</p>" for p in base[:4])
+    rows.append((104, "http://a.example.com/", f"<div id=header><h1>Site</h1></div><div class='page has-sidebar'><h1>T</h1>{body}</div><div id=sidebar><p>side</div><ul class=comment-list><li>I think so<li>So do I</ul>", ["T", *base[:4]]))
+    rows.append((105, "http://b.example.com/", f"<div role=navigation><p>go</div><form id=aspnet><div class=content><h1>T</h1>{body}<div class=adSlot><p>buy</div></div></form><section class=userComments><p>no</section><div class='alert toast'>cookies</div>", ["T", *base[:4]]))
+    rows.append((106, "http://c.example.com/", f"<main><section>{body}</section><section id=comments><h2>2 Kommentare</h2><p>nein</section></main><div>outside</div>", base[:4]))
     rows.append((103, "http://long.example.org/", "<article>" + "".join(f"<p>{i} {'lang ' * 50}" for i in range(3000)), [f"{i} {'lang ' * 50}".strip() for i in range(3000)]))
     rows.append((103, *rows[-1][1:]))
     for r in rows:

@@ -9,7 +9,8 @@
    marks its main part or article, for lines of articles repeat too), five at least, is constant and belongs to the template; a slot of which half or more is link text is a menu; all other slots vary and are content.
    Exact copies of a page count as one. Where constants are over half of a page's content, the page is one of near copies: they stay.
 4. Roles. Elements whose tag, role or class says menu, header, footer, sidebar, notice, advert, form, reader comments are
-   template too, however much they vary. Where a page marks its main part or its article, only blocks in it are content.
+   template too, however much they vary, but not where they frame the article: where they hold main, an article with its h1, or an h1 and over
+   half of the page's text. Headings of an article's own header stay. Where a page marks its main part or its article, only blocks in it are content.
 
 Layouts, slots and constants are counted by Spark with partial sums over all pages; the wrapper and the constants of a host are bounded by
 the size of a few of its pages, not by their number. Texts and slots are counted by 64-bit hashes.
@@ -61,7 +62,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead topbar footer sidebar aside widget widgets ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion"
     " banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments"
-    " commentlist respond disqus reply replies login search searchbox pagination pager toolbar skip copyright teaser paywall hidden".split()
+    " commentlist respond disqus reply replies login search searchbox pagination pager toolbar skip copyright teaser paywall hidden"
+    " adbox adslot adsense adwrap disclaimer announcement announcements toast snackbar commentbox commentsection usercomments".split()
 )
 COMMENTS = re.compile(r"(?:\d+ )?(?:reader |leser|user )?(?:comments?|kommentare?|commentaires?|comentarios?)(?: \(?\d+\)?)?:?", re.I)
 
@@ -323,19 +325,20 @@ def aligned(root: Node, wrapper: list, memo: dict) -> dict[int, str]:
     return slots
 
 
-def _holds(node: Node, memo: dict[int, tuple[bool, bool]]) -> tuple[bool, bool]:
-    """(holds an h1, frames the article: holds main, or an article with an h1) of a node's inside."""
+def _holds(node: Node, memo: dict[int, tuple[bool, bool, int]]) -> tuple[bool, bool, int]:
+    """(holds an h1, holds main or an article with an h1, characters of text) of a node's inside."""
     if id(node) not in memo:
-        heading = frame = False
-        if all(type(k) is list for k in node.kids):
-            return False, False
+        heading, frame, size = False, False, 0
         for kid in node.kids:
             if isinstance(kid, Node):
-                h, f = _holds(kid, memo)
-                own = kid.key.split(".")[0]
+                h, f, n = _holds(kid, memo)
+                own = kid.key.split(".", 1)[0]
                 heading |= h or kid.tag == "h1"
                 frame |= f or own == "main" or (own == "article" and h and not kid.out)
-        memo[id(node)] = (heading, frame)
+                size += n
+            else:
+                size += len(kid[0])
+        memo[id(node)] = (heading, frame, size)
     return memo[id(node)]
 
 
@@ -350,7 +353,8 @@ def blocks(page: str, wrapper: str | None, known: dict | None = None) -> list[tu
     if len(known[wrapper][1]) > 10_000:
         known[wrapper][1].clear()
     slots = aligned(root, *known[wrapper])
-    memo: dict[int, tuple[bool, bool]] = {}
+    memo: dict[int, tuple[bool, bool, int]] = {}
+    total = _holds(root, memo)[2]
     found: list[tuple] = []  # (slot, text, links, kept by role, in main, number of the article around)
     articles = 0
 
@@ -360,9 +364,10 @@ def blocks(page: str, wrapper: str | None, known: dict | None = None) -> list[tu
         for kid in node.kids:
             if isinstance(kid, list):
                 heading = node.tag in HEADINGS
-                found.append((slots[id(kid)], kid[0], kid[1], not out and not comments and (not header or heading), main, article))
+                found.append((slots[id(kid)], kid[0], kid[1], not out and not comments and (not header or (heading and (main or article > 0))), main, article))
                 continue
-            frames = _holds(kid, memo)[1]
+            h1, frames, size = _holds(kid, memo)
+            frames = frames or (h1 and 2 * size > total)
             own = kid.key.split(".")[0]
             now_main = main or own == "main"
             now_article = article
