@@ -124,3 +124,14 @@ def test_state_of_completions_is_bounded(spark, tmp_path):
     got = {r["day"].day: r["n"] for r in Store(spark, target).table("days").collect()}
     assert got == {1: 3, 2: 3, 20: 1, 21: 5, 22: 3}
     assert dropped > 0 and state[-1] <= 3
+
+
+def test_first_commit_without_rows(spark, tmp_path):
+    """Empty tables are tables: they can be read, and the next commit fills them."""
+    store = Store(spark, str(tmp_path / "t"), 3)
+    schema = "key string, at timestamp_ntz, v int"
+    assert store.commit({"a": Upsert(spark.createDataFrame([], schema), "key", "at", {"b": spark.createDataFrame([], "key string, c string")})}) == 0
+    assert store.table("a").collect() == [] and store.table("b").columns == ["key", "c"] and store.watermark() is None
+    store.commit({"a": Upsert(spark.createDataFrame([("x", D(2001, 1, 1), 1)], schema), "key", "at", {"b": spark.createDataFrame([("x", "y")], "key string, c string")})})
+    assert store.table("a").count() == store.table("b").count() == 1
+    assert [r["total"] for r in store.audit().orderBy("number").collect()] == [{"a": 0, "b": 0}, {"a": 1, "b": 1}]
