@@ -29,7 +29,7 @@ def test_quantiles_of_groups(spark, bins, small):
     rows = [(g, v) for g, vs in groups.items() for v in vs] + [("even", None), ("ties", float("nan")), ("none", None)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r["g"]: r for r in ranks.quantiles(df, ["g"], F.col("v"), AT, bins, small).collect()}
+    got = {r["g"]: r for r in ranks.quantiles(df, ["g"], F.col("v"), AT, bins=bins, small=small).collect()}
     assert set(got) == set(groups)
     for g, values in groups.items():
         assert got[g]["n"] == len(values)
@@ -39,7 +39,7 @@ def test_quantiles_of_groups(spark, bins, small):
 
 def test_quantiles_of_all_rows(spark):
     df = spark.range(1001).select((F.col("id") * 37 % 1001).alias("v"))
-    assert tuple(ranks.quantiles(df, [], F.col("v"), {"p": 0.5, "q": 0.901}, 40, 40).first()) == (1001, 500.0, 901.0)
+    assert tuple(ranks.quantiles(df, [], F.col("v"), {"p": 0.5, "q": 0.901}, bins=40, small=40).first()) == (1001, 500.0, 901.0)
     assert tuple(ranks.quantiles(df.limit(0), [], F.col("v"), {"p": 0.5}).first()) == (0, None)
     assert ranks.quantiles(df.limit(0), ["v"], F.col("v"), {"p": 0.5}).collect() == []
 
@@ -49,3 +49,11 @@ def test_no_percentile_over_rows(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"))
     plan = ranks.quantiles(df, ["g"], F.col("v"), {"p": 0.5})._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan and plan.count("Window") == 1
+
+
+def test_aggregates_of_the_first_pass(spark):
+    """They are over all rows of a group, null values and groups without values included."""
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", None), (None, 5.0), ("none", None)], "g string, v double")
+    got = {r["g"]: tuple(r)[1:] for r in ranks.quantiles(df, ["g"], F.col("v"), {"p": 0.5}, F.count("*").alias("rows")).collect()}
+    assert got == {"a": (2, 1.5, 3), None: (1, 5.0, 1), "none": (0, None, 1)}
+    assert ranks.quantiles(df, [], F.col("v"), {"p": 0.5}, F.count("*").alias("rows")).collect() == [(3, 2.0, 5)]

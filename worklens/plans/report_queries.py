@@ -52,9 +52,9 @@ _pct = lambda s: f"round(avg(CASE WHEN sla_status = '{s}' THEN 1.0 ELSE 0.0 END)
 
 
 def sla_kpis(t):
-    middle = lambda x: quantiles(_sla(t), [], c(x), {x: 0.5}).select(F.round(x, 6).alias(f"median_{x}"))
-    counts = _sla(t).agg(F.count("*").alias("n"), *_sla_counts(), R.share(c("sla_status") == "Breached").alias("breach_pct"), R.share(c("sla_status") == "At Risk").alias("at_risk_pct"))
-    return counts.crossJoin(F.broadcast(middle("elapsed"))).crossJoin(F.broadcast(middle("target")))
+    counts = [*_sla_counts(), R.share(c("sla_status") == "Breached").alias("breach_pct"), R.share(c("sla_status") == "At Risk").alias("at_risk_pct")]
+    rows = quantiles(_sla(t), [], c("elapsed"), {"median_elapsed": 0.5}, *counts).withColumn("median_elapsed", F.round("median_elapsed", 6))
+    return rows.crossJoin(F.broadcast(quantiles(_sla(t), [], c("target"), {"x": 0.5}).select(F.round("x", 6).alias("median_target"))))
 
 
 query(
@@ -67,9 +67,8 @@ query(
 
 def sla_by_priority(t):
     """Counts of every status, rates and quartiles of the elapsed days, by priority."""
-    counts = _sla(t).groupBy("priority").agg(*_sla_counts(), R.share(c("sla_status") == "Breached").alias("breach_pct"), R.share(c("sla_status") == "At Risk").alias("at_risk_pct"))
-    ranks = quantiles(_sla(t), ["priority"], c("elapsed"), {"median": 0.5, "p75": 0.75})
-    return counts.join(ranks.select("priority", "n", *[F.round(x, 6).alias(x) for x in ("median", "p75")]), "priority")
+    counts = [*_sla_counts(), R.share(c("sla_status") == "Breached").alias("breach_pct"), R.share(c("sla_status") == "At Risk").alias("at_risk_pct")]
+    return quantiles(_sla(t), ["priority"], c("elapsed"), {"median": 0.5, "p75": 0.75}, *counts).withColumns({x: F.round(x, 6) for x in ("median", "p75")})
 
 
 query(
