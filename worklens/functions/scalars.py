@@ -151,8 +151,8 @@ def due_risk_bucket(left: Column) -> Column:
 
 
 def target_timeline_bucket(left: Column) -> Column:
-    """Null without a date: such issues are left out of the timeline."""
-    return F.when(left < 0, "Overdue").when(left <= 14, "Due in 14 Days").when(left <= 30, "Due in 30 Days").when(left.isNotNull(), "Due Later")
+    """Every issue has a place in the timeline; those without a date are a bucket of their own."""
+    return F.when(left.isNull(), "No Target Date").when(left < 0, "Overdue").when(left <= 14, "Due in 14 Days").when(left <= 30, "Due in 30 Days").otherwise("Due Later")
 
 
 def load_bucket(days: Column) -> Column:

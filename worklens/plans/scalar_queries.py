@@ -232,9 +232,9 @@ query(
 )
 for _name, _fn, _cases in (
     ("due_risk_bucket", S.due_risk_bucket, "WHEN x IS NULL THEN 'No Target Date' WHEN x < 0 THEN 'Overdue' WHEN x <= 7 THEN 'Due in 7 Days' ELSE 'On Track'"),
-    ("target_timeline_bucket", S.target_timeline_bucket, "WHEN x < 0 THEN 'Overdue' WHEN x <= 14 THEN 'Due in 14 Days' WHEN x <= 30 THEN 'Due in 30 Days' WHEN x IS NOT NULL THEN 'Due Later'"),
+    ("target_timeline_bucket", S.target_timeline_bucket, "WHEN x IS NULL THEN 'No Target Date' WHEN x < 0 THEN 'Overdue' WHEN x <= 14 THEN 'Due in 14 Days' WHEN x <= 30 THEN 'Due in 30 Days' ELSE 'Due Later'"),
 ):
-    query(_name, lambda t, f=_fn: t.issues.select("key", f(S.days_left(c("target_end_date"), P)).alias("bucket")).filter("bucket is not null"), f"SELECT * FROM (SELECT key, CASE {_cases} END AS bucket FROM (SELECT key, CAST(CAST(target_end_date AS DATE) - CAST({NOW} AS DATE) AS INT) AS x FROM w_issues)) WHERE bucket IS NOT NULL")
+    query(_name, lambda t, f=_fn: t.issues.select("key", f(S.days_left(c("target_end_date"), P)).alias("bucket")), f"SELECT key, CASE {_cases} END AS bucket FROM (SELECT key, CAST(CAST(target_end_date AS DATE) - CAST({NOW} AS DATE) AS INT) AS x FROM w_issues)")
 for _name, _fn, _cases in (
     ("load_bucket", S.load_bucket, "WHEN x > 90 THEN 'Critical' WHEN x > 60 THEN 'High' WHEN x > 30 THEN 'Medium' WHEN x > 0 THEN 'Low' ELSE 'None'"),
     ("age_risk_band", S.age_risk_band, "WHEN x >= 90 THEN 'Critical' WHEN x >= 60 THEN 'Aging' WHEN x >= 30 THEN 'Watch' ELSE 'Healthy'"),
