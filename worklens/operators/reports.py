@@ -73,9 +73,16 @@ def trend_spine(issues: DataFrame, months: int = 9) -> DataFrame:
     return ends.select(F.explode(F.sequence(F.add_months(last, 1 - max(6, min(9, months))), last, F.expr("INTERVAL 1 MONTH"))).alias("day")).select(F.date_format("day", "yyyy-MM").alias("month"))
 
 
+def whole_spine(issues: DataFrame) -> DataFrame:
+    """Every month from the first created or done issue to the last."""
+    at = F.coalesce("resolved", "updated")
+    ends = issues.agg(F.min(F.least("created", at)).alias("low"), F.max(F.greatest("created", at)).alias("high")).filter("low is not null")
+    return ends.select(F.explode(F.sequence(F.trunc("low", "month"), F.trunc("high", "month"), F.expr("INTERVAL 1 MONTH"))).alias("day")).select(F.date_format("day", "yyyy-MM").alias("month"))
+
+
 def trend_done(issues: DataFrame, spine: DataFrame) -> DataFrame:
     """Issues done in the months, with the month."""
-    return issues.filter(c("status").isin(*TREND_DONE)).withColumn("month", F.date_format(F.coalesce("resolved", "updated"), "yyyy-MM")).join(F.broadcast(spine), "month")  # nine rows at most
+    return issues.filter(c("status").isin(*TREND_DONE)).withColumn("month", F.date_format(F.coalesce("resolved", "updated"), "yyyy-MM")).join(F.broadcast(spine), "month")  # a row a month
 
 
 def monthly_cycle(issues: DataFrame, spine: DataFrame) -> DataFrame:

@@ -134,12 +134,16 @@ TD = f"SELECT *, strftime(coalesce(resolved, updated), '%Y-%m') AS month FROM w_
 TF = "SELECT tsp.month, coalesce(created, 0) AS created, coalesce(completed, 0) AS completed, coalesce(completed, 0) - coalesce(created, 0) AS net FROM tsp LEFT JOIN (SELECT strftime(created, '%Y-%m') AS month, count(*) AS created FROM w_issues GROUP BY 1) a ON a.month = tsp.month LEFT JOIN (SELECT month, count(*) AS completed FROM td GROUP BY 1) b ON b.month = tsp.month"
 TC = f"SELECT tsp.month, coalesce(a, 0.0) AS median, coalesce(b, 0.0) AS p75 FROM tsp LEFT JOIN (SELECT month, quantile_cont({floor_days('created', 'updated')}, 0.5) AS a, quantile_cont({floor_days('created', 'updated')}, 0.75) AS b FROM td GROUP BY 1) q ON q.month = tsp.month"
 TREND = {"tsp": TS, "td": TD, "tf": TF, "tc": TC}
+#: The same over all months, from the first created or done issue to the last.
+TS_ALL = "SELECT strftime(unnest(range(date_trunc('month', low), date_trunc('month', high) + INTERVAL 1 MONTH, INTERVAL 1 MONTH)), '%Y-%m') AS month FROM (SELECT min(least(created, coalesce(resolved, updated))) AS low, max(greatest(created, coalesce(resolved, updated))) AS high FROM w_issues)"
+TREND_ALL = TREND | {"tsp": TS_ALL}
+_whole_flow = lambda t: R.monthly_flow(t.issues, R.whole_spine(t.issues), TREND_DONE)
 _trend = lambda t: R.trend_spine(t.issues)
 _trend_flow = lambda t: R.monthly_flow(t.issues, _trend(t), TREND_DONE)
-query("month_spine_join", lambda t: _trend_flow(t).select("month", "created", "completed"), "SELECT month, created, completed FROM tf", **TREND)
-query("cumulative_net_flow", lambda t: _trend_flow(t).select("month", "net", "cumulative"), "SELECT month, net, CAST(sum(net) OVER (ORDER BY month) AS BIGINT) AS cumulative FROM tf", **TREND)
+query("month_spine_join", lambda t: _whole_flow(t).select("month", "created", "completed"), "SELECT month, created, completed FROM tf", **TREND_ALL)
+query("cumulative_net_flow", lambda t: _whole_flow(t).select("month", "net", "cumulative"), "SELECT month, net, CAST(sum(net) OVER (ORDER BY month) AS BIGINT) AS cumulative FROM tf", **TREND_ALL)
 EX = days("created", "updated")
-query("monthly_cycle", lambda t: R.monthly_cycle(t.issues, _trend(t)), "SELECT * FROM tc", **TREND)
+query("monthly_cycle", lambda t: R.monthly_cycle(t.issues, R.whole_spine(t.issues)), "SELECT * FROM tc", **TREND_ALL)
 query(
     "status_mix",
     lambda t: R.top_semi(t.issues, "status", 6).withColumn("month", F.date_format(F.coalesce("resolved", "updated"), "yyyy-MM")).join(F.broadcast(_trend(t)), "month").groupBy("month", "status").agg(F.count("*").alias("n")),
