@@ -247,10 +247,7 @@ SEASONAL = (*(f"lag{k}" for k in range(1, LAGS + 1)), "sine", "cosine", "trend")
 
 
 def throughput_features(monthly: DataFrame) -> DataFrame:
-    """series, month, completed, created -> lags, date parts, three-month maximum and minimum, shifted rolling mean and deviation, created.
-
-    Rolling values are of the months that have all lags, so the first six months give no row.
-    """
+    """series, month, completed, created -> lags, date parts, three-month maximum and minimum, shifted rolling mean and deviation, created, where all exist: from the fourth month on."""
     w = Window.partitionBy("series").orderBy("month")
     first, y = F.to_date(F.concat("month", F.lit("-01"))), c("completed").cast("double")
     rows = monthly.select(
@@ -258,7 +255,7 @@ def throughput_features(monthly: DataFrame) -> DataFrame:
         F.when(F.weekday(first) >= 5, 1).otherwise(0).alias("is_weekend"), F.max(y).over(w.rowsBetween(-2, 0)).alias("high"), F.min(y).over(w.rowsBetween(-2, 0)).alias("low"),
         F.avg(y).over(w.rowsBetween(-3, -1)).alias("rolling_mean"), F.stddev_samp(y).over(w.rowsBetween(-3, -1)).alias("rolling_std"), c("created").cast("double").alias("created"), (F.row_number().over(w) - 1).cast("double").alias("trend"),
     )
-    return rows.filter("trend >= 6")
+    return rows.filter("lag3 is not null")
 
 
 def seasonal_lags(monthly: DataFrame) -> DataFrame:
