@@ -36,7 +36,7 @@ def raw_issues(t):
         known(2, F.array(F.lit("team-a"), F.concat(F.lit("lead-"), "business_lead"))).alias("labels"), known(7, (c("id") % 100).cast("string")).alias("planning_rank"), known(6, (c("id") % 50).cast("string")).alias("portfolio_rank"),
         known(5, c("parent_key")).alias("legend"), known(9, c("project_name")).alias("parent_project"),
     )
-    return rows.select("id", "again", F.to_json(F.struct("key", c("id").cast("string").alias("id"), fields.alias("fields"), F.struct(history.alias("histories")).alias("changelog"))).alias("value"))
+    return rows.select("id", "again", I.once(F.to_json(F.struct("key", c("id").cast("string").alias("id"), fields.alias("fields"), F.struct(history.alias("histories")).alias("changelog")))).alias("value"))
 
 
 def raw_mrs(t):
@@ -45,15 +45,16 @@ def raw_mrs(t):
     deleted = F.when(c("id") % 4 == 0, F.array(F.struct(F.lit("").alias("new_path"), F.lit("old/gone.py").alias("old_path")))).otherwise(F.array().cast("array<struct<new_path:string,old_path:string>>"))
     changes = F.concat(deleted, F.coalesce(F.transform("paths", lambda p: F.struct(p.alias("new_path"), p.alias("old_path"))), F.array().cast("array<struct<new_path:string,old_path:string>>")))
     full = F.when(c("id") % 5 != 0, F.concat("project_path", F.lit("!"), c("iid").cast("string")))
-    return rows.select("id", F.to_json(F.struct("id", "iid", (c("id") % 7).alias("project_id"), F.struct(c("author").alias("username")).alias("author"), iso(c("merged_at")).alias("merged_at"), F.struct(full.alias("full")).alias("references"), changes.alias("changes"))).alias("value"))
+    return rows.select("id", I.once(F.to_json(F.struct("id", "iid", (c("id") % 7).alias("project_id"), F.struct(c("author").alias("username")).alias("author"), iso(c("merged_at")).alias("merged_at"), F.struct(full.alias("full")).alias("references"), changes.alias("changes")))).alias("value"))
 
 
 records = lambda t: I.parse(raw_issues(t), I.ISSUE)
 
 
 def transitions_of(lines):
-    """Transitions of raw lines, of the newest line of each key."""
-    return I.changelog_transitions(newest(I.parse(lines, I.ISSUE), "key", I.parse_ts_utc(c("fields.updated"))))
+    """Transitions of raw lines, of the newest line of each key; which one that is, is told as by the intake."""
+    change = intake.issue_changes(lines)["issues"]
+    return newest(I.apart(change.rows), change.key, c(change.time)).select("key", F.inline("log")).select("key", "to_status", "changed_at", "seq")
 
 
 parsed_mrs = lambda t: I.parse(raw_mrs(t), I.MERGE_REQUEST)
@@ -170,18 +171,24 @@ query(
 query("table_sink", table_sink, "SELECT strftime(created, '%Y-%m') AS month, count(*) AS n FROM w_issues GROUP BY 1")
 
 
-def _staged(t, raw) -> str:
-    """Raw lines as files, some of them twice, in a shared folder."""
+#: Batches that a staged folder is read in.
+BATCHES = 3
+
+
+def _staged(t, raw) -> tuple[str, int]:
+    """Raw lines as files, those of even ids twice, in a shared folder, and how many files make a batch. Files follow the rows, so that no task writes or reads them alone; batches don't grow in number."""
     path = I.shared_dir(t.spark)
-    raw.select("value").repartition(4).write.text(path)
-    raw.filter("id % 2 = 0").select("value").repartition(1).write.mode("append").text(path)
-    return path
+    raw.select("value").write.option("compression", "lz4").text(path)
+    again = t.spark.read.text(path).filter(F.get_json_object("value", "$.id").cast("long") % 2 == 0)
+    again.write.mode("append").option("compression", "lz4").text(path)
+    return path, -(-len(t.spark.read.text(path).inputFiles()) // BATCHES)
 
 
 def _taken_in(t, run, raw) -> Store:
     """The store that a stream over the raw lines has filled."""
     target = I.shared_dir(t.spark)
-    run(t.spark, _staged(t, raw), target, buckets=8).awaitTermination()
+    source, files = _staged(t, raw)
+    run(t.spark, source, target, buckets=8, files_per_batch=files).awaitTermination()
     return Store(t.spark, target)
 
 
@@ -236,8 +243,11 @@ def reread(t):
     """Every transition is read twice, as an overlapping margin would; the second reading is another batch, and both are upserts by the transition's id."""
     target, source = I.shared_dir(t.spark), I.shared_dir(t.spark)
     rows = t.transitions.select(F.concat_ws("/", "key", "seq").alias("id"), "to_status", "changed_at")
-    rows.unionByName(rows).write.parquet(source)
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(source)
+    rows.write.parquet(source)
+    first = t.spark.read.schema(rows.schema).parquet(source)
+    files = len(first.inputFiles())
+    first.write.mode("append").parquet(source)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(source)
     store = Store(t.spark, target, 8)
     intake.commit_stream(stream, store, lambda batch: {"log": Upsert(batch, "id", "changed_at")}, f"{target}/checkpoint").awaitTermination()
     return store.table("log").groupBy("to_status").agg(F.count("*").alias("n"))

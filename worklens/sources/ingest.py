@@ -44,9 +44,19 @@ def parse_date(text: Column) -> Column:
     return F.try_to_date(text) if hasattr(F, "try_to_date") else text.try_cast("date")
 
 
+def once(value: Column) -> Column:
+    """The value as a row of its own. An expression that many columns read is otherwise written out, and computed, in each of them."""
+    return F.explode(F.array(value))
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """The rows, with every column computed once before what follows."""
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+
+
 def parse(raw: DataFrame, schema: str) -> DataFrame:
-    """value string -> columns; unreadable lines give rows of nulls and are dropped."""
-    return raw.select(F.from_json("value", schema).alias("r")).select("r.*").filter("key is not null" if schema == ISSUE else "id is not null")
+    """value string -> columns; unreadable lines give rows of nulls and are dropped. A line is read once, however many columns are made of it."""
+    return raw.select(F.inline(F.array(F.from_json("value", schema)))).filter("key is not null" if schema == ISSUE else "id is not null")
 
 
 def flatten_wide(parsed: DataFrame, p: Params) -> DataFrame:
@@ -71,8 +81,8 @@ def flatten_wide(parsed: DataFrame, p: Params) -> DataFrame:
     ).withColumn("velocity_backlog_days", F.when(c("velocity_backlog").isNotNull(), c("velocity_backlog_days")))
 
 
-def flatten_snapshot(parsed: DataFrame, fetched_at: Column | None = None) -> DataFrame:
-    """The twenty columns of the store's issue table. fetched_at: by default the raw update."""
+def flatten_snapshot(parsed: DataFrame, fetched_at: Column | None = None, *also: Column) -> DataFrame:
+    """The twenty columns of the store's issue table. fetched_at: by default the raw update. ``also``: further columns of the parsed record."""
     f = lambda x: c("fields." + x)
     text = lambda x, default="": F.coalesce(f(x), F.lit(default))
     updated = parse_ts_utc(f("updated"))
@@ -80,7 +90,7 @@ def flatten_snapshot(parsed: DataFrame, fetched_at: Column | None = None) -> Dat
         "key", c("id").cast("long").alias("id"), text("project.key").alias("project"), text("issuetype.name").alias("issuetype"), text("status.name").alias("status"), text("status.statusCategory.key").alias("status_category"),
         text("priority.name", "No Priority").alias("priority"), text("summary").alias("summary"), f("assignee.displayName").alias("assignee"), f("assignee.accountId").alias("assignee_account_id"), f("reporter.displayName").alias("reporter"),
         f("lead.displayName").alias("business_lead"), f("parent.key").alias("parent_key"), parse_ts_utc(f("created")).alias("created"), updated.alias("updated"), parse_ts_utc(f("resolutiondate")).alias("resolutiondate"),
-        parse_date(f("planned_start")).alias("planned_start"), parse_date(f("target_end")).alias("target_end"), F.coalesce(f("labels"), F.array().cast("array<string>")).alias("labels"), (updated if fetched_at is None else fetched_at).alias("fetched_at"),
+        parse_date(f("planned_start")).alias("planned_start"), parse_date(f("target_end")).alias("target_end"), F.coalesce(f("labels"), F.array().cast("array<string>")).alias("labels"), (updated if fetched_at is None else fetched_at).alias("fetched_at"), *also,
     )
 
 
@@ -93,9 +103,23 @@ def changelog_transitions(parsed: DataFrame) -> DataFrame:
     return kept.select("key", F.coalesce("i.toString", F.lit("")).alias("to_status"), "changed_at", (F.row_number().over(w) - 1).alias("seq"))
 
 
-def mr_flatten(parsed: DataFrame) -> DataFrame:
+def transition_log() -> Column:
+    """The transitions of one parsed record as an array of (to_status, changed_at, seq), numbered as by changelog_transitions."""
+    of = lambda h, k: F.transform(F.filter(h["items"], lambda i: i["field"] == "status"), lambda i, n: F.struct(parse_ts_utc(h["created"]).alias("changed_at"), k.alias("hp"), n.alias("ip"), F.coalesce(i["toString"], F.lit("")).alias("to_status")))
+    items = F.flatten(F.filter(F.transform("changelog.histories", of), lambda x: x.isNotNull()))
+    kept = F.array_sort(F.filter(items, lambda x: x["changed_at"].isNotNull()))
+    return F.transform(kept, lambda x, n: F.struct(x["to_status"].alias("to_status"), x["changed_at"].alias("changed_at"), n.alias("seq")))
+
+
+def mr_flatten(parsed: DataFrame, *also: Column) -> DataFrame:
     path = F.coalesce(F.nullif(F.split("references.full", "!")[0], F.lit("")), c("project_id").cast("string"))
-    return parsed.select("id", path.alias("project_path"), "iid", c("author.username").alias("author"), parse_ts_utc(c("merged_at")).alias("merged_at"))
+    return parsed.select("id", path.alias("project_path"), "iid", c("author.username").alias("author"), parse_ts_utc(c("merged_at")).alias("merged_at"), *also)
+
+
+def mr_paths() -> Column:
+    """The different changed files of one parsed record as an array of (path)."""
+    paths = F.transform(F.slice("changes", 1, FILES_KEPT), lambda x: F.coalesce(F.nullif(x["new_path"], F.lit("")), x["old_path"]))
+    return F.transform(F.array_distinct(F.filter(paths, lambda x: F.coalesce(x, F.lit("")) != "")), lambda x: F.struct(x.alias("path")))
 
 
 def mr_changed_paths(parsed: DataFrame) -> DataFrame:

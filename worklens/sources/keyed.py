@@ -8,6 +8,9 @@ the same version; one that is committed already is not done again. Versions that
 Rules: of several rows of a key the one of greatest time stays (null is the smallest), at equal times that of the later batch, within a batch
 the greater one by its columns in order. Children follow their parent: they are replaced where the parent's row is, and only there.
 A table is written by one stream at a time.
+
+Files of a version hold more columns than the table: ``_n`` and ``_later`` (rows given of the key, and whether the row is the batch's), and nested children as arrays.
+What a commit counts is read from them, and a batch's rows are computed once: they go through one exchange, by bucket and part, which serves both the choice of the newest row and the files.
 """
 
 from __future__ import annotations
@@ -22,12 +25,16 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 @dataclass
 class Upsert:
-    """Rows of a table with one row a key, and rows of other tables that belong to them by the same key."""
+    """Rows of a table with one row a key, and rows of other tables that belong to them by the same key.
+
+    ``nested``: tables whose rows stand in the rows themselves, in a column that is an array of structs; the column is no part of the table.
+    """
 
     rows: DataFrame
     key: str
     time: str
     children: dict[str, DataFrame] = field(default_factory=dict)
+    nested: dict[str, str] = field(default_factory=dict)
 
 
 def newest(rows: DataFrame, key: str, *time: Column) -> DataFrame:
@@ -116,12 +123,27 @@ class Store:
     def _bucket(self, key: str) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int").alias("bucket")
 
+    def _newest(self, rows: DataFrame, key: str, time: str) -> DataFrame:
+        """One row of each key with ``_n``, the number of its rows, and its bucket. A bucket's rows are dealt out to as many tasks as the shuffle has."""
+        parts = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        part = F.pmod(F.shiftrightunsigned(F.xxhash64(key), 24), F.lit(parts)).alias("_part")
+        rest = [x for x in rows.columns if x not in (key, time, "_later")]
+        dealt = rows.select("*", self._bucket(key), part).repartition("bucket", "_part")
+        top = dealt.groupBy("bucket", "_part", key).agg(F.max(F.struct(time, "_later", *rest)).alias("_top"), F.count("*").alias("_n"))
+        return top.select(*[F.col(x) if x == key else F.col(f"_top.{x}") for x in rows.columns], "_n", "bucket")
+
+    def _path_of(self, name: str, number: int) -> str:
+        return f"{self.root}/{name}/v={number}"
+
+    def _version(self, name: str, number: int, schema: StructType) -> DataFrame:
+        """Columns of a version's files, and the bucket."""
+        return self.spark.read.schema(StructType([*[f for f in schema.fields if f.name != "bucket"], StructField("bucket", IntegerType())])).parquet(self._path_of(name, number))
+
     def _write(self, name: str, rows: DataFrame, key: str, number: int) -> dict[int, int]:
-        """Write a version of the touched buckets; bucket -> rows. Large buckets become several files, small ones one."""
-        path = f"{self.root}/{name}/v={number}"
-        rows.select("*", self._bucket(key)).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-        written = self.spark.read.schema(StructType([*rows.schema.fields, StructField("bucket", IntegerType())])).parquet(path)
-        return {r["bucket"]: r["count"] for r in written.groupBy("bucket").count().collect()}
+        """Write a version of the touched buckets; bucket -> rows. Rows with their bucket are written as they are dealt out; others are dealt out, large buckets to several files, small ones to one."""
+        rows = rows if "bucket" in rows.columns else rows.select("*", self._bucket(key)).hint("rebalance", "bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(self._path_of(name, number))
+        return {r["bucket"]: r["count"] for r in self._version(name, number, rows.schema).groupBy("bucket").count().collect()}
 
     def commit(self, changes: dict[str, Upsert], stream: str = "", batch: int | None = None) -> int | None:
         """Bring all changes into the tables at once and return the commit's number, or None if this batch of the stream is in already."""
@@ -135,33 +157,50 @@ class Store:
         new = json.loads(json.dumps(old))
         fetched, reach = {}, []
         for name, change in changes.items():
-            rows = change.rows.persist()
-            try:
-                touched = {r["bucket"] for r in rows.select(self._bucket(change.key)).distinct().collect()}
-                top = rows.agg(F.count("*").alias("n"), F.max(change.time).cast("timestamp_ntz").cast("string").alias("at")).first()
-                fetched[name] = top["n"]
-                reach += [top["at"]] * (top["at"] is not None)
-                current = self._rows(old, name, touched, rows.schema)
-                both = current.select("*", F.lit(0).alias("_later")).unionByName(rows.select("*", F.lit(1).alias("_later")))
-                merged = newest(both, change.key, F.col(change.time), F.col("_later")).persist()
-                try:
-                    self._keep_state(new, old, name, rows.schema, touched, self._write(name, merged.drop("_later"), change.key, number), number)
-                    taken = merged.filter("_later = 1").select(change.key)
-                    for child, own in change.children.items():
-                        kept = self._rows(old, child, touched, own.schema).join(taken, change.key, "left_anti")
-                        now = own.join(taken, change.key, "left_semi")
-                        fetched[child] = own.count()
-                        self._keep_state(new, old, child, own.schema, touched, self._write(child, kept.unionByName(now), change.key, number), number)
-                finally:
-                    merged.unpersist()
-            finally:
-                rows.unpersist()
+            key, nested = change.key, change.nested
+            schema = StructType([f for f in change.rows.schema.fields if f.name not in nested.values()])
+            merged = self._newest(change.rows.select("*", F.lit(1).alias("_later")), key, change.time)
+            files, given = merged.schema, name
+            if old["tables"].get(name, {}).get("versions"):
+                given = f"_batch/{name}"
+                touched = set(self._write(given, merged, key, number))
+                later = self._version(given, number, files).drop("_n", "bucket")
+                none = {x: F.lit(None).cast(later.schema[x].dataType) for x in nested.values()}
+                current = self._rows(old, name, touched, schema).withColumns({**none, "_later": F.lit(0)})
+                merged = self._newest(current.unionByName(later), key, change.time)
+            written = self._write(name, merged, key, number)
+            touched = touched if given != name else set(written)
+            held = self._version(given, number, files)
+            sizes = [F.coalesce(F.sum(F.when(F.col(x).isNotNull(), F.size(x))), F.lit(0)).cast("long").alias(x) for x in nested.values()]
+            top = held.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"), F.max(change.time).cast("timestamp_ntz").cast("string").alias("_at"), *sizes).first()
+            fetched |= {name: top["_n"]} | {child: top[x] for child, x in nested.items()}
+            reach += [top["_at"]] * (top["_at"] is not None)
+            self._keep_state(new, old, name, schema, touched, written, number)
+            taken = self._version(name, number, files).filter("_later = 1")
+            for child, x in nested.items():
+                now = taken.select(key, F.inline(x), "bucket")
+                self._replace(new, old, child, key, now, taken, touched, number)
+            for child, own in change.children.items():
+                path = self._path_of(f"_batch/{child}", number)
+                own.write.mode("overwrite").parquet(path)
+                own = self.spark.read.schema(own.schema).parquet(path)
+                fetched[child] = own.count()
+                self._replace(new, old, child, key, own.join(taken.select(key), key, "left_semi"), taken, touched, number)
         self._put(f"state-{number}", new)
         total = {name: sum(n for _, n in t["versions"].values()) for name, t in new["tables"].items()}
         self._put(f"commit-{number}", {"number": number, "stream": stream, "batch": -1 if batch is None else batch, "whole": before is None, "fetched": fetched, "total": total, "watermark": max(reach, default=None)})
+        self._fs.delete(self._path(f"{self.root}/_batch"), True)
         self._forget(number)
         return number
 
+    def _replace(self, new: dict, old: dict, child: str, key: str, now: DataFrame, taken: DataFrame, touched: set[int], number: int) -> None:
+        """Write the touched buckets of a children's table: what was there, less all rows of the keys taken, and theirs of now."""
+        schema = now.drop("bucket").schema
+        if old["tables"].get(child, {}).get("versions"):
+            kept = self._rows(old, child, touched, schema).join(taken.select(key), key, "left_anti")
+            now = kept.unionByName(now.drop("bucket"))
+        self._keep_state(new, old, child, schema, touched, self._write(child, now, key, number), number)
+
     def _keep_state(self, new: dict, old: dict, name: str, schema: StructType, touched: set[int], written: dict[int, int], number: int) -> None:
         versions = dict(old["tables"].get(name, {"versions": {}})["versions"])
         for b in touched:

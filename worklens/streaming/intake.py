@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from worklens.sources import ingest as I
-from worklens.sources.keyed import Store, Upsert, newest
+from worklens.sources.keyed import Store, Upsert
 
 
 def _lines(spark: SparkSession, path: str, files_per_batch: int) -> DataFrame:
@@ -21,27 +21,23 @@ def _lines(spark: SparkSession, path: str, files_per_batch: int) -> DataFrame:
 
 
 def issue_changes(lines: DataFrame) -> dict[str, Upsert]:
-    """JSON lines of issues -> snapshots and the transitions of the same reading. Of a key that comes twice, the newer line; at equal times the greater."""
-    parsed = newest(I.parse(lines, I.ISSUE), "key", I.parse_ts_utc(F.col("fields.updated")))
-    return {"issues": Upsert(I.flatten_snapshot(parsed), "key", "updated", {"transitions": I.changelog_transitions(parsed)})}
+    """JSON lines of issues -> snapshots and the transitions of the same reading. Of a key that comes twice, the newer line; at equal times the greater by its columns, then its transitions."""
+    return {"issues": Upsert(I.flatten_snapshot(I.parse(lines, I.ISSUE), None, I.transition_log().alias("log")), "key", "updated", nested={"transitions": "log"})}
 
 
 def mr_changes(lines: DataFrame) -> dict[str, Upsert]:
     """JSON lines of merge requests -> merge requests and their changed files, (id, path)."""
-    parsed = newest(I.parse(lines, I.MERGE_REQUEST), "id", I.parse_ts_utc(F.col("merged_at")))
-    files = I.mr_changed_paths(parsed).select(F.col("mr_id").alias("id"), "path").distinct()
-    return {"merge_requests": Upsert(I.mr_flatten(parsed), "id", "merged_at", {"mr_files": files})}
+    return {"merge_requests": Upsert(I.mr_flatten(I.parse(lines, I.MERGE_REQUEST), I.mr_paths().alias("paths")), "id", "merged_at", nested={"mr_files": "paths"})}
 
 
 def commit_stream(stream: DataFrame, store: Store, changes: Callable[[DataFrame], dict[str, Upsert]], checkpoint: str, trigger: dict | None = None, mode: str = "append") -> StreamingQuery:
-    """Start a stream whose micro-batches are commits of a store. The query's id, kept in the checkpoint, tells a repeated batch from one of another stream."""
+    """Start a stream whose micro-batches are commits of a store. The query's id, kept in the checkpoint, tells a repeated batch from one of another stream.
+
+    A commit reads a change's rows once, so a batch isn't kept; a change that makes several frames of it reads it as often.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        held = batch.persist()
-        try:
-            store.commit(changes(held), stream=batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint, batch=epoch)
-        finally:
-            held.unpersist()
+        store.commit(changes(batch), stream=batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint, batch=epoch)
 
     writer = stream.writeStream.outputMode(mode).foreachBatch(merge).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
