@@ -4,6 +4,8 @@ from datetime import datetime as D
 from types import SimpleNamespace
 
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
 from worklens.operators import ml as M
 from worklens.plans import catalog, registry  # noqa: F401
@@ -51,3 +53,12 @@ def test_model_error_counts_every_month_with_lags(spark, monkeypatch):
     rows = spark.createDataFrame([("s", f"2001-{k:02d}", k * k, 0) for k in range(1, 6)], "series string, month string, completed long, created long")
     monkeypatch.setattr(ml_queries, "series", lambda t: rows)
     assert [tuple(r) for r in registry.QUERIES["model_error"](spark, "").collect()] == [(8.0, 65.0)]
+
+
+def test_features_are_written_once_for_all_fits(spark):
+    """A fold's rows come from a stored table, not from the joins and numbering before it."""
+    rows = spark.range(40).select(F.col("id").cast("string").alias("key"), (F.col("id") % 4 == 0).cast("double").alias("label"))
+    seen = []
+    pipeline = SimpleNamespace(fit=lambda train: seen.append(train) or SimpleNamespace(transform=lambda test: test.select("label", array_to_vector(F.array(F.lit(0.5), F.lit(0.5))).alias("probability"))))
+    assert M.out_of_fold(rows, pipeline).count() == 40
+    assert len(seen) == 3 and all(train.inputFiles() and "Window" not in train._jdf.queryExecution().optimizedPlan().toString() for train in seen)

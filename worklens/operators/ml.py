@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from worklens.functions import scalars as S
 from worklens.functions.params import Params
 from worklens.operators.reports import numbered, trimmed_mean
+from worklens.sources.ingest import shared_dir
 
 c = F.col
 #: Weight of the overall value in smoothed ones, statuses that are no backlog, days of lateness that leave no adherence.
@@ -28,6 +29,13 @@ NUMERIC = (
 )
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """The frame as a table in the shared folder: models read it many times, and its plan ends there."""
+    path = shared_dir(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def training_rows(issues: DataFrame, p: Params, lookback_days: int = 90) -> DataFrame:
     """The team's Done issues with dates, inside the lookback, with a cycle of 0 whole days or more and a budget of 1 or more."""
     kept = (F.lower(F.trim("status")) == "done") & c("assignee_name").isin(*p.team) & (c("updated") >= p.cutoff(lookback_days))
@@ -92,6 +100,10 @@ class History:
     backlog: DataFrame
     pair_backlog: DataFrame
 
+    def stored(self) -> History:
+        """The same as tables: what they are made of isn't read again by every fit and score."""
+        return History(*[written(x) for x in (self.assignees, self.priorities, self.overall, self.backlog, self.pair_backlog)])
+
 
 def history(rows: DataFrame, issues: DataFrame, p: Params) -> History:
     stats = lambda s: [F.percentile("cycle", 0.5).alias("velocity" + s), F.count("*").alias("n" + s), F.sum("label").alias("on_time" + s), F.sum("adherence").alias("adherence" + s)]
@@ -164,7 +176,7 @@ def can_calibrate(rows: DataFrame, least: int = 30) -> bool:
 
 def out_of_fold(features: DataFrame, pipeline: Pipeline, folds: int = 3) -> DataFrame:
     """(label, score): every row scored by a model of the other folds; folds are stratified by class."""
-    rows = folded(weighted(features), folds)
+    rows = written(folded(weighted(features), folds))
     parts = [pipeline.fit(rows.filter(c("fold") != k)).transform(rows.filter(c("fold") == k)) for k in range(folds)]
     return reduce(DataFrame.unionByName, [p.select("label", vector_to_array("probability")[1].alias("score")) for p in parts])
 
@@ -188,25 +200,25 @@ class OnTime:
 def fit_on_time(labelled: DataFrame, issues: DataFrame, p: Params, **sizes: int) -> OnTime | None:
     """Candidates are compared on the last fifth by completion, with a history of the rows before it; the best is fitted on all rows. None under 20 rows or with one class.
 
-    labelled: a stored table as of on_time_label, for it is read many times.
+    labelled: a stored table as of on_time_label, for it is read many times. So are the frames with features, which are written once for all fits; the history is small and stored as well.
     """
     n, ones, average = labelled.agg(F.count("*"), F.sum("label"), F.avg("label")).first()
     if n < 20 or ones in (0, n):
         return None
-    rows = split_by_time(labelled.withColumn("budget_days", c("budget")))
+    rows = written(split_by_time(labelled.withColumn("budget_days", c("budget"))))
     early, late = rows.filter("not held_out"), rows.filter("held_out")
     classes = {r["held_out"]: (r["n"], r["k"]) for r in rows.groupBy("held_out").agg(F.count("*").alias("n"), F.countDistinct("label").alias("k")).collect()}
     use = classes[False][0] >= 10 and all(classes.get(x, (0, 0))[1] == 2 for x in (False, True))
     accuracy = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
-    past = history(early if use else rows, issues, p)
-    train, test = weighted(with_features(early if use else rows, past, leave_out=True)), with_features(late, past) if use else None
+    past = history(early if use else rows, issues, p).stored()
+    train, test = written(weighted(with_features(early if use else rows, past, leave_out=True))), written(with_features(late, past)) if use else None
     scores = {name: accuracy.evaluate(m.fit(train).transform(test if use else train)) for name, m in classifiers(**sizes).items()}
     best = max(sorted(scores), key=lambda k: scores[k])
-    past = history(labelled, issues, p)
-    full = with_features(rows, past, leave_out=True)
-    model = classifiers(**sizes)[best].fit(weighted(full))
-    calibration = platt(out_of_fold(full, classifiers(**sizes)[best])) if can_calibrate(full) else None
-    delays = validation_delays(labelled)
+    past = history(labelled, issues, p).stored()
+    full = written(weighted(with_features(rows, past, leave_out=True)))
+    model = classifiers(**sizes)[best].fit(full)
+    calibration = platt(written(out_of_fold(full.drop("weight"), classifiers(**sizes)[best]))) if can_calibrate(full) else None
+    delays = tuple(written(x) for x in validation_delays(labelled))
     fitted = OnTime(model, calibration, past, delays, {})
     own = probabilities(fitted, full).agg(F.avg((((c("probability") >= 0.5).cast("double")) == c("label")).cast("double"))).first()[0]
     fitted.report = {

@@ -8,7 +8,6 @@ from worklens.functions.params import DEFAULT as P
 from worklens.operators import flow, ml as M
 from worklens.plans.registry import NOW, days, query
 from worklens.plans.report_queries import SP, TEAM, TR, TRIMMED, training
-from worklens.sources import ingest as I
 
 c = F.col
 #: Trees and rounds of the registered model queries, which show results on small tables; the operators' defaults are the reports'.
@@ -59,9 +58,7 @@ for _name, _loo in (("on_time_features", False), ("on_time_features_loo", True))
 
 def stored(t, df):
     """The frame as a table in the shared folder: models read it many times."""
-    path = I.shared_dir(t.spark)
-    df.write.parquet(path)
-    return t.spark.read.parquet(path)
+    return M.written(df)
 
 
 def fitted(t):
