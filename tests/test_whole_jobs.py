@@ -62,3 +62,15 @@ def test_features_are_written_once_for_all_fits(spark):
     pipeline = SimpleNamespace(fit=lambda train: seen.append(train) or SimpleNamespace(transform=lambda test: test.select("label", array_to_vector(F.array(F.lit(0.5), F.lit(0.5))).alias("probability"))))
     assert M.out_of_fold(rows, pipeline).count() == 40
     assert len(seen) == 3 and all(train.inputFiles() and "Window" not in train._jdf.queryExecution().optimizedPlan().toString() for train in seen)
+
+
+def test_active_days_are_added_in_order(spark):
+    """No aggregate adds doubles, whose order it doesn't keep where it spills; the window's order is that of seq."""
+    from worklens.operators import flow
+
+    start = D(2001, 1, 1)
+    log = spark.createDataFrame([("A", "Done" if k == 5 else "In Progress", start.replace(day=1 + k, hour=(7 * k) % 24), k) for k in range(6)], "key string, to_status string, changed_at timestamp_ntz, seq int")
+    out = flow.lead_cycle(spark.createDataFrame([("A", start)], "key string, created timestamp_ntz"), log)
+    assert [r["cycle"] for r in out.collect()] == [5]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("sum(" in x for x in plan if "Aggregate [" in x)

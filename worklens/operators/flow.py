@@ -33,14 +33,18 @@ def has_done(issues: DataFrame, transitions: DataFrame) -> DataFrame:
 
 
 def lead_cycle(issues: DataFrame, transitions: DataFrame) -> DataFrame:
-    """key, cycle, lead, done_at of issues with a Done. Both sides are clustered by key, so the join and the windows share one exchange."""
+    """key, cycle, lead, done_at of issues with a Done. Both sides are clustered by key, so the join and the windows share one exchange.
+
+    Active days are added up in the order of ``seq`` by a window: sums of doubles in another order can differ in the last bit, and a half day is then rounded the other way.
+    """
     spells = transitions.join(issues.select("key", "created"), "key")
     w = Window.partitionBy("key").orderBy("seq")
     before, since = F.lag("to_status", 1, "To Do").over(w), F.coalesce(F.lag("changed_at").over(w), c("created"))
     active = F.when(before.isin(*ACTIVE), F.greatest(F.lit(0.0), S.days_between(since, c("changed_at")))).otherwise(0.0)
-    timed = spells.select("key", "created", "to_status", "changed_at", active.alias("active"))
+    timed = spells.select("key", "created", "to_status", "changed_at", "seq", active.alias("active"))
+    timed = timed.withColumn("upto", F.sum("active").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     done = F.max(F.when(c("to_status") == "Done", c("changed_at")))
-    per = timed.groupBy("key").agg(F.sum("active").alias("active"), done.alias("done_at"), F.first("created").alias("created")).filter("done_at is not null")
+    per = timed.groupBy("key").agg(F.max_by("upto", "seq").alias("active"), done.alias("done_at"), F.first("created").alias("created")).filter("done_at is not null")
     lead = F.greatest(F.lit(0.0), S.days_between(c("created"), c("done_at")))
     return per.select("key", F.greatest(F.lit(1).cast("long"), F.bround("active").cast("long")).alias("cycle"), F.bround(lead).cast("long").alias("lead"), "done_at")
 
