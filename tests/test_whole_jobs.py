@@ -64,6 +64,16 @@ def test_features_are_written_once_for_all_fits(spark):
     assert len(seen) == 3 and all(train.inputFiles() and "Window" not in train._jdf.queryExecution().optimizedPlan().toString() for train in seen)
 
 
+def test_tables_of_fits_have_files_by_their_rows(spark, monkeypatch):
+    """A file is a task, and after the windows of a numbering there was one file however many rows it had."""
+    monkeypatch.setattr(M, "FILE_ROWS", 10, raising=False)
+    rows = spark.range(40).select(F.col("id").cast("string").alias("key"), (F.col("id") % 4 == 0).cast("double").alias("label"))
+    seen = []
+    pipeline = SimpleNamespace(fit=lambda train: seen.append(train) or SimpleNamespace(transform=lambda test: test.select("label", array_to_vector(F.array(F.lit(0.5), F.lit(0.5))).alias("probability"))))
+    assert M.out_of_fold(rows, pipeline).count() == 40
+    assert all(len(train.inputFiles()) == 4 for train in seen)
+
+
 def test_active_days_are_added_in_order(spark):
     """No aggregate adds doubles, whose order it doesn't keep where it spills; the window's order is that of seq."""
     from worklens.operators import flow

@@ -29,6 +29,15 @@ NUMERIC = (
 )
 
 
+#: Rows of a file that fits read: a file is one task at least, so the tasks of a fit follow the rows.
+FILE_ROWS = 20_000
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """The n rows dealt out by key, to be written as one file for FILE_ROWS of them. What follows a window or a join may otherwise be a single file, and every pass of a fit a single task."""
+    return rows.repartition(-(-n // FILE_ROWS) or 1, "key").sortWithinPartitions("key")
+
+
 def written(rows: DataFrame) -> DataFrame:
     """The frame as a table in the shared folder: models read it many times, and its plan ends there."""
     path = shared_dir(rows.sparkSession)
@@ -105,13 +114,19 @@ class History:
         return History(*[written(x) for x in (self.assignees, self.priorities, self.overall, self.backlog, self.pair_backlog)])
 
 
-def history(rows: DataFrame, issues: DataFrame, p: Params) -> History:
-    stats = lambda s: [F.percentile("cycle", 0.5).alias("velocity" + s), F.count("*").alias("n" + s), F.sum("label").alias("on_time" + s), F.sum("adherence").alias("adherence" + s)]
+def open_pairs(issues: DataFrame, p: Params) -> DataFrame:
+    """Open issues of every assignee of the team and priority: assignee, priority, assignee_priority_backlog."""
     open_ = issues.filter(~c("status").isin(*DONE_STATUSES) & c("assignee_name").isin(*p.team)).select(c("assignee_name").alias("assignee"), F.coalesce("priority_name", F.lit("No Priority")).alias("priority"))
+    return open_.groupBy("assignee", "priority").agg(F.count("*").alias("assignee_priority_backlog"))
+
+
+def history(rows: DataFrame, pairs: DataFrame) -> History:
+    """rows: as of on_time_label; pairs: as of open_pairs."""
+    stats = lambda s: [F.percentile("cycle", 0.5).alias("velocity" + s), F.count("*").alias("n" + s), F.sum("label").alias("on_time" + s), F.sum("adherence").alias("adherence" + s)]
     overall = rows.agg(F.percentile("cycle", 0.5).alias("velocity_all"), F.avg("label").alias("on_time_all"), F.avg("adherence").alias("adherence_all"))
     return History(
         rows.groupBy("assignee").agg(*stats("_a")), rows.groupBy("priority").agg(*stats("_p")), overall,
-        open_.groupBy("assignee").agg(F.count("*").alias("assignee_backlog")), open_.groupBy("assignee", "priority").agg(F.count("*").alias("assignee_priority_backlog")),
+        pairs.groupBy("assignee").agg(F.sum("assignee_priority_backlog").alias("assignee_backlog")), pairs,
     )
 
 
@@ -176,7 +191,7 @@ def can_calibrate(rows: DataFrame, least: int = 30) -> bool:
 
 def out_of_fold(features: DataFrame, pipeline: Pipeline, folds: int = 3) -> DataFrame:
     """(label, score): every row scored by a model of the other folds; folds are stratified by class."""
-    rows = written(folded(weighted(features), folds))
+    rows = written(dealt(folded(weighted(features), folds), features.count()))
     parts = [pipeline.fit(rows.filter(c("fold") != k)).transform(rows.filter(c("fold") == k)) for k in range(folds)]
     return reduce(DataFrame.unionByName, [p.select("label", vector_to_array("probability")[1].alias("score")) for p in parts])
 
@@ -205,16 +220,16 @@ def fit_on_time(labelled: DataFrame, issues: DataFrame, p: Params, **sizes: int)
     n, ones, average = labelled.agg(F.count("*"), F.sum("label"), F.avg("label")).first()
     if n < 20 or ones in (0, n):
         return None
-    rows = written(split_by_time(labelled.withColumn("budget_days", c("budget"))))
+    rows, pairs = written(dealt(split_by_time(labelled.withColumn("budget_days", c("budget"))), n)), written(open_pairs(issues, p))
     early, late = rows.filter("not held_out"), rows.filter("held_out")
     classes = {r["held_out"]: (r["n"], r["k"]) for r in rows.groupBy("held_out").agg(F.count("*").alias("n"), F.countDistinct("label").alias("k")).collect()}
     use = classes[False][0] >= 10 and all(classes.get(x, (0, 0))[1] == 2 for x in (False, True))
     accuracy = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
-    past = history(early if use else rows, issues, p).stored()
+    past = history(early if use else rows, pairs).stored()
     train, test = written(weighted(with_features(early if use else rows, past, leave_out=True))), written(with_features(late, past)) if use else None
     scores = {name: accuracy.evaluate(m.fit(train).transform(test if use else train)) for name, m in classifiers(**sizes).items()}
     best = max(sorted(scores), key=lambda k: scores[k])
-    past = history(labelled, issues, p).stored()
+    past = history(labelled, pairs).stored()
     full = written(weighted(with_features(rows, past, leave_out=True)))
     model = classifiers(**sizes)[best].fit(full)
     calibration = platt(written(out_of_fold(full.drop("weight"), classifiers(**sizes)[best]))) if can_calibrate(full) else None

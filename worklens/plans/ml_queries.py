@@ -20,12 +20,12 @@ LBL = f"""SELECT *, CASE WHEN label = 1 THEN 1.0 ELSE greatest(0.0, 1 - {days('t
  SELECT lt.*, coalesce(a.v, p.v) AS delay, make_timestamp(CAST(epoch_us(updated) - round(coalesce(a.v, p.v) * 86400000000) AS BIGINT)) AS adjusted
  FROM lt LEFT JOIN {_delay.format(g='assignee')} a ON a.assignee = lt.assignee LEFT JOIN {_delay.format(g='priority')} p ON p.priority = lt.priority))"""
 LABELS = {"tr": TR_ALL, "lt": LATE, "lb": LBL}
-labelled = lambda t: M.on_time_label(training(t))
+labelled = lambda t: M.on_time_label(stored(t, training(t)))
 
 
 def features(t, leave_out: bool = False):
     rows = labelled(t)
-    return M.with_features(rows.withColumn("budget_days", c("budget")), M.history(rows, t.issues, P), leave_out)
+    return M.with_features(rows.withColumn("budget_days", c("budget")), M.history(rows, M.open_pairs(t.issues, P)), leave_out)
 
 
 query(
