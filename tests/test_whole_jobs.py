@@ -84,3 +84,18 @@ def test_active_days_are_added_in_order(spark):
     assert [r["cycle"] for r in out.collect()] == [5]
     plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not any("sum(" in x for x in plan if "Aggregate [" in x)
+
+
+def test_raw_records_hold_their_log_without_numbering(spark):
+    """The log of a record has the transitions in the order of seq, but no window over all transitions; what reads no changelog doesn't build it."""
+    from worklens.plans import ingest_queries as Q
+    from worklens.sources import ingest as I
+    from worklens.sources.bind import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    raw = Q.raw_issues(t)
+    assert "Window" not in raw._jdf.queryExecution().optimizedPlan().toString()
+    assert Q.records(t).columns == ["key", "id", "fields"]
+    log = I.parse(raw.filter("again = 0"), I.ISSUE).select("key", F.expr("transform(changelog.histories, h -> h.items[0].toString)").alias("log")).filter("log is not null")
+    wanted = t.transitions.join(t.issues.select("key"), "key").groupBy("key").agg(F.expr("transform(sort_array(collect_list(struct(seq, to_status))), x -> x.to_status)").alias("log"))
+    assert log.count() == wanted.count() > 1000 and log.exceptAll(wanted).isEmpty()

@@ -20,10 +20,9 @@ named = lambda x, n="name": F.when(x.isNotNull(), F.struct(x.alias(n)))  # noqa:
 
 def raw_issues(t):
     """One JSON object for each issue, with its changelog; every ninth comes twice, the second time newer."""
-    log = t.transitions.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "to_status", "changed_at"))).alias("log"))
     items = lambda x: F.array(F.struct(F.lit("status").alias("field"), x["to_status"].alias("toString")), F.struct(F.lit("rank").alias("field"), F.lit("1").alias("toString")))
     history = F.transform("log", lambda x: F.struct(iso(x["changed_at"]).alias("created"), items(x).alias("items")))
-    rows = t.issues.join(log, "key", "left")
+    rows = t.issues.join(t.logs, "id", "left")
     rows = rows.withColumn("again", F.explode(F.when(c("id") % 9 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).withColumn("updated", c("updated") + F.make_interval(hours=c("again")))
     person = lambda x: F.when(c(x).isNotNull(), F.struct(c(x).alias("displayName"), F.concat(F.lit("acc-"), c(x)).alias("accountId")))
     known = lambda k, x: F.when(c("id") % k != 0, x)
@@ -36,7 +35,7 @@ def raw_issues(t):
         known(2, F.array(F.lit("team-a"), F.concat(F.lit("lead-"), "business_lead"))).alias("labels"), known(7, (c("id") % 100).cast("string")).alias("planning_rank"), known(6, (c("id") % 50).cast("string")).alias("portfolio_rank"),
         known(5, c("parent_key")).alias("legend"), known(9, c("project_name")).alias("parent_project"),
     )
-    return rows.select("id", "again", I.once(F.to_json(F.struct("key", c("id").cast("string").alias("id"), fields.alias("fields"), F.struct(history.alias("histories")).alias("changelog")))).alias("value"))
+    return I.once(rows.select("id", "again", F.to_json(F.struct("key", c("id").cast("string").alias("id"), fields.alias("fields"), F.struct(history.alias("histories")).alias("changelog"))).alias("value")), "value")
 
 
 def raw_mrs(t):
@@ -45,10 +44,11 @@ def raw_mrs(t):
     deleted = F.when(c("id") % 4 == 0, F.array(F.struct(F.lit("").alias("new_path"), F.lit("old/gone.py").alias("old_path")))).otherwise(F.array().cast("array<struct<new_path:string,old_path:string>>"))
     changes = F.concat(deleted, F.coalesce(F.transform("paths", lambda p: F.struct(p.alias("new_path"), p.alias("old_path"))), F.array().cast("array<struct<new_path:string,old_path:string>>")))
     full = F.when(c("id") % 5 != 0, F.concat("project_path", F.lit("!"), c("iid").cast("string")))
-    return rows.select("id", I.once(F.to_json(F.struct("id", "iid", (c("id") % 7).alias("project_id"), F.struct(c("author").alias("username")).alias("author"), iso(c("merged_at")).alias("merged_at"), F.struct(full.alias("full")).alias("references"), changes.alias("changes")))).alias("value"))
+    return I.once(rows.select("id", F.to_json(F.struct("id", "iid", (c("id") % 7).alias("project_id"), F.struct(c("author").alias("username")).alias("author"), iso(c("merged_at")).alias("merged_at"), F.struct(full.alias("full")).alias("references"), changes.alias("changes"))).alias("value")), "value")
 
 
-records = lambda t: I.parse(raw_issues(t), I.ISSUE)
+#: The records without their changelog, which their columns don't need.
+records = lambda t: I.parse(raw_issues(t), I.ISSUE_HEAD)
 
 
 def transitions_of(lines):

@@ -10,6 +10,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Status changes before they are numbered within their key by (changed_at, ln, pk, sk).
+CHANGES = """ SELECT CASE WHEN l_orderkey % 10 = 9 THEN 'CAR-' ELSE 'OPS-' END || CAST(l_orderkey AS VARCHAR(20)) AS key,
+  CASE WHEN (l_linenumber + l_partkey) % 4 = 0 THEN 'Done' WHEN l_partkey % 5 = 0 THEN 'In Progress' WHEN l_partkey % 5 = 1 THEN 'Blocked'
+       WHEN l_partkey % 5 = 2 THEN 'Validating' WHEN l_partkey % 5 = 3 THEN 'On Hold' ELSE 'To Do' END AS to_status,
+  o_orderdate + INTERVAL '1' HOUR * (l_orderkey % 24 + l_linenumber * 96 + l_partkey % 90) AS changed_at,
+  l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk
+ FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""
 VIEWS = {
     "w_issues": """
 SELECT CASE WHEN o_orderkey % 10 = 9 THEN 'CAR-' ELSE 'OPS-' END || CAST(o_orderkey AS VARCHAR(20)) AS key,
@@ -36,14 +43,9 @@ SELECT CASE WHEN o_orderkey % 10 = 9 THEN 'CAR-' ELSE 'OPS-' END || CAST(o_order
  CASE WHEN o_orderkey % 6 <> 0 THEN o_orderdate + INTERVAL '1' DAY * ((o_orderkey * 7) % 40 - 5) END AS planned_start_date,
  CASE o_orderkey % 6 WHEN 0 THEN 'Small' WHEN 1 THEN 'Medium' WHEN 2 THEN 'Large' WHEN 3 THEN 'XL' WHEN 4 THEN 'Huge' END AS estimated_size_name
 FROM orders JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = o_orderkey % 200""",
-    "w_transitions": """
+    "w_transitions": f"""
 SELECT key, to_status, changed_at, CAST(row_number() OVER (PARTITION BY key ORDER BY changed_at, ln, pk, sk) - 1 AS INT) AS seq FROM (
- SELECT CASE WHEN l_orderkey % 10 = 9 THEN 'CAR-' ELSE 'OPS-' END || CAST(l_orderkey AS VARCHAR(20)) AS key,
-  CASE WHEN (l_linenumber + l_partkey) % 4 = 0 THEN 'Done' WHEN l_partkey % 5 = 0 THEN 'In Progress' WHEN l_partkey % 5 = 1 THEN 'Blocked'
-       WHEN l_partkey % 5 = 2 THEN 'Validating' WHEN l_partkey % 5 = 3 THEN 'On Hold' ELSE 'To Do' END AS to_status,
-  o_orderdate + INTERVAL '1' HOUR * (l_orderkey % 24 + l_linenumber * 96 + l_partkey % 90) AS changed_at,
-  l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk
- FROM lineitem JOIN orders ON o_orderkey = l_orderkey) x""",
+{CHANGES}) x""",
     "w_mrs": """
 SELECT o_orderkey AS id,
  CASE o_orderkey % 6 WHEN 0 THEN 'acme/devops/eks-cluster' WHEN 1 THEN 'acme/gcp/project-factory' WHEN 2 THEN 'acme/devops/tf-network'
@@ -72,8 +74,8 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def _view(self, name: str) -> DataFrame:
-        sql = VIEWS[name]
+    def _view(self, name: str, sql: str | None = None) -> DataFrame:
+        sql = sql or VIEWS[name]
         used = {t: self.table(t) for t in TABLES if f" {t}" in sql.lower()}
         if name == "w_issues":
             # an issue's part is its key's remainder by 200, so other parts join with nothing, and few keys would hold all orders
@@ -90,6 +92,15 @@ class Tables:
     def transitions(self) -> DataFrame:
         return self._view("w_transitions")
 
+    @cached_property
+    def logs(self) -> DataFrame:
+        """id, log: the transitions of an issue in their order as an array of (changed_at, ln, pk, sk, to_status).
+
+        A key is made of an order's key alone, so the rows meet by that: they lie together after the join of lines and orders, and neither a window nor a second exchange is needed.
+        """
+        changes = self._view("changes", CHANGES.replace("SELECT CASE", "SELECT o_orderkey AS id, CASE", 1))
+        return changes.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("changed_at", "ln", "pk", "sk", "to_status"))).alias("log"))
+
     @cached_property
     def mrs(self) -> DataFrame:
         return self._view("w_mrs")

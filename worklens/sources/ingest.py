@@ -14,12 +14,12 @@ from worklens.functions.params import Params
 
 c = F.col
 _NAMED, _PERSON = "struct<name:string>", "struct<displayName:string,accountId:string>"
-ISSUE = (
+ISSUE_HEAD = (
     "key string, id string, fields struct<summary:string, status:struct<name:string,statusCategory:struct<key:string>>, issuetype:" + _NAMED + ", priority:struct<name:string,id:string>"
     + ", assignee:" + _PERSON + ", creator:" + _PERSON + ", reporter:" + _PERSON + ", project:struct<key:string,name:string,id:string>, parent:struct<key:string>, created:string, updated:string, resolutiondate:string,"
-    " duedate:string, target_end:string, planned_start:string, lead:" + _PERSON + ", size:struct<value:string>, labels:array<string>, planning_rank:string, portfolio_rank:string, legend:string, parent_project:string>,"
-    " changelog struct<histories:array<struct<created:string,items:array<struct<field:string,toString:string>>>>>"
+    " duedate:string, target_end:string, planned_start:string, lead:" + _PERSON + ", size:struct<value:string>, labels:array<string>, planning_rank:string, portfolio_rank:string, legend:string, parent_project:string>"
 )
+ISSUE = ISSUE_HEAD + ", changelog struct<histories:array<struct<created:string,items:array<struct<field:string,toString:string>>>>>"
 MERGE_REQUEST = "id long, iid long, project_id long, author struct<username:string>, merged_at string, title string, web_url string, references struct<full:string>, changes array<struct<new_path:string,old_path:string>>"
 #: Changed files that are kept of one merge request.
 FILES_KEPT = 60
@@ -44,9 +44,12 @@ def parse_date(text: Column) -> Column:
     return F.try_to_date(text) if hasattr(F, "try_to_date") else text.try_cast("date")
 
 
-def once(value: Column) -> Column:
-    """The value as a row of its own. An expression that many columns read is otherwise written out, and computed, in each of them."""
-    return F.explode(F.array(value))
+def once(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, with the column as a value of its own. An expression that many columns read is otherwise written out, and computed, in each of them.
+
+    It is computed in a projection before the one that sets it apart, as compiled code; what stands in a generator is interpreted.
+    """
+    return rows.select(*[F.explode(F.array(name)).alias(name) if x == name else x for x in rows.columns])
 
 
 def apart(rows: DataFrame) -> DataFrame:
@@ -56,7 +59,7 @@ def apart(rows: DataFrame) -> DataFrame:
 
 def parse(raw: DataFrame, schema: str) -> DataFrame:
     """value string -> columns; unreadable lines give rows of nulls and are dropped. A line is read once, however many columns are made of it."""
-    return raw.select(F.inline(F.array(F.from_json("value", schema)))).filter("key is not null" if schema == ISSUE else "id is not null")
+    return raw.select(F.inline(F.array(F.from_json("value", schema)))).filter("id is not null" if schema == MERGE_REQUEST else "key is not null")
 
 
 def flatten_wide(parsed: DataFrame, p: Params) -> DataFrame:
@@ -107,7 +110,7 @@ def transition_log() -> Column:
     """The transitions of one parsed record as an array of (to_status, changed_at, seq), numbered as by changelog_transitions."""
     of = lambda h, k: F.transform(F.filter(h["items"], lambda i: i["field"] == "status"), lambda i, n: F.struct(parse_ts_utc(h["created"]).alias("changed_at"), k.alias("hp"), n.alias("ip"), F.coalesce(i["toString"], F.lit("")).alias("to_status")))
     items = F.flatten(F.filter(F.transform("changelog.histories", of), lambda x: x.isNotNull()))
-    kept = F.array_sort(F.filter(items, lambda x: x["changed_at"].isNotNull()))
+    kept = F.sort_array(F.filter(items, lambda x: x["changed_at"].isNotNull()))
     return F.transform(kept, lambda x, n: F.struct(x["to_status"].alias("to_status"), x["changed_at"].alias("changed_at"), n.alias("seq")))
 
 
