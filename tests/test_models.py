@@ -63,3 +63,20 @@ def test_training_detail(spark):
     got = {r["key"]: (r["past_due"], r["on_time"], round(r["offset"], 6)) for r in M.training_detail(df).collect()}
     # delays 2.25, 0, 10 and 0.8333 days: under five rows the median, 1.541667
     assert got == {"a": (2, "Yes", 1.541667), "b": (-1, "Yes", 1.541667), "c": (10, "No", 1.541667), "d": (0, "Yes", 1.541667)}
+
+
+def test_different_requests_are_scored_once(spark, monkeypatch):
+    """Requests that agree in priority, assignee and date have one score; each keeps its row, and a null is a value like others."""
+    done = issues(spark, 20)
+    rows = M.on_time_label(M.training_rows(done, Q.P, 720).withColumn("budget_days", F.col("budget")))
+    fitted = M.OnTime(None, None, M.history(rows, M.open_pairs(done, Q.P)), M.validation_delays(rows), {})
+    seen = []
+    monkeypatch.setattr(M, "probabilities", lambda fitted, features: seen.append(features) or features.withColumns({"probability": F.col("budget_days") / 100, "band": F.lit("some")}))
+    asked = [("a", "High", "Engineer 0", D(2001, 10, 1)), ("b", "High", "Engineer 0", D(2001, 10, 1)), ("c", None, None, D(2001, 10, 1)), ("d", None, None, D(2001, 10, 1)), ("e", "High", "Engineer 0", None)]
+    requests = spark.createDataFrame(asked, "key string, priority string, assignee string, date timestamp_ntz").withColumn("date", F.to_date("date"))
+    got = {r["key"]: r for r in M.score_requests(fitted, requests, Q.P).collect()}
+    assert [x.count() for x in seen] == [3] and sorted(got) == list("abcde")
+    assert got["a"][1:] == got["b"][1:] and got["c"][1:] == got["d"][1:] and got["e"]["probability"] is None
+    delay = M.with_delay(requests.filter("key = 'a'"), fitted.delays).first()["delay"]
+    assert got["a"]["budget_days"] == int(16 - delay) and got["a"]["probability"] == got["a"]["budget_days"] / 100
+    assert list(got["a"].asDict()) == ["key", "priority", "assignee", "date", *M.NUMERIC, "probability", "band"]

@@ -253,11 +253,21 @@ def probabilities(fitted: OnTime, features: DataFrame) -> DataFrame:
     return out.withColumn("band", F.when(c("probability") >= 0.75, "High confidence").when(c("probability") >= 0.5, "Moderate confidence").otherwise("Low confidence"))
 
 
+#: What the score of a request hangs on.
+ASKED = ("priority", "assignee", "date")
+
+
 def score_requests(fitted: OnTime, requests: DataFrame, p: Params) -> DataFrame:
-    """requests (priority, assignee, date) with features, probability and band. The budget is the days to the date less the usual validation delay, cut to whole days."""
-    rows = with_delay(requests, fitted.delays)
+    """requests (priority, assignee, date) with features, probability and band. The budget is the days to the date less the usual validation delay, cut to whole days.
+
+    Requests that agree in all three have the same score: each different one is scored once, and every request takes its own from the table of these.
+    """
+    rows = with_delay(requests.select(*ASKED).distinct(), fitted.delays)
     budget = (F.datediff("date", p.now()) - c("delay")).cast("int")
-    return probabilities(fitted, with_features(rows.withColumn("budget_days", budget).drop("delay"), fitted.past))
+    scored = written(probabilities(fitted, with_features(rows.withColumn("budget_days", budget).drop("delay"), fitted.past)))
+    same = reduce(lambda a, b: a & b, [c(f"r.{x}").eqNullSafe(c(f"s.{x}")) for x in ASKED])
+    own = [c(f"r.{x}") for x in requests.columns if x not in NUMERIC]
+    return requests.alias("r").join(scored.alias("s"), same).select(*own, *[c(f"s.{x}") for x in scored.columns if x not in ASKED])
 
 
 def probability_curve(fitted: OnTime, requests: DataFrame, p: Params, horizon: int = 120, step: int = 7) -> DataFrame:
