@@ -99,3 +99,13 @@ def test_raw_records_hold_their_log_without_numbering(spark):
     log = I.parse(raw.filter("again = 0"), I.ISSUE).select("key", F.expr("transform(changelog.histories, h -> h.items[0].toString)").alias("log")).filter("log is not null")
     wanted = t.transitions.join(t.issues.select("key"), "key").groupBy("key").agg(F.expr("transform(sort_array(collect_list(struct(seq, to_status))), x -> x.to_status)").alias("log"))
     assert log.count() == wanted.count() > 1000 and log.exceptAll(wanted).isEmpty()
+
+
+def test_newest_rows_stay_dealt_out_by_key(spark):
+    """Counting by key what newest has chosen by key takes no second exchange, and neither does an array that is laid open in between."""
+    from worklens.sources.keyed import newest
+
+    rows = spark.createDataFrame([("a", 1, [1]), ("a", 2, [1, 2]), ("b", 1, [5]), (None, 3, [6]), (None, 2, [7, 8])], "k string, t int, x array<int>")
+    got = newest(rows, "k", F.col("t")).select("k", F.explode("x").alias("x")).groupBy("k").agg(F.count("*").alias("n"), F.max("x").alias("x"))
+    assert sorted(((r["k"] or "", r["n"], r["x"]) for r in got.collect())) == [("", 1, 6), ("a", 2, 2), ("b", 1, 5)]
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1

@@ -19,7 +19,14 @@ ISSUE_HEAD = (
     + ", assignee:" + _PERSON + ", creator:" + _PERSON + ", reporter:" + _PERSON + ", project:struct<key:string,name:string,id:string>, parent:struct<key:string>, created:string, updated:string, resolutiondate:string,"
     " duedate:string, target_end:string, planned_start:string, lead:" + _PERSON + ", size:struct<value:string>, labels:array<string>, planning_rank:string, portfolio_rank:string, legend:string, parent_project:string>"
 )
-ISSUE = ISSUE_HEAD + ", changelog struct<histories:array<struct<created:string,items:array<struct<field:string,toString:string>>>>>"
+_CHANGELOG = ", changelog struct<histories:array<struct<created:string,items:array<struct<field:string,toString:string>>>>>"
+ISSUE = ISSUE_HEAD + _CHANGELOG
+#: What flatten_snapshot and transition_log read of an issue; the parser makes no values of the rest.
+SNAPSHOT = (
+    "key string, id string, fields struct<summary:string, status:struct<name:string,statusCategory:struct<key:string>>, issuetype:" + _NAMED + ", priority:" + _NAMED + ", assignee:" + _PERSON
+    + ", reporter:struct<displayName:string>, project:struct<key:string>, parent:struct<key:string>, created:string, updated:string, resolutiondate:string, target_end:string, planned_start:string,"
+    " lead:struct<displayName:string>, labels:array<string>>" + _CHANGELOG
+)
 MERGE_REQUEST = "id long, iid long, project_id long, author struct<username:string>, merged_at string, title string, web_url string, references struct<full:string>, changes array<struct<new_path:string,old_path:string>>"
 #: Changed files that are kept of one merge request.
 FILES_KEPT = 60

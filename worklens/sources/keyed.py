@@ -38,9 +38,9 @@ class Upsert:
 
 
 def newest(rows: DataFrame, key: str, *time: Column) -> DataFrame:
-    """One row of each key, the greatest by ``time``, then by its columns in order. A partial aggregate, no window."""
+    """One row of each key, the greatest by ``time``, then by its columns in order. A partial aggregate, no window. The rows stay dealt out by key: the key is that of the groups."""
     order = F.struct(*[t.alias(f"_{i}") for i, t in enumerate(time)], F.struct(*rows.columns).alias("_row"))
-    return rows.groupBy(F.col(key).alias("_key")).agg(F.max(order).alias("_top")).select("_top._row.*")
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.max(order).alias("_top")).select(*[F.col("_key").alias(x) if x == key else F.col(f"_top._row.{x}") for x in rows.columns])
 
 
 class Store:

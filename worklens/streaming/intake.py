@@ -22,7 +22,7 @@ def _lines(spark: SparkSession, path: str, files_per_batch: int) -> DataFrame:
 
 def issue_changes(lines: DataFrame) -> dict[str, Upsert]:
     """JSON lines of issues -> snapshots and the transitions of the same reading. Of a key that comes twice, the newer line; at equal times the greater by its columns, then its transitions."""
-    return {"issues": Upsert(I.flatten_snapshot(I.parse(lines, I.ISSUE), None, I.transition_log().alias("log")), "key", "updated", nested={"transitions": "log"})}
+    return {"issues": Upsert(I.flatten_snapshot(I.parse(lines, I.SNAPSHOT), None, I.transition_log().alias("log")), "key", "updated", nested={"transitions": "log"})}
 
 
 def mr_changes(lines: DataFrame) -> dict[str, Upsert]:
