@@ -5,6 +5,7 @@ from datetime import timedelta
 from types import SimpleNamespace
 
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from worklens.operators import ml as M
@@ -80,3 +81,29 @@ def test_different_requests_are_scored_once(spark, monkeypatch):
     delay = M.with_delay(requests.filter("key = 'a'"), fitted.delays).first()["delay"]
     assert got["a"]["budget_days"] == int(16 - delay) and got["a"]["probability"] == got["a"]["budget_days"] / 100
     assert list(got["a"].asDict()) == ["key", "priority", "assignee", "date", *M.NUMERIC, "probability", "band"]
+
+
+def test_rows_are_prepared_once_for_all_fits(spark, monkeypatch):
+    """What stands before the models is fitted and made once for both candidates, and the usual delay is found once for labels and requests."""
+    from pyspark.ml.feature import StringIndexer
+
+    indexed, means = [], []
+    fit, mean = StringIndexer._fit, M.trimmed_mean
+    monkeypatch.setattr(StringIndexer, "_fit", lambda self, rows: indexed.append(1) or fit(self, rows))
+    monkeypatch.setattr(M, "trimmed_mean", lambda *of: means.append(1) or mean(*of))
+    monkeypatch.setattr(Q, "TREES", 2)
+    monkeypatch.setattr(Q, "ROUNDS", 2)
+    found = Q.fitted(SimpleNamespace(spark=spark, issues=issues(spark, 40)))
+    assert found.report["probability_calibrated"] and found.report["training_rows"] == 40
+    # candidates, the best one on all rows, three folds
+    assert len(indexed) == 5 and len(means) == 1
+
+
+def test_rows_prepared_once_give_the_same_models(spark):
+    rows = M.training_rows(issues(spark, 60), Q.P, 720).withColumn("budget_days", F.col("budget"))
+    labelled = M.on_time_label(rows)
+    train = M.written(M.weighted(M.with_features(labelled, M.history(labelled, M.open_pairs(issues(spark, 60), Q.P)), leave_out=True)).coalesce(1))
+    grown = lambda m: m.stages[-1].toDebugString.split("\n", 1)[1]
+    alone = {name: grown(Pipeline(stages=p.getStages()).fit(train)) for name, p in M.classifiers(3, 3).items()}
+    assert {name: grown(m) for name, m in M.fit_all(M.classifiers(3, 3), train).items()} == alone
+    assert {name: grown(p.fit(train)) for name, p in M.classifiers(3, 3).items()} == alone

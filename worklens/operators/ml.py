@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -71,9 +71,12 @@ def _late() -> Column:
 
 
 def validation_delays(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Days from deadline to completion, 0 at least: smoothed by assignee, by priority (columns delay_a, delay_p), and the trimmed mean of all (delay_all)."""
+    """Days from deadline to completion, 0 at least: smoothed by assignee, by priority (columns delay_a, delay_p), and the trimmed mean of all (delay_all).
+
+    The mean of all is a stored table: its quantiles take several passes over the rows, and every table of delays and every frame with delays reads it.
+    """
     late = rows.withColumn("late", _late())
-    overall = trimmed_mean(late, None, "late").toDF("delay_all").select(F.coalesce("delay_all", F.lit(0.0)).alias("delay_all"))
+    overall = written(trimmed_mean(late, None, "late").toDF("delay_all").select(F.coalesce("delay_all", F.lit(0.0)).alias("delay_all")))
 
     def by(group: str, name: str) -> DataFrame:
         per = late.groupBy(group).agg(F.sum("late").alias("s"), F.count("*").alias("n"))
@@ -89,10 +92,10 @@ def with_delay(rows: DataFrame, delays: tuple[DataFrame, DataFrame, DataFrame])
     return out.withColumn("delay", F.coalesce("delay_a", "delay_p", "delay_all")).drop("delay_a", "delay_p", "delay_all")
 
 
-def on_time_label(rows: DataFrame) -> DataFrame:
-    """rows with ``delay``, ``label`` (done less the delay falls on the deadline's day or before) and ``adherence``."""
+def on_time_label(rows: DataFrame, delays: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """rows with ``delay``, ``label`` (done less the delay falls on the deadline's day or before) and ``adherence``. delays: validation_delays of these rows, where the caller has them."""
     adjusted = F.timestamp_micros((S.micros(c("updated")) - F.round(c("delay") * S.DAY)).cast("long")).cast("timestamp_ntz")
-    out = with_delay(rows, validation_delays(rows)).withColumn("adjusted", adjusted)
+    out = with_delay(rows, delays or validation_delays(rows)).withColumn("adjusted", adjusted)
     label = (F.to_date("adjusted") <= F.to_date("target_end_date")).cast("double")
     late = S.days_between(c("target_end_date"), c("adjusted"))
     out = out.withColumns({"label": label, "days_late": late})
@@ -160,13 +163,31 @@ def split_by_time(rows: DataFrame) -> DataFrame:
     return placed.crossJoin(F.broadcast(n)).withColumn("held_out", c("place") > c("n") - size).drop("place", "n")
 
 
+def fit_all(pipelines: dict[str, Pipeline], rows: DataFrame) -> dict[str, PipelineModel]:
+    """The pipelines fitted on rows. They differ in their last stage alone, which goes over its rows many times: what the stages before it make of them is made once and kept for all."""
+    *common, _ = next(iter(pipelines.values())).getStages()
+    made = Pipeline(stages=common).fit(rows)
+    ready = made.transform(rows).select("features", "label", "weight").persist()
+    try:
+        return {name: PipelineModel([*made.stages, p.getStages()[-1].fit(ready)]) for name, p in pipelines.items()}
+    finally:
+        ready.unpersist()
+
+
+class PreparedPipeline(Pipeline):
+    """A pipeline whose last stage finds its rows prepared by the stages before it, as in fit_all."""
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        return fit_all({"": self}, dataset)[""]
+
+
 def classifiers(trees: int = 1500, rounds: int = 100, depth: int = 8) -> dict[str, Pipeline]:
     index = StringIndexer(inputCols=["assignee", "priority"], outputCols=["i_a", "i_p"], handleInvalid="keep")
     hot = OneHotEncoder(inputCols=["i_a", "i_p"], outputCols=["h_a", "h_p"])
     features = VectorAssembler(inputCols=[*NUMERIC, "h_a", "h_p"], outputCol="features")
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight", "seed": 7}
     models = {"forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, **common), "boosted": GBTClassifier(maxIter=rounds, maxDepth=min(depth, 4), **common)}
-    return {n: Pipeline(stages=[index, hot, features, m]) for n, m in models.items()}
+    return {n: PreparedPipeline(stages=[index, hot, features, m]) for n, m in models.items()}
 
 
 def weighted(rows: DataFrame) -> DataFrame:
@@ -212,10 +233,11 @@ class OnTime:
     report: dict
 
 
-def fit_on_time(labelled: DataFrame, issues: DataFrame, p: Params, **sizes: int) -> OnTime | None:
+def fit_on_time(labelled: DataFrame, issues: DataFrame, p: Params, delays: tuple[DataFrame, DataFrame, DataFrame] | None = None, **sizes: int) -> OnTime | None:
     """Candidates are compared on the last fifth by completion, with a history of the rows before it; the best is fitted on all rows. None under 20 rows or with one class.
 
     labelled: a stored table as of on_time_label, for it is read many times. So are the frames with features, which are written once for all fits; the history is small and stored as well.
+    delays: stored tables as of validation_delays, by which the rows were labelled; without them they are made again.
     """
     n, ones, average = labelled.agg(F.count("*"), F.sum("label"), F.avg("label")).first()
     if n < 20 or ones in (0, n):
@@ -227,13 +249,13 @@ def fit_on_time(labelled: DataFrame, issues: DataFrame, p: Params, **sizes: int)
     accuracy = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
     past = history(early if use else rows, pairs).stored()
     train, test = written(weighted(with_features(early if use else rows, past, leave_out=True))), written(with_features(late, past)) if use else None
-    scores = {name: accuracy.evaluate(m.fit(train).transform(test if use else train)) for name, m in classifiers(**sizes).items()}
+    scores = {name: accuracy.evaluate(m.transform(test if use else train)) for name, m in fit_all(classifiers(**sizes), train).items()}
     best = max(sorted(scores), key=lambda k: scores[k])
     past = history(labelled, pairs).stored()
     full = written(weighted(with_features(rows, past, leave_out=True)))
     model = classifiers(**sizes)[best].fit(full)
     calibration = platt(written(out_of_fold(full.drop("weight"), classifiers(**sizes)[best]))) if can_calibrate(full) else None
-    delays = tuple(written(x) for x in validation_delays(labelled))
+    delays = delays or tuple(written(x) for x in validation_delays(labelled))
     fitted = OnTime(model, calibration, past, delays, {})
     own = probabilities(fitted, full).agg(F.avg((((c("probability") >= 0.5).cast("double")) == c("label")).cast("double"))).first()[0]
     fitted.report = {

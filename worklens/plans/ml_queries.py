@@ -62,7 +62,9 @@ def stored(t, df):
 
 
 def fitted(t):
-    return M.fit_on_time(stored(t, labelled(t)), t.issues, P, trees=TREES, rounds=ROUNDS)
+    rows = stored(t, training(t))
+    delays = tuple(stored(t, x) for x in M.validation_delays(rows))
+    return M.fit_on_time(stored(t, M.on_time_label(rows, delays)), t.issues, P, delays, trees=TREES, rounds=ROUNDS)
 
 
 REPORT = "model_name string, training_rows long, training_accuracy double, validation_rows long, validation_accuracy double, accuracy_target_met boolean, probability_calibrated boolean, on_time_rate double, average_validation_days double"
@@ -83,7 +85,7 @@ def scored(t):
     found = fitted(t)
     if found is None:
         return t.spark.createDataFrame([], "key string, probability double, band string")
-    return M.score_requests(found, requests(t), P).select("key", F.round("probability", 9).alias("probability"), "band")
+    return M.score_requests(found, stored(t, requests(t)), P).select("key", F.round("probability", 9).alias("probability"), "band")
 
 
 def curve(t):
