@@ -348,6 +348,34 @@ def test_repeats_send_copies_once(spark, together, monkeypatch):
     assert all(len(common) <= got[1000 + i]["n_removed"] < got[1000 + i]["n_bytes"] for i in range(6))
 
 
+def test_repeats_leave_the_rest_in_place(spark, monkeypatch):
+    """Entries without a match and texts with nothing to remove aren't moved."""
+    rng = random.Random(14)
+    common = prose(rng, 60)
+    rows = [(i, prose(rng, 90)) for i in range(400)] + [(1000 + i, prose(rng, 30) + common + prose(rng, 30)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    sent, written = {}, suffix_dedup.materialise
+
+    def counted(df, name):
+        out = written(df, name)
+        sent[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialise", counted)
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert sent["repeats"] == 200 and sent["entries"] > 2 * sent["shared-entries"]
+    assert all(got[i]["n_removed"] == 0 for i in range(400)) and all(got[1000 + i]["n_removed"] >= len(common) for i in range(200))
+
+
+def test_filter_holds_its_keys(spark):
+    rng = np.random.default_rng(5)
+    keys = rng.integers(-(1 << 63), (1 << 63) - 1, 30_000, dtype=np.int64)
+    bits = suffix_dedup._marked(spark.createDataFrame([(int(k),) for k in keys], "key long").repartition(3)).value
+    assert len(bits) * 8 >= len(keys) * suffix_dedup.KEY_BITS and suffix_dedup._inside(bits, keys).all()
+    assert suffix_dedup._inside(bits, rng.integers(-(1 << 63), (1 << 63) - 1, 100_000, dtype=np.int64)).sum() < 200
+    assert not suffix_dedup._inside(suffix_dedup._marked(spark.createDataFrame([], "key long")).value, keys).any()
+
+
 def test_secrets_copied_by_their_owner(spark):
     own, common = "Qx7" + "mN4kP9tR2wY6" * 2, "Ld5" + "sG8hJ3fK1zV0" * 2
     rows = [(i, f"use {own} now", "hot") for i in range(100)] + [(200 + i, f"see {common}", f"o{i % 3}") for i in range(6)]

@@ -14,8 +14,11 @@ the first shuffle on. Buckets are then refined:
    these are the buckets of twice the width, which the next round takes up for both places. After each round strings that
    share their bucket with no other entry go, and with them the positions that only they needed.
 
-A bucket of up to ``TOGETHER`` refined ones is refined in one place. Of a larger one every string is a row of its own,
-named by a hash of its bytes, and rows are counted. Hashes have 64 bits.
+A bucket with the bytes of up to ``TOGETHER`` of the longest entries is refined in one place. Of a larger one every string
+is a row of its own, named by a hash of its bytes, and rows are counted. Hashes have 64 bits.
+
+Entries of buckets that may hold others, members whose bytes are asked for and texts with something to remove are told
+from the rest by filters, whose size follows what they hold; the few others that pass them change no result.
 
 Defined results: null text is empty; texts of fewer than ``length`` bytes stay as they are; repeated rows are two places;
 rows with a null or repeated doc_id keep a row each; an empty table gives an empty result; other columns are ignored.
@@ -33,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worklens.llm import textkernel as K
-from worklens.llm.common import BitFilter, materialise, release, table
+from worklens.llm.common import materialise, release, table
 
 GRAM = 32
-#: Bits of each filter over entries or buckets. More of them fill it up; then more rows are sent than needed.
-FILTER_BITS = 1 << 24
-#: Refined buckets of one bucket that are refined further in one place, and rows of whole buckets taken at once.
+#: Bits of a filter's block, and bits of a filter for each key: of 10,000 other keys about 6 pass.
+FILTER_BITS, KEY_BITS = 1 << 16, 24
+#: Blocks of a filter at most: 128 MB, for 45 million keys. More of them fill it up; then more rows are sent than needed.
+MOST_BLOCKS = 1 << 14
+#: Entries, of the longest kind, whose bytes are refined further in one place, and rows of whole buckets taken at once.
 TOGETHER, ROWS = 4000, 1000
 
 
@@ -96,20 +101,33 @@ def _anchors(length: int):
     return run
 
 
-def _place(th: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return (K.mix(th.view(np.uint64) ^ K.mix(start.astype(np.uint64) + np.uint64(1))) % np.uint64(FILTER_BITS)).astype(np.int64)
+def _block(keys: np.ndarray, blocks: int) -> np.ndarray:
+    return (K.mix(K.mix(keys.view(np.uint64)) + np.uint64(1)) % np.uint64(blocks)).astype(np.int32)
+
+
+def _places(keys: np.ndarray) -> Iterator[np.ndarray]:
+    """Four places of every key in its block."""
+    mixed = K.mix(keys.view(np.uint64))
+    for k in range(0, 64, 16):
+        yield (mixed >> np.uint64(k) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
-def _expand(sums: np.ndarray, first: np.ndarray, many: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entry number, place in the entry and identifier of every string of the entries."""
-    entry = np.repeat(np.arange(len(many)), many)
-    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    start = first[entry] + nth
-    return entry, nth, K.span_hash(sums, start, start + length)
+def _inside(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys the filter lets through."""
+    first = _block(keys, len(bits) * 8 // FILTER_BITS).astype(np.int64) * FILTER_BITS
+    out = np.ones(len(keys), dtype=bool)
+    for place in _places(keys):
+        out &= bits[first + place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0
+    return out
+
+
+def _key(th: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The key of an entry."""
+    return th.view(np.uint64) ^ K.mix(start.astype(np.uint64) + np.uint64(1))
 
 
 def _chosen(batches: Iterator[pa.RecordBatch], length: int, bits: np.ndarray):
-    """(bytes, sums, bucket, first, many, refined) of the entries in the filter, for each part of the texts that has some.
+    """(bytes, bucket, first, many, refined) of the entries in the filter, for each part of the texts that has some.
 
     Of equal entries in a part only the first is sent: copies of a text hold the same chosen entry each.
     """
@@ -117,8 +135,7 @@ def _chosen(batches: Iterator[pa.RecordBatch], length: int, bits: np.ndarray):
         key = np.asarray(batch.column("th"))
         for i, data, cuts, a in _segments(batch.column("text"), length):
             sums, bucket, first, many, text, _ = _entries(data, cuts, length)
-            bit = _place(key[i + text], first - cuts[text] + a)
-            k = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            k = np.flatnonzero(_inside(bits, _key(key[i + text], first - cuts[text] + a)))
             if len(k):
                 refined = K.span_hash(sums, first[k], first[k] + many[k] - 1 + length)
                 order = np.lexsort((refined, bucket[k]))
@@ -126,34 +143,37 @@ def _chosen(batches: Iterator[pa.RecordBatch], length: int, bits: np.ndarray):
                 new[1:] = (np.diff(refined[order]) != 0) | (np.diff(bucket[k][order]) != 0)
                 one = np.sort(order[new])
                 k, refined = k[one], refined[one]
-                yield data, sums, bucket[k], first[k], many[k], refined
-
-
-def _bytes_of(length: int, bits: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, _, bucket, first, many, refined in _chosen(batches, length, bits):
-            parts = [data[s : s + m - 1 + length].tobytes() for s, m in zip(first, many, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(bucket)), pa.array(K.signed(refined)), pa.array(parts, pa.binary())], names=["bucket", "refined", "bytes"])
+                yield data, bucket[k], first[k], many[k], refined
 
-    return run
 
+def _bytes_of(length: int, bits: np.ndarray, large: np.ndarray):
+    """bucket, part, refined, bytes of entries in the filter. A bucket is one part, 0, but entries of large ones are parts of their own."""
 
-def _strings_of(length: int, bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sums, _, first, many, refined in _chosen(batches, length, bits):
-            entry, nth, string = _expand(sums, first, many, length)
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(refined[entry])), pa.array(nth.astype(np.int32)), pa.array(K.signed(string))], names=["refined", "nth", "string"])
+        for data, bucket, first, many, refined in _chosen(batches, length, bits):
+            parts = [data[s : s + m - 1 + length].tobytes() for s, m in zip(first, many, strict=True)]
+            own = np.where(np.isin(K.signed(bucket), large), K.signed(refined) | 1, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(bucket)), pa.array(own), pa.array(K.signed(refined)), pa.array(parts, pa.binary())], names=["bucket", "part", "refined", "bytes"])
 
     return run
 
 
 def _compare(length: int):
-    """Rows (bucket, refined, lead, bytes) in order of the bucket -> (refined, nths): strings that another refined bucket of the bucket holds."""
+    """Rows (bucket, part, refined, bytes) in order of bucket and part -> (refined, nth, many, string).
+
+    Of part 0: runs of ``many`` strings that another refined bucket of the bucket holds. Of others: every string with its hash, to be compared elsewhere.
+    """
+    names = ["refined", "nth", "many", "string"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
-            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            whole = batch.column("part").to_numpy() == 0
+            yield from singly(pa.Table.from_batches([batch.filter(pa.array(~whole))]))
+            if not whole.any():
+                continue
+            rows = pa.Table.from_batches([batch.filter(pa.array(whole))])
+            rows = rows if held is None else pa.concat_tables([held, rows])
             bucket = rows.column("bucket").to_numpy()
             last = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
             yield from compared(rows.slice(0, last))
@@ -161,6 +181,13 @@ def _compare(length: int):
         if held is not None:
             yield from compared(held)
 
+    def singly(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        for a in range(0, rows.num_rows, ROWS):
+            some = rows.slice(a, ROWS)
+            data, entry, nth, start = _strings(some.column("bytes").to_pylist(), length)
+            string = K.span_hash(K.rolling(data), start, start + length)
+            yield pa.RecordBatch.from_arrays([pa.array(some.column("refined").to_numpy()[entry]), pa.array(nth.astype(np.int32)), pa.array(np.ones(len(nth), dtype=np.int32)), pa.array(K.signed(string))], names=names)
+
     def compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         """Whole buckets, about ROWS rows at once."""
         heads = np.flatnonzero(np.append(True, np.diff(rows.column("bucket").to_numpy()) != 0)) if rows.num_rows else np.zeros(0, dtype=np.int64)
@@ -169,12 +196,23 @@ def _compare(length: int):
             b = int(ends[min(np.searchsorted(ends, a + ROWS), len(ends) - 1)])
             some = rows.slice(a, b - a)
             entry, nth = refined_strings(some.column("bucket").to_numpy(), some.column("bytes").to_pylist(), length)
-            yield pa.RecordBatch.from_arrays([pa.array(some.column("refined").to_numpy()[entry]), pa.array(nth.astype(np.int32))], names=["refined", "nth"])
+            head = np.flatnonzero(np.append(True, (np.diff(entry) != 0) | (np.diff(nth) != 1))) if len(entry) else np.zeros(0, dtype=np.int64)
+            many = np.diff(np.append(head, len(entry))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(some.column("refined").to_numpy()[entry[head]]), pa.array(nth[head].astype(np.int32)), pa.array(many), pa.nulls(len(head), pa.int64())], names=names)
             a = b
 
     return run
 
 
+def _strings(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, and entry, place in the entry and place in the bytes of every string of ``length`` bytes."""
+    size = np.array([len(p) for p in parts], dtype=np.int64)
+    data, offset, many = np.frombuffer(b"".join(parts), dtype=np.uint8), np.cumsum(size) - size, size - length + 1
+    entry = np.repeat(np.arange(len(parts)), many)
+    nth = np.arange(len(entry)) - np.repeat(np.cumsum(many) - many, many)
+    return data, entry, nth, offset[entry] + nth
+
+
 def _numbered(keys: np.ndarray) -> np.ndarray:
     """Equal keys get equal numbers from 0."""
     order = np.argsort(keys, kind="stable")
@@ -185,12 +223,8 @@ def _numbered(keys: np.ndarray) -> np.ndarray:
 
 def refined_strings(bucket: np.ndarray, parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """(entry, place in the entry) of strings of ``length`` bytes that another entry of the same bucket holds; entries are different byte strings."""
-    size = np.array([len(p) for p in parts], dtype=np.int64)
-    data, offset = np.frombuffer(b"".join(parts), dtype=np.uint8), np.cumsum(size) - size
-    many = size - length + 1
-    entry = np.repeat(np.arange(len(parts)), many)
-    nth = np.arange(len(entry)) - np.repeat(np.cumsum(many) - many, many)
-    start, of = offset[entry] + nth, _numbered(bucket)[entry]
+    data, entry, nth, start = _strings(parts, length)
+    of = _numbered(bucket)[entry]
     width = max(1, length // 8)
     sums, places = K.rolling(data), np.arange(len(data) - width + 1)
     ids = _numbered(K.span_hash(sums, places, places + width))
@@ -212,9 +246,19 @@ def refined_strings(bucket: np.ndarray, parts: list[bytes], length: int) -> tupl
         ids, width = wider, width + step
 
 
-def _places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_place(np.asarray(batch.column("th")), np.asarray(batch.column("start"))))], names=["bit"])
+        yield pa.RecordBatch.from_arrays([pa.array(K.signed(_key(np.asarray(batch.column("th")), np.asarray(batch.column("start")))))], names=["key"])
+
+
+def _passing(column: str, bits, inside: bool = True):
+    """Rows whose column the filter (a broadcast) lets through, or those that it doesn't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_inside(bits.value, np.asarray(batch.column(column))) == inside))
+
+    return run
 
 
 def _cut(length: int):
@@ -245,56 +289,79 @@ def _cut(length: int):
     return run
 
 
-def _bits(rows: DataFrame) -> np.ndarray:
-    """The bit filter of a column ``bit``; FILTER_BITS / 32 numbers at most come to the driver."""
-    words = rows.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits"))
-    out = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
-    for r in words.toLocalIterator(prefetchPartitions=True):
-        out[r["word"]] = r["bits"]
-    return out.view(np.uint8)
+def _marked(keys: DataFrame):
+    """The filter of a stored column ``key``, sent to all workers. Its blocks are filled in tasks; MOST_BLOCKS of them at most come to the driver."""
+    blocks = min(MOST_BLOCKS, -(-keys.count() * KEY_BITS // FILTER_BITS) or 1)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_block(np.asarray(batch.column("key")), blocks)), batch.column("key")], names=["block", "key"])
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block, key = np.asarray(batch.column("block")), np.asarray(batch.column("key"))
+            order = np.argsort(block, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else ():
+                bits = made.setdefault(int(block[part[0]]), np.zeros(FILTER_BITS // 8, dtype=np.uint8))
+                for place in _places(key[part]):
+                    np.bitwise_or.at(bits, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
+        for block, bits in made.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["block", "bits"])
+
+    out = np.zeros((blocks, FILTER_BITS // 8), dtype=np.uint8)
+    for r in keys.mapInArrow(dealt, "block int, key long").repartition("block").mapInArrow(filled, "block int, bits binary").toLocalIterator(prefetchPartitions=True):
+        out[r["block"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(out.reshape(-1))
 
 
 def repeated_entries(docs: DataFrame, length: int = 200) -> DataFrame:
-    """(th, start, many): starts of repeated strings, by the text's hash; all starts from ``start`` on, ``many`` of them."""
+    """(th, runs): starts of repeated strings by the text's hash, as runs (start, many) of neighbouring ones. A table of ``materialise``."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") >= length).select("text", F.xxhash64("text").alias("th"))
     raw = materialise(texts.mapInArrow(_anchors(length), "bucket long, refined long, th long, start long, many int"), "entries")
-    often = materialise(raw.groupBy("bucket").count().filter("count > 1").select("bucket"), "shared-buckets")
-    entries = BitFilter(often, "bucket").maybe(raw, "bucket").groupBy("bucket", "refined", "th", "start", "many").agg(F.count("*").alias("copies"))
-    entries = materialise(entries.join(often, "bucket"), "shared-entries")
+    often = materialise(raw.groupBy("bucket").count().filter("count > 1").select(F.col("bucket").alias("key")), "shared-buckets")
+    shared = raw.mapInArrow(_passing("bucket", _marked(often)), raw.schema)
+    entries = materialise(shared.groupBy(*raw.columns).agg(F.count("*").alias("copies")), "shared-entries")
     release(raw, often)
-    refined = entries.groupBy("bucket", "refined").agg(F.sum("copies").alias("members"), F.min(F.struct("th", "start")).alias("one"))
+    refined = entries.groupBy("bucket", "refined").agg(F.sum("copies").alias("members"), F.min(F.struct("th", "start", "many")).alias("one"))
     refined = materialise(refined, "refined")
-    split = refined.groupBy("bucket").count().filter("count > 1")
-    apart = materialise(refined.join(split, "bucket").select("one.th", "one.start", (F.col("count") > TOGETHER).alias("singly")), "apart")
-    shared = [spark.sparkContext.broadcast(_bits(apart.filter(c).select("th", "start").mapInArrow(_places_of, "bit long"))) for c in ("not singly", "singly")]
+    split = refined.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.col("one.many") + length - 1).alias("size")).filter("n > 1")
+    split = materialise(split.select("bucket", "size"), "split-buckets")
+    apart = materialise(refined.join(split, "bucket").select("one.th", "one.start").mapInArrow(_keys_of, "key long"), "apart")
+    # a large bucket has over a megabyte of different entries, so few are large
+    large = np.array([r[0] for r in split.filter(F.col("size") > TOGETHER * (2 * length - GRAM)).select("bucket").toLocalIterator()], dtype=np.int64)
+    asked, large = _marked(apart), spark.sparkContext.broadcast(large)
+    release(split, apart)
 
     def send_bytes(batches):
-        return _bytes_of(length, shared[0].value)(batches)
-
-    def send_strings(batches):
-        return _strings_of(length, shared[1].value)(batches)
-
-    near = texts.mapInArrow(send_bytes, "bucket long, refined long, bytes binary").repartition("bucket")
-    near = near.dropDuplicates(["bucket", "refined"]).sortWithinPartitions("bucket")  # no shuffle more: the bucket's rows are in one place
-    found = near.mapInArrow(_compare(length), "refined long, nth int")
-    if not apart.filter("singly").isEmpty():
-        strings = materialise(texts.mapInArrow(send_strings, "refined long, nth int, string long").distinct(), "strings")
-        twice = strings.groupBy("string").agg(F.min("refined").alias("low"), F.max("refined").alias("high")).filter("low <> high").select("string")
-        found = found.unionAll(strings.join(twice, "string").select("refined", "nth"))
-    found = found.groupBy("refined").agg(F.array_sort(F.collect_set("nth")).alias("nths"))
-    state = refined.select("refined", (F.col("members") > 1).alias("all")).join(found, "refined", "left").filter("all or nths is not null")
+        return _bytes_of(length, asked.value, large.value)(batches)
+
+    near = texts.mapInArrow(send_bytes, "bucket long, part long, refined long, bytes binary").repartition("bucket", "part")
+    near = near.dropDuplicates(["bucket", "part", "refined"]).sortWithinPartitions("bucket", "part")  # no shuffle more: the bucket's rows are in one place
+    compared = materialise(near.mapInArrow(_compare(length), "refined long, nth int, many int, string long"), "strings")
+    strings = compared.filter("string is not null")
+    twice = strings.groupBy("string").agg(F.min("refined").alias("low"), F.max("refined").alias("high")).filter("low <> high").select("string")
+    found = compared.filter("string is null").drop("string").unionAll(strings.join(twice, "string").select("refined", "nth", "many"))
+    found = found.groupBy("refined").agg(F.collect_list(F.struct("nth", "many")).alias("runs"))
+    state = refined.select("refined", (F.col("members") > 1).alias("all")).join(found, "refined", "left").filter("all or runs is not null")
     own = entries.select("refined", "th", "start", "many").join(state, "refined")
-    whole = own.filter("all").select("th", "start", "many")
-    some = own.filter("not all").select("th", "start", F.explode("nths").alias("nth")).select("th", (F.col("start") + F.col("nth")).alias("start"), F.lit(1).alias("many"))
-    return whole.unionAll(some).distinct()
+    whole = F.array(F.struct(F.lit(0).alias("nth"), "many"))
+    own = own.select("th", "start", F.explode(F.when(F.col("all"), whole).otherwise(F.col("runs"))).alias("run"))
+    runs = own.select("th", (F.col("start") + F.col("run.nth")).alias("start"), "run.many").groupBy("th").agg(F.collect_list(F.struct("start", "many")).alias("runs"))
+    runs = materialise(runs, "repeats")
+    release(entries, refined, compared)
+    return runs
 
 
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    repeats = repeated_entries(docs, length).groupBy("th").agg(F.collect_list(F.struct("start", "many")).alias("runs"))
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row. Texts without a repeated string are not moved."""
+    repeats = repeated_entries(docs, length)
+    bits = _marked(repeats.select(F.col("th").alias("key")))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    joined = texts.join(repeats.hint("shuffle_hash"), "th", "left").select("doc_id", "text", "runs")
+    some, none = (texts.mapInArrow(_passing("th", bits, inside), texts.schema) for inside in (True, False))
+    joined = some.join(repeats.hint("shuffle_hash"), "th", "left").select("doc_id", "text", "runs")
+    joined = joined.unionAll(none.select("doc_id", "text", F.lit(None).cast(repeats.schema["runs"].dataType).alias("runs")))
     return joined.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
