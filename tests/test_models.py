@@ -107,3 +107,13 @@ def test_rows_prepared_once_give_the_same_models(spark):
     alone = {name: grown(Pipeline(stages=p.getStages()).fit(train)) for name, p in M.classifiers(3, 3).items()}
     assert {name: grown(m) for name, m in M.fit_all(M.classifiers(3, 3), train).items()} == alone
     assert {name: grown(p.fit(train)) for name, p in M.classifiers(3, 3).items()} == alone
+
+
+def test_on_time_models_are_of_the_reports_size(spark, monkeypatch):
+    """1,500 trees and 100 rounds, for the model, its scores and its calibration; a fit of few thousand rows isn't a single task."""
+    asked, made = [], M.classifiers
+    monkeypatch.setattr(M, "classifiers", lambda *a, **k: asked.append(made(*a, **k)) or made(2, 2))
+    assert Q.fitted(SimpleNamespace(spark=spark, issues=issues(spark, 40))) is not None
+    assert Q.calibration(SimpleNamespace(spark=spark, issues=issues(spark, 40))).count() == 1
+    assert {(p["forest"].getStages()[-1].getNumTrees(), p["boosted"].getStages()[-1].getMaxIter()) for p in asked} == {(1500, 100)}
+    assert M.dealt(spark.range(3000).select(F.col("id").alias("key")), 3000).rdd.getNumPartitions() == 3

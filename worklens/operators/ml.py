@@ -29,13 +29,14 @@ NUMERIC = (
 )
 
 
-#: Rows of a file that fits read: a file is one task at least, so the tasks of a fit follow the rows.
-FILE_ROWS = 20_000
+#: Rows of a file that fits read, and files at least where there are LEAST_ROWS rows for each: a file is one task at least. Every task sends sums of all nodes of 1,500 trees, so tasks are few and their rows many.
+FILE_ROWS, FILES, LEAST_ROWS = 200_000, 24, 1000
 
 
 def dealt(rows: DataFrame, n: int) -> DataFrame:
-    """The n rows dealt out by key, to be written as one file for FILE_ROWS of them. What follows a window or a join may otherwise be a single file, and every pass of a fit a single task."""
-    return rows.repartition(-(-n // FILE_ROWS) or 1, "key").sortWithinPartitions("key")
+    """The n rows dealt out by key, to be written as files for fits. What follows a window or a join may otherwise be a single file, and every pass of a fit a single task."""
+    files = max(-(-n // FILE_ROWS), min(-(-n // LEAST_ROWS), FILES), 1)
+    return rows.repartition(files, "key").sortWithinPartitions("key")
 
 
 def written(rows: DataFrame) -> DataFrame:

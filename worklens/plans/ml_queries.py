@@ -10,8 +10,10 @@ from worklens.plans.registry import NOW, days, query
 from worklens.plans.report_queries import SP, TEAM, TR, TRIMMED, training
 
 c = F.col
-#: Trees and rounds of the registered model queries, which show results on small tables; the operators' defaults are the reports'.
-TREES, ROUNDS, RATE = 24, 12, 0.1
+#: Trees and rounds of the on-time models: the operator's defaults, which are the report's.
+TREES, ROUNDS = 1500, 100
+#: Trees, rounds and learning rate of the registered throughput queries, which show results on small tables; the operators' defaults are the reports'.
+MONTHLY_TREES, MONTHLY_ROUNDS, RATE = 24, 12, 0.1
 TR_ALL = TR.replace("updated, ", "created, updated, target_end_date, ", 1)
 LATE = f"SELECT *, greatest(0.0, {days('target_end_date', 'updated')}) AS late FROM tr"
 _delay = "(SELECT {g}, (sum(late) + " + TRIMMED.format(x="late", tr="lt") + " * 8.0) / (count(*) + 8.0) AS v FROM lt GROUP BY 1)"
@@ -145,14 +147,14 @@ STEPS = 6
 
 
 def throughput_model(t):
-    found = M.fit_throughput(stored(t, M.throughput_features(series(t))), ROUNDS, RATE)
+    found = M.fit_throughput(stored(t, M.throughput_features(series(t))), MONTHLY_ROUNDS, RATE)
     return t.spark.createDataFrame([], "series string, month string, completed double, prediction double") if found is None else found[0]
 
 
 def compared(t):
     """(rows, best, models, errors, backtests), or None where there are too few months for a model."""
     rows = stored(t, M.seasonal_lags(series(t)))
-    found = M.compare_throughput(rows, ROUNDS, TREES)
+    found = M.compare_throughput(rows, MONTHLY_ROUNDS, MONTHLY_TREES)
     return None if found is None else (rows, *found)
 
 
